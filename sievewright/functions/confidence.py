@@ -57,11 +57,11 @@ def is_hard_case(overlap: Column) -> Column:
     return overlap < HARD_CASE
 
 
-def heuristic_confidence(candidate: Column, posting: Column, overlap: Column) -> Column:
+def heuristic_confidence(candidate: Column, posting: Column, overlap: Column, digits: int = 3) -> Column:
     """A deterministic stand-in for a model's confidence: overlap and detail raise it, vague wording lowers it."""
     # Vague wording.
     vague = ("various", "etc", "some experience", "familiar with", "exposure to")
     n_words = F.size(F.filter(F.split(F.coalesce(candidate, F.lit("")), r"(?U)\s+"), lambda w: F.length(w) > 0))
     detail = F.least(F.lit(1.0), n_words / 180.0)
     hits = sum((F.contains(F.lower(F.coalesce(posting, F.lit(""))), F.lit(m)).cast("int") for m in vague), F.lit(0))
-    return F.bround(clip(0.25 + 0.5 * overlap + 0.25 * detail - F.least(F.lit(0.3), 0.1 * hits)), 3)
+    return F.bround(clip(0.25 + 0.5 * overlap + 0.25 * detail - F.least(F.lit(0.3), 0.1 * hits)), digits)

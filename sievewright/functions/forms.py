@@ -210,12 +210,12 @@ def decide(fields: DataFrame, threshold: float = confidence.THRESHOLD) -> DataFr
     df = fields.withColumn("_ev", evidence(c("category"), c("condition"), c("retrieval"), c("fact_confidence")))
     df = df.withColumn("_as", confidence.assess(c("_ev"), c("model_confidence"), threshold))
     draft = F.nullif(F.trim(_text(c("proposed"))), F.lit(""))
-    df = df.withColumns({"_draft": draft, "_has_options": F.size("options") > 0})
+    df = df.withColumns({"_draft": draft, "_has_options": F.size("options") > 0, "_hay": guards.plain(c("source_text"))})
     df = df.withColumns(
         {
             "_draft_ok": ~c("_has_options") | match_option(c("_draft"), c("options")).isNotNull(),
             "_fact_ok": ~c("_has_options") | match_option(c("fact_value"), c("options")).isNotNull(),
-            "_grounded": guards.supports(c("_draft"), c("source_text")),
+            "_grounded": guards.supports(c("_draft"), c("_hay")),
         }
     )
     fact = c("fact_value").isNotNull()
@@ -237,7 +237,6 @@ def decide(fields: DataFrame, threshold: float = confidence.THRESHOLD) -> DataFr
     chosen = F.when(c("_route") == "draft", c("_draft")).when(c("_route").isin("fact", "fact_for_draft"), c("fact_value"))
     df = df.withColumn("_value", F.when(c("_has_options"), F.coalesce(match_option(chosen, c("options")), chosen)).otherwise(chosen))
     df = df.withColumn("_fit", fit_to_length(c("_value"), c("max_length")))
-    offered = c("_value").isNotNull() & ~c("_as.abstain") & c("_fit.value").isNotNull()
     decision = (
         F.when(~c("fillable"), "not_fillable")
         .when(c("_route") == "sensitive", "sensitive_skipped")
@@ -254,12 +253,14 @@ def decide(fields: DataFrame, threshold: float = confidence.THRESHOLD) -> DataFr
         .when(c("_fit.trimmed"), "shortened")
         .otherwise(c("_route"))
     )
+    df = df.withColumn("decision", decision)
+    offered = c("decision") == "offered"
     conf = F.when(c("sensitive"), F.lit(0.0)).otherwise(F.bround("_as.combined", 4))
     sure = ~c("_fit.trimmed") & c("category").isin("personal", "education") & (conf >= 0.7)
     return df.select(
         *[x for x in fields.columns if x not in ("source_text", "unsupported")],
         F.when(offered, c("_fit.value")).alias("suggested_value"),
-        decision.alias("decision"),
+        "decision",
         conf.alias("confidence"),
         (~(offered & sure)).alias("needs_confirmation"),
         kind.alias("message_kind"),

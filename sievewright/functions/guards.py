@@ -24,7 +24,8 @@ NUMBER = r"\d[\d,]*(?:\.\d+)?"
 PROPER = r"(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9&'’.\-]*(?:[ \t\n]+[A-Z][A-Za-z0-9&'’.\-]*)+)"
 
 
-def _plain(text: Column) -> Column:
+def plain(text: Column) -> Column:
+    """Lower case, only letters, digits and single blanks."""
     kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s]", "")
     return F.trim(F.regexp_replace(kept, r"(?U)\s+", " "))
 
@@ -33,9 +34,12 @@ def _within(needle: Column, hay: Column) -> Column:
     return F.regexp_like(hay, F.concat(F.lit(r"(?<![a-z0-9])\Q"), needle, F.lit(r"\E(?![a-z0-9])")))
 
 
-def supports(value: Column, source: Column) -> Column:
-    """Whether the source has the whole value, or all its words of three and more letters, as whole words."""
-    needle, hay = _plain(value), _plain(source)
+def supports(value: Column, hay: Column) -> Column:
+    """Whether a source has the whole value, or all its words of three and more letters, as whole words.
+
+    ``hay`` is the source made ``plain``, as a column of its own: lambdas would evaluate an expression again and again.
+    """
+    needle = plain(value)
     tokens = F.filter(F.split(needle, " "), lambda t: F.length(t) > 2)
     return F.coalesce(
         (F.length(needle) > 0) & (_within(needle, hay) | ((F.size(tokens) > 0) & F.forall(tokens, lambda t: _within(t, hay)))),
@@ -78,9 +82,13 @@ def entities(text: pd.Series) -> pd.Series:
     return text.map(entity_names)
 
 
-def unsupported_names(names: Column, source: Column) -> Column:
-    """Names whose words don't stand in the source in this order, whatever separates them."""
-    hay = F.regexp_replace(F.lower(F.coalesce(source, F.lit(""))), r"\s+", " ")
+def even(text: Column) -> Column:
+    """Lower case, runs of white space made one blank."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
+
+
+def unsupported_names(names: Column, hay: Column) -> Column:
+    """Names whose words don't stand in the source (made ``even``) in this order, whatever separates them."""
 
     def missing(name):
         words = F.transform(F.split(F.lower(name), " "), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))

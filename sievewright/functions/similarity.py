@@ -6,7 +6,7 @@ import math
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,27 +23,33 @@ STOP_WORDS = (
 ONE_OF_TWO = 1 + math.log(1.5)
 
 
-def terms(text: Column) -> Column:
-    """Words of two and more word characters, stop words dropped, then also pairs of neighbours."""
+def with_terms(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the terms of a text: words of two and more word characters, stop words dropped, then pairs of neighbours.
+
+    Built in stages, as an expression that a lambda captures would be evaluated anew for each element.
+    """
     stop = F.array(*map(F.lit, STOP_WORDS))
-    words = F.filter(
-        F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~F.array_contains(stop, w)
-    )
-    pairs = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    df = df.withColumn("_words", F.filter(found, lambda w: ~F.array_contains(stop, w)))
+    words = F.col("_words")
+    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return df.withColumn(out, F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))).drop("_words")
+
+
+def with_term_counts(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds a map of each term to how often it occurs, in time linear in the sorted terms."""
+    df = with_terms(df, text, "_terms").withColumn("_sorted", F.array_sort("_terms"))
+    t = F.col("_sorted")
+    df = df.withColumn(
+        "_starts",
+        F.when(F.size(t) > 0, F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.element_at(t, i) != F.element_at(t, F.greatest(i - 1, F.lit(1)))))).otherwise(
+            F.array().cast("array<int>")
+        ),
     )
-    return F.concat(words, pairs)
-
-
-def counts(items: Column) -> Column:
-    """A map of each item to how often it occurs."""
-    sorted_ = F.array_sort(items)
-    keys = F.array_distinct(sorted_)
-    size = F.size(sorted_)
-    # in a sorted array an item's count is the distance of its first place from the next item's
-    first = F.transform(keys, lambda k: F.array_position(sorted_, k))
-    last = F.concat(F.slice(first, 2, F.size(first)), F.array((size + 1).cast("bigint")))
-    return F.map_from_arrays(keys, F.zip_with(first, last, lambda a, b: b - a))
+    s = F.col("_starts")
+    ends = F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(t) + 1))
+    counts = F.map_from_arrays(F.transform(s, lambda i: F.element_at(t, i)), F.zip_with(s, ends, lambda a, b: b - a))
+    return df.withColumn(out, F.when(F.size(s) > 0, counts).otherwise(F.create_map().cast("map<string,int>"))).drop("_terms", "_sorted", "_starts")
 
 
 def pair_cosine(a: Column, b: Column) -> Column:
