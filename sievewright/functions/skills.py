@@ -196,7 +196,7 @@ def tidy_skills(values: Column) -> Column:
     """Trimmed skills without fillers and scraps; of equal ones the first spelling."""
     fillers = F.array(*[F.lit(x) for x in sorted({normalise_key(x) for x in SOFT_FILLERS})])
     kept = F.filter(
-        F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim),
+        F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(x)),
         lambda v: v.isNotNull() & (F.length(v) >= 2) & ~F.array_contains(fillers, normalise_skill(v)),
     )
     return first_spellings(kept)
@@ -214,7 +214,7 @@ def merged_skills(model: Column, literal: Column) -> Column:
 
 def skill_set(text: Column) -> Column:
     """Normalised canonical skills of a list in one string (split at ; , and |)."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[;,|]"), F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[;,|]"), lambda x: F.trim(x)), lambda p: F.length(p) > 0)
     return F.array_sort(F.array_distinct(F.transform(parts, lambda p: normalise_skill(canonicalise(p)))))
 
 

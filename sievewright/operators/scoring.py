@@ -31,7 +31,7 @@ def score_cases(records: DataFrame, truth: DataFrame) -> DataFrame:
         c("expected_top_skills_n").alias("_n"), "hard_case", "should_abstain",
     )
     canon = lambda items: F.transform(
-        F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), F.trim), lambda x: F.length(x) > 0), skills.canonicalise
+        F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: F.length(x) > 0), skills.canonicalise
     )
     df = records.join(gt, "case_id").withColumns(
         {

@@ -812,7 +812,19 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return matching.top_k(scored, ["cand_id"], [c("match_score").desc(), "post_id"], 3)
 
 
-@query()
+_MATCH = _PAIRS + f""",
+ta AS (SELECT doc_id, term, count(*) AS tf FROM {_terms_sql('pd', 'doc_id')} GROUP BY 1, 2),
+tb AS (SELECT item_id, term, count(*) AS tf FROM {_terms_sql('pb', 'item_id')} GROUP BY 1, 2),
+x AS (SELECT ta.doc_id, tb.item_id, sum(ta.tf * tb.tf) AS dot, sum(ta.tf * ta.tf) AS sa, sum(tb.tf * tb.tf) AS sb FROM ta JOIN tb USING (term) GROUP BY 1, 2),
+na AS (SELECT doc_id, sum(tf * tf) AS q FROM ta GROUP BY 1), nb AS (SELECT item_id, sum(tf * tf) AS q FROM tb GROUP BY 1),
+m AS (SELECT h.doc_id, h.item_id, h.matched, h.k / need.n AS o,
+  coalesce(dot / sqrt((sa + pow(1 + ln(1.5), 2) * (na.q - sa)) * (sb + pow(1 + ln(1.5), 2) * (nb.q - sb))), 0) AS cosine
+  FROM hit h JOIN need USING (item_id) LEFT JOIN x USING (doc_id, item_id) LEFT JOIN na USING (doc_id) LEFT JOIN nb ON nb.item_id = h.item_id),
+r AS (SELECT *, CAST(round_even(100 * (0.5 * cosine + 0.5 * o), 0) AS INTEGER) AS match_score FROM m)
+SELECT doc_id AS cand_id, item_id AS post_id, round(o, 4) AS overlap, round(cosine, 4) AS cosine, match_score, matched, o < 0.4 AS abstained, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY match_score DESC, item_id) AS rank FROM r) WHERE rank <= 3"""
+
+
+@query(_MATCH)
 def match_documents(spark, d):
-    return flagship(spark, d)
-
+    return flagship(spark, d).select("cand_id", "post_id", "overlap", "cosine", "match_score", _joined("matched").alias("matched"), "abstained", "rank")
