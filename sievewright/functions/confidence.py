@@ -33,6 +33,7 @@ def assess(retrieval: Column, own: Column, threshold: float = THRESHOLD, either:
     weak_r, weak_o = F.coalesce(r < t, F.lit(False)), F.coalesce(o < t, F.lit(False))
     abstain = none | (combined < t) | (F.lit(either) & (weak_r | weak_o))
     only = F.when(r.isNotNull(), F.lit("retrieval")).otherwise(F.lit("llm_self"))
+    # The wording of the reasons.
     two = lambda x: F.format_string("%.2f", x)
     reasons = F.when(none, F.array(F.lit("no confidence component was available; declining"))).otherwise(
         F.array_compact(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import confidence, fields, forms, guards, similarity, skills
 from sievewright.functions import text as texts
-from sievewright.operators import generator, matching, profiles, runlog, scoring
+from sievewright.operators import audit, generator, matching, profiles, runlog, runner, scoring
 from sievewright.session import table
 from sievewright.sources import fetched, files, pages, pdf
 from sievewright.streaming import runs
@@ -828,3 +828,41 @@ SELECT doc_id AS cand_id, item_id AS post_id, round(o, 4) AS overlap, round(cosi
 @query(_MATCH)
 def match_documents(spark, d):
     return flagship(spark, d).select("cand_id", "post_id", "overlap", "cosine", "match_score", _joined("matched").alias("matched"), "abstained", "rank")
+
+
+@query(f"""WITH {_DOCS}, {_BENCH}, {_LEX}, {_DS}, {_BS},
+p AS (SELECT doc_id, item_id, least(1, len(list_filter(regexp_split_to_array(left(d.text, 12000), '[ \\t\\n\\r\\f\\v]+'), lambda w : w <> '')) / 180.0) AS detail FROM pd d JOIN pb b ON d.doc_id % 40 = b.item_id WHERE length(d.text) < 11000),
+o AS (SELECT p.doc_id, p.detail, (SELECT count(*) FROM ds JOIN bs USING (canon) WHERE ds.doc_id = p.doc_id AND bs.item_id = p.item_id) / (SELECT count(*) FROM bs WHERE bs.item_id = p.item_id) AS o FROM p),
+s AS (SELECT doc_id, o, 0.25 + 0.5 * o + 0.25 * detail AS own, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 100) / 100.0 END AS r FROM o),
+c AS (SELECT doc_id, 'A' AS condition, o AS k, o < 0.4 AS a FROM s UNION ALL SELECT doc_id, 'B', own, own < 0.4 FROM s
+ UNION ALL SELECT doc_id, 'C', CASE WHEN r IS NULL THEN own ELSE 0.6 * r + 0.4 * own END, coalesce(0.6 * r + 0.4 * own < 0.4 OR r < 0.4, false) OR own < 0.4 FROM s)
+SELECT condition, count(*) AS n, count(*) FILTER (a) AS abstained, round(avg(k), 2) AS mean_confidence FROM c GROUP BY 1""")
+def run_conditions(spark, d):
+    docs = planted_documents(spark, d).where(F.char_length("text") < 11000).select("doc_id", c("text").alias("resume_text"), (c("doc_id") % 40).alias("item_id"))
+    cases = docs.join(planted_benchmark(spark, d).withColumnRenamed("text", "jd_text"), "item_id").select(
+        c("doc_id").alias("case_id"), "jd_text", "resume_text", F.when(c("doc_id") % 3 > 0, (c("doc_id") % 100) / 100.0).alias("retrieval")
+    )
+    out = runner.run_cases(cases)
+    return out.groupBy("condition").agg(F.count("*").alias("n"), F.count_if("abstained").alias("abstained"), F.round(F.avg("confidence"), 2).alias("mean_confidence"))
+
+
+_KEYS = [("passport_no", True), ("student_id", False), ("NRIC", True), ("id-number", True), ("email", False), ("taxId", True), ("candidate reference no", False)]
+
+
+@query(_sql(_KEYS, "name, forbidden"))
+def forbidden_keys(spark, d):
+    return _values(spark, [(k,) for k, _ in _KEYS], "name string").select("name", audit.key_forbidden(c("name")).alias("forbidden"))
+
+
+@query("""WITH s AS (SELECT DISTINCT unnest(list_transform(string_split(text, chr(10)), lambda x : trim(x, ' -*' || chr(9)))) AS sentinel FROM benchmark)
+SELECT substr(sha256(sentinel), 1, 8) AS sha256_8, count(DISTINCT doc_id) AS documents FROM s JOIN documents d ON length(sentinel) >= 12 AND contains(sentinel, ' ') AND contains(d.text, sentinel) GROUP BY 1""")
+def sentinel_leaks(spark, d):
+    secrets = audit.sentinels(table(spark, d, "benchmark"), "text")
+    hits = audit.leaks(table(spark, d, "documents").repartition(SPREAD, "doc_id"), secrets, "text", "doc_id")
+    return hits.groupBy("sha256_8").agg(F.count("*").alias("documents"))
+
+
+@query()
+def page_scan_counts(spark, d):
+    df = table(spark, d, "pages").select("page_id", F.replace("html", F.lit("</body>"), F.lit(_FORM + "</body>")).alias("html"))
+    return audit.scan_counts(forms.normalise_fields(pages.scan_controls(df.repartition(SPREAD, "page_id"))))
