@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import connected_components, cut, spread_join, width
+from sievewright.llm.common import connected_components, cut, spread_join
 
 THRESHOLD = 0.95
 #: Vectors that the centres are chosen from, and most lowest centres.
@@ -153,7 +153,6 @@ def _tile(pdf: pd.DataFrame, may: np.ndarray, threshold: float) -> tuple[list, l
     other = np.flatnonzero(side == 1) if (side == 1).any() else np.flatnonzero(side == 0)
     alone = not (side == 1).any()
     first = np.flatnonzero(side == 0)
-    counts: dict[int, int] = {}
     us, vs = [], []
     step = 512
     for lo in range(0, len(first), step):
@@ -230,56 +229,54 @@ def _by_dimension(distinct: DataFrame, dim: int, threshold: float) -> tuple[Data
     may = dual_traversal(tree.value, radius, math.sqrt(2 - 2 * threshold))
     # Nodes are packed into blocks in order; a large one takes several. A block holds about `block` vectors.
     block = max(256, min(BLOCK, -(-total // 16)))
-    start, per, blocks_of = 0, {}, {}
-    fill = 0
+    # What the driver keeps is bounded by the nodes: groups of nodes, and how many blocks each group has.
+    group, chunks, fill = {}, [], 0
     for k in sorted(nodes):
-        k_rows = nodes[k]["k"]
-        if k_rows > block:
-            start += 1 if fill else 0
-            per[k], fill = (start, -(-k_rows // block)), 0
-            start += per[k][1]
+        size = nodes[k]["k"]
+        if size > block or not chunks or fill + size > block:
+            chunks.append(max(1, -(-size // block)))
+            fill = size if size <= block else block  # nothing joins a group of several blocks
         else:
-            if fill + k_rows > block:
-                start, fill = start + 1, 0
-            per[k] = (start, 1)
-            fill += k_rows
-        for b in range(per[k][0], per[k][0] + per[k][1]):
-            blocks_of.setdefault(b, set()).add(k)
-    n_blocks = max(blocks_of) + 1
-    member = np.zeros((n_blocks, len(radius)), dtype=bool)
-    for b, ks in blocks_of.items():
-        member[b, list(ks)] = True
-    open_blocks = (member.astype(np.int32) @ may.astype(np.int32) @ member.T.astype(np.int32)) > 0
-    plan = spark.sparkContext.broadcast((per, open_blocks, may))
+            fill += size
+        group[k] = len(chunks) - 1
+    member = np.zeros((len(chunks), len(radius)), dtype=np.int32)
+    for k, g in group.items():
+        member[g, k] = 1
+    open_groups = (member @ may.astype(np.int32) @ member.T) > 0
+    first = np.concatenate([[0], np.cumsum(chunks)])
+    group_of = np.zeros(len(radius), dtype=np.int64)
+    group_of[list(group)] = list(group.values())
+    plan = spark.sparkContext.broadcast((group_of, np.array(chunks), first, open_groups, may))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per, open_, _ = plan.value
+        group_of, chunks, first, open_, _ = plan.value
+        total_blocks = int(first[-1])
         for batch in batches:
             rep, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             if not len(rep):
                 continue
-            first = np.array([per[k][0] for k in node])
-            many = np.array([per[k][1] for k in node])
+            g = group_of[node]
             mixed = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            mine = first + (mixed % many.astype(np.uint64)).astype(np.int64)
+            mine = first[g] + (mixed % chunks[g].astype(np.uint64)).astype(np.int64)
             for b in np.unique(mine):
-                at = pa.array(np.flatnonzero(mine == b))
-                part = batch.take(at)
-                for c in np.flatnonzero(open_[b]):
-                    lo, hi = min(b, c), max(b, c)
-                    size = part.num_rows
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(size, lo * len(open_) + hi)),
-                            pa.array(np.full(size, 0 if b == lo else 1, np.int32)),
-                            part.column(0), part.column(1), part.column(2), part.column(4),
-                        ],
-                        names=["tile", "side", "rep", "n", "node", "vec"],
-                    )
+                at = np.flatnonzero(mine == b)
+                part = batch.take(pa.array(at))
+                size = part.num_rows
+                for h in np.flatnonzero(open_[g[at[0]]]):
+                    for other in range(int(first[h]), int(first[h + 1])):
+                        lo, hi = min(int(b), other), max(int(b), other)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.full(size, lo * total_blocks + hi)),
+                                pa.array(np.full(size, 0 if b == lo else 1, np.int32)),
+                                part.column(0), part.column(1), part.column(2), part.column(4),
+                            ],
+                            names=["tile", "side", "rep", "n", "node", "vec"],
+                        )
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, open_, may = plan.value
-        alone = key[0] // len(open_) == key[0] % len(open_)
+        _, _, first, _, may = plan.value
+        alone = key[0] // int(first[-1]) == key[0] % int(first[-1])
         if not alone and pdf["side"].nunique() < 2:
             return pd.DataFrame({"u": [], "v": [], "n": []}).astype("int64")
         counts, got = _tile(pdf, may, threshold)

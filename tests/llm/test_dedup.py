@@ -166,6 +166,19 @@ def test_embeddings(spark, tiny):
     assert got == {1: (1, 1), 2: (1, 1), None: (0, None)}
 
 
+def test_a_node_of_several_blocks(spark):
+    """One dense group larger than a block is dealt to several blocks and loses no link."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=64) + rng.normal(0, 0.16, (700, 64))
+    x = np.concatenate([x, rng.normal(size=(300, 64))]).astype("f4").astype("f8")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.95).sum(1) - 1
+    assert 0 < want[:700].mean() < 699
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = cover_tree.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
+
+
 def test_traversal_prunes_only_what_it_may():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 8))
