@@ -46,7 +46,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    """The removed spans as text, ``start-end`` joined by commas."""
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    spans = F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"]))
+    return out.withColumn("removed", F.array_join(spans, ","))
 
 
 def tokenizer() -> tuple[bytes, str]:
@@ -126,4 +129,52 @@ SELECT u.page_id, u.host, u.path, b.r.rule AS rule,
 FROM u LEFT JOIN best b ON u.page_id IS NOT DISTINCT FROM b.page_id AND u.host = b.host AND u.path = b.path
 """
 
-ORACLES = {"op4_exact_dedup": _OP4, "op6_url_filter": _OP6}
+_OP1 = f"""
+WITH RECURSIVE ok AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x : x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x : x <> 0))
+),
+unit AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM ok),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+         AND list_dot_product(a.v, b.v) / (a.n * b.n) >= {cover_tree.THRESHOLD}),
+reach(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT link.b, reach.c FROM reach JOIN link ON link.a = reach.id),
+comp AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id),
+deg AS (SELECT a AS id, count(*) AS n FROM link GROUP BY a)
+SELECT comp.id AS vec_id, coalesce(deg.n, 0) AS n_links, component_id, comp.id = component_id AS kept FROM comp LEFT JOIN deg ON deg.id = comp.id
+"""
+
+_OP7 = f"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+line AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM cut),
+spot AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(line) - 1 AS lo,
+                trim(regexp_replace(lower(line), '[\\s\\x1c-\\x1f\\x85\\x0b]+', ' ', 'g')) AS norm FROM line),
+long AS (SELECT doc_id, place, norm FROM spot WHERE norm <> '' AND len(string_split(norm, ' ')) >= {substring_dedup.MIN_WORDS}),
+late AS (SELECT doc_id, place FROM (SELECT doc_id, place, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) AS n FROM long) WHERE n > 1)
+SELECT s.doc_id, count(*)::INTEGER AS n_units, count(late.place)::INTEGER AS n_removed,
+       coalesce(string_agg(lo::BIGINT || '-' || (lo + length(line))::BIGINT, ',' ORDER BY s.place) FILTER (late.place IS NOT NULL), '') AS removed,
+       coalesce(string_agg(line, chr(10) ORDER BY s.place) FILTER (late.place IS NULL), '') AS text
+FROM spot s LEFT JOIN late ON late.doc_id = s.doc_id AND late.place = s.place GROUP BY s.doc_id
+"""
+
+_OP10 = f"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+line AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS place FROM cut),
+long AS (SELECT doc_id, place, trim(raw, ' ') AS t FROM line WHERE length(trim(raw, ' ')) >= {line_dedup.MIN_CHARS}),
+own AS (SELECT t, min(struct_pack(d := doc_id, p := place)) AS r FROM long GROUP BY t),
+pair AS (SELECT a.t, b.t AS u, b.r FROM own a JOIN own b ON left(a.t, 8) = left(b.t, 8) AND abs(length(a.t) - length(b.t)) <= 1
+         UNION SELECT a.t, b.t, b.r FROM own a JOIN own b ON right(a.t, 8) = right(b.t, 8) AND abs(length(a.t) - length(b.t)) <= 1),
+first AS (SELECT t, min(r) AS r FROM pair WHERE t = u OR levenshtein(t, u) <= 1 GROUP BY t),
+late AS (SELECT l.doc_id, l.place FROM long l JOIN first f USING (t) WHERE struct_pack(d := l.doc_id, p := l.place) > f.r)
+SELECT s.doc_id, count(*)::INTEGER AS n_lines, count(late.place)::INTEGER AS n_removed,
+       coalesce(string_agg(raw, chr(10) ORDER BY s.place) FILTER (late.place IS NULL), '') AS text
+FROM line s LEFT JOIN late ON late.doc_id = s.doc_id AND late.place = s.place GROUP BY s.doc_id
+"""
+
+ORACLES = {
+    "op1_embedding_neardup": _OP1,
+    "op4_exact_dedup": _OP4,
+    "op6_url_filter": _OP6,
+    "op7_substring_dedup": _OP7,
+    "op10_line_dedup": _OP10,
+}
