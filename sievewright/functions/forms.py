@@ -274,3 +274,15 @@ def classify_decision(fillable: Column, sensitive: Column, value: Column, abstai
         F.when(~F.coalesce(fillable, F.lit(True)), "not_fillable").when(yes(sensitive), "sensitive_skipped").when(value.isNotNull(), "offered")
         .when(yes(abstained), "abstained").when(yes(missing), "missing").when(yes(filled), "already_filled").otherwise("unclassified")
     )
+
+
+def field_list(fields: DataFrame) -> DataFrame:
+    """Per page one text line for each control that may be filled and isn't sensitive, in order. A page has at most 400 controls."""
+    c = F.col
+    parts = F.concat_ws(
+        " | ", F.concat(F.lit("- "), "field_id"), F.nullif(c("label"), F.lit("")), c("type"), F.when(c("required"), "required"),
+        F.when(c("max_length").isNotNull(), F.concat(F.lit("max "), c("max_length").cast("string"))),
+        F.when(F.size("options") > 0, F.concat(F.lit("options: "), F.array_join(F.slice("options", 1, 20), ", "))),
+    )
+    rows = fields.where(c("fillable") & ~c("sensitive")).select("page_id", F.struct("idx", parts.alias("line")).alias("r"))
+    return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n").alias("block"))

@@ -74,3 +74,27 @@ def extract_facts(rendered: DataFrame) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(k).alias("key"), F.col("_f")[k].alias("value"), F.col("_c")[k].alias("confidence")) for k in keys])
     df = rendered.select("profile_id", got.alias("_f"), conf.alias("_c"))
     return df.select("profile_id", F.explode(rows).alias("r")).select("profile_id", "r.*").where("value IS NOT NULL")
+
+
+def profile_from_text(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Fields read from free text, by their place in a profile: ``profile_id, filled, uncertain`` (confidence under 0.7)."""
+    place = {"full_name": "personal_info", "email": "personal_info", "phone": "personal_info"}
+    facts = extract_facts(texts.select("profile_id", F.col(text).alias("text")))
+    module = F.lit("education")
+    for k, m in place.items():
+        module = F.when(F.col("key") == k, m).otherwise(module)
+    path = F.concat(module, F.lit("."), F.regexp_replace("key", "^education_", ""))
+    return facts.groupBy("profile_id").agg(  # a profile has at most seven such facts
+        F.array_sort(F.collect_list(path)).alias("filled"), F.array_sort(F.collect_list(F.when(F.col("confidence") < 0.7, path))).alias("uncertain")
+    )
+
+
+def checked_modules(modules: Column) -> Column:
+    """Authorised modules, each once, in order; raises on one that doesn't exist."""
+    unknown = F.array_except(modules, F.array(*map(F.lit, MODULES)))
+    return F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown module: "), F.array_join(unknown, ", "))).cast("array<string>")).otherwise(F.array_distinct(modules))
+
+
+def facts_as_list(facts: DataFrame) -> DataFrame:
+    """A profile's facts as one array of structs (there are few per profile), by key."""
+    return facts.groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("key", "value", "confidence"))).alias("facts"))

@@ -137,3 +137,18 @@ def scan_text(spark: SparkSession, path: str, pattern: str, skip: str = r"/\.git
         return hits
     a = allowed.select(F.col("file").alias("_f"), F.col("excerpt").alias("_e"))
     return hits.join(F.broadcast(a), hits["file"].endswith(a["_f"]) & F.contains(hits["line"], a["_e"]), "left_anti")
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Sample texts paired by file name, ``<case>_jd.txt`` with ``<case>_resume.txt``: ``case_id, jd_text, resume_text``."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)_(jd|resume)\.txt$", 1).alias("case_id"),
+                                                        F.regexp_extract("_metadata.file_name", r"^(.*)_(jd|resume)\.txt$", 2).alias("side"), "value")
+    one = lambda side: rows.where(F.col("side") == side).select("case_id", F.col("value").alias(f"{side}_text"))
+    return one("jd").join(one("resume"), "case_id")
+
+
+def chunk_descriptor(chunks: DataFrame) -> dict:
+    """What a knowledge base holds, for a run's record: counts per family and a hash over its (few) chunks."""
+    stats = {r["family"]: r["chunks"] for r in chunk_stats(chunks).collect()}
+    h = chunks.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.concat_ws("|", "id", "text"), 256))), ""), 256).alias("h")).first()["h"]
+    return {"chunks": sum(stats.values()), "families": stats, "sha256": h}

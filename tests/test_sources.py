@@ -130,3 +130,28 @@ def test_entry_without_the_optional_part(tmp_path):
         "q = e.queries(); assert 'match_documents' in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_samples_and_descriptor(spark, tmp_path):
+    for n, t in (("a_jd", "x"), ("a_resume", "y"), ("b_jd", "z")):
+        (tmp_path / f"{n}.txt").write_text(t)
+    assert [tuple(r) for r in files.read_samples(spark, str(tmp_path)).collect()] == [("a", "x", "y")]
+    k = spark.createDataFrame([("1", "f", "t"), ("2", "f", "u")], "id string, family string, text string")
+    assert files.chunk_descriptor(k)["families"] == {"f": 2} and files.chunk_descriptor(k) == files.chunk_descriptor(k.orderBy("text"))
+
+
+def test_profiles_and_field_lists(spark):
+    from sievewright.operators import profiles
+
+    t = spark.createDataFrame([("p", "Ada Example\nada@example.org\nBSc in Statistics 2021")], "profile_id string, text string")
+    got = profiles.profile_from_text(t).first()
+    assert got.filled == ["education.degree", "education.graduation_year", "education.major", "personal_info.email", "personal_info.full_name"]
+    assert got.uncertain == ["education.graduation_year"]
+    assert profiles.facts_as_list(profiles.extract_facts(t)).first().facts[0].key == "education_degree"
+    m = spark.createDataFrame([(["projects", "projects"],)], "m array<string>")
+    assert m.select(profiles.checked_modules(F.col("m")).alias("m")).first().m == ["projects"]
+    with pytest.raises(Exception, match="unknown module"):
+        m.select(profiles.checked_modules(F.array(F.lit("secrets")))).collect()
+    df = spark.createDataFrame([(1, HTML)], "page_id long, html string")
+    block = forms.field_list(forms.normalise_fields(pages.scan_controls(df))).first().block
+    assert "options: BSc, MSc" in block and "pw" not in block and block.count("\n") >= 4
