@@ -195,6 +195,6 @@ def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", b
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay (the smallest doc_id of each component), all columns."""
+    """The rows of ``docs`` that stay (the smallest doc_id of each component), all columns. Rows without doc_id stay together if one of them does."""
     kept = simhash_dedup(docs, text, doc_id).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(kept, docs[doc_id].eqNullSafe(kept["_keep"]), "left_semi")
