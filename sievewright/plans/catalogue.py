@@ -90,8 +90,7 @@ def _features(spark, d):
 
 def _shared(spark, d):
     cands, posts = _features(spark, d)
-    pairs = matching.with_skills(matching.candidate_pairs(cands, posts), cands, posts)
-    return pairs.withColumn("overlap", F.round(skills.skill_overlap(c("cand_skills"), c("post_skills")), 4))
+    return matching.candidate_pairs(cands, posts).withColumn("overlap", F.round(F.size("matched") / F.size("post_skills"), 4))
 
 
 @query(_PAIRS + """ SELECT doc_id AS cand_id, item_id AS post_id, overlap, rank FROM (
@@ -106,14 +105,13 @@ def skill_overlap_topk(spark, d):
 FROM hit h WHERE h.item_id % 4 = 0""")
 def matched_missing(spark, d):
     df = _shared(spark, d).where("post_id % 4 = 0")
-    return df.select("cand_id", "post_id", _joined(F.array_sort(F.array_intersect("cand_skills", "post_skills"))).alias("matched"),
-                     _joined(F.array_sort(F.array_except("post_skills", "cand_skills"))).alias("missing"))
+    return df.select("cand_id", "post_id", _joined("matched").alias("matched"), _joined(F.array_sort(F.array_except("post_skills", "matched"))).alias("missing"))
 
 
 @query(_PAIRS + """ SELECT item_id AS post_id, count(*) AS candidates, count(*) FILTER (k / n < 0.4) AS abstained, count(*) FILTER (k / n < 0.5) AS hard,
   round(avg(k / n), 6) AS mean_confidence FROM hit JOIN need USING (item_id) GROUP BY 1""")
 def baseline_assess(spark, d):
-    df = _shared(spark, d).withColumn("o", skills.skill_overlap(c("cand_skills"), c("post_skills")))
+    df = _shared(spark, d).withColumn("o", F.size("matched") / F.size("post_skills"))
     df = df.withColumn("a", confidence.assess(F.lit(None).cast("double"), c("o")))
     return df.groupBy("post_id").agg(
         F.count("*").alias("candidates"), F.count_if("a.abstain").alias("abstained"), F.count_if(confidence.is_hard_case(c("o"))).alias("hard"),
