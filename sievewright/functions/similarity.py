@@ -86,23 +86,29 @@ def l2_normalise(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
 
 
-# The parameters of 32-bit FNV-1a, and the embedding's size.
-FNV_OFFSET, FNV_PRIME, HASH_DIM = 2166136261, 16777619, 1024
+# The parameters of 64-bit FNV-1a, and the embedding's size.
+FNV_OFFSET, FNV_PRIME, HASH_DIM = 0xCBF29CE484222325, 0x100000001B3, 1024
+
+
+def fnv1a(data: bytes) -> int:
+    h = FNV_OFFSET
+    for b in data:
+        h = (h ^ b) * FNV_PRIME % (1 << 64)
+    return h
 
 
 def hash_features(text: str, dim: int = HASH_DIM) -> list[float]:
-    """Signed feature hashing of words (two and more characters) and of every second 4-gram, L2-normalised."""
+    """Signed feature hashing of words (two and more letters or digits) and of every second 4-gram of theirs, L2-normalised.
+
+    The place is the hash modulo the size, the sign its bit 32.
+    """
     import numpy as np
 
-    low = text.lower()
-    features = [w for w in re.findall(r"[a-z0-9]+", low) if len(w) > 1]
-    features += [low[i : i + 4] for i in range(0, max(0, len(low) - 3), 2)]
+    words = [w for w in re.sub(r"[\W_]", " ", text).lower().split() if len(w) > 1]
+    line = " ".join(words)
+    hashes = [fnv1a(f.encode()) for f in words + [line[i : i + 4] for i in range(0, len(line) - 4, 2)]]
     out = np.zeros(dim)
-    for f in features:
-        h = FNV_OFFSET
-        for b in f.encode():
-            h = ((h ^ b) * FNV_PRIME) & 0xFFFFFFFF
-        out[h % dim] += 1.0 if (h >> 16) & 1 else -1.0
+    np.add.at(out, [h % dim for h in hashes], [-1.0 if h >> 32 & 1 else 1.0 for h in hashes])
     n = np.linalg.norm(out)
     return (out / n if n else out).tolist()
 

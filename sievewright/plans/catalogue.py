@@ -747,18 +747,19 @@ def kb_validation(spark, d):
 
 _LONG = "<html><head><title>Data <b>role</b></title></head><body><p>" + "We use Python. " * 20 + "</p></body></html>"
 _FETCHED = [
-    ("https://a.org/1", 200, "text/html", _LONG, ["93.184.216.34"], 0, True, "ok"), ("ftp://a.org/2", 200, "text/html", _LONG, ["93.184.216.34"], 0, True, "invalid_url"),
-    ("https://a.org/3", 200, "text/html", _LONG, ["10.0.0.1"], 0, True, "not_public"), ("https://a.org/4", 200, "text/html", _LONG, ["93.184.216.34"], 9, True, "too_many_redirects"),
+    ("https://a.org/1", 200, "text/html", _LONG, ["93.184.216.34"], 0, True, "ok"), ("ftp://a.org/2", 200, "text/html", _LONG, ["93.184.216.34"], 0, True, "unsupported_scheme"),
+    ("https://a.org/3", 200, "text/html", _LONG, ["10.0.0.1"], 0, True, "private_host"), ("https://a.org/4", 200, "text/html", _LONG, ["93.184.216.34"], 9, True, "http_error"),
     ("https://a.org/5", 404, "text/html", _LONG, ["93.184.216.34"], 0, True, "http_error"), ("https://a.org/6", 200, "image/png", "x", ["93.184.216.34"], 0, True, "not_html"),
     ("https://a.org/7", 200, "text/html", "<p>Sign in to continue</p>", ["93.184.216.34"], 0, True, "login_required"), ("https://a.org/8", 200, "text/html", _LONG, ["93.184.216.34"], 0, False, "robots_disallowed"),
-    ("https://a.org/9", 200, "text/html", "<p> </p>", ["93.184.216.34"], 0, True, "empty"),
+    ("https://a.org/9", 200, "text/html", "<p> </p>", ["93.184.216.34"], 0, True, "not_html"),
+    ("https://a.org/10", 402, "text/html", _LONG, ["93.184.216.34"], 0, True, "paywall"),
 ]
 
 
 @query(_sql([(r[0], r[-1]) for r in _FETCHED], "url, reason"))
 def judge_fetched_pages(spark, d):
-    rows = [(u, s, t, b.encode(), ips, n, rob) for u, s, t, b, ips, n, rob, _ in _FETCHED]
-    df = _values(spark, rows, "url string, status int, content_type string, body binary, resolved_ips array<string>, redirects int, robots_allowed boolean")
+    rows = [(u, s, t, b.encode(), ips, n, rob, None) for u, s, t, b, ips, n, rob, _ in _FETCHED]
+    df = _values(spark, rows, "url string, status int, content_type string, body binary, resolved_ips array<string>, redirects int, robots_allowed boolean, failure string")
     return fetched.judge_responses(df).select("url", "reason")
 
 

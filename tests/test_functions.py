@@ -101,5 +101,10 @@ def test_cosine_of_equal_and_disjoint(spark):
 
 
 def test_hash_features():
+    assert similarity.fnv1a(b"") == 0xCBF29CE484222325 and similarity.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    one_word = similarity.hash_features("a")
+    assert not any(one_word)
+    at = similarity.fnv1a(b"ab")
+    assert similarity.hash_features("ab")[at % 1024] == (-1.0 if at >> 32 & 1 else 1.0)
     v = similarity.hash_features("Python data")
     assert len(v) == 1024 and sum(x * x for x in v) == pytest.approx(1.0) and similarity.hash_features("") == [0.0] * 1024
