@@ -17,8 +17,7 @@ from sievewright.llm.queries import tokenizer
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language; those without a letter (``und``) go. All columns of documents."""
-    labelled = language_id.label(docs, language_id.train(docs))
-    return labelled.where("_lang <> 'und'").select(docs.columns)
+    return language_id.known(docs, language_id.train(docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -210,9 +210,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
     return label(ids, model, "text").select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, and ``_lang`` and ``_score``."""
+def label(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "_lang", score_out: str = "_score") -> DataFrame:
+    """All columns of ``docs``, and ``lang_out`` and ``score_out``, which replace columns of these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(lang_out, score_out)
     names = docs.columns
     at_text = names.index(text)
 
@@ -228,8 +229,17 @@ def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                         pa.array([x for x, _ in got], pa.string()),
                         pa.array([s for _, s in got], pa.float64()),
                     ],
-                    names=[*names, "_lang", "_score"],
+                    names=[*names, lang_out, score_out],
                 )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("_lang", "_score")]
-    return docs.mapInArrow(run, ", ".join([*fields, "_lang string", "_score double"]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    return docs.mapInArrow(run, ", ".join([*fields, f"`{lang_out}` string", f"`{score_out}` double"]))
+
+
+def known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is not ``und``, with their columns as they were."""
+    taken = {c.lower() for c in docs.columns}
+    lang, score = "_lang", "_score"
+    while lang in taken or score in taken:
+        lang, score = "_" + lang, "_" + score
+    return label(docs, model, text, lang, score).where(F.col(lang) != "und").select(*docs.columns)

@@ -84,17 +84,20 @@ def mix(
     rates = rates.withColumn("_cdf", poisson_cdf(F.col("rate") / F.col("_parts")))
     if rates.count() <= MAX_BROADCAST:
         rates = F.broadcast(rates)
-    base = docs.select(*columns)
-    with_rate = base.join(rates, base[source].eqNullSafe(rates["_source"]))
-    key = [F.lit(seed), F.col(doc_id)] + ([F.col("text")] if "text" in columns else [])
+    # the document is one struct until its copies are made, so that no name of its columns meets one of the rates
+    base = docs.select(F.struct(*columns).alias("row"))
+    at = {c: F.col("row")[c] for c in columns}
+    with_rate = base.join(rates, at[source].eqNullSafe(rates["_source"]))
+    key = [F.lit(seed), at[doc_id]] + ([at["text"]] if "text" in columns else [])
     parts = F.transform(
         F.sequence(F.lit(1), F.col("_parts").cast("int")),
         lambda j: F.size(F.filter(F.col("_cdf"), lambda c: c < uniform(*key, j))),
     )
     n = F.aggregate(parts, F.lit(0), lambda a, x: a + x)
     copies = with_rate.withColumn("_n", n).where("_n > 0")
-    copies = copies.select(*columns, "rate", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy_no"))
-    copies = copies.withColumn("place", uniform(F.lit(seed + 1), F.col(doc_id), F.col("copy_no"), F.xxhash64(*key)))
+    copies = copies.select("row", "rate", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy_no"))
+    copies = copies.withColumn("place", uniform(F.lit(seed + 1), at[doc_id], F.col("copy_no"), F.xxhash64(*key)))
+    copies = copies.select("row.*", "copy_no", "rate", "place")
     parts_out = width(docs.sparkSession)
     return (
         copies.repartitionById(parts_out, F.floor(F.col("place") * parts_out).cast("int"))
