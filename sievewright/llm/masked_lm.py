@@ -26,9 +26,10 @@ CLASSES = 32
 PER_CLASS = 32
 ROUNDS = 2
 RATE = 0.5
-#: Training looks at one in so many positions of every document.
-STRIDE = 8
-BATCH = 4096
+#: Each round of training looks at one in so many positions of every document, another one each; with as many
+#: rounds as positions, all are seen once.
+STRIDE = ROUNDS
+BATCH = 8192
 _SEED = 5
 #: Ids 0 and 1 stand for the outside of a document and for words beyond the vocabulary.
 EDGE, RARE = 0, 1
@@ -38,10 +39,10 @@ def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = CLASSES * PER_CLASS) -> list[str]:
-    """The most frequent words of the whole corpus (ties by name), at most ``size - 2``.
+def vocabulary(docs: DataFrame, text: str = "text", size: int = CLASSES * PER_CLASS) -> tuple[list[str], np.ndarray]:
+    """The most frequent words of the whole corpus (ties by name), at most ``size - 2``, and how often each id occurs.
 
-    Words are cut as ``words`` does, then counted with partial sums.
+    Words are cut as ``words`` does, then counted with partial sums; a null word stands for all of them.
     """
     source = docs.select(F.col(text).alias("_text_")).where(F.col("_text_").isNotNull())
 
@@ -54,25 +55,33 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = CLASSES * PER_CL
             if len(held) > 200_000:
                 yield _counts(held)
                 held = {}
-        yield _counts(held)
+        if held:
+            yield _counts(held)
 
     counted = source.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "word").limit(size - 2).collect()
-    return [r["word"] for r in top]
+    rows = counted.orderBy(F.col("n").desc(), "word").limit(size - 1).collect()
+    top = [r for r in rows if r["word"] is not None][: size - 2]
+    often = np.zeros(size, dtype=np.int64)
+    often[2 : 2 + len(top)] = [r["n"] for r in top]
+    often[RARE] = sum(r["n"] for r in rows if r["word"] is None) - often.sum()
+    return [r["word"] for r in top], often
 
 
 def _counts(held: dict[str, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"]
+        [pa.array([*held, None], pa.string()), pa.array([*held.values(), sum(held.values())], pa.int64())],
+        names=["word", "n"],
     )
 
 
-def initial(seed: int = _SEED, dim: int = DIM) -> np.ndarray:
-    """Weights as one flat array."""
+def initial(often: np.ndarray | None = None, seed: int = _SEED, dim: int = DIM) -> np.ndarray:
+    """Weights as one flat array; biases follow how ``often`` each id occurs, so that training begins at the word frequencies."""
     rng = np.random.default_rng(seed)
     sizes = shapes(dim)
     parts = [rng.normal(0, 0.1, s) for s in sizes]
-    parts[2][:], parts[4][:] = 0, 0
+    p = (np.ones(CLASSES * PER_CLASS) if often is None else often + 1.0).reshape(PER_CLASS, CLASSES)  # id = inner * CLASSES + class
+    parts[2][:] = np.log(p.sum(axis=0) / p.sum())
+    parts[4][:] = np.log(p / p.sum(axis=0)).T
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
@@ -112,19 +121,18 @@ def log_probabilities(flat: np.ndarray, ctx: np.ndarray, target: np.ndarray) ->
         h = e[c[:, 0]]
         for k in range(1, c.shape[1]):
             h = h + e[c[:, k]]
-        h = np.tanh(h)
+        order = np.argsort(t % CLASSES, kind="stable")
+        h, t = np.tanh(h)[order], t[order]
         cls, inner = t % CLASSES, t // CLASSES
-        rows = np.arange(len(t))
         z = h @ wc + bc
-        got = z[rows, cls] - _log_sum(z)
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        got = z[np.arange(len(t)), cls] - _log_sum(z)
+        edge = np.searchsorted(cls, np.arange(CLASSES + 1))
         for k in range(CLASSES):
-            at = order[edge[k] : edge[k + 1]]
-            if len(at):
+            at = slice(edge[k], edge[k + 1])
+            if at.start != at.stop:
                 z = h[at] @ ww[k] + bw[k]
-                got[at] += z[np.arange(len(at)), inner[at]] - _log_sum(z)
-        out[lo : lo + len(t)] = got
+                got[at] += z[np.arange(len(z)), inner[at]] - _log_sum(z)
+        out[lo + order] = got
     return out
 
 
@@ -141,19 +149,20 @@ def step(flat: np.ndarray, ctx: np.ndarray, target: np.ndarray, rate: float = RA
         h = h + e[ctx[:, k]]
     h = np.tanh(h)
     n = len(target)
+    order = np.argsort(target % CLASSES, kind="stable")  # by class, so that a class is one slice
+    h, ctx, target = h[order], ctx[order], target[order]
     cls, inner = target % CLASSES, target // CLASSES
+    edge = np.searchsorted(cls, np.arange(CLASSES + 1))
     g = -_softmax(h @ wc + bc)
     g[np.arange(n), cls] += 1
     g /= n
     dh = g @ wc.T
-    order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
     for k in range(CLASSES):
-        at = order[edge[k] : edge[k + 1]]
-        if not len(at):
+        at = slice(edge[k], edge[k + 1])
+        if at.start == at.stop:
             continue
         d = -_softmax(h[at] @ ww[k] + bw[k])
-        d[np.arange(len(at)), inner[at]] += 1
+        d[np.arange(len(d)), inner[at]] += 1
         d /= n
         dh[at] += d @ ww[k].T
         ww[k] += rate * 8 * (h[at].T @ d)
@@ -173,11 +182,14 @@ def _ids(index: dict[str, int], text: str | None) -> np.ndarray:
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[list[str], np.ndarray]:
-    """Vocabulary and weights, from all documents: every one gives each ``stride``-th position."""
+    """Vocabulary and weights, from all documents: in a round every one gives each ``stride``-th position.
+
+    Rounds start at different positions, so with ``rounds >= stride`` (the default) every position is seen.
+    """
     spark = docs.sparkSession
-    vocab = vocabulary(docs, text)
+    vocab, often = vocabulary(docs, text)
     index = spark.sparkContext.broadcast({w: i + 2 for i, w in enumerate(vocab)})
-    flat = initial()
+    flat = initial(often)
     source = docs.select(F.col(text).alias("_text_")).where(F.col("_text_").isNotNull())
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(flat)
@@ -190,17 +202,18 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int
                     ids = _ids(index.value, t.as_py())
                     if not len(ids):
                         continue
-                    at = np.arange((turn * 3) % stride % len(ids), len(ids), stride)
+                    at = np.arange(turn % stride, len(ids), stride)
                     ctxs.append(contexts(ids)[at])
                     targets.append(ids[at])
                     held += len(at)
                     if held >= BATCH:
                         ctx, target = np.concatenate(ctxs), np.concatenate(targets)
-                        for lo in range(0, held, BATCH):
+                        whole = held - held % BATCH
+                        for lo in range(0, whole, BATCH):
                             step(own, ctx[lo : lo + BATCH], target[lo : lo + BATCH])
-                        seen, held, ctxs, targets = seen + held, 0, [], []
-            if held:
-                step(own, np.concatenate(ctxs), np.concatenate(targets))
+                        seen, held, ctxs, targets = seen + whole, held - whole, [ctx[whole:]], [target[whole:]]
+            if held:  # what is left moves the weights by its share of a batch
+                step(own, np.concatenate(ctxs), np.concatenate(targets), RATE * held / BATCH)
                 seen += held
             if seen:
                 total = (own.astype(np.float64) * seen).tobytes()

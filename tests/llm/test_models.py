@@ -128,6 +128,11 @@ def test_lm_learns_and_scores(spark, tiny):
     assert np.mean([trained[i].score - raw[i].score for i in raw]) > 0.5
     got = {r.doc_id: r for r in masked_lm.score(edge, vocab, flat).collect()}
     assert got[2].n_tokens == 0 and got[2].score is None and got[3].log_likelihood == 0 and got[5].n_tokens == 40_000
+    often = masked_lm.vocabulary(df)[1]
+    assert often.sum() == sum(counts.values()) and list(often[2:]) == [counts[w] for w in want]
+    frequent = {r.doc_id: r for r in masked_lm.score(df, vocab, masked_lm.initial(often)).collect()}
+    gain = sum(trained[i].log_likelihood - frequent[i].log_likelihood for i in frequent)
+    assert gain > 0  # context tells more than frequency
     assert masked_lm.train(df.limit(0))[0] == []
 
 
