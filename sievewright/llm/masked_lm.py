@@ -7,6 +7,10 @@ documents from the same weights, and weights are averaged by a tree of sums, for
 
 The network: embeddings of WINDOW tokens on each side (one table per place), summed, tanh, then a
 two-level softmax: a class, then the token in the class. Token and class tables have about sqrt(vocabulary) entries each.
+
+A word beyond the vocabulary is the token RARE, predicted like any other, and then its spelling: byte by byte up to the
+end of the word, each given the two before it, from counts over all rare words of the corpus. So every word has a
+probability of its own. Spelling doesn't look at the neighbours, and neighbours beyond the vocabulary are seen as RARE.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ BATCH = 8192
 _SEED = 5
 #: Ids 0 and 1 stand for the outside of a document and for words beyond the vocabulary.
 EDGE, RARE = 0, 1
+#: Spelling: a word ends with END, a byte that none holds; the byte before the last counts by its low five bits.
+END, OLDER = 32, 33
+#: How many occurrences the shorter context weighs.
+BACK = 4.0
 
 
 def words(text: str | None) -> list[str]:
@@ -40,10 +48,12 @@ def words(text: str | None) -> list[str]:
 
 
 def vocabulary(docs: DataFrame, text: str = "text", size: int = CLASSES * PER_CLASS) -> tuple[list[str], np.ndarray]:
-    """The most frequent words of the whole corpus (ties by name), at most ``size - 2``, and how often each id occurs.
+    """The vocabulary and counts of ``top_words``."""
+    return top_words(word_counts(docs, text), size)
 
-    Words are cut as ``words`` does, then counted with partial sums; a null word stands for all of them.
-    """
+
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``word, n`` of all words of the corpus, cut as ``words`` does and counted with partial sums; a null word stands for all of them."""
     source = docs.select(F.col(text).alias("_text_")).where(F.col("_text_").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +68,11 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = CLASSES * PER_CL
         if held:
             yield _counts(held)
 
-    counted = source.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return source.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def top_words(counted: DataFrame, size: int = CLASSES * PER_CLASS) -> tuple[list[str], np.ndarray]:
+    """The most frequent words of the whole corpus (ties by name), at most ``size - 2``, and how often each id occurs."""
     rows = counted.orderBy(F.col("n").desc(), "word").limit(size - 1).collect()
     top = [r for r in rows if r["word"] is not None][: size - 2]
     often = np.zeros(size, dtype=np.int64)
@@ -74,6 +88,55 @@ def _counts(held: dict[str, int]) -> pa.RecordBatch:
     )
 
 
+def _spelled(rare: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the spelling table for every byte of the words and their ends, and where each word starts."""
+    data = np.frombuffer((" " + " ".join(rare) + " ").encode(), np.uint8).astype(np.int64)
+    last = data[:-1]
+    older = np.where(np.concatenate([[END], data[:-2]]) == END, OLDER - 1, np.concatenate([[END], data[:-2]]) % 32)
+    older[last == END] = OLDER - 1  # words stand alone
+    return (older * 256 + last) * 256 + data[1:], np.flatnonzero(last == END)
+
+
+def spelling(counted: DataFrame, vocab: list[str]) -> np.ndarray:
+    """Log-probabilities of a byte given the two before it, flat, from all words that aren't in ``vocab``."""
+    known = counted.sparkSession.sparkContext.broadcast(set(vocab))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(OLDER * 256 * 256, np.int64)
+        for batch in batches:
+            rows = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in known.value]
+            if rows:
+                cells, start = _spelled([w for w, _ in rows])
+                often = np.repeat(np.array([n for _, n in rows]), np.diff(np.append(start, len(cells))))
+                at, back = np.unique(cells, return_inverse=True)
+                held[at] += np.bincount(back, often).astype(np.int64)
+        at = np.flatnonzero(held)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["cell", "n"])
+
+    found = counted.where(F.col("word").isNotNull()).select("word", "n").mapInArrow(count, "cell bigint, n bigint")
+    rows = found.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most one row a cell
+    seen = np.zeros(OLDER * 256 * 256)
+    seen[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    seen = seen.reshape(OLDER, 256, 256)
+    pair = seen.sum(axis=0)
+    one = pair.sum(axis=0)
+    one = (one + 1) / (one.sum() + 256)
+    pair = (pair + BACK * one) / (pair.sum(axis=1, keepdims=True) + BACK)
+    total = seen.sum(axis=2, keepdims=True)
+    seen += BACK * pair
+    seen /= total + BACK
+    return np.log(seen).astype(np.float32).ravel()
+
+
+def spelling_log_probabilities(flat: np.ndarray, rare: list[str]) -> np.ndarray:
+    """Log-probability of each word's spelling; untrained weights hold none, and all bytes are alike."""
+    cells, start = _spelled(rare)
+    table = flat[sum(int(np.prod(s)) for s in shapes()) :]
+    each = table[cells].astype(np.float64) if len(table) else np.full(len(cells), -np.log(256))
+    return np.add.reduceat(each, start)
+
+
 def initial(often: np.ndarray | None = None, seed: int = _SEED, dim: int = DIM) -> np.ndarray:
     """Weights as one flat array; biases follow how ``often`` each id occurs, so that training begins at the word frequencies."""
     rng = np.random.default_rng(seed)
@@ -176,18 +239,19 @@ def step(flat: np.ndarray, ctx: np.ndarray, target: np.ndarray, rate: float = RA
         e[rows] += np.add.reduceat(dz[order], start, axis=0)
 
 
-def _ids(index: dict[str, int], text: str | None) -> np.ndarray:
-    w = words(text)
+def _ids(index: dict[str, int], w: list[str]) -> np.ndarray:
     return np.fromiter((index.get(x, RARE) for x in w), np.int64, len(w))
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[list[str], np.ndarray]:
-    """Vocabulary and weights, from all documents: in a round every one gives each ``stride``-th position.
+    """Vocabulary and weights (the network's, then the spelling table), from all documents: in a round every one gives each ``stride``-th position.
 
     Rounds start at different positions, so with ``rounds >= stride`` (the default) every position is seen.
     """
     spark = docs.sparkSession
-    vocab, often = vocabulary(docs, text)
+    counted = cut(word_counts(docs, text))
+    vocab, often = top_words(counted)
+    spelled = spelling(counted, vocab)
     index = spark.sparkContext.broadcast({w: i + 2 for i, w in enumerate(vocab)})
     flat = initial(often)
     source = docs.select(F.col(text).alias("_text_")).where(F.col("_text_").isNotNull())
@@ -199,7 +263,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int
             ctxs, targets, held, seen = [], [], 0, 0
             for batch in batches:
                 for t in batch.column(0):
-                    ids = _ids(index.value, t.as_py())
+                    ids = _ids(index.value, words(t.as_py()))
                     if not len(ids):
                         continue
                     at = np.arange(turn % stride, len(ids), stride)
@@ -243,7 +307,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int
             break
         total = add(pa.table({"n": [n for n, _ in rows], "w": pa.array([w for _, w in rows], pa.binary())}))
         flat = (np.frombuffer(total["w"][0].as_py()) / total["n"][0].as_py()).astype(np.float32)
-    return vocab, flat
+    return vocab, np.concatenate([flat, spelled])
 
 
 def score(docs: DataFrame, vocab: list[str], flat: np.ndarray, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -261,12 +325,17 @@ def score(docs: DataFrame, vocab: list[str], flat: np.ndarray, text: str = "text
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = [_ids(index, t.as_py()) for t in batch.column(1)]
+                split = [words(t.as_py()) for t in batch.column(1)]
+                ids = [_ids(index, w) for w in split]
                 sizes = np.array([len(x) for x in ids])
                 sums = np.zeros(len(ids))
                 full = np.flatnonzero(sizes)
                 if len(full):
-                    got = log_probabilities(flat, np.concatenate([contexts(ids[i]) for i in full]), np.concatenate([ids[i] for i in full]))
+                    target = np.concatenate([ids[i] for i in full])
+                    got = log_probabilities(flat, np.concatenate([contexts(ids[i]) for i in full]), target)
+                    rare = [x for w in split for x in w if x not in index]
+                    if rare:
+                        got[target == RARE] += spelling_log_probabilities(flat, rare)
                     sums[full] = np.add.reduceat(got, np.concatenate([[0], np.cumsum(sizes[full])[:-1]]))
                 with np.errstate(invalid="ignore", divide="ignore"):
                     mean = sums / sizes

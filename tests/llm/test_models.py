@@ -136,6 +136,42 @@ def test_lm_learns_and_scores(spark, tiny):
     assert masked_lm.train(df.limit(0))[0] == []
 
 
+def test_lm_spells_rare_words(spark, tiny):
+    df = spark.read.parquet(f"{tiny}/documents.parquet")
+    vocab, flat = masked_lm.train(df)
+    counts = Counter(w for r in df.collect() for w in masked_lm.words(r.text))
+    rare = sorted(set(counts) - set(vocab))
+    three, two, one = Counter(), Counter(), Counter()
+    for w in rare:
+        b = [32, 32, *w.encode(), 32]
+        for i in range(2, len(b)):
+            a = 32 if b[i - 1] == 32 or b[i - 2] == 32 else b[i - 2] % 32
+            three[a, b[i - 1], b[i]] += counts[w]
+    for (_, b, x), n in three.items():
+        two[b, x] += n
+        one[x] += n
+
+    def p(a, b, x):
+        p1 = (one[x] + 1) / (one.total() + 256)
+        p2 = (two[b, x] + 4 * p1) / (sum(two[b, y] for y in range(256)) + 4)
+        return (three[a, b, x] + 4 * p2) / (sum(three[a, b, y] for y in range(256)) + 4)
+
+    sought = [rare[0], "zqxj\u00e9\u65e5", "a"]
+    got = masked_lm.spelling_log_probabilities(flat, sought)
+    for w, x in zip(sought, got, strict=True):
+        b = [32, 32, *w.encode(), 32]
+        steps = [(32 if b[i - 1] == 32 or b[i - 2] == 32 else b[i - 2] % 32, b[i - 1], b[i]) for i in range(2, len(b))]
+        assert sum(math.log(p(*s)) for s in steps) == pytest.approx(x, abs=1e-4)
+    table = flat[-33 * 256 * 256 :].reshape(-1, 256)
+    assert np.allclose(np.exp(table.astype(float)).sum(axis=1), 1, atol=1e-4)
+    known = max(rare, key=lambda w: (counts[w], w))
+    docs = spark.createDataFrame([(1, f"{vocab[0]} {known} {vocab[1]}"), (2, f"{vocab[0]} zqxjkvw {vocab[1]}"), (3, "zqxjkvw " * 9), (4, f"{vocab[0]} qqqq {vocab[1]} zqxjkvw")], "doc_id long, text string")
+    by = {r.doc_id: r for r in masked_lm.score(docs, vocab, flat).collect()}
+    near, far = masked_lm.spelling_log_probabilities(flat, [known, "zqxjkvw"])
+    assert by[1].log_likelihood - by[2].log_likelihood == pytest.approx(near - far, abs=1e-4) and near > far + 5
+    assert by[3].score < by[1].score - 5 and by[4].n_tokens == 4
+
+
 def poisson_quantile(rate, u):
     k, p = 0, math.exp(-rate)
     c = p
