@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sievewright.llm.common import cut, digest, spread_join
 
-#: Lines of fewer characters stay as they are.
+#: Lines of fewer characters stay as they are, or only go if equal to an earlier one.
 MIN_CHARS = 20
 #: The edit bound.
 EDITS = 1
@@ -120,15 +120,17 @@ def neighbours(lines: DataFrame, occurrences: DataFrame) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, short: bool = False
+) -> DataFrame:
     """Drop every line that has an earlier line within one edit (insert, delete or replace a character).
 
     Returns one row per row: ``doc_id, n_lines, n_removed, text``. Earlier is by doc_id, then by place; the earlier line
     counts even if it is dropped itself. Lines are compared without blanks at their ends; those of under ``min_chars``
-    characters, empty ones among them, stay. A null text stays null with no lines. Rows that repeat a doc_id count as one
+    characters stay or, with ``short``, go if an equal line is earlier; empty ones stay always. A null text stays null with no lines. Rows that repeat a doc_id count as one
     document and lose the same lines; rows without one rank last, together. Other columns aren't read.
     """
-    occurrences = _occurrences(docs, text, doc_id, min_chars)
+    occurrences = _occurrences(docs, text, doc_id, 1 if short else min_chars)
     line = F.col("line")
     n = F.char_length("line").cast("long")
 
@@ -169,7 +171,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
         )
         for i, f in enumerate(frame)
     ])
-    near = neighbours(grouped.select("lid", "rank", "n", halves.alias("halves")), occurrences)
+    near = neighbours(grouped.where(F.col("n") >= min_chars).select("lid", "rank", "n", halves.alias("halves")), occurrences)
     first = (
         grouped.join(near, "lid", "left")
         .withColumn("first", F.least("rank", "best"))

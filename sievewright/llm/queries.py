@@ -73,6 +73,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short lines too: those of under MIN_CHARS characters go if an equal line is earlier."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), short=True)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +88,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_neardup, op2_mix_sources, op3_language_id, op4_exact_dedup, op5_simhash_neardup,
-        op6_url_filter, op7_substring_dedup, op8_byte_bpe, op9_masked_lm, op10_line_dedup, pipeline,
+        op6_url_filter, op7_substring_dedup, op8_byte_bpe, op9_masked_lm, op10_line_dedup, op10_line_dedup_all, pipeline,
     )
 }
 
@@ -171,10 +176,25 @@ SELECT s.doc_id, count(*)::INTEGER AS n_lines, count(late.place)::INTEGER AS n_r
 FROM line s LEFT JOIN late ON late.doc_id = s.doc_id AND late.place = s.place GROUP BY s.doc_id
 """
 
+_OP10_ALL = f"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+line AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS place FROM cut),
+long AS (SELECT doc_id, place, trim(raw, ' ') AS t FROM line WHERE length(trim(raw, ' ')) >= 1),
+own AS (SELECT t, min(struct_pack(d := doc_id, p := place)) AS r FROM long GROUP BY t),
+pair AS (SELECT a.t, b.t AS u, b.r FROM own a JOIN own b ON left(a.t, 8) = left(b.t, 8) AND abs(length(a.t) - length(b.t)) <= 1
+         UNION SELECT a.t, b.t, b.r FROM own a JOIN own b ON right(a.t, 8) = right(b.t, 8) AND abs(length(a.t) - length(b.t)) <= 1),
+first AS (SELECT t, min(r) AS r FROM pair WHERE t = u OR least(length(t), length(u)) >= {line_dedup.MIN_CHARS} AND levenshtein(t, u) <= 1 GROUP BY t),
+late AS (SELECT l.doc_id, l.place FROM long l JOIN first f USING (t) WHERE struct_pack(d := l.doc_id, p := l.place) > f.r)
+SELECT s.doc_id, count(*)::INTEGER AS n_lines, count(late.place)::INTEGER AS n_removed,
+       coalesce(string_agg(raw, chr(10) ORDER BY s.place) FILTER (late.place IS NULL), '') AS text
+FROM line s LEFT JOIN late ON late.doc_id = s.doc_id AND late.place = s.place GROUP BY s.doc_id
+"""
+
 ORACLES = {
     "op1_embedding_neardup": _OP1,
     "op4_exact_dedup": _OP4,
     "op6_url_filter": _OP6,
     "op7_substring_dedup": _OP7,
     "op10_line_dedup": _OP10,
+    "op10_line_dedup_all": _OP10_ALL,
 }

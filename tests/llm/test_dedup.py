@@ -272,6 +272,16 @@ def test_lines(spark):
     assert sum(r.n_removed for r in got) > 30
 
 
+def test_short_lines(spark):
+    rows = [(1, "Les.\n\nnineteen characters\n twenty characters x"), (2, "Les. \nLez.\n\nnineteen characterz"), (3, None),
+            (4, "twenty characters xy\nLez.\nnineteen characters\n\nx"), (5, "twenty characters xz\nx\nLes")]
+    rows += [(i, f"hot\nown {i}") for i in range(10, 90)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), short=True).collect()}
+    assert got[1].text == rows[0][1] and got[2].text == "Lez.\n\nnineteen characterz" and got[3].text is None
+    assert (got[4].text, got[4].n_removed) == ("twenty characters xy\n\nx", 2) and (got[5].text, got[5].n_removed) == ("Les", 2)
+    assert got[10].text == "hot\nown 10" and all(got[i].text == f"own {i}" for i in range(11, 90))
+
+
 def test_line_edges(spark):
     got = line_dedup.line_dedup(spark.createDataFrame(EDGE, SCHEMA), min_chars=1).collect()
     assert len(got) == len(EDGE)
