@@ -104,7 +104,13 @@ def skill_overlap_topk(spark, d):
   (SELECT coalesce(string_agg(b.canon, '|' ORDER BY b.canon), '') FROM bs b WHERE b.item_id = h.item_id AND b.canon NOT IN (SELECT canon FROM ds s WHERE s.doc_id = h.doc_id)) AS missing
 FROM hit h WHERE h.item_id % 4 = 0""")
 def matched_missing(spark, d):
-    df = _shared(spark, d).where("post_id % 4 = 0")
+    return matched_missing_all(spark, d).where("post_id % 4 = 0")
+
+
+@query()
+def matched_missing_all(spark, d):
+    """Of every posting; ``matched_missing`` and its SQL keep those whose id is a multiple of four."""
+    df = _shared(spark, d)
     return df.select("cand_id", "post_id", _joined("matched").alias("matched"), _joined(F.array_sort(F.array_except("post_skills", "matched"))).alias("missing"))
 
 
