@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sievewright.functions import confidence, fields, guards, similarity, skills, text
 
 # Characters that a text is cut to, and the cap of a model's confidence once a claim was struck out.
-MAX_CHARS = 12_000
+MAX_CHARS = 20_000
 FABRICATION_CAP = 0.35
 # Fixed values: (words of a posting, its seniority), in order.
 SENIORITY = ((("intern",), "intern"), (("entry level", "graduate", "junior"), "entry"), (("senior", "lead"), "senior"))

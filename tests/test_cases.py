@@ -21,6 +21,13 @@ def test_conditions(spark):
     assert c.email == "ada@example.org" and c.education_school == "Nanyang University"
 
 
+def test_cut_is_the_references(spark):
+    long = [(i, JD, "x " * n + "Python and SQL" + " y" * 9000, None) for i, n in ((1, 5000), (2, 9900), (3, 10_000))]
+    df = spark.createDataFrame(long, "case_id int, jd_text string, resume_text string, retrieval double")
+    got = {r.case_id: r.matched for r in runner.run_cases(df).where("condition = 'A'").collect()}
+    assert got == {1: ["Python", "SQL"], 2: ["Python", "SQL"], 3: []}
+
+
 def test_posting(spark):
     df = spark.createDataFrame([(JD,)], "t string").withColumn("s", skills.match_skills(F.col("t")))
     p = df.select(runner.parse_posting(F.col("t"), F.col("s")).alias("p")).first().p
