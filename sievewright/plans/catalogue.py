@@ -268,6 +268,33 @@ def jaccard_pairs(spark, d):
     return docs.join(items, "item_id").select("doc_id", "item_id", F.round(similarity.jaccard(c("text"), c("other")), 6).alias("jaccard"))
 
 
+@query()
+def tfidf_pair_cosine_all(spark, d):
+    """All pairs that share a term; the others score 0."""
+    docs = matching.with_features(planted_documents(spark, d), "doc_id", "text", "cand")
+    items = matching.with_features(planted_benchmark(spark, d), "item_id", "text", "post")
+    a, b = matching.term_frequencies(docs, "cand", "x"), matching.term_frequencies(items, "post", "y")
+    x, y = c("x"), c("y")
+    shared = a.join(b, "term").groupBy("cand_id", "post_id").agg(F.sum(x * y).alias("dot"), F.sum(x * x).alias("own_a"), F.sum(y * y).alias("own_b"))
+    df = shared.join(a.groupBy("cand_id").agg(F.sum(x * x).alias("_qa")), "cand_id").join(b.groupBy("post_id").agg(F.sum(y * y).alias("_qb")), "post_id")
+    norm = lambda own, q: c(own) + similarity.ONE_OF_TWO**2 * (c(q) - c(own))
+    return df.select(c("cand_id").alias("doc_id"), c("post_id").alias("item_id"), F.round(c("dot") / F.sqrt(norm("own_a", "_qa") * norm("own_b", "_qb")), 6).alias("cosine"))
+
+
+@query()
+def jaccard_pairs_all(spark, d):
+    """All pairs that share a word; the others score 0."""
+
+    def words(df, id_, n):
+        split = df.select(id_, F.explode_outer(F.split(F.lower("text"), r"(?U)\s+")).alias("word")).where("word <> ''").distinct()
+        return split, split.groupBy(id_).agg(F.count("*").alias(n))
+
+    a, na = words(table(spark, d, "documents").repartition(SPREAD, "doc_id"), "doc_id", "n")
+    b, nb = words(table(spark, d, "benchmark"), "item_id", "m")
+    df = a.join(b, "word").groupBy("doc_id", "item_id").agg(F.count("*").alias("k")).join(na, "doc_id").join(nb, "item_id")
+    return df.select("doc_id", "item_id", F.round(c("k") / (c("n") + c("m") - c("k")), 6).alias("jaccard"))
+
+
 @query(f"""WITH t AS (SELECT item_id, term, count(*) AS tf FROM {_terms_sql('benchmark', 'item_id')} GROUP BY 1, 2),
 n AS (SELECT count(*) AS n FROM benchmark), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
 w AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM t JOIN f USING (term), n),

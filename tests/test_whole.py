@@ -1,6 +1,8 @@
 """Queries that other tests see only in part, against brute force."""
 
-from sievewright.functions import skills
+from pyspark.sql import functions as F
+
+from sievewright.functions import similarity, skills
 from sievewright.plans import catalogue
 
 
@@ -14,3 +16,18 @@ def test_matched_missing_all(spark, tiny):
     got = [tuple(r) for r in catalogue.QUERIES["matched_missing_all"](spark, tiny).collect()]
     assert len(got) == len(want) and set(got) == want
     assert {r[1] % 4 for r in got} == {0, 1, 2, 3}
+
+
+def test_all_pairs(spark, tiny):
+    def same(got, want):
+        got, want = {(r[0], r[1]): r[2] for r in got.collect()}, {(r[0], r[1]): r[2] for r in want.collect()}
+        assert set(got) == {k for k, v in want.items() if v > 0} and max(k[1] for k in got) == max(k[1] for k in want)
+        assert all(abs(v - want[k]) < 2e-6 for k, v in got.items())
+
+    docs, items = catalogue.planted_documents(spark, tiny).select("doc_id", "text"), catalogue.planted_benchmark(spark, tiny)
+    a, b = similarity.with_term_counts(docs, "text", "a").drop("text"), similarity.with_term_counts(items, "text", "b").drop("text")
+    pairs = a.crossJoin(b)
+    same(catalogue.tfidf_pair_cosine_all(spark, tiny), pairs.select("doc_id", "item_id", similarity.pair_cosine(F.col("a"), F.col("b"))))
+    docs, items = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "benchmark"))
+    pairs = docs.select("doc_id", "text").crossJoin(items.select("item_id", F.col("text").alias("other")))
+    same(catalogue.jaccard_pairs_all(spark, tiny), pairs.select("doc_id", "item_id", similarity.jaccard(F.col("text"), F.col("other"))))
