@@ -1,10 +1,10 @@
-"""Exact dedup: tree-merge of sorted digest runs.
+"""Exact dedup: digest runs reduced in rounds of hash aggregation.
 
 Every input partition makes a run of distinct text identities with their largest
 id and count. Runs then meet in rounds: with ``P = FAN ** rounds`` slots, a slot
 in round ``r`` keeps the digests whose r-th base-FAN digit is its own r-th digit
 and sends the rest to the slots that differ from it in this digit only (recursive
-halving with fan FAN). Arriving runs are merged in sorted order and reduced to one row
+halving with fan FAN). Arriving runs are aggregated by hash, not sorted, to one row
 per identity. After the last round each slot holds a disjoint digest range, fully
 merged, so no slot ever holds more than its share of the identities, and a text
 that a third of all rows repeat costs at most FAN rows per slot and round.
