@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make a local one only where none is set (tests)."""
+    """Use the shared folder of ``spark.checkpoint.dir``; only a local master may do with a folder of this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sievewright-ckpt-"))
+        sc.setCheckpointDir(shared or local_folder(sc.master))
+
+
+def local_folder(master: str) -> str:
+    """A new folder of this machine, if driver and executors are one process; on a cluster an error."""
+    if re.fullmatch(r"local(\[[^\]]*\])?", master) is None:
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
+    return tempfile.mkdtemp(prefix="sievewright-ckpt-")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,27 +45,62 @@ def digest(col) -> F.Column:
     return F.unhex(F.md5(col))
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, salt: str) -> DataFrame:
-    """Left join of ``rows`` with ``groups`` (one row per binary ``key``), whatever the skew.
+def row_identity(doc_id: str, text: str) -> list[F.Column]:
+    """``doc, h1, h2``: what tells a row from all rows that differ in id or text, and ranks rows by id, null last.
+
+    Rows that repeat both are one row to the operators that use it.
+    """
+    known = F.col(doc_id).cast("long")
+    return [
+        F.coalesce(known, F.lit(_LAST)).alias("doc"),
+        F.xxhash64(F.lit(1), known, F.col(text)).alias("h1"),
+        F.xxhash64(F.lit(2), F.col(text), known).alias("h2"),
+    ]
+
+
+_LAST = (1 << 63) - 1
+
+
+def row_hash(docs: DataFrame) -> F.Column:
+    """64 bits of all columns of a row, to rank rows that share an id."""
+    hashable = [
+        F.to_json(F.struct(docs[f"`{f.name}`"])) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else docs[f"`{f.name}`"]
+        for f in docs.schema
+    ]
+    return F.xxhash64(*hashable)
+
+
+def rank_columns(docs: DataFrame, doc_id: str) -> list[F.Column]:
+    """``doc`` (the id, null last) and ``tie`` (a hash of the whole row): they rank rows, and only wholly equal rows share them."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), row_hash(docs).alias("tie")]
+
+
+def exactly(docs: DataFrame, doc_id: str, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``kept(doc, tie)`` names, all columns; of wholly equal rows one."""
+    held = docs.select(F.struct("*").alias("row"), *rank_columns(docs, doc_id))
+    return held.join(kept.select("doc", "tie"), ["doc", "tie"], "left_semi").dropDuplicates(["doc", "tie"]).select("row.*")
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Left join of ``rows`` with ``groups`` (one row per ``key``), whatever the skew.
 
     Groups that hold at least a thousandth of the grouped rows are at most 1000, a proven bound, and are
-    broadcast. Their rows get keys of their own, so that no task gathers them; all others
-    meet their group by exchange. ``size`` is the number of rows of a group; ``salt`` a column of ``rows``
-    that tells a hot group's rows apart. Null keys find nothing.
+    broadcast. Their rows get a salt of their own, so that no task gathers them; all others
+    meet their group by exchange. ``size`` is the number of rows of a group. ``rows`` must be read from files or a
+    checkpoint (with row-wise steps at most), so that a rerun numbers them alike. Null keys find nothing.
     """
     groups = cut(groups)
     total = groups.agg(F.sum(size)).first()[0] or 0
     extra = [c for c in groups.columns if c != key]
     hot = (F.col(size) * 1000 >= total) & (F.col(size) > 50)
     heavy = groups.where(hot).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h{c}") for c in extra])
-    light = groups.where(~hot).select(F.col(key).alias("_lk"), *[F.col(c).alias(f"_l{c}") for c in extra])
-    own = F.concat(
-        F.coalesce(F.col(key), F.lit(b"")), F.lit(b"/"), F.xxhash64(salt).cast("string").cast("binary")
-    )
+    light = groups.where(~hot).select(F.col(key).alias("_lk"), F.lit(0).cast("long").alias("_ls"), *[F.col(c).alias(f"_l{c}") for c in extra])
     out = rows.join(F.broadcast(heavy), rows[key] == heavy["_hk"], "left")
-    out = out.withColumn("_sought", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(own))
-    out = out.join(light, out["_sought"] == light["_lk"], "left")
-    return out.select(*rows.columns, *[F.coalesce(f"_h{c}", f"_l{c}").alias(c) for c in extra])
+    # hot rows and those without a key are dealt by salt (never 0) and find no light group
+    alone = F.col("_hk").isNotNull() | F.col(key).isNull()
+    out = out.withColumn("_salt", F.when(alone, F.shiftleft(F.xxhash64(F.monotonically_increasing_id()), 1).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
+    out = out.join(light, (out[key] == light["_lk"]) & (out["_salt"] == light["_ls"]), "left")
+    return out.select(*rows.columns, *[F.coalesce(f"_h{c}", f"_l{c}").alias(c) for c in extra if c not in rows.columns])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

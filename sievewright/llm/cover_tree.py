@@ -333,7 +333,7 @@ def embedding_dedup(
         .join(comps, F.col("rep") == comps["id"], "left")
         .select("key", (F.coalesce("_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), "n")
     )
-    joined = spread_join(rows, per, "key", "n", "vec_id")
+    joined = spread_join(rows, per, "key", "n")
     component = F.coalesce("component_id", "vec_id")
     return joined.select(
         "vec_id",

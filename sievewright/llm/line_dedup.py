@@ -7,9 +7,11 @@ substitution, a variant and a whole line by an insertion; both are verified by e
 
 Most lines have no neighbour, so variants come out by halving: in a frame of n characters, a line
 of n (or of n - 1, the shorter of a pair) keeps the half in which the edit lies only if the hash of the other half
-is shared. Halves shrink until few characters are left, and only then variants of
-the rest are made. Lines are met once however often they occur, and groups of equal
-variants hold at most (length x alphabet) different lines.
+is shared. Halves shrink until SPAN characters are left, and the deletion variants at these places are made, each a digest of the whole
+line less the character. No pair is lost: of two lines one edit apart, the half without the edit is the same in both, at every
+level, so both keep the half with it, down to the place of the edit, whose variant they share. A hash that clashes on the way only keeps a line
+longer; variants meet by 128 bits and are verified. Lines are met once however often they occur, and groups of equal
+variants hold at most (length x alphabet) different lines. Halves that many lines share are split in the join.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import cut, digest, spread_join
+from sievewright.llm.common import cut, digest, row_identity, spread_join
 
 #: Lines of fewer characters stay as they are, or only go if equal to an earlier one.
 MIN_CHARS = 20
@@ -27,7 +29,8 @@ EDITS = 1
 SPAN = 16
 #: Lines whose keys are sent to all executors (16 bytes each); more of them meet by exchange.
 MAX_BROADCAST = 500_000
-_LAST = (1 << 63) - 1
+_KEY = ["doc", "h1", "h2"]
+_RANK = [*_KEY, "place"]
 
 
 def _part(text: Column, lo: Column, hi: Column) -> Column:
@@ -36,13 +39,10 @@ def _part(text: Column, lo: Column, hi: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame:
-    """``doc, place, line, lid`` of every line that is long enough."""
+    """``doc, h1, h2, place, line, lid`` of every line that is long enough."""
     return (
-        docs.select(
-            F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"),
-            F.posexplode(F.split(F.col(text), "\n", -1)).alias("place", "line"),
-        )
-        .select("doc", "place", F.trim("line").alias("line"))
+        docs.select(*row_identity(doc_id, text), F.posexplode(F.split(F.col(text), "\n", -1)).alias("place", "line"))
+        .select(*_RANK, F.trim("line").alias("line"))
         .where(F.char_length("line") >= min_chars)
         .withColumn("lid", digest("line"))
     )
@@ -66,7 +66,7 @@ def _halves(rows: DataFrame, key: Column, text: Column | None = None) -> DataFra
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows whose key another line has too, at least one of them in full length."""
     keys = rows.groupBy("key").agg(F.count("*").alias("_n"), F.max("full").alias("_f")).where("_n > 1 and _f")
-    return rows.join(keys.select("key"), "key", "left_semi")
+    return spread_join(rows, keys.select("key", "_n"), "key", "_n").where("_n is not null")
 
 
 def neighbours(lines: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def neighbours(lines: DataFrame, occurrences: DataFrame) -> DataFrame:
     few = lids.count() <= MAX_BROADCAST
     texts = occurrences.join(F.broadcast(lids) if few else lids, "lid", "left_semi")
     texts = cut(
-        texts.groupBy("lid").agg(F.min(F.struct("doc", "place")).alias("rank"), F.first("line").alias("line"))
+        texts.groupBy("lid").agg(F.min(F.struct(*_RANK)).alias("rank"), F.first("line").alias("line"))
     )
     rows = cut(met.join(texts, "lid"))
     while (rows.agg(F.max(F.col("b") - F.col("a"))).first()[0] or 0) > SPAN:
@@ -92,13 +92,12 @@ def neighbours(lines: DataFrame, occurrences: DataFrame) -> DataFrame:
             rows.where(~wide).select("lid", "rank", "line", "frame", "full", "a", "b", "key")
         ))
     line, a, b = F.col("line"), F.col("a"), F.col("b")
-    key = F.col("key")
 
     def less(p: Column) -> Column:
-        rest = F.concat(_part(line, a, p), _part(line, p + 1, b))
-        return F.struct(F.xxhash64(key, a, b, rest).alias("variant"), p.cast("int").alias("p"))
+        rest = F.concat(_part(line, F.lit(0), p), _part(line, p + 1, F.col("frame")))
+        return F.struct(digest(rest).alias("variant"), p.cast("int").alias("p"))
 
-    whole = F.array(F.struct(F.xxhash64(key, a, b, _part(line, a, b - 1)).alias("variant"), F.lit(-1).alias("p")))
+    whole = F.array(F.struct(digest(line).alias("variant"), F.lit(-1).alias("p")))
     made = F.when(F.col("full"), F.transform(F.sequence(a.cast("int"), (b - 1).cast("int")), less)).otherwise(whole)
     out = rows.select("lid", F.struct("rank", "lid").alias("who"), F.explode(made).alias("_v")).select(
         "lid", "who", "_v.variant", "_v.p"
@@ -127,8 +126,9 @@ def line_dedup(
 
     Returns one row per row: ``doc_id, n_lines, n_removed, text``. Earlier is by doc_id, then by place; the earlier line
     counts even if it is dropped itself. Lines are compared without blanks at their ends; those of under ``min_chars``
-    characters stay or, with ``short``, go if an equal line is earlier; empty ones stay always. A null text stays null with no lines. Rows that repeat a doc_id count as one
-    document and lose the same lines; rows without one rank last, together. Other columns aren't read.
+    characters stay or, with ``short``, go if an equal line is earlier; empty ones stay always. A null text stays null with no lines. Rows that
+    share a doc_id but not the text are different documents (ranked by a hash of the text), rows without one rank last and each counts; rows that
+    repeat both id and text count as one and lose the same lines. Other columns aren't read; an empty table gives an empty result.
     """
     occurrences = _occurrences(docs, text, doc_id, 1 if short else min_chars)
     line = F.col("line")
@@ -149,12 +149,12 @@ def line_dedup(
             )
         return out
 
-    made = occurrences.select("lid", "doc", "place", n.alias("n"), *[
+    made = occurrences.select("lid", *_RANK, n.alias("n"), *[
         h["key"].alias(f"k{i}") for i, h in enumerate(half(True) + half(False))
     ])
     grouped = cut(
         made.groupBy("lid").agg(
-            F.min(F.struct("doc", "place")).alias("rank"),
+            F.min(F.struct(*_RANK)).alias("rank"),
             F.count("*").alias("n_seen"),
             F.first("n").alias("n"),
             *[F.first(f"k{i}").alias(f"k{i}") for i in range(4)],
@@ -178,13 +178,12 @@ def line_dedup(
         .where("n_seen > 1 or first < rank")
         .select("lid", "first", "n_seen")
     )
-    late = spread_join(occurrences.select("lid", "doc", "place"), first, "lid", "n_seen", "doc").where(
-        F.col("first").isNotNull() & (F.struct("doc", "place") > F.col("first"))
+    late = spread_join(occurrences.select("lid", *_RANK), first, "lid", "n_seen").where(
+        F.col("first").isNotNull() & (F.struct(*_RANK) > F.col("first"))
     )
-    drops = late.groupBy("doc").agg(F.collect_set("place").alias("drops")).withColumnRenamed("doc", "_doc")
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    base = base.withColumn("_rank", F.coalesce("doc_id", F.lit(_LAST)))
-    both = base.join(drops, base["_rank"] == drops["_doc"], "left")
+    drops = late.groupBy(*_KEY).agg(F.collect_set("place").alias("drops"))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"), *row_identity(doc_id, text))
+    both = base.join(drops, _KEY, "left")
     all_lines = F.split("_text", "\n", -1)
     kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("drops", i)), "\n")
     return both.select(

@@ -70,12 +70,13 @@ def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    """All lines: those of under MIN_CHARS characters go if an equal line is earlier."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), short=True)
 
 
-def op10_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short lines too: those of under MIN_CHARS characters go if an equal line is earlier."""
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), short=True)
+def op10_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short lines stay as they are."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +89,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_neardup, op2_mix_sources, op3_language_id, op4_exact_dedup, op5_simhash_neardup,
-        op6_url_filter, op7_substring_dedup, op8_byte_bpe, op9_masked_lm, op10_line_dedup, op10_line_dedup_all, pipeline,
+        op6_url_filter, op7_substring_dedup, op8_byte_bpe, op9_masked_lm, op10_line_dedup, op10_line_dedup_long, pipeline,
     )
 }
 
@@ -149,20 +150,41 @@ deg AS (SELECT a AS id, count(*) AS n FROM link GROUP BY a)
 SELECT comp.id AS vec_id, coalesce(deg.n, 0) AS n_links, component_id, comp.id = component_id AS kept FROM comp LEFT JOIN deg ON deg.id = comp.id
 """
 
+_WS = " \\t\\n\\r\\f\\v"
 _OP7 = f"""
-WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-line AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM cut),
-spot AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(line) - 1 AS lo,
-                trim(regexp_replace(lower(line), '[\\s\\x1c-\\x1f\\x85\\x0b]+', ' ', 'g')) AS norm FROM line),
-long AS (SELECT doc_id, place, norm FROM spot WHERE norm <> '' AND len(string_split(norm, ' ')) >= {substring_dedup.MIN_WORDS}),
-late AS (SELECT doc_id, place FROM (SELECT doc_id, place, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) AS n FROM long) WHERE n > 1)
-SELECT s.doc_id, count(*)::INTEGER AS n_units, count(late.place)::INTEGER AS n_removed,
-       coalesce(string_agg(lo::BIGINT || '-' || (lo + length(line))::BIGINT, ',' ORDER BY s.place) FILTER (late.place IS NOT NULL), '') AS removed,
-       coalesce(string_agg(line, chr(10) ORDER BY s.place) FILTER (late.place IS NULL), '') AS text
-FROM spot s LEFT JOIN late ON late.doc_id = s.doc_id AND late.place = s.place GROUP BY s.doc_id
+WITH piece AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[^{_WS}]+|[{_WS}]+')) AS piece,
+                      generate_subscripts(regexp_extract_all(text, '[^{_WS}]+|[{_WS}]+'), 1) AS k FROM documents),
+spot AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) - length(piece) AS lo,
+                lag(contains(piece, chr(10)), 1, false) OVER (PARTITION BY doc_id ORDER BY k) AS newline FROM piece),
+word AS (SELECT doc_id, k, lo, lower(piece) AS w, newline, regexp_matches(piece, '[.!?]$') AS stop,
+                row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM spot WHERE NOT regexp_matches(piece, '^[{_WS}]')),
+sent AS (SELECT *, coalesce(sum((stop_before OR newline)::INT) OVER (PARTITION BY doc_id ORDER BY k), 0) AS s
+         FROM (SELECT *, lag(stop, 1, false) OVER (PARTITION BY doc_id ORDER BY k) AS stop_before FROM word)),
+long AS (SELECT *, stop AND count(*) OVER (PARTITION BY doc_id, s) >= {substring_dedup.MIN_SENTENCE} AS ends FROM sent),
+numbered AS (SELECT *, sum((lag_ends OR newline)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS u
+             FROM (SELECT *, lag(ends, 1, false) OVER (PARTITION BY doc_id ORDER BY k) AS lag_ends FROM long)),
+unit AS (SELECT doc_id, u, count(*) AS n, string_agg(w, ' ' ORDER BY k) AS norm, min(lo) AS lo FROM numbered GROUP BY doc_id, u),
+late AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, u) > 1 AS late,
+                row_number() OVER (PARTITION BY doc_id ORDER BY u) AS place,
+                lead(lo) OVER (PARTITION BY doc_id ORDER BY u) AS hi FROM unit),
+run AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, late ORDER BY place) AS r FROM late),
+gone AS (SELECT doc_id, r, count(*) AS n, min(CASE WHEN place = 1 THEN 0 ELSE lo END) AS lo, max(place) AS last FROM run WHERE late GROUP BY doc_id, r
+         HAVING sum(CASE WHEN n >= {substring_dedup.MIN_SENTENCE} THEN n ELSE 0 END) >= {substring_dedup.MIN_WORDS}),
+span AS (SELECT g.doc_id, g.n, g.lo::BIGINT AS lo, coalesce(l.hi, length(d.text))::BIGINT AS hi
+         FROM gone g JOIN late l ON l.doc_id = g.doc_id AND l.place = g.last JOIN documents d ON d.doc_id = g.doc_id),
+cut AS (SELECT doc_id, sum(n)::INTEGER AS n, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS removed, list(struct_pack(lo := lo, hi := hi) ORDER BY lo) AS spans FROM span GROUP BY doc_id),
+kept AS (SELECT c.doc_id, string_agg(substr(d.text, a.lo + 1, a.hi - a.lo), '' ORDER BY a.lo) AS text
+         FROM cut c JOIN documents d ON d.doc_id = c.doc_id,
+              LATERAL (SELECT unnest(list_concat([0::BIGINT], list_transform(c.spans, lambda x : x.hi))) AS lo,
+                              unnest(list_concat(list_transform(c.spans, lambda x : x.lo), [length(d.text)::BIGINT])) AS hi) a
+         GROUP BY c.doc_id),
+units AS (SELECT doc_id, count(*)::INTEGER AS n FROM unit GROUP BY doc_id)
+SELECT d.doc_id, coalesce(units.n, 0) AS n_units, coalesce(cut.n, 0) AS n_removed, cut.n IS NOT NULL AS repeats, coalesce(cut.removed, '') AS removed,
+       CASE WHEN cut.n IS NULL THEN d.text ELSE kept.text END AS text
+FROM documents d LEFT JOIN units USING (doc_id) LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-_OP10 = f"""
+_OP10_LONG = f"""
 WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 line AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS place FROM cut),
 long AS (SELECT doc_id, place, trim(raw, ' ') AS t FROM line WHERE length(trim(raw, ' ')) >= {line_dedup.MIN_CHARS}),
@@ -176,7 +198,7 @@ SELECT s.doc_id, count(*)::INTEGER AS n_lines, count(late.place)::INTEGER AS n_r
 FROM line s LEFT JOIN late ON late.doc_id = s.doc_id AND late.place = s.place GROUP BY s.doc_id
 """
 
-_OP10_ALL = f"""
+_OP10 = f"""
 WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 line AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS place FROM cut),
 long AS (SELECT doc_id, place, trim(raw, ' ') AS t FROM line WHERE length(trim(raw, ' ')) >= 1),
@@ -196,5 +218,5 @@ ORACLES = {
     "op6_url_filter": _OP6,
     "op7_substring_dedup": _OP7,
     "op10_line_dedup": _OP10,
-    "op10_line_dedup_all": _OP10_ALL,
+    "op10_line_dedup_long": _OP10_LONG,
 }

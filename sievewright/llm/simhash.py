@@ -1,11 +1,14 @@
 """SimHash near-dedup by segment-popcount embedding.
 
-A fingerprint of 64 bits becomes the vector of its bit counts in 32 segments of 2 bits.
-The Manhattan distance of two such vectors never exceeds the Hamming distance of the
-fingerprints. The 32 axes form 8 blocks, and a vector is put in a grid cell for every choice of 4 blocks:
-two vectors within distance 4 differ in at most 4 blocks, so they share the cell of (at least one choice of) blocks on which
-they agree. Cells are exact integers. Within a cell pairs are verified by exact Hamming distance. No pairs
-come out of a cell, only a spanning forest of its links, so a cell with n fingerprints gives at most n - 1 links.
+A fingerprint of 64 bits becomes the vector of its bit counts in 32 segments of 2 bits. The Manhattan distance of two such vectors never
+exceeds the Hamming distance of the fingerprints, so all links lie within Manhattan distance BOUND. The 32 axes form 8 blocks of four, and
+a block in which two vectors differ spends at least 1 of that range: two vectors in range agree in at least 4 blocks. The grid
+therefore has one cell for each choice of 4 blocks and each vector of counts in them, every vector is put in its cell of each
+choice, and all vectors in range meet in a cell. There the Manhattan distance is taken first, as a lower bound, and pairs within it are verified by
+Hamming distance. It is computed on counts in unary (0: 00, 1: 01, 2: 11), where it is a bit count, too.
+
+No pairs come out of a cell, only a spanning forest of its links, so a cell with n fingerprints gives at most n - 1 links. A large
+cell is split once more: in range, one of five groups of the axes that the cell leaves free must agree.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import connected_components, cut, width
+from sievewright.llm.common import connected_components, cut, exactly, rank_columns, spread_join, width
 
 BOUND = 4
 SHINGLE = 4
@@ -30,6 +33,8 @@ _SEED = 42
 _CHUNK = 1 << 15
 #: Groups of up to so many fingerprints are compared by shifted arrays, larger ones one by one.
 _SMALL = 8
+#: Cells of more fingerprints are split once more.
+_LARGE = 2048
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -50,53 +55,93 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, fp`` (signed 64 bits) of every row."""
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text_"))
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ranked: bool = False) -> DataFrame:
+    """``doc_id, fp`` (signed 64 bits) of every row; with ``ranked``, ``doc, tie`` instead of the id."""
+    ident = rank_columns(docs, doc_id) if ranked else [F.col(doc_id).cast("long").alias("doc_id")]
+    source = docs.select(*ident, F.col(text).alias("_text_"))
+    names = [c for c in source.columns if c != "_text_"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(len(names))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], names=[*names, "fp"])
+
+    return source.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "fp"]))
+
+
+def counts(fp: np.ndarray) -> np.ndarray:
+    """The bit count of each segment, in its two bits."""
+    u, odd = fp.view(np.uint64), np.uint64(0x5555555555555555)
+    return (u & odd) + ((u >> np.uint64(1)) & odd)
 
-    return source.mapInArrow(run, "doc_id bigint, fp bigint")
+
+def unary(fp: np.ndarray) -> np.ndarray:
+    """The bit counts in unary, so that the bits in which two of them differ count their Manhattan distance."""
+    u, odd = fp.view(np.uint64), np.uint64(0x5555555555555555)
+    low, high = u & odd, (u >> np.uint64(1)) & odd
+    return (low | high) | ((low & high) << np.uint64(1))
 
 
 def cells(fp: np.ndarray) -> np.ndarray:
     """Grid cells of each fingerprint: an array of (choices, fingerprints)."""
-    odd = np.uint64(0x5555555555555555)
-    u = fp.view(np.uint64)
-    pop = (u & odd) + ((u >> np.uint64(1)) & odd)  # the bit count of each segment, in its two bits
+    pop = counts(fp)
     codes = []
     for b in range(BLOCKS):
-        code = np.zeros(len(u), dtype=np.int64)
+        code = np.zeros(len(pop), dtype=np.int64)
         for s in range(4):
             at = np.uint64(2 * (4 * b + s))
             code = code * 3 + ((pop >> at) & np.uint64(3)).astype(np.int64)
         codes.append(code)
     out = []
     for n, choice in enumerate(combinations(range(BLOCKS), AGREE)):
-        cell = np.full(len(u), n, dtype=np.int64)
+        cell = np.full(len(pop), n, dtype=np.int64)
         for b in choice:
             cell = cell * 81 + codes[b]
         out.append(cell)
     return np.array(out)
 
 
+def near(fp: np.ndarray, bar: np.ndarray, f: np.uint64, b: np.uint64, bound: int) -> np.ndarray:
+    """Which of ``fp`` (``bar`` in unary) are within ``bound`` bits of ``f``: the Manhattan distance first, then those in range exactly."""
+    ok = np.bitwise_count(bar ^ b) <= bound
+    at = np.flatnonzero(ok)
+    ok[at] = np.bitwise_count(fp[at] ^ f) <= bound
+    return ok
+
+
 def forest(fp: np.ndarray, rep: np.ndarray, bound: int = BOUND) -> list[tuple[int, int]]:
     """Links of a spanning forest of fingerprints within ``bound``; compares each met one with those not met yet."""
-    left_fp, left_rep = fp, rep
+    fp = fp.view(np.uint64)
+    left_fp, left_bar, left_rep = fp, unary(fp), rep
     out = []
     while len(left_fp):
-        queue = [(left_fp[0], left_rep[0])]
-        left_fp, left_rep = left_fp[1:], left_rep[1:]
+        queue = [(left_fp[0], left_bar[0], left_rep[0])]
+        left_fp, left_bar, left_rep = left_fp[1:], left_bar[1:], left_rep[1:]
         while queue and len(left_fp):
-            f, r = queue.pop()
-            near = np.bitwise_count(left_fp ^ f) <= bound
-            if near.any():
-                queue += list(zip(left_fp[near], left_rep[near], strict=True))
-                out += [(int(r), int(x)) for x in left_rep[near]]
-                left_fp, left_rep = left_fp[~near], left_rep[~near]
+            f, b, r = queue.pop()
+            ok = near(left_fp, left_bar, f, b, bound)
+            if ok.any():
+                queue += list(zip(left_fp[ok], left_bar[ok], left_rep[ok], strict=True))
+                out += [(int(r), int(x)) for x in left_rep[ok]]
+                left_fp, left_bar, left_rep = left_fp[~ok], left_bar[~ok], left_rep[~ok]
+    return out
+
+
+def _split(fp: np.ndarray, rep: np.ndarray, bound: int) -> list[tuple[int, int]]:
+    """Links that join a large cell's components: vectors in range agree in one of ``bound + 1`` groups of the axes in which the cell's vectors differ."""
+    if len(fp) <= _LARGE:
+        return forest(fp, rep, bound)
+    bar = unary(fp)
+    free = [s for s in range(32) if len(np.unique((bar >> np.uint64(2 * s)) & np.uint64(3))) > 1]
+    out = []
+    for g in range(bound + 1):
+        mask = np.uint64(sum(3 << 2 * s for s in free[g :: bound + 1]))
+        order = np.argsort(bar & mask, kind="stable")
+        key = (bar & mask)[order]
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            if hi - lo > 1:
+                out += forest(fp[order[lo:hi]], rep[order[lo:hi]], bound)
     return out
 
 
@@ -108,15 +153,18 @@ def _links(cell: np.ndarray, fp: np.ndarray, rep: np.ndarray, bound: int) -> tup
     of = np.repeat(size, size)
     few = (of > 1) & (of <= _SMALL)
     c, f, r = cell[few], fp[few], rep[few]
+    b = unary(f)
     us, vs = [], []
     for d in range(1, _SMALL):
         if len(c) <= d:
             break
-        ok = (c[d:] == c[:-d]) & (np.bitwise_count(f[d:] ^ f[:-d]) <= bound)
-        us.append(r[:-d][ok])
-        vs.append(r[d:][ok])
+        ok = (c[d:] == c[:-d]) & (np.bitwise_count(b[d:] ^ b[:-d]) <= bound)
+        at = np.flatnonzero(ok)
+        at = at[np.bitwise_count(f[at + d] ^ f[at]) <= bound]
+        us.append(r[at])
+        vs.append(r[at + d])
     for i in np.flatnonzero(size > _SMALL):
-        got = forest(fp[edge[i] : edge[i + 1]], rep[edge[i] : edge[i + 1]], bound)
+        got = _split(fp[edge[i] : edge[i + 1]], rep[edge[i] : edge[i + 1]], bound)
         if got:
             a = np.array(got, dtype=np.int64)
             us.append(a[:, 0])
@@ -169,24 +217,27 @@ def links(distinct: DataFrame, bound: int = BOUND) -> DataFrame:
     )
 
 
+def _components(fps: DataFrame, rank: str, bound: int) -> DataFrame:
+    """``fp, first, n``: the smallest ``rank`` among all rows of a fingerprint's component, and the rows of the fingerprint."""
+    distinct = cut(fps.groupBy("fp").agg(F.min(rank).alias("low"), F.count("*").alias("n")))
+    comps = connected_components(links(distinct.select(F.col("fp").alias("rep"), "fp"), bound))
+    rooted = cut(distinct.join(comps, distinct["fp"] == comps["id"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "low", "n"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("first"), F.count("*").alias("size"))
+    return spread_join(rooted, lowest, "root", "size").select("fp", "first", "n")
+
+
 def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bound: int = BOUND) -> DataFrame:
     """Components of documents whose fingerprints differ in at most ``bound`` bits.
 
     Returns one row per row: ``doc_id, fingerprint`` (16 lowercase hex digits), ``component_id`` (smallest doc_id
     reachable) and ``kept`` (doc_id is that id). Null and empty texts, and those of white space, have fingerprint zero and link
-    like any other. Equal fingerprints meet once, however many rows have them. A row without doc_id joins
-    the component of its fingerprint but names none; if no row of the component has an id, component_id is null.
+    like any other. Equal fingerprints meet once, however many rows have them. A row without doc_id links its component
+    but names none; if no row of the component has an id, component_id is null.
     An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, text, doc_id))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    comps = connected_components(links(distinct, bound))
-    # min ids of fingerprints are the nodes, so a component's smallest node is its smallest doc_id
-    named = (
-        distinct.join(comps, distinct["rep"] == comps["id"], "left")
-        .select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    return fps.join(named, fps["fp"] == named["_fp"], "left").select(
+    named = _components(fps, "doc_id", bound).select(F.col("fp"), F.col("first").alias("component_id"), "n")
+    return spread_join(fps, named, "fp", "n").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -195,6 +246,11 @@ def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", b
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay (the smallest doc_id of each component), all columns. Rows without doc_id stay together if one of them does."""
-    kept = simhash_dedup(docs, text, doc_id).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["_keep"]), "left_semi")
+    """The rows of ``docs`` that stay, all columns: exactly one of each component.
+
+    It is that of the smallest doc_id; rows without one come last, and rows that share an id rank by a hash of all columns.
+    Null texts count as empty. An empty table stays empty.
+    """
+    fps = cut(fingerprints(docs, text, doc_id, ranked=True))
+    ranked = fps.select("fp", F.struct("doc", "tie").alias("rank"))
+    return exactly(docs, doc_id, _components(ranked, "rank", BOUND).select("first.*").distinct())

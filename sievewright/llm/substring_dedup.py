@@ -1,8 +1,11 @@
-"""Substring dedup by hashing of lines (or paragraphs).
-
-Units of every text are normalised and digested, digests are grouped globally with
-partial sums first, and the occurrence of the smallest rank (doc_id, then place) stays. All later ones are cut
-out of the texts; their offsets in the original text are returned.
+"""Substring dedup by hashing of lines and their sentences.
+
+A unit is a line or, within a line, what runs up to the end of a sentence of at least ``MIN_SENTENCE`` words; shorter sentences go with what
+follows. Where a unit ends depends on the words just before only, so a passage that stands in the middle of another document's line
+falls into the same units there, but for its first and last. Units are normalised and digested, digests are
+grouped globally with partial sums first, and the occurrence of the smallest rank (document, then place) stays. Later ones are
+removed where neighbours that are all repeated make up a run of ``MIN_WORDS`` words: a passage goes, a lone common line stays.
+What is removed is told by its offsets in the original text.
 """
 
 from __future__ import annotations
@@ -16,120 +19,137 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import spread_join
-
-#: Units of fewer words are never removed.
-MIN_WORDS = 8
-SEPARATORS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r\f\v]*\n\s*")}
-_LAST = (1 << 63) - 1
-
-
-def units(text: str, unit: str = "line") -> list[tuple[int, int]]:
-    """Offsets (start, end) of a text's units, separators left out."""
-    out, at = [], 0
-    for m in SEPARATORS[unit].finditer(text):
-        out.append((at, m.start()))
+from sievewright.llm.common import row_identity, spread_join
+
+#: A run of repeated units is removed if its units of MIN_SENTENCE words and more hold so many words together.
+MIN_WORDS = 20
+#: A sentence of fewer words ends no unit.
+MIN_SENTENCE = 4
+_WORD = re.compile(r"[^ \t\n\r\f\v]+")
+_BETWEEN = {
+    # white space that ends a line or follows the end of a sentence
+    "line": re.compile(r"(?<=[.!?])[ \t\r\f\v]+(?![ \t\n\r\f\v])|[ \t\n\r\f\v]*\n[ \t\n\r\f\v]*"),
+    "paragraph": re.compile(r"[ \t\r\f\v]*\n[ \t\r\f\v]*\n[ \t\n\r\f\v]*"),
+}
+_RANK = "doc bigint, h1 bigint, h2 bigint"
+
+
+def units(text: str, unit: str = "line") -> list[tuple[int, list[str]]]:
+    """Where each unit starts, and its words in lower case. Units tile the text; one without words has none."""
+    out: list[tuple[int, list[str]]] = []
+    at = start = 0
+    words: list[str] = []
+    for m in _BETWEEN[unit].finditer(text):
+        more = _WORD.findall(text[at : m.start()].lower())
+        words += more
+        if words and (unit != "line" or "\n" in m.group() or len(more) >= MIN_SENTENCE):
+            out.append((start, words))
+            start, words = m.end(), []
         at = m.end()
-    out.append((at, len(text)))
+    words += _WORD.findall(text[at:].lower())
+    if words:
+        out.append((start, words))
+    return [(0, out[0][1]), *out[1:]] if out else out
+
+
+def digest(words: list[str]) -> bytes:
+    return hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()
+
+
+def runs(found: list[tuple[int, list[str]]], late: set[int], min_words: int) -> list[tuple[int, int]]:
+    """Runs (first, last + 1) of units that are all ``late`` and long enough together."""
+    out, at, held = [], None, 0
+    for i, (_, words) in enumerate([*found, (0, [])]):
+        if i in late:
+            if at is None:
+                at, held = i, 0
+            held += len(words) if len(words) >= MIN_SENTENCE else 0
+        elif at is not None:
+            if held >= min_words:
+                out.append((at, i))
+            at = None
     return out
 
 
-def normalise(unit: str) -> str:
-    """Lower case, runs of white space made one space, ends trimmed."""
-    return " ".join(unit.lower().split())
-
-
 def _small(batches: Iterator[pa.RecordBatch], most: int = 512) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, most):
             yield b.slice(i, most)
 
 
-def unit_table(docs: DataFrame, text: str, doc_id: str, unit: str, min_words: int) -> DataFrame:
-    """``doc, place, digest`` of every unit that has enough words; a null doc_id ranks last."""
-    source = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text).alias("_text_")
-    ).where(F.col("_text_").isNotNull())
+def unit_table(docs: DataFrame, text: str, doc_id: str, unit: str) -> DataFrame:
+    """``doc, h1, h2, place, digest`` of every unit."""
+    source = docs.select(*row_identity(doc_id, text), F.col(text).alias("_text_")).where(F.col("_text_").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            docs_, places, digests = [], [], []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = t.as_py()
-                for place, (lo, hi) in enumerate(units(t, unit)):
-                    norm = normalise(t[lo:hi])
-                    if norm.count(" ") >= min_words - 1 and norm:
-                        docs_.append(doc)
-                        places.append(place)
-                        digests.append(hashlib.md5(norm.encode("utf-8", "surrogatepass")).digest())
+            sizes, digests = [], []
+            for t in batch.column(3):
+                found = units(t.as_py(), unit)
+                sizes.append(len(found))
+                digests += [digest(w) for _, w in found]
+            row = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if sizes else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs_, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary())],
-                names=["doc", "place", "digest"],
+                [*[batch.column(i).take(row) for i in range(3)], pa.array(place), pa.array(digests, pa.binary())],
+                names=["doc", "h1", "h2", "place", "digest"],
             )
 
-    return source.mapInArrow(run, "doc bigint, place int, digest binary")
+    return source.mapInArrow(run, f"{_RANK}, place int, digest binary")
 
 
 def substring_dedup(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", unit: str = "line", min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """Remove repeated units from all texts.
-
-    Returns one row per row: ``doc_id, n_units, n_removed, removed`` (array of start and end offsets, in characters of the
-    original text), ``text`` (what stays: kept units joined by their separators). A repeated unit's earliest
-    occurrence by doc_id and place stays, also within one document. A null text stays null with no units; an
-    empty one has one empty unit. Rows that repeat a doc_id count as one document and lose the same units; rows without one
-    rank last, together. Units of under ``min_words`` words stay. Other columns aren't read.
+    """Remove repeated passages from all texts.
+
+    Returns one row per row: ``doc_id, n_units, n_removed`` (units), ``repeats`` (whether any went), ``removed`` (array of start and end
+    offsets, in characters of the original text, white space up to the next unit included), ``text`` (what stays: the original without these spans).
+    A repeated unit's earliest occurrence by doc_id and place stays, also within one document. Words are what white space (blank, tab, line and page
+    breaks) parts, in lower case. A null text stays null and an empty one empty, with no units. Rows that share a doc_id but not the text are
+    different documents (ranked by a hash of the text), rows without one rank last and each counts; rows that repeat both id and text count as one
+    and lose the same. Other columns aren't read; an empty table gives an empty result.
     """
-    rows = unit_table(docs, text, doc_id, unit, min_words)
-    first = (
-        rows.groupBy("digest")
-        .agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-    )
-    late = spread_join(rows, first, "digest", "n", "doc").where(
-        F.col("first").isNotNull() & (F.struct("doc", "place") > F.col("first"))
-    )
-    drops = late.groupBy("doc").agg(F.collect_set("place").alias("drops")).withColumnRenamed("doc", "_doc")
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text_"))
-    base = base.withColumn("_rank", F.coalesce("doc_id", F.lit(_LAST)))
-    both = base.join(drops, base["_rank"] == drops["_doc"], "left").select("doc_id", "_text_", "drops")
+    rows = unit_table(docs, text, doc_id, unit)
+    rank = F.struct("doc", "h1", "h2", "place")
+    first = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    late = spread_join(rows, first, "digest", "n").where(F.col("first").isNotNull() & (rank > F.col("first")))
+    drops = late.groupBy("doc", "h1", "h2").agg(F.collect_set("place").alias("late"))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text_"), *row_identity(doc_id, text))
+    both = base.join(drops, ["doc", "h1", "h2"], "left").select("doc_id", "_text_", "late")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
             n, gone, offsets, lows, highs, texts = [], [], [0], [], [], []
-            for t, drops_ in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for t, late_ in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 t = t.as_py()
-                spans = units(t, unit) if t is not None else []
-                drop = set(drops_ or ()) if t is not None else set()
-                n.append(len(spans))
-                gone.append(len(drop))
-                for i in sorted(drop):
-                    lows.append(spans[i][0])
-                    highs.append(spans[i][1])
+                found = units(t, unit) if t is not None else []
+                spans = runs(found, set(late_), min_words) if late_ else []
+                n.append(len(found))
+                gone.append(sum(b - a for a, b in spans))
+                parts, at = [], 0
+                for a, b in spans:
+                    lo, hi = found[a][0], found[b][0] if b < len(found) else len(t)
+                    lows.append(lo)
+                    highs.append(hi)
+                    parts.append(t[at:lo])
+                    at = hi
                 offsets.append(len(lows))
-                if drop:
-                    kept, parts = [i for i in range(len(spans)) if i not in drop], []
-                    for a, i in enumerate(kept):
-                        if a:  # the separator that stood before this unit
-                            parts.append(t[spans[i - 1][1] : spans[i][0]])
-                        parts.append(t[spans[i][0] : spans[i][1]])
-                    t = "".join(parts)
-                texts.append(t)
-            span = pa.StructArray.from_arrays(
-                [pa.array(lows, pa.int32()), pa.array(highs, pa.int32())], names=["start", "end"]
-            )
+                texts.append("".join([*parts, t[at:]]) if spans else t)
+            span = pa.StructArray.from_arrays([pa.array(lows, pa.int32()), pa.array(highs, pa.int32())], names=["start", "end"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(n, pa.int32()),
                     pa.array(gone, pa.int32()),
+                    pa.array([x > 0 for x in gone], pa.bool_()),
                     pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), span),
                     pa.array(texts, pa.string()),
                 ],
-                names=["doc_id", "n_units", "n_removed", "removed", "text"],
+                names=["doc_id", "n_units", "n_removed", "repeats", "removed", "text"],
             )
 
     return both.mapInArrow(
-        cut_out, "doc_id bigint, n_units int, n_removed int, removed array<struct<start:int,end:int>>, text string"
+        cut_out,
+        "doc_id bigint, n_units int, n_removed int, repeats boolean, removed array<struct<start:int,end:int>>, text string",
     )

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -114,7 +115,7 @@ def test_simhash_links_are_whole():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fp = [int(b) for b in base]
-    for b in base:
+    for b in [*base, *base[:1].repeat(20)]:
         for _ in range(12):
             x = int(b)
             for bit in rng.choice(64, rng.integers(0, 7), replace=False):
@@ -131,6 +132,21 @@ def test_simhash_links_are_whole():
     assert components(ids.tolist(), zip(u.tolist(), v.tolist(), strict=True)) == want
 
 
+def test_manhattan_distance_bounds_hamming_distance():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 1 << 63, 500, dtype=np.uint64) for _ in range(2))
+    b[:250] = a[:250] ^ (np.uint64(1) << rng.integers(0, 63, 250, dtype=np.uint64))
+    got = np.bitwise_count(simhash.unary(a) ^ simhash.unary(b))
+    for x, y, d in zip(a.tolist(), b.tolist(), got.tolist(), strict=True):
+        by_hand = sum(abs((x >> s & 3).bit_count() - (y >> s & 3).bit_count()) for s in range(0, 64, 2))
+        assert d == by_hand <= (x ^ y).bit_count()
+
+
+def test_a_large_cell_is_split_without_loss(monkeypatch):
+    monkeypatch.setattr(simhash, "_LARGE", 20)
+    test_simhash_links_are_whole()
+
+
 def test_simhash_edges(spark):
     got = simhash.simhash_dedup(spark.createDataFrame(EDGE, SCHEMA)).collect()
     assert len(got) == len(EDGE)
@@ -194,39 +210,87 @@ def test_traversal_prunes_only_what_it_may():
     assert may.mean() < 0.5
 
 
-def substring_brute(rows, min_words):
-    first, out = {}, {}
-    for i, t in sorted((r for r in rows if r[1] is not None)):
-        at, spans = 0, []
-        for n, line in enumerate(t.split("\n")):
-            norm = " ".join(line.lower().split())
-            if len(norm.split(" ")) >= min_words and norm:
-                if first.setdefault(norm, (i, n)) != (i, n):
-                    spans.append((at, at + len(line)))
-            at += len(line) + 1
-        out[i] = spans
+def substring_brute(rows, least):
+    """Word by word: units, then runs of units that an earlier place has."""
+    table = {}
+    for i, t in sorted(r for r in rows if r[1] is not None):
+        found, words, stop, since = [], [], False, 0
+        for m in re.finditer("[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+", t):
+            if m[0].isspace() and m[0][0] in " \t\n\r\f\v":
+                if words and ("\n" in m[0] or stop and since >= 4):
+                    found.append(words)
+                    words = []
+                if "\n" in m[0] or stop:
+                    since, stop = 0, False
+                continue
+            words.append((m.start(), m[0].lower()))
+            since += 1
+            stop = m[0][-1] in ".!?"
+        table[i, t] = [*found, words] if words else found
+    first = {}
+    for k, found in table.items():
+        for n, ws in enumerate(found):
+            first.setdefault(" ".join(w for _, w in ws), (k, n))
+    out = {}
+    for k, found in table.items():
+        late = [first[" ".join(w for _, w in ws)] != (k, n) for n, ws in enumerate(found)]
+        starts = [0 if not n else ws[0][0] for n, ws in enumerate(found)] + [len(k[1])]
+        spans, n = [], 0
+        while n < len(found):
+            m = n
+            while m < len(found) and late[m]:
+                m += 1
+            if sum(len(ws) for ws in found[n:m] if len(ws) >= 4) >= least and m > n:
+                spans.append((starts[n], starts[m]))
+            n = max(m, n + 1)
+        out[k] = spans
     return out
 
 
+def without(text, spans):
+    for lo, hi in reversed(spans):
+        text = text[:lo] + text[hi:]
+    return text
+
+
 def test_substring(spark, tiny):
     df, rows = docs_of(spark, tiny)
-    rows += [(70_000 + i, f"One two three four five six seven eight nine.\nown line {i}\nONE two  three four five six seven eight nine.") for i in range(80)]
+    passage = "One two three four five six. Seven!  Eight nine ten eleven twelve? A b c d.\nE f g h i j k l m n o p q."
+    rows += [(70_000 + i, f"Own words {i} here {passage} and own {i}") for i in range(80)]
+    rows += [(71_000, "All rights reserved by the owner of it."), (71_001, "own\nAll rights reserved by the owner of it.\nown"), (71_002, ""), (71_003, " \n\t"), (71_004, None)]
     got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = substring_brute(rows, substring_dedup.MIN_WORDS)
-    assert {r.doc_id: [tuple(x) for x in r.removed] for r in got} == want
-    text = {r.doc_id: r.text for r in got}
-    assert text[70_001] == "own line 1" and text[70_000] == "One two three four five six seven eight nine.\nown line 0"
-    assert all(text[i] == t for i, t in rows if not want[i])
+    texts = dict(rows)
+    assert {r.doc_id: [tuple(x) for x in r.removed] for r in got if r.doc_id != 71_004} == {i: v for (i, _), v in want.items()}
+    for r in got:
+        spans = [tuple(x) for x in r.removed]
+        assert r.text == (None if texts[r.doc_id] is None else without(texts[r.doc_id], spans)) and r.repeats == bool(spans) == (r.n_removed > 0)
+    by = {r.doc_id: r for r in got}
+    assert not by[70_000].repeats and all(by[70_000 + i].repeats for i in range(1, 80)) and not by[71_001].repeats
+    assert by[70_001].text == "Own words 1 here One two three four five six. and own 1"
+
+
+LINE = "a line of more than twenty words that stands in every one of these texts and is removed from all but the first of them"
+
+
+def test_substring_different_texts_under_one_id_or_none(spark):
+    rows = [(1, LINE), (2, f"first\nsecond\n{LINE}"), (2, "short"), (2, f"unique line\n{LINE}\nlast"), (None, f"x\n{LINE}"), (None, f"y\n{LINE}\nz"), (None, "w")]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 9, r.text) for r in got) == sorted(
+        [(1, LINE), (2, "first\nsecond\n"), (2, "short"), (2, "unique line\nlast"), (9, "x\n"), (9, "y\nz"), (9, "w")]
+    )
 
 
 def test_substring_edges(spark):
-    got = substring_dedup.substring_dedup(spark.createDataFrame(EDGE, SCHEMA), min_words=1).collect()
-    assert len(got) == len(EDGE)
+    long = "x y z w " * 9
+    more = [(8, long, "a", 1), (9, long.upper(), "a", 1), (9, long.upper(), "a", 1), (10, "y" * 300_000, "a", 1)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame([*EDGE, *more], SCHEMA)).collect()
+    assert len(got) == len(EDGE) + len(more)
     by = {r.doc_id: r for r in got}
-    assert (by[3].text, by[3].n_units) == (None, 0) and (by[4].text, by[4].n_removed) == ("", 0)
-    assert by[2].text == "" and by[2].n_removed == 1 and by[1].text == "same text here"
+    assert (by[3].text, by[3].n_units, by[3].repeats) == (None, 0, False) and (by[4].text, by[4].n_units) == ("", 0)
+    assert (by[9].text, by[9].n_removed) == ("", 1) and by[8].text == long and by[2].text == "same text here" and by[10].n_units == 1
     assert not substring_dedup.substring_dedup(spark.createDataFrame([], SCHEMA)).collect()
-    assert substring_dedup.units("a\n\nb c\n \nd", "paragraph") == [(0, 1), (3, 6), (9, 10)]
+    assert substring_dedup.units("a\n\nB c\nd.\n \ne", "paragraph") == [(0, ["a"]), (3, ["b", "c", "d."]), (11, ["e"])]
 
 
 def edit_within_one(a, b):
@@ -282,6 +346,42 @@ def test_short_lines(spark):
     assert got[10].text == "hot\nown 10" and all(got[i].text == f"own {i}" for i in range(11, 90))
 
 
+def test_lines_of_different_texts_under_one_id_or_none(spark):
+    line = "a line that stands in all of them"
+    rows = [(1, line), (2, f"only here, and long enough\n{line}"), (2, "short"), (None, f"nothing else has this line\n{line}"), (None, f"{line}s\nz")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), short=True).collect()
+    assert sorted((r.doc_id or 9, r.text) for r in got) == sorted(
+        [(1, line), (2, "only here, and long enough"), (2, "short"), (9, "nothing else has this line"), (9, "z")]
+    )
+
+
+def test_filters_keep_exactly_one(spark):
+    schema = "doc_id long, text string, row string, tie map<string,int>"
+    rows = [(7, "A", "p", None), (7, "A", "q", {"k": 1}), (7, "A", "q", {"k": 1}), (5, "B", "r", None), (None, "A", "s", None), (None, "B", "t", None), (None, "C", "u", None),
+            (None, "C", "v", None), (8, None, "w", None), (9, "", "x", None), (3, "B", "y", None)]
+    df = spark.createDataFrame(rows, schema)
+    kept = exact_dedup.deduplicated(df).collect()
+    assert sorted((r.text or "", r.doc_id or 0) for r in kept) == [("", 9), ("A", 7), ("B", 5), ("C", 0)]
+    assert {type(r.tie) for r in kept} <= {dict, type(None)} and exact_dedup.deduplicated(df).columns == df.columns
+    near = simhash.deduplicated(df).collect()
+    assert sorted((r.text or "", r.doc_id or 0) for r in near) == [("", 8), ("A", 7), ("B", 3), ("C", 0)]
+    assert not simhash.deduplicated(df.limit(0)).collect() and not exact_dedup.deduplicated(df.limit(0)).collect()
+
+
+def test_runs_are_sorted_and_merged(spark):
+    """Several rounds, each of which sorts what arrives and merges in order; nothing is aggregated by hash."""
+    import pyspark.sql.functions as F
+
+    rank = F.struct(F.col("id").alias("doc_id"))
+    ids = spark.range(0, 3000, 1, 7).withColumn("t", (F.col("id") % 100).cast("string"))
+    ids = ids.select(exact_dedup.identity("t").alias("key"), rank.alias("rank"))
+    merged = exact_dedup.merge_runs(ids)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("SortAggregate") >= 2
+    got = merged.collect()
+    assert len(got) == 100 and all(r.group_size == 30 for r in got) and sorted(r.keep.doc_id for r in got) == list(range(2900, 3000))
+
+
 def test_line_edges(spark):
     got = line_dedup.line_dedup(spark.createDataFrame(EDGE, SCHEMA), min_chars=1).collect()
     assert len(got) == len(EDGE)
