@@ -1,6 +1,7 @@
 """Byte-level BPE by monoid tree reduction.
 
-An encoded span is an element of a monoid: halves are encoded recursively and
+A match of the splitting pattern is encoded by merging, while one has a rank, the neighbours of lowest rank (the leftmost
+of equals). An encoded span is an element of a monoid: halves are encoded recursively and
 two neighbours join by re-encoding a window around their border. A place where a
 character that isn't white space is followed by white space ends a match of the
 splitting pattern in any context (no alternative crosses it, and none that ends there looks further than the white
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -24,6 +26,8 @@ LEAF = 1024
 # White space that every engine agrees on, after what no engine takes for white space.
 _CUT = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\n\r\f\v])")
 _codecs: dict[tuple[int, str], Codec] = {}
+#: Matches whose ids are remembered, and the longest of them in characters.
+MEMORY, SHORT = 200_000, 64
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -31,23 +35,100 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x)}
 
 
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one match: neighbours are merged by lowest rank, the leftmost first, until no pair has one.
+
+    Pairs wait in a heap, so a match of n bytes takes n log n steps, whatever its length.
+    """
+    if piece in ranks:
+        return [ranks[piece]]
+    n = len(piece)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that starts at i; -1 end: merged away
+    heap = []
+    for i in range(n - 1):
+        r = ranks.get(piece[i : i + 2])
+        if r is not None:
+            heap.append((r, i, i + 2))
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        mid = end[i]
+        if mid < 0 or mid >= n or end[mid] != stop:
+            continue  # one of the two has changed since
+        end[i], end[mid] = stop, -1
+        if stop < n:
+            before[stop] = i
+            r = ranks.get(piece[i : end[stop]])
+            if r is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        j = before[i]
+        if j >= 0:
+            r = ranks.get(piece[j:stop])
+            if r is not None:
+                heapq.heappush(heap, (r, j, stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : end[i]]])
+        i = end[i]
+    return out
+
+
+def merge_few(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """What ``merge`` gives, by looking at all pairs each time: quicker for a few bytes."""
+    if piece in ranks:
+        return [ranks[piece]]
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    none = len(ranks) + 1
+    get = ranks.get
+    pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    while pairs:
+        low = min(pairs)
+        if low == none:
+            break
+        i = pairs.index(low)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+    return [ranks[p] for p in parts]
+
+
 class Codec:
     def __init__(self, data: bytes, pattern: str, leaf: int = LEAF):
-        import tiktoken
-
-        ranks = read_ranks(data)
+        self.ranks = read_ranks(data)
         self.leaf = leaf
-        self.base = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.token = [b""] * (max(ranks.values()) + 1)
-        for t, i in ranks.items():
+        # white space by Unicode's property, as the tokenizer's own engine has it
+        self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.memory: dict[str, tuple[int, ...]] = {}
+        self.token = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for t, i in self.ranks.items():
             self.token[i] = t
         self.name = [str(i) for i in range(len(self.token))]
 
+    def ids(self, text: str) -> list[int]:
+        """Ids of a text that is encoded at once."""
+        out: list[int] = []
+        get = self.memory.get
+        for piece in self.split(text):
+            out += get(piece) or self._ids(piece)
+        return out
+
+    def _ids(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode()
+        if len(piece) > SHORT:
+            return tuple(merge(data, self.ranks))
+        if len(self.memory) >= MEMORY:
+            self.memory.clear()
+        got = self.memory[piece] = tuple(merge_few(data, self.ranks))
+        return got
+
     def encode(self, text: str, lo: int = 0, hi: int | None = None) -> list[int]:
         """Ids of ``text[lo:hi]``."""
         hi = len(text) if hi is None else hi
         if hi - lo <= self.leaf:
-            return self.base.encode_ordinary(text[lo:hi])
+            return self.ids(text[lo:hi])
         mid = (lo + hi) // 2
         return self.join(text, lo, mid, hi, self.encode(text, lo, mid), self.encode(text, mid, hi))
 
@@ -88,7 +169,7 @@ class Codec:
         if size or size_r:
             raise AssertionError("a cut is not a token border")
         del left[n:]
-        left += self.base.encode_ordinary(text[a:b])
+        left += self.ids(text[a:b])
         left += right[k:]
         return left
 
@@ -109,7 +190,7 @@ def _codec(data: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _small(batch: pa.RecordBatch, most: int = 256) -> Iterator[pa.RecordBatch]:
+def _small(batch: pa.RecordBatch, most: int = 64) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, most):
         yield batch.slice(i, most)
 

@@ -290,7 +290,7 @@ def test_substring_edges(spark):
     assert (by[3].text, by[3].n_units, by[3].repeats) == (None, 0, False) and (by[4].text, by[4].n_units) == ("", 0)
     assert (by[9].text, by[9].n_removed) == ("", 1) and by[8].text == long and by[2].text == "same text here" and by[10].n_units == 1
     assert not substring_dedup.substring_dedup(spark.createDataFrame([], SCHEMA)).collect()
-    assert substring_dedup.units("a\n\nB c\nd.\n \ne", "paragraph") == [(0, ["a"]), (3, ["b", "c", "d."]), (11, ["e"])]
+    assert substring_dedup.units("a\n\nB c\nd.\n \ne", "paragraph") == [(0, ["a"]), (3, ["b", "c", "d."]), (12, ["e"])]
 
 
 def edit_within_one(a, b):

@@ -40,6 +40,20 @@ def test_bpe_tree(codec, reference, text):
     assert codec.decode(ids) == text.encode()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abeinrst\u00e9\u65e5", max_size=200), st.integers(1, 4))
+def test_bpe_merges(codec, reference, text, times):
+    text = text * times
+    data = text.encode()
+    assert byte_bpe.merge(data, codec.ranks) == byte_bpe.merge_few(data, codec.ranks) if data else True
+    assert codec.ids(text) == reference.encode_ordinary(text)
+
+
+def test_bpe_long_match(codec, reference):
+    text = "xyzzy" * 20_000
+    assert byte_bpe.Codec(*tokenizer()).encode(text) == reference.encode_ordinary(text)
+
+
 def test_bpe_query(spark, tiny, reference):
     ranks, pattern = tokenizer()
     df = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text", "lang", "source")
