@@ -1,16 +1,18 @@
 """LM scoring by masked pseudo-likelihood.
 
 Each token is predicted from its neighbours on both sides by a small window network
-trained in numpy; a document's score sums the log-probabilities of all its tokens. The vocabulary is counted
-over the whole corpus. Training is data-parallel: every partition goes through its own
-documents from the same weights, and weights are averaged by a tree of sums, for some rounds.
+trained in numpy; a document's score sums the log-probabilities of all its tokens.
+
+Words are counted over the whole corpus. The most frequent have tokens of their own; a rarer word is the token of its first two bytes
+(hashed into BUCKETS groups), predicted from both sides like any other, and then its spelling given that group: byte by byte up to the
+end of the word, each given the two before it, from counts over all rare words. So every word has a
+probability of its own, and a rare neighbour tells how it begins.
+
+Training doesn't depend on how the table is partitioned: documents are dealt by hash to shards of about SHARD tokens, each shard trains
+from the same weights on its documents in the order of their hashes, and weights are averaged by a tree of sums, for some rounds.
 
 The network: embeddings of WINDOW tokens on each side (one table per place), summed, tanh, then a
 two-level softmax: a class, then the token in the class. Token and class tables have about sqrt(vocabulary) entries each.
-
-A word beyond the vocabulary is the token RARE, predicted like any other, and then its spelling: byte by byte up to the
-end of the word, each given the two before it, from counts over all rare words of the corpus. So every word has a
-probability of its own. Spelling doesn't look at the neighbours, and neighbours beyond the vocabulary are seen as RARE.
 """
 
 from __future__ import annotations
@@ -33,10 +35,15 @@ RATE = 0.5
 #: Each round of training looks at one in so many positions of every document, another one each; with as many
 #: rounds as positions, all are seen once.
 STRIDE = ROUNDS
-BATCH = 8192
+BATCH = 2048
+#: Tokens of a shard, about.
+SHARD = 1 << 20
 _SEED = 5
-#: Ids 0 and 1 stand for the outside of a document and for words beyond the vocabulary.
-EDGE, RARE = 0, 1
+SIZE = CLASSES * PER_CLASS
+#: Id 0 stands for the outside of a document; then come words, then, from RARE on, the groups of rarer words.
+EDGE = 0
+BUCKETS = 256
+RARE = SIZE - BUCKETS
 #: Spelling: a word ends with END, a byte that none holds; the byte before the last counts by its low five bits.
 END, OLDER = 32, 33
 #: How many occurrences the shorter context weighs.
@@ -47,11 +54,6 @@ def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = CLASSES * PER_CLASS) -> tuple[list[str], np.ndarray]:
-    """The vocabulary and counts of ``top_words``."""
-    return top_words(word_counts(docs, text), size)
-
-
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, n`` of all words of the corpus, cut as ``words`` does and counted with partial sums; a null word stands for all of them."""
     source = docs.select(F.col(text).alias("_text_")).where(F.col("_text_").isNotNull())
@@ -71,14 +73,11 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return source.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def top_words(counted: DataFrame, size: int = CLASSES * PER_CLASS) -> tuple[list[str], np.ndarray]:
-    """The most frequent words of the whole corpus (ties by name), at most ``size - 2``, and how often each id occurs."""
-    rows = counted.orderBy(F.col("n").desc(), "word").limit(size - 1).collect()
-    top = [r for r in rows if r["word"] is not None][: size - 2]
-    often = np.zeros(size, dtype=np.int64)
-    often[2 : 2 + len(top)] = [r["n"] for r in top]
-    often[RARE] = sum(r["n"] for r in rows if r["word"] is None) - often.sum()
-    return [r["word"] for r in top], often
+def top_words(counted: DataFrame) -> tuple[list[str], int]:
+    """The most frequent words of the whole corpus (ties by name), at most ``RARE - 1``, and the number of all words."""
+    rows = counted.orderBy(F.col("n").desc(), "word").limit(RARE).collect()
+    total = sum(r["n"] for r in rows if r["word"] is None)
+    return [r["word"] for r in rows if r["word"] is not None][: RARE - 1], total
 
 
 def _counts(held: dict[str, int]) -> pa.RecordBatch:
@@ -129,27 +128,47 @@ def spelling(counted: DataFrame, vocab: list[str]) -> np.ndarray:
     return np.log(seen).astype(np.float32).ravel()
 
 
-def spelling_log_probabilities(flat: np.ndarray, rare: list[str]) -> np.ndarray:
-    """Log-probability of each word's spelling; untrained weights hold none, and all bytes are alike."""
+def _bucket(head: bytes) -> int:
+    """The group of a word by its first two bytes, or its one byte and END."""
+    return ((head[0] << 8 | (head[1] if len(head) > 1 else END)) * 40503 >> 4) % BUCKETS
+
+
+class Heads(dict):
+    """Ids of rare words by their first two characters, which hold the first two bytes."""
+
+    def __missing__(self, head: str) -> int:
+        self[head] = got = RARE + _bucket(head.encode()[:2])
+        return got
+
+
+def bucket_log_probabilities(table: np.ndarray) -> np.ndarray:
+    """Log-probability that spelling begins with a pair of bytes of each group."""
+    t = table.reshape(OLDER, 256, 256)[OLDER - 1].astype(np.float64)
+    pair = np.exp(t[END][:, None] + t)  # the first byte, then the second given it alone
+    group = np.array([[_bucket(bytes([a, b])) for b in range(256)] for a in range(256)])
+    pair[END] = 0  # no word begins with END
+    return np.log(np.bincount(group.ravel(), pair.ravel(), BUCKETS))
+
+
+def spelling_log_probabilities(table: np.ndarray, rare: list[str]) -> np.ndarray:
+    """Log-probability of each word's spelling, regardless of its group."""
     cells, start = _spelled(rare)
-    table = flat[sum(int(np.prod(s)) for s in shapes()) :]
-    each = table[cells].astype(np.float64) if len(table) else np.full(len(cells), -np.log(256))
-    return np.add.reduceat(each, start)
+    return np.add.reduceat(table[cells].astype(np.float64), start)
 
 
 def initial(often: np.ndarray | None = None, seed: int = _SEED, dim: int = DIM) -> np.ndarray:
-    """Weights as one flat array; biases follow how ``often`` each id occurs, so that training begins at the word frequencies."""
+    """Weights as one flat array; biases follow how ``often`` each id occurs, so that training begins at the frequencies."""
     rng = np.random.default_rng(seed)
     sizes = shapes(dim)
     parts = [rng.normal(0, 0.1, s) for s in sizes]
-    p = (np.ones(CLASSES * PER_CLASS) if often is None else often + 1.0).reshape(PER_CLASS, CLASSES)  # id = inner * CLASSES + class
+    p = (np.ones(SIZE) if often is None else often + 1.0).reshape(PER_CLASS, CLASSES)  # id = inner * CLASSES + class
     parts[2][:] = np.log(p.sum(axis=0) / p.sum())
     parts[4][:] = np.log(p / p.sum(axis=0)).T
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
 def shapes(dim: int = DIM) -> list[tuple[int, ...]]:
-    v = CLASSES * PER_CLASS
+    v = SIZE
     return [(2 * WINDOW * v, dim), (dim, CLASSES), (CLASSES,), (CLASSES, dim, PER_CLASS), (CLASSES, PER_CLASS)]
 
 
@@ -165,7 +184,7 @@ def unpack(flat: np.ndarray, dim: int = DIM) -> list[np.ndarray]:
 def contexts(ids: np.ndarray) -> np.ndarray:
     """Rows of the embedding table for each position: WINDOW tokens left, then right."""
     pad = np.concatenate([np.full(WINDOW, EDGE), ids, np.full(WINDOW, EDGE)])
-    v = CLASSES * PER_CLASS
+    v = SIZE
     places = [k for k in range(2 * WINDOW + 1) if k != WINDOW]
     return np.stack([pad[k : k + len(ids)] + n * v for n, k in enumerate(places)], axis=1)
 
@@ -204,7 +223,11 @@ def _log_sum(z: np.ndarray) -> np.ndarray:
     return m + np.log(np.exp(z - m[:, None]).sum(axis=1))
 
 
-def step(flat: np.ndarray, ctx: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
+#: Rates of the five tables against RATE: each place of the window and each class sees few of a batch's positions.
+PACE = (32.0, 1.0, 1.0, 8.0, 8.0)
+
+
+def step(flat: np.ndarray, ctx: np.ndarray, target: np.ndarray, rate: float = RATE, pace: tuple[float, ...] = PACE) -> None:
     """One step of gradient ascent of the mean log-probability, in place."""
     e, wc, bc, ww, bw = unpack(flat)
     h = e[ctx[:, 0]]
@@ -228,135 +251,227 @@ def step(flat: np.ndarray, ctx: np.ndarray, target: np.ndarray, rate: float = RA
         d[np.arange(len(d)), inner[at]] += 1
         d /= n
         dh[at] += d @ ww[k].T
-        ww[k] += rate * 8 * (h[at].T @ d)
-        bw[k] += rate * 8 * d.sum(axis=0)
-    wc += rate * (h.T @ g)
-    bc += rate * g.sum(axis=0)
-    dz = (dh * (1 - h * h) * (rate * 32)).astype(np.float32)
+        ww[k] += rate * pace[3] * (h[at].T @ d)
+        bw[k] += rate * pace[4] * d.sum(axis=0)
+    wc += rate * pace[1] * (h.T @ g)
+    bc += rate * pace[2] * g.sum(axis=0)
+    dz = (dh * (1 - h * h) * (rate * pace[0])).astype(flat.dtype)
     for k in range(ctx.shape[1]):
         at, order = ctx[:, k], np.argsort(ctx[:, k], kind="stable")
         rows, start = np.unique(at[order], return_index=True)
         e[rows] += np.add.reduceat(dz[order], start, axis=0)
 
 
-def _ids(index: dict[str, int], w: list[str]) -> np.ndarray:
-    return np.fromiter((index.get(x, RARE) for x in w), np.int64, len(w))
+class Model:
+    """The vocabulary and the spelling table, and the network's weights once it is trained."""
 
+    def __init__(self, vocab: list[str], table: np.ndarray):
+        self.vocab, self.table = vocab, table
+        self.groups = bucket_log_probabilities(table)
+        self.flat = initial()
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[list[str], np.ndarray]:
-    """Vocabulary and weights (the network's, then the spelling table), from all documents: in a round every one gives each ``stride``-th position.
+    def reader(self):
+        """A function of a text that gives its ids and the log-probability of all its rare words' spelling in their groups."""
+        get, heads = {w: i + 1 for i, w in enumerate(self.vocab)}.get, Heads()
 
-    Rounds start at different positions, so with ``rounds >= stride`` (the default) every position is seen.
-    """
+        def read(text: str | None) -> tuple[np.ndarray, float]:
+            w = words(text)
+            ids = np.fromiter((get(x) or heads[x[:2]] for x in w), np.int16, len(w))
+            at = np.flatnonzero(ids >= RARE)
+            if not len(at):
+                return ids, 0.0
+            each = spelling_log_probabilities(self.table, [w[i] for i in at])
+            return ids, float(each.sum() - self.groups[ids[at] - RARE].sum())
+
+        return read
+
+
+def _tokens(docs: DataFrame, model: Model, text: str, doc_id: str, shards: int) -> DataFrame:
+    """``doc_id, shard, place, n, spelled, ids`` of every row: whole shards in a partition, by place, whatever the partitions of ``docs``."""
     spark = docs.sparkSession
-    counted = cut(word_counts(docs, text))
-    vocab, often = top_words(counted)
-    spelled = spelling(counted, vocab)
-    index = spark.sparkContext.broadcast({w: i + 2 for i, w in enumerate(vocab)})
-    flat = initial(often)
-    source = docs.select(F.col(text).alias("_text_")).where(F.col("_text_").isNotNull())
-    for turn in range(rounds):
-        sent = spark.sparkContext.broadcast(flat)
-
-        def learn(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            own = sent.value.copy()
-            ctxs, targets, held, seen = [], [], 0, 0
-            for batch in batches:
-                for t in batch.column(0):
-                    ids = _ids(index.value, words(t.as_py()))
-                    if not len(ids):
-                        continue
-                    at = np.arange(turn % stride, len(ids), stride)
+    sent = spark.sparkContext.broadcast(model)
+    known = F.col(doc_id).cast("long")
+    source = docs.select(known.alias("doc_id"), F.xxhash64(F.lit(3), known, F.col(text)).alias("place"), F.col(text).alias("_text_"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = sent.value.reader()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                got = [read(t.as_py()) for t in batch.column(2)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), batch.column(1), pa.array([len(i) for i, _ in got], pa.int64()),
+                        pa.array([s for _, s in got], pa.float64()), pa.array([i.tobytes() for i, _ in got], pa.binary()),
+                    ],
+                    names=["doc_id", "place", "n", "spelled", "ids"],
+                )
+
+    rows = source.mapInArrow(run, "doc_id bigint, place bigint, n bigint, spelled double, ids binary")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int"))
+    parts = min(shards, 4 * width(spark))
+    return rows.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard", "place", "doc_id")
+
+
+def _train(tokens: DataFrame, flat: np.ndarray, turn: int, stride: int) -> tuple[int, np.ndarray | None]:
+    """Positions seen, and the mean of the weights of all shards, each trained from ``flat``."""
+    spark = tokens.sparkSession
+    sent = spark.sparkContext.broadcast(flat)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = np.zeros(len(sent.value)), 0
+        shard, own, seen = None, sent.value, 0
+        ctxs: list[np.ndarray] = []
+        targets: list[np.ndarray] = []
+        held = 0
+
+        def work(last: bool):
+            nonlocal held, seen, ctxs, targets
+            if held < (1 if last else BATCH):
+                return
+            ctx, target = np.concatenate(ctxs), np.concatenate(targets)
+            whole = held - held % BATCH
+            for lo in range(0, whole, BATCH):
+                step(own, ctx[lo : lo + BATCH], target[lo : lo + BATCH])
+            if last and held > whole:  # what is left moves the weights by its share of a batch
+                step(own, ctx[whole:], target[whole:], RATE * (held - whole) / BATCH)
+                whole = held
+            seen, held, ctxs, targets = seen + whole, held - whole, [ctx[whole:]], [target[whole:]]
+
+        for batch in batches:
+            for k, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if k != shard:
+                    work(True)
+                    total, weight = total + own.astype(np.float64) * seen, weight + seen
+                    shard, own, seen, held, ctxs, targets = k, sent.value.copy(), 0, 0, [], []
+                ids = np.frombuffer(row.as_buffer(), np.int16).astype(np.int64) if row.is_valid else np.zeros(0, np.int64)
+                at = np.arange(turn % stride, len(ids), stride)
+                if len(at):
                     ctxs.append(contexts(ids)[at])
                     targets.append(ids[at])
                     held += len(at)
                     if held >= BATCH:
-                        ctx, target = np.concatenate(ctxs), np.concatenate(targets)
-                        whole = held - held % BATCH
-                        for lo in range(0, whole, BATCH):
-                            step(own, ctx[lo : lo + BATCH], target[lo : lo + BATCH])
-                        seen, held, ctxs, targets = seen + whole, held - whole, [ctx[whole:]], [target[whole:]]
-            if held:  # what is left moves the weights by its share of a batch
-                step(own, np.concatenate(ctxs), np.concatenate(targets), RATE * held / BATCH)
-                seen += held
-            if seen:
-                total = (own.astype(np.float64) * seen).tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([seen], pa.int64()), pa.array([total], pa.binary())], names=["n", "w"]
-                )
+                        work(False)
+        work(True)
+        total, weight = total + own.astype(np.float64) * seen, weight + seen
+        if weight:
+            yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "w"])
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["n"].to_pylist(), table["w"].to_pylist(), strict=True))
+        total = sum(np.frombuffer(w) for _, w in rows)
+        return pa.table({"n": pa.array([sum(n for n, _ in rows)], pa.int64()), "w": pa.array([total.tobytes()], pa.binary())})
+
+    parts = cut(tokens.select("shard", "ids").mapInArrow(learn, "n bigint, w binary").withColumn("part", F.spark_partition_id()))
+    fan = 16
+    many = parts.count()
+    while many > fan:  # sums meet in a tree: no task takes more than about fan of them
+        parts = parts.withColumn("part", F.floor(F.col("part") / fan).cast("int"))
+        grouped = parts.groupBy("part").applyInArrow(
+            lambda key, t: add(t.select(["n", "w"])).append_column("part", pa.array([key[0].as_py()], pa.int32())),
+            "n bigint, w binary, part int",
+        )
+        parts = cut(grouped)
+        many = parts.count()
+    rows = [(r["n"], bytes(r["w"])) for r in parts.select("n", "w").collect()]
+    if not rows:
+        return 0, None
+    total = add(pa.table({"n": [n for n, _ in rows], "w": pa.array([w for _, w in rows], pa.binary())}))
+    n = total["n"][0].as_py()
+    return n, (np.frombuffer(total["w"][0].as_py()) / n).astype(np.float32)
 
-        def add(table: pa.Table) -> pa.Table:
-            rows = sorted(zip(table["n"].to_pylist(), table["w"].to_pylist(), strict=True))
-            total = sum(np.frombuffer(w) for _, w in rows)
-            return pa.table({"n": pa.array([sum(n for n, _ in rows)], pa.int64()), "w": pa.array([total.tobytes()], pa.binary())})
 
-        parts = source.mapInArrow(learn, "n bigint, w binary").withColumn("part", F.spark_partition_id())
-        fan = 16
-        parts = cut(parts)
-        many = parts.count()
-        while many > fan:  # sums meet in a tree: no task takes more than about fan of them
-            parts = parts.withColumn("part", F.floor(F.col("part") / fan).cast("int"))
-            grouped = parts.groupBy("part").applyInArrow(
-                lambda key, t: add(t.select(["n", "w"])).append_column("part", pa.array([key[0].as_py()], pa.int32())),
-                "n bigint, w binary, part int",
-            )
-            parts = cut(grouped)
-            many = parts.count()
-        rows = [(r["n"], bytes(r["w"])) for r in parts.select("n", "w").collect()]
-        if not rows:
-            break
-        total = add(pa.table({"n": [n for n, _ in rows], "w": pa.array([w for _, w in rows], pa.binary())}))
-        flat = (np.frombuffer(total["w"][0].as_py()) / total["n"][0].as_py()).astype(np.float32)
-    return vocab, np.concatenate([flat, spelled])
+def frequencies(tokens: DataFrame) -> np.ndarray:
+    """How often each id occurs."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SIZE, np.int64)
+        for batch in batches:
+            for row in batch.column(0):
+                if row.is_valid:
+                    held += np.bincount(np.frombuffer(row.as_buffer(), np.int16), minlength=SIZE)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE)), pa.array(held)], names=["id", "n"])
+
+    rows = tokens.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(SIZE, np.int64)
+    for r in rows:
+        out[r["id"]] = r["n"]
+    return out
+
+
+def prepare(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shard: int = SHARD) -> tuple[Model, DataFrame]:
+    """The untrained model, its biases at the frequencies, and the tokens of all documents."""
+    counted = cut(word_counts(docs, text))
+    vocab, total = top_words(counted)
+    model = Model(vocab, spelling(counted, vocab))
+    tokens = cut(_tokens(docs, model, text, doc_id, max(1, -(-total // shard))))
+    model.flat = initial(frequencies(tokens))
+    return model, tokens
 
-def score(docs: DataFrame, vocab: list[str], flat: np.ndarray, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Score each whole text: ``doc_id, n_tokens, log_likelihood, score`` (mean per token), ``perplexity``.
 
-    A null or blank text has no tokens, log-likelihood 0, and null score and perplexity. Rows stand
-    alone: one row comes out per row. Other columns aren't read.
+def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS, stride: int = STRIDE, shard: int = SHARD) -> tuple[Model, DataFrame]:
+    """The model trained on all documents, and their tokens: in a round every document gives each ``stride``-th position.
+
+    Rounds start at different positions, so with ``rounds >= stride`` (the default) every position is seen. How ``docs`` is
+    partitioned changes nothing but the order of sums.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, flat))
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text_"))
+    model, tokens = prepare(docs, text, doc_id, shard)
+    for turn in range(rounds):
+        seen, flat = _train(tokens, model.flat, turn, stride)
+        if not seen:
+            break
+        model.flat = flat
+    return model, tokens
+
+
+def _scores(rows: list[tuple], flat: np.ndarray) -> pa.RecordBatch:
+    ids = [x for _, x, _ in rows]
+    sizes = np.array([len(x) for x in ids])
+    sums = np.array([s for _, _, s in rows])
+    full = np.flatnonzero(sizes)
+    if len(full):
+        got = log_probabilities(flat, np.concatenate([contexts(ids[i]) for i in full]), np.concatenate([ids[i] for i in full]))
+        sums[full] += np.add.reduceat(got, np.concatenate([[0], np.cumsum(sizes[full])[:-1]]))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = sums / sizes
+    empty = sizes == 0
+    return pa.RecordBatch.from_arrays(
+        [pa.array([i for i, _, _ in rows], pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums), pa.array(mean, mask=empty), pa.array(np.exp(-mean), mask=empty)],
+        names=["doc_id", "n_tokens", "log_likelihood", "score", "perplexity"],
+    )
+
+
+def score(tokens: DataFrame, model: Model) -> DataFrame:
+    """Scores of the documents whose ``tokens`` a model has made: ``doc_id, n_tokens, log_likelihood, score, perplexity``."""
+    sent = tokens.sparkSession.sparkContext.broadcast(model.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, flat = sent.value
-        index = {w: i + 2 for i, w in enumerate(vocab)}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                split = [words(t.as_py()) for t in batch.column(1)]
-                ids = [_ids(index, w) for w in split]
-                sizes = np.array([len(x) for x in ids])
-                sums = np.zeros(len(ids))
-                full = np.flatnonzero(sizes)
-                if len(full):
-                    target = np.concatenate([ids[i] for i in full])
-                    got = log_probabilities(flat, np.concatenate([contexts(ids[i]) for i in full]), target)
-                    rare = [x for w in split for x in w if x not in index]
-                    if rare:
-                        got[target == RARE] += spelling_log_probabilities(flat, rare)
-                    sums[full] = np.add.reduceat(got, np.concatenate([[0], np.cumsum(sizes[full])[:-1]]))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    mean = sums / sizes
-                empty = sizes == 0
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(sums),
-                        pa.array(mean, mask=empty),
-                        pa.array(np.exp(-mean), mask=empty),
-                    ],
-                    names=["doc_id", "n_tokens", "log_likelihood", "score", "perplexity"],
-                )
+        held, size = [], 0
+        for batch in batches:
+            for i, row, spelled in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                held.append((i, np.frombuffer(row.as_buffer(), np.int16).astype(np.int64), spelled))
+                size += len(held[-1][1]) + 1
+                if size >= 1 << 16:  # texts of any length are taken together up to so many tokens
+                    yield _scores(held, sent.value)
+                    held, size = [], 0
+        if held:
+            yield _scores(held, sent.value)
 
-    return source.mapInArrow(
+    return tokens.select("doc_id", "ids", "spelled").mapInArrow(
         run, "doc_id bigint, n_tokens bigint, log_likelihood double, score double, perplexity double"
     )
 
 
+def tokens_of(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Tokens, for ``score``, of documents that the model needn't have seen."""
+    return _tokens(docs, model, text, doc_id, width(docs.sparkSession))
+
+
 def pseudo_likelihood(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Train on all of ``docs`` and score them."""
-    vocab, flat = train(docs, text)
-    return score(docs, vocab, flat, text, doc_id)
+    """Train on all of ``docs`` and score each whole text: ``doc_id, n_tokens, log_likelihood, score`` (mean per token), ``perplexity``.
+
+    A null or blank text has no tokens, log-likelihood 0, and null score and perplexity. One row comes out per row, rows without an
+    id or with a repeated one included. Other columns aren't read; an empty table gives an empty result.
+    """
+    model, tokens = train(docs, text, doc_id)
+    return score(tokens, model)

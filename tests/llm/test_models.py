@@ -130,31 +130,61 @@ def test_lm_against_plain_softmax():
         assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_gradient():
+    """A step moves every weight by the numerical gradient of the mean log-probability."""
+    rng = np.random.default_rng(8)
+    flat = masked_lm.initial().astype(np.float64) + rng.normal(0, 0.05, masked_lm.initial().shape)
+    ids = rng.integers(1, 1024, 40)
+    ctx = masked_lm.contexts(ids)
+    moved = flat.copy()
+    masked_lm.step(moved, ctx, ids, 1e-6, (1.0,) * 5)
+    got = (moved - flat) / 1e-6
+    edges = np.cumsum([0, *(int(np.prod(x)) for x in masked_lm.shapes())])
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        changed = lo + np.flatnonzero(np.abs(got[lo:hi]) > 1e-4)
+        for k in rng.choice(changed, 6):
+            up, down = flat.copy(), flat.copy()
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            slope = (masked_lm.log_probabilities(up, ctx, ids).mean() - masked_lm.log_probabilities(down, ctx, ids).mean()) / 2e-5
+            assert slope == pytest.approx(got[k], rel=1e-2, abs=1e-6)
+
+
 def test_lm_learns_and_scores(spark, tiny):
     df = spark.read.parquet(f"{tiny}/documents.parquet")
-    vocab, flat = masked_lm.train(df)
+    plain, tokens = masked_lm.prepare(df)
+    model, _ = masked_lm.train(df)
     counts = Counter(w for r in df.collect() for w in masked_lm.words(r.text))
-    want = sorted(counts, key=lambda w: (-counts[w], w.encode()))[:1022]
-    assert vocab == want
-    edge = spark.createDataFrame(EDGE, SCHEMA)
-    trained = {r.doc_id: r for r in masked_lm.score(df, vocab, flat).collect()}
-    raw = {r.doc_id: r for r in masked_lm.score(df, vocab, masked_lm.initial()).collect()}
-    assert np.mean([trained[i].score - raw[i].score for i in raw]) > 0.5
-    got = {r.doc_id: r for r in masked_lm.score(edge, vocab, flat).collect()}
+    assert model.vocab == sorted(counts, key=lambda w: (-counts[w], w.encode()))[:767]
+    often = masked_lm.frequencies(tokens)
+    assert often.sum() == sum(counts.values()) and list(often[1:768]) == [counts[w] for w in model.vocab] and not often[0]
+    total = lambda m: sum(r.log_likelihood for r in masked_lm.score(tokens, m).collect())
+    assert total(model) - total(plain) > 0.01 * often.sum()  # neighbours tell more than frequencies
+    got = {r.doc_id: r for r in masked_lm.score(masked_lm.tokens_of(spark.createDataFrame(EDGE, SCHEMA), model), model).collect()}
     assert got[2].n_tokens == 0 and got[2].score is None and got[3].log_likelihood == 0 and got[5].n_tokens == 40_000
-    often = masked_lm.vocabulary(df)[1]
-    assert often.sum() == sum(counts.values()) and list(often[2:]) == [counts[w] for w in want]
-    frequent = {r.doc_id: r for r in masked_lm.score(df, vocab, masked_lm.initial(often)).collect()}
-    gain = sum(trained[i].log_likelihood - frequent[i].log_likelihood for i in frequent)
-    assert gain > 0  # context tells more than frequency
-    assert masked_lm.train(df.limit(0))[0] == []
+    assert not masked_lm.pseudo_likelihood(df.limit(0)).collect()
+
+
+def test_lm_trains_on_odd_tables(spark):
+    got = masked_lm.pseudo_likelihood(spark.createDataFrame(EDGE, SCHEMA)).collect()
+    assert len(got) == len(EDGE) and sorted(r.n_tokens for r in got) == [0, 0, 2, 3, 3, 40_000, 40_000]
+    assert not [r for r in got if r.n_tokens and not math.isfinite(r.score)]
+
+
+def test_lm_is_the_same_however_the_table_is_cut(spark, tiny):
+    df = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    seen = [{r.doc_id: r.score for r in masked_lm.score(*masked_lm.train(df.repartition(n), shard=20_000)[::-1]).collect()} for n in (1, 4, 64)]
+    assert len(seen[0]) == df.count()
+    for other in seen[1:]:
+        assert other.keys() == seen[0].keys()
+        assert all(other[i] == pytest.approx(x, abs=1e-6) for i, x in seen[0].items() if x is not None)
 
 
 def test_lm_spells_rare_words(spark, tiny):
     df = spark.read.parquet(f"{tiny}/documents.parquet")
-    vocab, flat = masked_lm.train(df)
+    model, _ = masked_lm.train(df)
     counts = Counter(w for r in df.collect() for w in masked_lm.words(r.text))
-    rare = sorted(set(counts) - set(vocab))
+    rare = sorted(set(counts) - set(model.vocab))
     three, two, one = Counter(), Counter(), Counter()
     for w in rare:
         b = [32, 32, *w.encode(), 32]
@@ -171,19 +201,23 @@ def test_lm_spells_rare_words(spark, tiny):
         return (three[a, b, x] + 4 * p2) / (sum(three[a, b, y] for y in range(256)) + 4)
 
     sought = [rare[0], "zqxj\u00e9\u65e5", "a"]
-    got = masked_lm.spelling_log_probabilities(flat, sought)
+    got = masked_lm.spelling_log_probabilities(model.table, sought)
     for w, x in zip(sought, got, strict=True):
         b = [32, 32, *w.encode(), 32]
         steps = [(32 if b[i - 1] == 32 or b[i - 2] == 32 else b[i - 2] % 32, b[i - 1], b[i]) for i in range(2, len(b))]
         assert sum(math.log(p(*s)) for s in steps) == pytest.approx(x, abs=1e-4)
-    table = flat[-33 * 256 * 256 :].reshape(-1, 256)
-    assert np.allclose(np.exp(table.astype(float)).sum(axis=1), 1, atol=1e-4)
+    assert np.allclose(np.exp(model.table.reshape(-1, 256).astype(float)).sum(axis=1), 1, atol=1e-4)
+    # a word's spelling counts within its group
+    group = masked_lm._bucket(b"zq")
+    pairs = [(a, b) for a in range(256) for b in range(256) if a != 32 and masked_lm._bucket(bytes([a, b])) == group]
+    mass = sum(p(32, 32, a) * p(32, a, b) for a, b in pairs)
+    ids, spelled = model.reader()(f"{model.vocab[0]} zqxj")
+    assert ids.tolist() == [1, masked_lm.RARE + group]
+    assert spelled == pytest.approx(masked_lm.spelling_log_probabilities(model.table, ["zqxj"])[0] - math.log(mass), abs=1e-3)
     known = max(rare, key=lambda w: (counts[w], w))
-    docs = spark.createDataFrame([(1, f"{vocab[0]} {known} {vocab[1]}"), (2, f"{vocab[0]} zqxjkvw {vocab[1]}"), (3, "zqxjkvw " * 9), (4, f"{vocab[0]} qqqq {vocab[1]} zqxjkvw")], "doc_id long, text string")
-    by = {r.doc_id: r for r in masked_lm.score(docs, vocab, flat).collect()}
-    near, far = masked_lm.spelling_log_probabilities(flat, [known, "zqxjkvw"])
-    assert by[1].log_likelihood - by[2].log_likelihood == pytest.approx(near - far, abs=1e-4) and near > far + 5
-    assert by[3].score < by[1].score - 5 and by[4].n_tokens == 4
+    docs = spark.createDataFrame([(1, f"{known} " * 9), (3, "zqxjkvw " * 9)], "doc_id long, text string")
+    by = {r.doc_id: r for r in masked_lm.score(masked_lm.tokens_of(docs, model), model).collect()}
+    assert by[3].score < by[1].score - 5
 
 
 def poisson_quantile(rate, u):
