@@ -1,12 +1,14 @@
 """Embedding near-dedup by dual traversal of a cover tree.
 
-Unit vectors with cosine >= t are those within distance sqrt(2 - 2t). Nested levels of
+Unit vectors with cosine >= t are those within distance sqrt(2 - 2t), the reach. Nested levels of
 centres with halving radii (a level's centres are further apart than its radius and include those of the level above) are
-fitted on a bounded sample; every vector descends to a lowest centre. The covering radius of each node is the largest
-distance of *any* vector below it, so the bound holds for all rows whatever the sample: two nodes
-whose centres are further apart than both radii and the threshold have no links. The dual traversal goes
-from the pair (root, root) to pairs of children and drops such pairs. Surviving pairs of lowest nodes are compared exactly in double
-precision, in tiles of bounded size.
+fitted on a bounded sample; every vector descends to a lowest centre. Nodes are packed into blocks in the order of the tree, so that near nodes
+share a block, and each block goes on below them: leaves of at most half the reach, each with a vector as its centre, so near copies share a leaf.
+
+The covering radius of a node is the largest distance of *any* vector below it, so the bound holds for all rows whatever the sample: two nodes
+whose centres are further apart than both radii and the reach have no links. The dual traversal goes
+from the pair (root, root) to pairs of children and drops such pairs: on the driver between the nodes of the sample, whose open pairs say which
+pairs of blocks (tiles) must meet, then in each tile between leaves. Vectors of open pairs of leaves are compared exactly in double precision.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from sievewright.llm.common import connected_components, cut, spread_join
 THRESHOLD = 0.95
 #: Vectors that the centres are chosen from, and most lowest centres.
 SAMPLE = 4096
-MAX_NODES = 512
+MAX_NODES = 2048
 #: Most vectors of a block; a tile compares two blocks.
 BLOCK = 4096
 #: Slack for rounding in bounds.
@@ -74,12 +76,22 @@ class Tree:
 
     def lowest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lowest node of each vector, by descent to the nearest child, and its distance from it."""
-        at = np.zeros(len(x), dtype=np.int64)
-        for up in self.levels()[1:]:
-            d = _distance(x, self.centres[: len(up)])
-            d[up[None, :] != at[:, None]] = np.inf
-            at = d.argmin(axis=1)
-        return at, np.linalg.norm(x - self.centres[at], axis=1)
+        found = np.zeros(len(x), dtype=np.int64)
+        levels = self.levels()[1:]
+        for lo in range(0, len(x), 512):
+            part, at = x[lo : lo + 512], found[lo : lo + 512]
+            for up in levels:
+                d = _distance(part, self.centres[: len(up)])
+                d[up[None, :] != at[:, None]] = np.inf
+                at[:] = d.argmin(axis=1)
+        return found, np.linalg.norm(x - self.centres[found], axis=1)
+
+    def order(self) -> np.ndarray:
+        """The lowest nodes in the order of the tree, children beside each other."""
+        path = [np.arange(self.counts[-1])]
+        for up in reversed(self.levels()[1:]):
+            path.append(up[path[-1]])
+        return np.lexsort(path)
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,24 +116,34 @@ def dual_traversal(tree: Tree, radius: np.ndarray, reach: float) -> np.ndarray:
         np.maximum.at(r, below[n][ok], d[ok])
         cover.append(r)
     cover[-1] = radius
-    pairs = np.array([[0, 0]])
-    for n in range(len(levels)):
+    open_ = np.ones((1, 1), dtype=bool)
+    for n, up in enumerate(levels):
         if n:
-            children: dict[int, list[int]] = {}
-            for child, up in enumerate(levels[n]):
-                children.setdefault(int(up), []).append(child)
-            grown = []
-            for i, j in pairs:
-                for a in children.get(int(i), []):
-                    grown += [(a, b) for b in children.get(int(j), []) if i != j or a <= b]
-            pairs = np.array(grown).reshape(-1, 2)
-        i, j = pairs[:, 0], pairs[:, 1]
-        apart = np.linalg.norm(tree.centres[i] - tree.centres[j], axis=1)
-        keep = (cover[n][i] >= 0) & (cover[n][j] >= 0) & (apart <= cover[n][i] + cover[n][j] + reach + _EPS)
-        pairs = pairs[keep]
-    out = np.zeros((len(radius), len(radius)), dtype=bool)
-    out[pairs[:, 0], pairs[:, 1]] = True
-    return out | out.T
+            open_ = open_[np.ix_(up, up)]
+        for lo in range(0, len(up), 256):  # pairs of nodes by rows, as far as their parents are open
+            apart = _distance(tree.centres[lo : min(lo + 256, len(up))], tree.centres[: len(up)])
+            far = apart > cover[n][lo : lo + 256, None] + cover[n][None, :] + reach + _EPS
+            open_[lo : lo + 256] &= ~far & (cover[n][lo : lo + 256, None] >= 0) & (cover[n] >= 0)
+    return open_ | open_.T
+
+
+def leaves(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The centre (a row) of each row of ``x``, at most ``radius`` away, and its distance; centres are further apart than that."""
+    of, far = np.full(len(x), -1), np.zeros(len(x))
+    least = 1 - radius * radius / 2
+    for lo in range(0, len(x), 512):
+        cos = x[lo : lo + 512] @ x.T
+        for i in range(lo, min(lo + 512, len(x))):
+            if of[i] < 0:
+                mine = np.flatnonzero((cos[i - lo] >= least) & (of < 0))
+                mine = mine[mine != i]
+                of[mine], far[mine], of[i] = i, np.linalg.norm(x[mine] - x[i], axis=1), i
+    return of, far
+
+
+def open_leaves(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, reach: float) -> np.ndarray:
+    """Which pairs of leaves (centres and covering radii) may hold links."""
+    return _distance(a, b) <= ra[:, None] + rb[None, :] + reach + _EPS
 
 
 def _spanning(adj: np.ndarray) -> list[tuple[int, int]]:
@@ -144,40 +166,50 @@ def _spanning(adj: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _tile(pdf: pd.DataFrame, may: np.ndarray, threshold: float) -> tuple[list, list]:
+def _tile(pdf: pd.DataFrame, threshold: float) -> tuple[list, list]:
     """Link counts ``(rep, n)`` and links ``(u, v)`` of a tile: block 0 against block 1, or block 0 with itself."""
-    pdf = pdf.sort_values(["side", "node", "rep"])
+    pdf = pdf.sort_values(["side", "leaf", "off", "rep"])
     x = np.frombuffer(b"".join(pdf["vec"]), dtype="<f8").reshape(len(pdf), -1)
     rep, weight = pdf["rep"].to_numpy(), pdf["n"].to_numpy()
-    node, side = pdf["node"].to_numpy(), pdf["side"].to_numpy()
-    other = np.flatnonzero(side == 1) if (side == 1).any() else np.flatnonzero(side == 0)
+    side, leaf, off = (pdf[c].to_numpy() for c in ("side", "leaf", "off"))
     alone = not (side == 1).any()
-    first = np.flatnonzero(side == 0)
+    # leaves are runs of rows; the first row of each is its centre
+    edge = np.flatnonzero(np.concatenate(([True], (side[1:] != side[:-1]) | (leaf[1:] != leaf[:-1]), [True])))
+    start, stop = edge[:-1], edge[1:]
+    radius = np.maximum.reduceat(off, start)
+    number = np.repeat(np.arange(len(start)), stop - start)
+    mine = np.flatnonzero(side[start] == 0)
+    theirs = mine if alone else np.flatnonzero(side[start] == 1)
+    other = np.flatnonzero(side == (0 if alone else 1))
+    at_other = number[other] - theirs[0]
+    reach = math.sqrt(2 - 2 * threshold)
     us, vs = [], []
-    step = 512
-    for lo in range(0, len(first), step):
-        rows = first[lo : lo + step]
-        open_to = may[np.unique(node[rows])].any(0)
-        cols = other[open_to[node[other]]]
-        if not len(cols):
-            continue
-        cos = x[rows] @ x[cols].T
-        hit = cos >= threshold
-        edge = np.abs(cos - threshold) < 1e-12
-        if edge.any():  # as exact as double precision can tell
-            for i, j in zip(*np.nonzero(edge), strict=True):
-                hit[i, j] = math.fsum(x[rows[i]] * x[cols[j]]) >= threshold
-        if alone:
-            hit &= rows[:, None] != cols[None, :]
-        i, j = np.nonzero(hit)
-        us.append(rows[i])
-        vs.append(cols[j])
+    for lo in range(0, len(mine), 512):
+        some = mine[lo : lo + 512]
+        may = open_leaves(x[start[some]], radius[some], x[start[theirs]], radius[theirs], reach)
+        for k, row in zip(some, may, strict=True):
+            if alone:
+                row[: k - theirs[0]] = False  # each pair of leaves once
+            cols = other[row[at_other]]
+            if not len(cols):
+                continue
+            for at in range(start[k], stop[k], 512):
+                rows = np.arange(at, min(at + 512, stop[k]))
+                cos = x[rows] @ x[cols].T
+                hit = cos >= threshold
+                near = np.abs(cos - threshold) < 1e-12
+                if near.any():  # as exact as double precision can tell
+                    for i, j in zip(*np.nonzero(near), strict=True):
+                        hit[i, j] = math.fsum(x[rows[i]] * x[cols[j]]) >= threshold
+                if alone:
+                    hit &= rows[:, None] < cols[None, :]
+                i, j = np.nonzero(hit)
+                us.append(rows[i])
+                vs.append(cols[j])
     if not us:
         return [], []
     u, v = np.concatenate(us), np.concatenate(vs)
-    n = np.bincount(u, weights=weight[v], minlength=len(x))
-    if not alone:
-        n += np.bincount(v, weights=weight[u], minlength=len(x))
+    n = np.bincount(u, weights=weight[v], minlength=len(x)) + np.bincount(v, weights=weight[u], minlength=len(x))
     counts = [(int(rep[k]), int(n[k])) for k in np.flatnonzero(n)]
     met = np.unique(np.concatenate([u, v]))
     place = np.searchsorted(met, u), np.searchsorted(met, v)
@@ -205,7 +237,7 @@ def _by_dimension(distinct: DataFrame, dim: int, threshold: float) -> tuple[Data
     sample = here.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("rep", "vec").collect()
     total = here.count()
     x = _unit(pa.array([r["vec"] for r in sample], pa.list_(pa.float64())))
-    tree = spark.sparkContext.broadcast(Tree(x, max_nodes=max(1, min(MAX_NODES, total // 64))))
+    tree = spark.sparkContext.broadcast(Tree(x, max_nodes=max(1, min(MAX_NODES, total // 32))))
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,12 +258,13 @@ def _by_dimension(distinct: DataFrame, dim: int, threshold: float) -> tuple[Data
     radius = np.full(len(tree.value.centres), -1.0)
     for k, r in nodes.items():
         radius[k] = r["r"]
-    may = dual_traversal(tree.value, radius, math.sqrt(2 - 2 * threshold))
-    # Nodes are packed into blocks in order; a large one takes several. A block holds about `block` vectors.
+    reach = math.sqrt(2 - 2 * threshold)
+    may = dual_traversal(tree.value, radius, reach)
+    # Nodes are packed into blocks in the order of the tree; a large one takes several. A block holds about `block` vectors.
     block = max(256, min(BLOCK, -(-total // 16)))
     # What the driver keeps is bounded by the nodes: groups of nodes, and how many blocks each group has.
     group, chunks, fill = {}, [], 0
-    for k in sorted(nodes):
+    for k in (int(k) for k in tree.value.order() if k in nodes):
         size = nodes[k]["k"]
         if size > block or not chunks or fill + size > block:
             chunks.append(max(1, -(-size // block)))
@@ -246,40 +279,48 @@ def _by_dimension(distinct: DataFrame, dim: int, threshold: float) -> tuple[Data
     first = np.concatenate([[0], np.cumsum(chunks)])
     group_of = np.zeros(len(radius), dtype=np.int64)
     group_of[list(group)] = list(group.values())
-    plan = spark.sparkContext.broadcast((group_of, np.array(chunks), first, open_groups, may))
+    plan = spark.sparkContext.broadcast((group_of, np.array(chunks), first, open_groups))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group_of, chunks, first, open_, _ = plan.value
-        total_blocks = int(first[-1])
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The block of each vector."""
+        group_of, chunks, first, _ = plan.value
         for batch in batches:
             rep, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            if not len(rep):
-                continue
             g = group_of[node]
             mixed = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             mine = first[g] + (mixed % chunks[g].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(mine), batch.column(0), batch.column(1), batch.column(3)], names=["block", "rep", "n", "vec"])
+
+    def grow(table: pa.Table) -> pa.Table:
+        """The leaves of a block."""
+        table = table.sort_by("rep").combine_chunks()
+        x = np.frombuffer(b"".join(table["vec"].to_pylist()), dtype="<f8").reshape(table.num_rows, -1)
+        of, off = leaves(x, reach / 2)
+        return table.append_column("leaf", pa.array(of.astype(np.int32))).append_column("off", pa.array(off))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group_of, chunks, first, open_ = plan.value
+        total_blocks = int(first[-1])
+        group = np.repeat(np.arange(len(chunks)), chunks)
+        for batch in batches:
+            mine = batch.column(0).to_numpy()
             for b in np.unique(mine):
-                at = np.flatnonzero(mine == b)
-                part = batch.take(pa.array(at))
+                part = batch.take(pa.array(np.flatnonzero(mine == b)))
                 size = part.num_rows
-                for h in np.flatnonzero(open_[g[at[0]]]):
+                for h in np.flatnonzero(open_[group[b]]):
                     for other in range(int(first[h]), int(first[h + 1])):
                         lo, hi = min(int(b), other), max(int(b), other)
                         yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(size, lo * total_blocks + hi)),
-                                pa.array(np.full(size, 0 if b == lo else 1, np.int32)),
-                                part.column(0), part.column(1), part.column(2), part.column(4),
-                            ],
-                            names=["tile", "side", "rep", "n", "node", "vec"],
+                            [pa.array(np.full(size, lo * total_blocks + hi)), pa.array(np.full(size, 0 if b == lo else 1, np.int32)), *part.columns[1:]],
+                            names=["tile", "side", "rep", "n", "vec", "leaf", "off"],
                         )
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, first, _, may = plan.value
-        alone = key[0] // int(first[-1]) == key[0] % int(first[-1])
+        total_blocks = int(plan.value[2][-1])
+        alone = key[0] // total_blocks == key[0] % total_blocks
         if not alone and pdf["side"].nunique() < 2:
             return pd.DataFrame({"u": [], "v": [], "n": []}).astype("int64")
-        counts, got = _tile(pdf, may, threshold)
+        counts, got = _tile(pdf, threshold)
         return pd.DataFrame(
             {
                 "u": [a for a, _ in counts] + [a for a, _ in got],
@@ -288,9 +329,9 @@ def _by_dimension(distinct: DataFrame, dim: int, threshold: float) -> tuple[Data
             }
         ).astype("int64")
 
-    dealt = placed.select("rep", "n", "node", "far", "vec").mapInArrow(
-        deal, "tile bigint, side int, rep bigint, n bigint, node int, vec binary"
-    )
+    blocks = placed.select("rep", "n", "node", "vec").mapInArrow(settle, "block bigint, rep bigint, n bigint, vec binary")
+    grown = cut(blocks.groupBy("block").applyInArrow(grow, "block bigint, rep bigint, n bigint, vec binary, leaf int, off double"))
+    dealt = grown.mapInArrow(deal, "tile bigint, side int, rep bigint, n bigint, vec binary, leaf int, off double")
     out = cut(dealt.groupBy("tile").applyInPandas(compare, "u bigint, v bigint, n bigint"))
     return out.where("n > 0").select(F.col("u").alias("rep"), "n"), out.where("n = 0").select("u", "v")
 
@@ -303,17 +344,17 @@ def embedding_dedup(
     Returns one row per vector: ``vec_id, n_links`` (other vectors linked directly), ``component_id`` (smallest vec_id
     reachable, itself included), ``kept`` (vec_id is that id). A vector that is null, empty, zero or has a null or
     non-finite component links with nothing; so do vectors of different dimension. Rows that repeat both id and
-    vector count once and come out once. A row without vec_id links with nothing and is kept. Equal vectors meet once,
+    vector count as one vector, and each comes out. A row without vec_id links with nothing and is kept. Equal vectors meet once,
     however many rows have them. Other columns aren't read; an empty table gives an empty result.
     """
     if not 0 < threshold < 1:
         raise ValueError("the threshold must lie between 0 and 1")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec")).distinct()
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec"))
     ok = _valid("vec") & F.col("vec_id").isNotNull()
     key = F.when(ok, F.unhex(F.md5(F.to_csv(F.struct(F.xxhash64("vec"), F.xxhash64(F.lit(1), "vec"), F.hash("vec"), F.size("vec"))))))
     rows = cut(rows.withColumn("key", key))
     groups = cut(
-        rows.where("key is not null")
+        rows.where("key is not null").select("key", "vec_id", "vec").dropDuplicates(["key", "vec_id"])
         .groupBy("key")
         .agg(F.min("vec_id").alias("rep"), F.first("vec").alias("vec"), F.count("*").alias("n"))
     )

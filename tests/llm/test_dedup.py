@@ -179,7 +179,7 @@ def test_embeddings(spark, tiny):
     assert not empty
     odd = spark.createDataFrame([(1, [1.0], 3), (1, [1.0], 4), (None, [1.0], 5), (2, [3.0], 6)], "vec_id long, embedding array<double>, n int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.embedding_dedup(odd).collect()}
-    assert got == {1: (1, 1), 2: (1, 1), None: (0, None)}
+    assert got == {1: (1, 1), 2: (1, 1), None: (0, None)} and cover_tree.embedding_dedup(odd).count() == 4
 
 
 def test_a_node_of_several_blocks(spark):
@@ -210,6 +210,38 @@ def test_traversal_prunes_only_what_it_may():
     assert may.mean() < 0.5
 
 
+def shares(x, nodes):
+    """Share of open pairs among nodes that hold vectors, and among the leaves of all vectors."""
+    tree = cover_tree.Tree(x[::2], nodes)
+    at, far = tree.lowest(x)
+    radius = np.full(len(tree.centres), -1.0)
+    np.maximum.at(radius, at, far)
+    may = cover_tree.dual_traversal(tree, radius, np.sqrt(0.1))[np.ix_(radius >= 0, radius >= 0)]
+    of, off = cover_tree.leaves(x, np.sqrt(0.1) / 2)
+    centre = np.unique(of)
+    r = np.zeros(len(x))
+    np.maximum.at(r, of, off)
+    assert off.max() <= np.sqrt(0.1) / 2 + 1e-9 and (np.linalg.norm(x - x[of], axis=1) <= off + 1e-9).all()
+    open_ = cover_tree.open_leaves(x[centre], r[centre], x[centre], r[centre], np.sqrt(0.1))
+    i, j = np.nonzero(x @ x.T >= 0.95)
+    assert open_[np.searchsorted(centre, of[i]), np.searchsorted(centre, of[j])].all()
+    return may.mean(), open_.mean(), len(centre) / len(x)
+
+
+def test_share_of_open_pairs(tiny):
+    """Clusters are pruned as nodes; vectors without structure only as leaves."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(120, 64)), 20, axis=0)
+    x += rng.normal(0, 0.05, x.shape)
+    nodes, leaf, kept = shares(x / np.linalg.norm(x, axis=1, keepdims=True), 256)
+    assert nodes < 0.05 and leaf < 0.05 and kept < 0.2
+    plain = np.array(pq.read_table(f"{tiny.replace('0.001', '0.1')}/embeddings.parquet")["embedding"].to_pylist())
+    _, leaf, kept = shares(plain / np.linalg.norm(plain, axis=1, keepdims=True), 256)
+    assert leaf < 0.01 and kept > 0.9
+
+
 def substring_brute(rows, least):
     """Word by word: units, then runs of units that an earlier place has."""
     table = {}
