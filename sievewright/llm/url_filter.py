@@ -5,7 +5,8 @@ listed, level 2 the listed keys that level 1 takes for unlisted, and so on until
 no key is mistaken. A key is listed iff the first level that lacks it has an odd
 index (or, if none lacks it, iff the number of levels is odd). This is exact for every key in the universe
 it was built over, and the universe is every key that the corpus can ask for. Everything
-on the main path is DataFrame functions; the bitmaps are bounded literals.
+on the main path is DataFrame functions. Listed and corpus keys are told apart by tag, union and aggregation; bitmaps are literals, in pieces of
+bounded size.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm.common import cut
@@ -36,8 +38,8 @@ LISTED = [
     "cheap-pills.example.com",
     "free-bets.example.net",
 ]
-#: Most bits that one level may have; a larger list is split over several cascades by key hash.
-MAX_BITS = 1 << 26
+#: Bits of one piece of a level's bitmap; a larger level has several.
+PIECE = 1 << 22
 MAX_LEVELS = 64
 
 
@@ -45,7 +47,8 @@ MAX_LEVELS = 64
 class Level:
     bits: int
     hashes: int
-    words: tuple[int, ...]
+    #: 64-bit words of each piece, as text with commas between
+    pieces: tuple[str, ...]
 
 
 def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
@@ -53,10 +56,13 @@ def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
 
 
 def _in_level(key: Column, level: int, at: Level) -> Column:
-    words = F.lit(list(at.words)).cast("array<bigint>")
+    pieces = [F.split(F.lit(x), ",").cast("array<bigint>") for x in at.pieces]  # constants, folded once
     hit = F.lit(True)
     for pos in _positions(key, level, at.bits, at.hashes):
-        word = F.element_at(words, (F.shiftright(pos, 6) + 1).cast("int"))
+        words = pieces[0]
+        for n in range(1, len(pieces)):
+            words = F.when(pos >= n * PIECE, pieces[n]).otherwise(words)
+        word = F.element_at(words, (F.shiftright(pos % PIECE, 6) + 1).cast("int"))
         hit = hit & (F.call_function("getbit", word, (pos % 64).cast("int")) == 1)
     return hit
 
@@ -75,13 +81,15 @@ def build_cascade(listed: DataFrame, universe: DataFrame, key: str = "key") -> l
     The first level's error rate follows the size of the list against the universe, so
     all levels together stay near ``n_listed * log2(universe / n_listed)`` bits.
     """
-    inside = cut(listed.select(key).where(F.col(key).isNotNull()).distinct())
+    tagged = listed.select(F.col(key).alias("key"), F.lit(True).alias("listed")).union(
+        universe.select(F.col(key).alias("key"), F.lit(False))
+    )
+    tagged = cut(tagged.where("key is not null").groupBy("key").agg(F.max("listed").alias("listed")))
     # Listed keys that no corpus key equals may stay: they are encoded, and cost only bits.
+    inside, outside = tagged.where("listed").select("key"), tagged.where("not listed").select("key")
     n_in = inside.count()
     if not n_in:
         return []
-    outside = universe.select(key).where(F.col(key).isNotNull()).distinct()
-    outside = cut(outside.join(inside, key, "left_anti"))
     n_out = outside.count()
     cascade: list[Level] = []
     put, other, n_put = inside, outside, n_in
@@ -90,20 +98,18 @@ def build_cascade(listed: DataFrame, universe: DataFrame, key: str = "key") -> l
         error = min(0.5, ratio * math.sqrt(0.5)) if level == 0 else 0.5
         hashes = max(1, round(-math.log2(error)))
         bits = max(64, math.ceil(n_put * hashes / math.log(2) / 64) * 64)
-        if bits > MAX_BITS:
-            raise ValueError(f"a level of {bits} bits is over the bound of {MAX_BITS}; split the list")
-        # one row per 64-bit word that has a bit: at most MAX_BITS / 64 rows reach the driver
+        # one row per 64-bit word that has a bit: the driver sees the bitmap, whose size follows the list
         rows = (
-            put.select(F.explode(F.array(*_positions(F.col(key), level, bits, hashes))).alias("p"))
+            put.select(F.explode(F.array(*_positions(F.col("key"), level, bits, hashes))).alias("p"))
             .groupBy(F.shiftright("p", 6).alias("w"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
-            .collect()
+            .toArrow()
         )
-        words = [0] * (bits // 64)
-        for r in rows:
-            words[r["w"]] = r["b"]
-        cascade.append(Level(bits, hashes, tuple(words)))
-        wrong = cut(other.where(_in_level(F.col(key), level, cascade[-1])))
+        words = np.zeros(bits // 64, dtype=np.int64)
+        words[rows["w"].to_numpy()] = rows["b"].to_numpy()
+        pieces = [words[lo : lo + PIECE // 64] for lo in range(0, len(words), PIECE // 64)]
+        cascade.append(Level(bits, hashes, tuple(",".join(map(str, w.tolist())) for w in pieces)))
+        wrong = cut(other.where(_in_level(F.col("key"), level, cascade[-1])))
         n_wrong = wrong.count()
         if not n_wrong:
             return cascade
@@ -122,16 +128,16 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and its parent domains, longest first: a.b.c -> [a.b.c, b.c, c]."""
+def suffixes(host: Column, most: int | Column) -> Column:
+    """The host and its parent domains of at most ``most`` labels, longest first: a.b.c -> [a.b.c, b.c, c]."""
     labels = F.split(host, r"\.", -1)
+    n = F.size(labels)
     return F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+        F.sequence(F.greatest(F.lit(1), n - F.lit(most) + 1), n), lambda i: F.array_join(F.slice(labels, i, n), ".")
     )
 
 
-def rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
+def rule_keys(host: Column, path: Column, lengths: list[int], most: int) -> Column:
     """Every (parent domain, path prefix) that a rule could name, at the rules' path lengths."""
     heads = F.array_distinct(
         F.filter(
@@ -139,7 +145,12 @@ def rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
             lambda p: F.char_length(p) > 0,
         )
     )
-    return F.flatten(F.transform(suffixes(host), lambda h: F.transform(heads, lambda p: F.concat(h, p))))
+    return F.flatten(F.transform(suffixes(host, most), lambda h: F.transform(heads, lambda p: F.concat(h, p))))
+
+
+def _strings(spark: SparkSession, values: list[str]) -> DataFrame:
+    """A column ``key`` of constants."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values]).cast("array<string>")).alias("key"))
 
 
 def url_filter(
@@ -155,7 +166,7 @@ def url_filter(
     longest rule (host and path together, then the longer host) wins and gives the
     verdict. Where none fits, the verdict is block if the host or a parent domain is
     listed, else allow. Null urls and urls without ``://`` have empty host and path, fit no rule and
-    are allowed. Repeated rows are judged alike; an empty table gives an empty result;
+    are allowed. ``listed`` is a list of hosts or a table with a column ``key``. Repeated rows are judged alike; an empty table gives an empty result;
     no rules or no list is allowed. Rule keys and listed hosts are looked up in
     one cascade each for allowing rules, blocking rules and listed hosts.
     """
@@ -164,24 +175,18 @@ def url_filter(
         F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
     )
     lengths = sorted({len(p) for _, _, p in rules})
-    asked = (
-        at.select(F.explode(rule_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
-        if lengths
-        else None
-    )
+    most = max((h.count(".") + 1 for _, h, _ in rules), default=1)  # a host of more labels equals no rule's
+    asked = at.select(F.explode(rule_keys(F.col("host"), F.col("path"), lengths, most)).alias("key")) if lengths else None
     by = {}
     for verdict in ("allow", "block"):
-        keys = [(h + p,) for v, h, p in rules if v == verdict]
-        by[verdict] = build_cascade(spark.createDataFrame(keys, "key string"), asked) if keys else []
-    hosts = listed
-    if not isinstance(listed, DataFrame):
-        hosts = spark.createDataFrame([(h,) for h in listed], "key string")
-    known = build_cascade(
-        hosts, at.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key"))
-    )
+        keys = [h + p for v, h, p in rules if v == verdict]
+        by[verdict] = build_cascade(_strings(spark, keys), asked) if keys else []
+    hosts = listed if isinstance(listed, DataFrame) else _strings(spark, listed)
+    longest = hosts.agg(F.max(F.size(F.split("key", r"\.", -1)))).first()[0] or 1
+    known = build_cascade(hosts, at.select("host").distinct().select(F.explode(suffixes(F.col("host"), longest)).alias("key")))
     fits = F.array().cast("array<struct<n:int,h:int,rule:string,verdict:string>>")
     if lengths:
-        keys = rule_keys(F.col("host"), F.col("path"), lengths)
+        keys = rule_keys(F.col("host"), F.col("path"), lengths, most)
         fits = F.filter(
             F.transform(
                 keys,
@@ -197,7 +202,7 @@ def url_filter(
             lambda s: s["verdict"].isNotNull(),
         )
     judged = at.withColumn("_rule", F.array_max(fits)).withColumn(
-        "listed", F.exists(suffixes(F.col("host")), lambda h: contains(h, known))
+        "listed", F.exists(suffixes(F.col("host"), longest), lambda h: contains(h, known))
     )
     return judged.select(
         "page_id",

@@ -275,7 +275,8 @@ def judge(url, rules, listed):
 def test_urls(spark, tiny):
     df = spark.read.parquet(f"{tiny.replace('0.001', '0.01')}/pages.parquet").select("page_id", "url")
     more = [None, "", "no scheme/path", "http://", "HTTP://WWW.Example.ORG/es/x?y", "http://example.org", "http://a.example.org/en/12#f", "x://org/",
-            "http://notexample.org/es/", "http://com/de/..", "http://free-bets.example.net:80/", "http://sub.free-bets.example.net", "http://a://b/de/", "http://..org/\n/es"]
+            "http://notexample.org/es/", "http://com/de/..", "http://free-bets.example.net:80/", "http://sub.free-bets.example.net", "http://a://b/de/", "http://..org/\n/es",
+            "http://" + "a." * 20_000 + "example.org/es/" + "x" * 100_000, "http://" + "y" * 50_000]
     df = df.union(spark.createDataFrame([(9000 + i, u) for i, u in enumerate(more)], "page_id long, url string"))
     got = url_filter.url_filter(df).collect()
     want = {r.page_id: judge(r.url, url_filter.RULES, url_filter.LISTED) for r in df.collect()}
@@ -293,6 +294,16 @@ def test_cascade_is_exact(spark):
     assert len(cascade) > 1
 
 
+def test_cascade_of_many_pieces_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "PIECE", 128)
+    test_cascade_is_exact(spark)
+
+
+def test_no_join_decides(spark, tiny):
+    got = url_filter.url_filter(spark.read.parquet(f"{tiny}/pages.parquet"))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pipeline(spark, tiny):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_neardup", "mix_sources", "byte_bpe"]
     got = corpus_pipeline.run(spark, tiny).collect()
