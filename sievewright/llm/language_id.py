@@ -2,16 +2,17 @@
 
 For each language a suffix automaton of labelled text is built. A document is parsed
 against it into phrases: from each place the longest match in the language's text is
-taken, and the parse goes on at the character that broke it. The language whose text needs
-the fewest phrases per character wins: few long phrases mean low cross entropy.
+taken, and the parse goes on at the character that broke it. Each phrase is a pointer into the language's text of n letters and costs
+log2(n) bits, so phrases are normalised by the length of that text: the language that needs the fewest bits a letter wins.
 
 The automata are flattened to tables with the restart built in, so that a step of the parse is one
-lookup, done for thousands of text segments at once. A phrase never crosses the border of a segment
-(SEGMENT characters), which costs every language the same.
+lookup, done for thousands of text segments at once. The commonest letters have a column each, as far as memory is allotted, the other edges are kept
+sparse. A phrase never crosses the border of a segment (SEGMENT letters), which costs every language the same.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,16 @@ SAMPLE_DOCS = 120
 SAMPLE_CHARS = 60_000
 #: A sampled document gives at most so many characters, taken from its middle.
 SAMPLE_SLICE = 4_000
+#: Letters of all samples together; more languages than SAMPLES / SAMPLE_CHARS get shorter samples.
+SAMPLES = 4_000_000
+#: Memory of all dense tables together, in entries of 4 bytes.
+DENSE = 32_000_000
 SEGMENT = 512
 LANES = 8192
+#: Letters of the texts that are parsed together.
+TOGETHER = 4_000_000
+#: A text that costs more than so many times the bits of its language's own held-back text is of no learned language.
+FOREIGN = 1.5
 FOLDS = 5
 SEED = 77
 
@@ -95,35 +104,80 @@ class Model:
         self.langs = sorted(texts)
         self._ready: list[np.ndarray] | None = None
         codes = {k: letters(texts[k]) for k in self.langs}
-        known = np.unique(np.concatenate([*codes.values(), np.array([32], np.uint32)]))
+        seen = np.concatenate([*codes.values(), np.array([32], np.uint32)])
+        letter, often = np.unique(seen, return_counts=True)
+        letter = letter[np.argsort(-often, kind="stable")]  # the commonest first
         #: symbol 0: a letter that no sample has
-        self.symbol = np.zeros(0x110000, dtype=np.uint16)
-        self.symbol[known] = np.arange(1, len(known) + 1)
-        self.width = len(known) + 1
+        self.symbol = np.zeros(0x110000, dtype=np.uint32)
+        self.symbol[letter] = np.arange(1, len(letter) + 1)
+        self.width = len(letter) + 1
+        self.size = {k: max(2, len(codes[k])) for k in self.langs}
         self.edges = {}
         for k in self.langs:
             nxt, _ = suffix_automaton(self.symbol[codes[k]].tolist())
             src = np.repeat(np.arange(len(nxt)), [len(d) for d in nxt]).astype(np.int32)
-            sym = np.fromiter((c for d in nxt for c in d), np.uint16, len(src))
+            sym = np.fromiter((c for d in nxt for c in d), np.uint32, len(src))
             dst = np.fromiter((s for d in nxt for s in d.values()), np.int32, len(src))
             self.edges[k] = (len(nxt), src, sym, dst)
-
-    def table(self, lang: str) -> np.ndarray:
-        """``next state * 2 + (1 if a new phrase begins)`` by state and symbol."""
+        states = sum(e[0] for e in self.edges.values())
+        #: symbols below this have a column in the dense tables
+        self.dense = min(self.width, max(1, DENSE // max(states, 1)))
+        #: bits a letter that text of the language costs which isn't in the sample it is parsed against
+        self.usual = {k: self._usual(codes[k]) for k in self.langs}
+
+    @staticmethod
+    def _usual(code: np.ndarray) -> float:
+        """Bits a letter of the last fifth of a text parsed against the rest of it."""
+        at = len(code) * 4 // 5
+        head, tail = code[:at].tolist(), code[at:].tolist()
+        if len(tail) < 50:
+            return math.inf  # too little to tell
+        nxt, _ = suffix_automaton(head)
+        state, n = 0, 0
+        for i, c in enumerate(tail):
+            step = None if i % SEGMENT == 0 else nxt[state].get(c)
+            if step is None:
+                n, step = n + 1, nxt[0].get(c, 0)
+            state = step
+        return n * math.log2(max(2, len(head))) / len(tail)
+
+    def table(self, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``next state * 2 + (1 if a new phrase begins)`` by state and symbol: a dense part, the keys and values of
+        all other edges, and what begins a phrase."""
         n, src, sym, dst = self.edges[lang]
         first = np.zeros(self.width, dtype=np.int32)
         at_root = src == 0
         first[sym[at_root]] = dst[at_root]
-        out = np.broadcast_to(first * 2 + 1, (n, self.width)).copy()
-        out[src, sym] = dst * 2
-        out[0] = first * 2 + 1  # at the start every symbol begins a phrase
-        return out.ravel()
-
-    def tables(self) -> list[np.ndarray]:
+        first = first * 2 + 1
+        w = self.dense
+        common = sym < w
+        out = np.broadcast_to(first[:w], (n, w)).copy()
+        out[src[common], sym[common]] = dst[common] * 2
+        out[0] = first[:w]  # at the start every symbol begins a phrase
+        rare = ~common & ~at_root
+        key = src[rare].astype(np.int64) * self.width + sym[rare]
+        order = np.argsort(key)
+        return out.ravel(), key[order], dst[rare][order] * 2, first
+
+    def tables(self) -> list[tuple]:
         if self._ready is None:
             self._ready = [self.table(k) for k in self.langs]
         return self._ready
 
+    def advance(self, table: tuple, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        dense, keys, values, first = table
+        if self.dense == self.width:
+            return dense[state * self.width + symbol]
+        common = symbol < self.dense
+        got = dense[state * self.dense + np.where(common, symbol, 0)]
+        at = np.flatnonzero(~common)
+        if len(at):
+            key = state[at] * self.width + symbol[at]
+            place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            met = keys[place] == key if len(keys) else np.zeros(len(at), bool)
+            got[at] = np.where(met, values[place] if len(keys) else 0, first[symbol[at]])
+        return got
+
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_ready": None}
 
@@ -141,7 +195,7 @@ class Model:
             whose = np.array([owner[j] for j in order[lo : lo + LANES]])
             sizes = np.array([len(p) for p in part])
             most = int(sizes[0])
-            grid = np.zeros((most, len(part)), dtype=np.uint16)
+            grid = np.zeros((most, len(part)), dtype=np.int64 if self.width > 30_000 else np.int16)
             for j, p in enumerate(part):
                 grid[: len(p), j] = self.symbol[p]
             live = np.searchsorted(-sizes, -np.arange(most), side="left")  # lanes longer than step
@@ -150,25 +204,31 @@ class Model:
                 count = np.zeros(len(part), dtype=np.int64)
                 for step in range(most):
                     k = live[step]
-                    got = table[state[:k] * self.width + grid[step, :k]]
+                    got = self.advance(table, state[:k], grid[step, :k])
                     count[:k] += got & 1
                     state[:k] = got >> 1
                 np.add.at(out[:, n], whose, count)
         return out
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score: how much of the runner-up's phrases the winner saves (0 to 1)."""
+    def bits(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Bits that each document (rows) costs against each language (columns)."""
+        return self.phrases(docs) * np.log2([self.size[k] for k in self.langs])
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Language, score (how much of the runner-up's bits the winner saves, 0 to 1), and whether the text is like that language."""
         docs = [letters(t or "") for t in texts]
-        count = self.phrases(docs)
+        cost = self.bits(docs) if self.langs else np.zeros((len(docs), 0))
         out = []
-        for d, row in zip(docs, count, strict=True):
+        for d, row in zip(docs, cost, strict=True):
             if not len(d) or not self.langs or (len(d) == 1 and d[0] == 32):
-                out.append(("und", 0.0))
+                out.append(("und", 0.0, False))
                 continue
             best = int(np.argmin(row))  # ties: the first by name
             rest = np.delete(row, best)
             score = 1.0 if not len(rest) else float(1 - row[best] / rest.min())
-            out.append((self.langs[best], score))
+            # a short text costs up to one phrase more
+            own = row[best] - np.log2(self.size[self.langs[best]]) <= FOREIGN * self.usual[self.langs[best]] * len(d)
+            out.append((self.langs[best], score, bool(own)))
         return out
 
 
@@ -197,7 +257,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     texts: dict[str, list[str]] = {k: [] for k in sizes}
     for r in sorted(rows, key=lambda r: (r["l"], r["i"])):
         texts[r["l"]].append(r["t"])
-    return Model({k: " ".join(v)[:SAMPLE_CHARS] for k, v in texts.items() if v})
+    most = min(SAMPLE_CHARS, SAMPLES // len(sizes))
+    return Model({k: " ".join(v)[:most] for k, v in texts.items() if v})
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -210,36 +271,56 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
     return label(ids, model, "text").select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-def label(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "_lang", score_out: str = "_score") -> DataFrame:
-    """All columns of ``docs``, and ``lang_out`` and ``score_out``, which replace columns of these names."""
+def _together(batch: pa.RecordBatch, at_text: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about TOGETHER letters, at least a row each."""
+    lo = held = 0
+    for i, t in enumerate(batch.column(at_text)):
+        size = len(t.as_py()) if t.is_valid else 0
+        if i > lo and held + size > TOGETHER:
+            yield batch.slice(lo, i - lo)
+            lo, held = i, 0
+        held += size
+    yield batch.slice(lo)
+
+
+def label(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "_lang", score_out: str = "_score", known_out: str = "_known") -> DataFrame:
+    """All columns of ``docs``, and ``lang_out``, ``score_out`` and ``known_out`` (whether the text is like the language at all), which
+    replace columns of these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop(lang_out, score_out)
+    docs = docs.drop(lang_out, score_out, known_out)
     names = docs.columns
     at_text = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                got = m.predict(batch.column(at_text).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *batch.columns,
-                        pa.array([x for x, _ in got], pa.string()),
-                        pa.array([s for _, s in got], pa.float64()),
-                    ],
-                    names=[*names, lang_out, score_out],
-                )
+        for batch in (x for b in batches for x in _together(b, at_text)):
+            got = m.predict(batch.column(at_text).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns,
+                    pa.array([x for x, _, _ in got], pa.string()),
+                    pa.array([s for _, s, _ in got], pa.float64()),
+                    pa.array([k for _, _, k in got], pa.bool_()),
+                ],
+                names=[*names, lang_out, score_out, known_out],
+            )
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{lang_out}` string", f"`{score_out}` double"]))
+    return docs.mapInArrow(run, ", ".join([*fields, f"`{lang_out}` string", f"`{score_out}` double", f"`{known_out}` boolean"]))
 
 
-def known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is not ``und``, with their columns as they were."""
+def known(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", languages: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` in a learned language (one of ``languages``, if given), with their columns.
+
+    Rejected are texts without a letter, null ones among them, and those that cost FOREIGN times the bits a letter of their
+    best language's own text, as random letters or an unlearned language do. The column ``lang``, where there is one, gets the predicted language
+    where it is null. Repeated rows are judged alike, a row's other columns don't matter, and an empty table stays empty.
+    """
     taken = {c.lower() for c in docs.columns}
-    lang, score = "_lang", "_score"
-    while lang in taken or score in taken:
-        lang, score = "_" + lang, "_" + score
-    return label(docs, model, text, lang, score).where(F.col(lang) != "und").select(*docs.columns)
+    out = ["_lang", "_score", "_known"]
+    while taken & set(out):
+        out = ["_" + x for x in out]
+    got = label(docs, model, text, *out)
+    good = F.col(out[2]) if languages is None else F.col(out[2]) & F.col(out[0]).isin(languages)
+    filled = [F.coalesce(F.col(f"`{c}`"), F.col(out[0])).alias(c) if c == lang else F.col(f"`{c}`") for c in docs.columns]
+    return got.where(good).select(*filled)

@@ -100,6 +100,43 @@ def test_language_accuracy(spark, tiny):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_sparse_edges_parse_alike(monkeypatch):
+    texts = {"x": "the cat sat on the mat and the hat " * 3, "y": "der hund und die katze im haus"}
+    docs = [language_id.letters(t) for t in ("the hat and der dog", "hund im haus zz \u00e9", "quick", "the cat " * 200)]
+    want = language_id.Model(texts).phrases(docs).tolist()
+    for entries in (1, 300, 1000):
+        monkeypatch.setattr(language_id, "DENSE", entries)
+        assert language_id.Model(texts).phrases(docs).tolist() == want
+
+
+def test_a_large_alphabet_takes_little_memory():
+    rng = np.random.default_rng(7)
+    han = "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 4000, 60_000)))
+    model = language_id.Model({"zh": han, "en": "the quick brown fox jumps over the lazy dog " * 1400})
+    for table in model.tables():
+        assert sum(part.nbytes for part in table) < 100e6
+    assert [x[0] for x in model.predict([han[500:900], "a lazy fox jumps"])] == ["zh", "en"]
+
+
+def test_phrases_are_normalised_by_the_length_of_the_sample():
+    """A language with a short sample needs more phrases, each of fewer bits."""
+    model = language_id.Model({"a": "abcd " * 3, "b": "abce " * 3000})
+    d = [language_id.letters("abcd abcd abce abce")]
+    n, bits = model.phrases(d)[0], model.bits(d)[0]
+    assert bits.tolist() == pytest.approx([n[0] * math.log2(15), n[1] * math.log2(15_000)])
+
+
+def test_foreign_text_is_rejected(spark, tiny):
+    df = spark.read.parquet(f"{tiny.replace('0.001', '0.01')}/documents.parquet")
+    model = language_id.train(df)
+    rng = np.random.default_rng(1)
+    random_letters = "".join(chr(97 + x) if x < 26 else " " for x in rng.integers(0, 31, 3000))
+    odd = spark.createDataFrame([(1, random_letters, None), (2, df.where("lang = 'de'").first().text, None), (3, "5 + 5", "en"), (4, None, "en")], "doc_id long, text string, lang string")
+    assert [(r.doc_id, r.lang) for r in language_id.known(odd, model).collect()] == [(2, "de")]
+    assert not language_id.known(odd, model, languages=["en"]).collect()
+    assert language_id.known(df, model).count() >= 0.98 * df.count()
+
+
 def test_language_edges(spark):
     df = spark.createDataFrame(EDGE, SCHEMA)
     model = language_id.Model({"en": "words of one long no id", "fr": "quelque chose"})
