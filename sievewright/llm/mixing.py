@@ -70,16 +70,20 @@ def mix(
     seed: int = SEED,
     source: str = "source",
     doc_id: str = "doc_id",
+    text: str | None = "text",
 ) -> DataFrame:
     """Documents repeated to the target weights and shuffled globally.
 
     Returns the input's columns and ``copy_no`` (0-based), ``rate``, ``place`` (the position
-    in the order, in (0, 1)). ``weights`` maps sources to shares (default: equal); a source that it
+    in the order, in (0, 1)); a name that the input has already gets underscores in front. ``weights`` maps sources to shares (default: equal); a source that it
     lacks gets none. ``total`` is the expected number of copies (default: that of the rows). A null source
-    is a source of its own. The draw hashes doc_id and text, so rows that repeat both draw alike, and a null doc_id draws by
-    its text. Empty tables give empty results. The input must have no columns of these three names; they'd be replaced.
+    is a source of its own. The draw hashes doc_id and text (or, with ``text=None``, the id alone), so rows that repeat both draw alike, and a null doc_id draws by
+    its text. Empty tables give empty results.
     """
-    columns = [c for c in docs.columns if c not in ("copy_no", "rate", "place")]
+    columns, taken = docs.columns, {c.lower() for c in docs.columns}
+    added = ["copy_no", "rate", "place"]
+    while taken & set(added):
+        added = [c if c not in taken else "_" + c for c in added]
     rates = source_rates(docs, weights, source, total).withColumn("_parts", F.ceil(F.greatest("rate", F.lit(0.001)) / MAX_RATE))
     rates = rates.withColumn("_cdf", poisson_cdf(F.col("rate") / F.col("_parts")))
     if rates.count() <= MAX_BROADCAST:
@@ -88,7 +92,7 @@ def mix(
     base = docs.select(F.struct(*columns).alias("row"))
     at = {c: F.col("row")[c] for c in columns}
     with_rate = base.join(rates, at[source].eqNullSafe(rates["_source"]))
-    key = [F.lit(seed), at[doc_id]] + ([at["text"]] if "text" in columns else [])
+    key = [F.lit(seed), at[doc_id]] + ([at[text]] if text is not None else [])
     parts = F.transform(
         F.sequence(F.lit(1), F.col("_parts").cast("int")),
         lambda j: F.size(F.filter(F.col("_cdf"), lambda c: c < uniform(*key, j))),
@@ -97,11 +101,9 @@ def mix(
     copies = with_rate.withColumn("_n", n).where("_n > 0")
     copies = copies.select("row", "rate", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy_no"))
     copies = copies.withColumn("place", uniform(F.lit(seed + 1), at[doc_id], F.col("copy_no"), F.xxhash64(*key)))
-    copies = copies.select("row.*", "copy_no", "rate", "place")
     parts_out = width(docs.sparkSession)
     return (
         copies.repartitionById(parts_out, F.floor(F.col("place") * parts_out).cast("int"))
-        .sortWithinPartitions("place", doc_id, "copy_no")
-        .select(*columns, "copy_no", "rate", "place")
+        .sortWithinPartitions("place", F.col("row")[doc_id], "copy_no")
+        .select(*[at[c].alias(c) for c in columns], *[F.col(c).alias(new) for c, new in zip(["copy_no", "rate", "place"], added, strict=True)])
     )
-
