@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages, each written as Parquet and read again by the next.
 
-Language ID rejects documents without a language, exact dedup and SimHash near-dedup keep
+Language ID rejects documents of no learned language, exact dedup and SimHash near-dedup keep
 one document of each group, mixing repeats documents to equal shares of the sources, and byte-level BPE encodes what is left.
+
+Every stage takes null and repeated ids, null and empty texts, wholly repeated rows, extra columns of any name, and empty tables.
 """
 
 from __future__ import annotations
@@ -16,27 +18,40 @@ from sievewright.llm.queries import tokenizer
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language; those without a letter (``und``) go. All columns of documents."""
+    """Documents of a learned language. All columns of documents; a null ``lang`` gets the predicted one.
+
+    Documents without a letter (null and empty texts among them) go, and those that are like no language: mixtures, random letters.
+    Repeated rows are judged alike; nulls in other columns don't matter. If nothing is labelled, all go.
+    """
     return language_id.known(docs, language_id.train(docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id. All columns of documents."""
+    """Of equal texts exactly one row, that of the largest doc_id (null last, ties by a hash of the row). All columns of documents.
+
+    A null text equals an empty one.
+    """
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each SimHash component. All columns of documents."""
+    """Of each SimHash component exactly one row, that of the smallest doc_id (null last, ties by a hash of the row). All columns of documents.
+
+    Texts without a word, null ones among them, are one component.
+    """
     return simhash.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that sources have equal shares, shuffled. All columns of documents."""
+    """Documents repeated so that sources have equal shares, shuffled. All columns of documents.
+
+    A null source is a source of its own. Rows that repeat doc_id and text draw the same number of copies.
+    """
     return mixing.mix(docs).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_tokens, ids_sha256, decoded_sha256, token_ids of every copy."""
+    """doc_id, source, lang, n_tokens, ids_sha256, decoded_sha256, token_ids of every copy. A null text has no tokens."""
     ranks, pattern = tokenizer()
     return byte_bpe.encode_documents(docs, ranks, pattern, keep=["doc_id", "source", "lang"])
 
