@@ -35,7 +35,7 @@ RATE = 0.5
 #: Each round of training looks at one in so many positions of every document, another one each; with as many
 #: rounds as positions, all are seen once.
 STRIDE = ROUNDS
-BATCH = 2048
+BATCH = 4096
 #: Tokens of a shard, about.
 SHARD = 1 << 20
 _SEED = 5
@@ -189,6 +189,28 @@ def contexts(ids: np.ndarray) -> np.ndarray:
     return np.stack([pad[k : k + len(ids)] + n * v for n, k in enumerate(places)], axis=1)
 
 
+#: Rows of a matrix product that BLAS still does in the calling thread; more would wake threads that cost more than they save.
+_ROWS = 512
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b``, by pieces of _ROWS rows of ``a``."""
+    n = len(a) - len(a) % _ROWS
+    if not n:
+        return a @ b
+    head = (a[:n].reshape(-1, _ROWS, a.shape[1]) @ b).reshape(n, b.shape[1])
+    return np.concatenate([head, a[n:] @ b]) if n < len(a) else head
+
+
+def _sum_times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a.T @ b``, by pieces of _ROWS rows of both."""
+    n = len(a) - len(a) % _ROWS
+    out = a[n:].T @ b[n:]
+    if n:
+        out = out + (a[:n].reshape(-1, _ROWS, a.shape[1]).transpose(0, 2, 1) @ b[:n].reshape(-1, _ROWS, b.shape[1])).sum(axis=0)
+    return out
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
@@ -206,13 +228,13 @@ def log_probabilities(flat: np.ndarray, ctx: np.ndarray, target: np.ndarray) ->
         order = np.argsort(t % CLASSES, kind="stable")
         h, t = np.tanh(h)[order], t[order]
         cls, inner = t % CLASSES, t // CLASSES
-        z = h @ wc + bc
+        z = _times(h, wc) + bc
         got = z[np.arange(len(t)), cls] - _log_sum(z)
         edge = np.searchsorted(cls, np.arange(CLASSES + 1))
         for k in range(CLASSES):
             at = slice(edge[k], edge[k + 1])
             if at.start != at.stop:
-                z = h[at] @ ww[k] + bw[k]
+                z = _times(h[at], ww[k]) + bw[k]
                 got[at] += z[np.arange(len(z)), inner[at]] - _log_sum(z)
         out[lo + order] = got
     return out
@@ -239,21 +261,21 @@ def step(flat: np.ndarray, ctx: np.ndarray, target: np.ndarray, rate: float = RA
     h, ctx, target = h[order], ctx[order], target[order]
     cls, inner = target % CLASSES, target // CLASSES
     edge = np.searchsorted(cls, np.arange(CLASSES + 1))
-    g = -_softmax(h @ wc + bc)
+    g = -_softmax(_times(h, wc) + bc)
     g[np.arange(n), cls] += 1
     g /= n
-    dh = g @ wc.T
+    dh = _times(g, wc.T)
     for k in range(CLASSES):
         at = slice(edge[k], edge[k + 1])
         if at.start == at.stop:
             continue
-        d = -_softmax(h[at] @ ww[k] + bw[k])
+        d = -_softmax(_times(h[at], ww[k]) + bw[k])
         d[np.arange(len(d)), inner[at]] += 1
         d /= n
-        dh[at] += d @ ww[k].T
-        ww[k] += rate * pace[3] * (h[at].T @ d)
+        dh[at] += _times(d, ww[k].T)
+        ww[k] += rate * pace[3] * _sum_times(h[at], d)
         bw[k] += rate * pace[4] * d.sum(axis=0)
-    wc += rate * pace[1] * (h.T @ g)
+    wc += rate * pace[1] * _sum_times(h, g)
     bc += rate * pace[2] * g.sum(axis=0)
     dz = (dh * (1 - h * h) * (rate * pace[0])).astype(flat.dtype)
     for k in range(ctx.shape[1]):
