@@ -17,6 +17,7 @@ two-level softmax: a class, then the token in the class. Token and class tables
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,11 @@ DIM = 16
 CLASSES = 32
 PER_CLASS = 32
 ROUNDS = 2
-RATE = 0.5
+RATE = 0.8
 #: Each round of training looks at one in so many positions of every document, another one each; with as many
 #: rounds as positions, all are seen once.
 STRIDE = ROUNDS
-BATCH = 4096
+BATCH = 8192
 #: Tokens of a shard, about.
 SHARD = 1 << 20
 _SEED = 5
@@ -46,6 +47,7 @@ BUCKETS = 256
 RARE = SIZE - BUCKETS
 #: Spelling: a word ends with END, a byte that none holds; the byte before the last counts by its low five bits.
 END, OLDER = 32, 33
+CELLS = OLDER * 256 * 256
 #: How many occurrences the shorter context weighs.
 BACK = 4.0
 
@@ -59,25 +61,25 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     source = docs.select(F.col(text).alias("_text_")).where(F.col("_text_").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
+        held: Counter[str] = Counter()
         for batch in batches:
             for t in batch.column(0):
-                for w in words(t.as_py()):
-                    held[w] = held.get(w, 0) + 1
+                held.update(words(t.as_py()))
             if len(held) > 200_000:
                 yield _counts(held)
-                held = {}
+                held = Counter()
         if held:
             yield _counts(held)
 
     return source.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def top_words(counted: DataFrame) -> tuple[list[str], int]:
-    """The most frequent words of the whole corpus (ties by name), at most ``RARE - 1``, and the number of all words."""
+def top_words(counted: DataFrame) -> tuple[list[str], np.ndarray, int]:
+    """The most frequent words of the whole corpus (ties by name), at most ``RARE - 1``, how often each occurs, and the number of all words."""
     rows = counted.orderBy(F.col("n").desc(), "word").limit(RARE).collect()
     total = sum(r["n"] for r in rows if r["word"] is None)
-    return [r["word"] for r in rows if r["word"] is not None][: RARE - 1], total
+    top = [r for r in rows if r["word"] is not None][: RARE - 1]
+    return [r["word"] for r in top], np.array([r["n"] for r in top], np.int64), total
 
 
 def _counts(held: dict[str, int]) -> pa.RecordBatch:
@@ -96,12 +98,12 @@ def _spelled(rare: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (older * 256 + last) * 256 + data[1:], np.flatnonzero(last == END)
 
 
-def spelling(counted: DataFrame, vocab: list[str]) -> np.ndarray:
-    """Log-probabilities of a byte given the two before it, flat, from all words that aren't in ``vocab``."""
+def spelling(counted: DataFrame, vocab: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of a byte given the two before it, flat, from all words that aren't in ``vocab``, and how often each group of them occurs."""
     known = counted.sparkSession.sparkContext.broadcast(set(vocab))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(OLDER * 256 * 256, np.int64)
+        held, heads = np.zeros(CELLS + BUCKETS, np.int64), Heads()
         for batch in batches:
             rows = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in known.value]
             if rows:
@@ -109,15 +111,18 @@ def spelling(counted: DataFrame, vocab: list[str]) -> np.ndarray:
                 often = np.repeat(np.array([n for _, n in rows]), np.diff(np.append(start, len(cells))))
                 at, back = np.unique(cells, return_inverse=True)
                 held[at] += np.bincount(back, often).astype(np.int64)
+                group = np.array([heads[w[:2]] - RARE for w, _ in rows])
+                held[CELLS:] += np.bincount(group, [n for _, n in rows], BUCKETS).astype(np.int64)
         at = np.flatnonzero(held)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["cell", "n"])
 
     found = counted.where(F.col("word").isNotNull()).select("word", "n").mapInArrow(count, "cell bigint, n bigint")
     rows = found.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most one row a cell
-    seen = np.zeros(OLDER * 256 * 256)
+    seen = np.zeros(CELLS + BUCKETS)
     seen[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    seen = seen.reshape(OLDER, 256, 256)
+    groups = seen[CELLS:].astype(np.int64)
+    seen = seen[:CELLS].reshape(OLDER, 256, 256)
     pair = seen.sum(axis=0)
     one = pair.sum(axis=0)
     one = (one + 1) / (one.sum() + 256)
@@ -125,7 +130,7 @@ def spelling(counted: DataFrame, vocab: list[str]) -> np.ndarray:
     total = seen.sum(axis=2, keepdims=True)
     seen += BACK * pair
     seen /= total + BACK
-    return np.log(seen).astype(np.float32).ravel()
+    return np.log(seen).astype(np.float32).ravel(), groups
 
 
 def _bucket(head: bytes) -> int:
@@ -293,17 +298,20 @@ class Model:
         self.flat = initial()
 
     def reader(self):
-        """A function of a text that gives its ids and the log-probability of all its rare words' spelling in their groups."""
+        """A function of texts that gives the ids of each and the log-probability of all its rare words' spelling in their groups."""
         get, heads = {w: i + 1 for i, w in enumerate(self.vocab)}.get, Heads()
 
-        def read(text: str | None) -> tuple[np.ndarray, float]:
-            w = words(text)
-            ids = np.fromiter((get(x) or heads[x[:2]] for x in w), np.int16, len(w))
-            at = np.flatnonzero(ids >= RARE)
-            if not len(at):
-                return ids, 0.0
-            each = spelling_log_probabilities(self.table, [w[i] for i in at])
-            return ids, float(each.sum() - self.groups[ids[at] - RARE].sum())
+        def read(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+            split = [words(t) for t in texts]
+            ids = [np.fromiter((get(x) or heads[x[:2]] for x in w), np.int16, len(w)) for w in split]
+            rare = [np.flatnonzero(i >= RARE) for i in ids]
+            spelled = np.zeros(len(ids))
+            full = [k for k, at in enumerate(rare) if len(at)]
+            if full:
+                each = spelling_log_probabilities(self.table, [split[k][i] for k in full for i in rare[k]])
+                each -= self.groups[np.concatenate([ids[k][rare[k]] for k in full]) - RARE]
+                spelled[full] = np.add.reduceat(each, np.cumsum([0, *(len(rare[k]) for k in full[:-1])]))
+            return ids, spelled
 
         return read
 
@@ -320,11 +328,11 @@ def _tokens(docs: DataFrame, model: Model, text: str, doc_id: str, shards: int)
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                got = [read(t.as_py()) for t in batch.column(2)]
+                ids, spelled = read(batch.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0), batch.column(1), pa.array([len(i) for i, _ in got], pa.int64()),
-                        pa.array([s for _, s in got], pa.float64()), pa.array([i.tobytes() for i, _ in got], pa.binary()),
+                        batch.column(0), batch.column(1), pa.array([len(i) for i in ids], pa.int64()),
+                        pa.array(spelled), pa.array([i.tobytes() for i in ids], pa.binary()),
                     ],
                     names=["doc_id", "place", "n", "spelled", "ids"],
                 )
@@ -403,31 +411,14 @@ def _train(tokens: DataFrame, flat: np.ndarray, turn: int, stride: int) -> tuple
     return n, (np.frombuffer(total["w"][0].as_py()) / n).astype(np.float32)
 
 
-def frequencies(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(SIZE, np.int64)
-        for batch in batches:
-            for row in batch.column(0):
-                if row.is_valid:
-                    held += np.bincount(np.frombuffer(row.as_buffer(), np.int16), minlength=SIZE)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE)), pa.array(held)], names=["id", "n"])
-
-    rows = tokens.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(SIZE, np.int64)
-    for r in rows:
-        out[r["id"]] = r["n"]
-    return out
-
-
 def prepare(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shard: int = SHARD) -> tuple[Model, DataFrame]:
     """The untrained model, its biases at the frequencies, and the tokens of all documents."""
     counted = cut(word_counts(docs, text))
-    vocab, total = top_words(counted)
-    model = Model(vocab, spelling(counted, vocab))
+    vocab, often, total = top_words(counted)
+    table, groups = spelling(counted, vocab)
+    model = Model(vocab, table)
+    model.flat = initial(np.concatenate([[0], often, np.zeros(RARE - 1 - len(often)), groups]))
     tokens = cut(_tokens(docs, model, text, doc_id, max(1, -(-total // shard))))
-    model.flat = initial(frequencies(tokens))
     return model, tokens
 
 

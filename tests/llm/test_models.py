@@ -193,10 +193,14 @@ def test_lm_learns_and_scores(spark, tiny):
     model, _ = masked_lm.train(df)
     counts = Counter(w for r in df.collect() for w in masked_lm.words(r.text))
     assert model.vocab == sorted(counts, key=lambda w: (-counts[w], w.encode()))[:767]
-    often = masked_lm.frequencies(tokens)
-    assert often.sum() == sum(counts.values()) and list(often[1:768]) == [counts[w] for w in model.vocab] and not often[0]
+    counted = masked_lm.word_counts(df)
+    vocab, often, n_words = masked_lm.top_words(counted)
+    groups = masked_lm.spelling(counted, vocab)[1]
+    assert vocab == model.vocab and often.tolist() == [counts[w] for w in vocab] and n_words == sum(counts.values())
+    want = Counter(masked_lm._bucket(w.encode()[:2]) for w in counts.keys() - set(vocab) for _ in range(counts[w]))
+    assert dict(enumerate(groups.tolist())) == {g: want[g] for g in range(256)}
     total = lambda m: sum(r.log_likelihood for r in masked_lm.score(tokens, m).collect())
-    assert total(model) - total(plain) > 0.01 * often.sum()  # neighbours tell more than frequencies
+    assert total(model) - total(plain) > 0.01 * n_words  # neighbours tell more than frequencies
     got = {r.doc_id: r for r in masked_lm.score(masked_lm.tokens_of(spark.createDataFrame(EDGE, SCHEMA), model), model).collect()}
     assert got[2].n_tokens == 0 and got[2].score is None and got[3].log_likelihood == 0 and got[5].n_tokens == 40_000
     assert not masked_lm.pseudo_likelihood(df.limit(0)).collect()
@@ -248,7 +252,7 @@ def test_lm_spells_rare_words(spark, tiny):
     group = masked_lm._bucket(b"zq")
     pairs = [(a, b) for a in range(256) for b in range(256) if a != 32 and masked_lm._bucket(bytes([a, b])) == group]
     mass = sum(p(32, 32, a) * p(32, a, b) for a, b in pairs)
-    ids, spelled = model.reader()(f"{model.vocab[0]} zqxj")
+    ids, spelled = (x[0] for x in model.reader()([f"{model.vocab[0]} zqxj", None]))
     assert ids.tolist() == [1, masked_lm.RARE + group]
     assert spelled == pytest.approx(masked_lm.spelling_log_probabilities(model.table, ["zqxj"])[0] - math.log(mass), abs=1e-3)
     known = max(rare, key=lambda w: (counts[w], w))
