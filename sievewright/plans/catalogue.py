@@ -13,15 +13,13 @@ from pyspark.sql import functions as F
 from sievewright.functions import confidence, fields, forms, guards, similarity, skills
 from sievewright.functions import text as texts
 from sievewright.operators import audit, generator, matching, profiles, runlog, runner, scoring
-from sievewright.session import table
+from sievewright.session import spread, table
 from sievewright.sources import fetched, files, pages, pdf
 from sievewright.streaming import runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 PLANT = ["Python", "JavaScript", "Java", "C++", "ci/cd", "scikit-learn", "k8s", "Excellent", "Golang", "a/b testing"]
-#: Each table is one file here; regular expressions deserve more tasks than files.
-SPREAD = 32
 c = F.col
 
 
@@ -40,7 +38,7 @@ def _word(id_: str, a: int, b: int) -> Column:
 
 
 def planted_documents(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "documents").repartition(SPREAD, "doc_id")
+    df = spread(table(spark, d, "documents"))
     return df.withColumn("text", F.concat_ws(" ", "text", _word("doc_id", 7, 0), _word("doc_id", 3, 1)))
 
 
@@ -100,16 +98,10 @@ def skill_overlap_topk(spark, d):
     return matching.top_k(_shared(spark, d), ["cand_id"], [c("overlap").desc(), "post_id"], 3).select("cand_id", "post_id", "overlap", "rank")
 
 
-@query(_PAIRS + """ SELECT h.doc_id AS cand_id, h.item_id AS post_id, matched,
-  (SELECT coalesce(string_agg(b.canon, '|' ORDER BY b.canon), '') FROM bs b WHERE b.item_id = h.item_id AND b.canon NOT IN (SELECT canon FROM ds s WHERE s.doc_id = h.doc_id)) AS missing
-FROM hit h WHERE h.item_id % 4 = 0""")
+@query(_PAIRS + """, every AS (SELECT item_id, list(canon ORDER BY canon) AS l FROM bs GROUP BY 1)
+SELECT doc_id AS cand_id, item_id AS post_id, matched, array_to_string(list_filter(l, lambda x : NOT list_contains(string_split(matched, '|'), x)), '|') AS missing
+FROM hit JOIN every USING (item_id)""")
 def matched_missing(spark, d):
-    return matched_missing_all(spark, d).where("post_id % 4 = 0")
-
-
-@query()
-def matched_missing_all(spark, d):
-    """Of every posting; ``matched_missing`` and its SQL keep those whose id is a multiple of four."""
     df = _shared(spark, d)
     return df.select("cand_id", "post_id", _joined("matched").alias("matched"), _joined(F.array_sort(F.array_except("post_skills", "matched"))).alias("missing"))
 
@@ -175,16 +167,16 @@ def _sanitize_sql() -> str:
     clean = "trim(regexp_replace(regexp_replace(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
     return (
         f"WITH {base}, {', '.join(steps)}, k AS (SELECT doc_id, n, h, {clean} AS t FROM {last}) "
-        "SELECT doc_id, n AS input_chars, h AS injection_hits, least(length(t), 2000) AS sent_chars, length(t) > 2000 AS truncated, substr(sha256(t[:2000]), 1, 8) AS sha256_8 FROM k"
+        f"SELECT doc_id, n AS input_chars, h AS injection_hits, least(length(t), {runner.MAX_CHARS}) AS sent_chars, length(t) > {runner.MAX_CHARS} AS truncated, substr(sha256(t[:{runner.MAX_CHARS}]), 1, 8) AS sha256_8 FROM k"
     )
 
 
 @query(_sanitize_sql())
 def sanitize_report(spark, d):
-    df = table(spark, d, "documents").select("doc_id", F.when(c("doc_id") % 3 == 0, F.concat("text", F.lit(" " + _HIJACK))).otherwise(c("text")).alias("t")).repartition(SPREAD, "doc_id")
+    df = spread(table(spark, d, "documents")).select("doc_id", F.when(c("doc_id") % 3 == 0, F.concat("text", F.lit(" " + _HIJACK))).otherwise(c("text")).alias("t"))
     clean, hits = texts.neutralise(c("t"))
     df = df.select("doc_id", F.char_length("t").cast("bigint").alias("input_chars"), hits.cast("bigint").alias("injection_hits"), texts.collapse_whitespace(clean).alias("t"))
-    cut, over = texts.cap_length(c("t"), 2000)
+    cut, over = texts.cap_length(c("t"), runner.MAX_CHARS)
     return df.select("doc_id", "input_chars", "injection_hits", F.char_length(cut).cast("bigint").alias("sent_chars"), over.alias("truncated"), texts.hash8(cut).alias("sha256_8"))
 
 
@@ -248,28 +240,11 @@ def _terms_sql(src: str, id_: str) -> str:
 @query(f"""WITH {_DOCS}, {_BENCH},
 a AS (SELECT doc_id, term, count(*) AS tf FROM {_terms_sql('pd', 'doc_id')} GROUP BY 1, 2),
 b AS (SELECT item_id, term, count(*) AS tf FROM {_terms_sql('pb', 'item_id')} GROUP BY 1, 2),
-m AS (SELECT d.doc_id, i.item_id FROM documents d JOIN benchmark i ON d.doc_id % 40 = i.item_id),
-x AS (SELECT m.doc_id, m.item_id, sum(a.tf * b.tf) AS dot, sum(a.tf * a.tf) AS sa, sum(b.tf * b.tf) AS sb FROM m JOIN a USING (doc_id) JOIN b ON b.item_id = m.item_id AND b.term = a.term GROUP BY 1, 2),
+x AS (SELECT doc_id, item_id, sum(a.tf * b.tf) AS dot, sum(a.tf * a.tf) AS sa, sum(b.tf * b.tf) AS sb FROM a JOIN b USING (term) GROUP BY 1, 2),
 na AS (SELECT doc_id, sum(tf * tf) AS q FROM a GROUP BY 1), nb AS (SELECT item_id, sum(tf * tf) AS q FROM b GROUP BY 1)
-SELECT m.doc_id, m.item_id, round(coalesce(dot / sqrt((sa + pow(1 + ln(1.5), 2) * (na.q - sa)) * (sb + pow(1 + ln(1.5), 2) * (nb.q - sb))), 0), 6) AS cosine
-FROM m LEFT JOIN x USING (doc_id, item_id) LEFT JOIN na USING (doc_id) LEFT JOIN nb ON nb.item_id = m.item_id""")
+SELECT doc_id, item_id, round(dot / sqrt((sa + pow(1 + ln(1.5), 2) * (na.q - sa)) * (sb + pow(1 + ln(1.5), 2) * (nb.q - sb))), 6) AS cosine
+FROM x JOIN na USING (doc_id) JOIN nb USING (item_id)""")
 def tfidf_pair_cosine(spark, d):
-    docs = similarity.with_term_counts(planted_documents(spark, d).select("doc_id", "text", (c("doc_id") % 40).alias("item_id")), "text", "a").drop("text")
-    items = similarity.with_term_counts(planted_benchmark(spark, d), "text", "b").drop("text")
-    return docs.join(items, "item_id").select("doc_id", "item_id", F.round(similarity.pair_cosine(c("a"), c("b")), 6).alias("cosine"))
-
-
-@query("""WITH w AS (SELECT doc_id, item_id, list_distinct(list_filter(regexp_split_to_array(lower(d.text), '\\s+'), lambda x : x <> '')) AS a,
- list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\\s+'), lambda x : x <> '')) AS b FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
-SELECT doc_id, item_id, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) AS jaccard FROM w""")
-def jaccard_pairs(spark, d):
-    docs = table(spark, d, "documents").repartition(SPREAD, "doc_id").withColumn("item_id", c("doc_id") % 40)
-    items = table(spark, d, "benchmark").withColumnRenamed("text", "other")
-    return docs.join(items, "item_id").select("doc_id", "item_id", F.round(similarity.jaccard(c("text"), c("other")), 6).alias("jaccard"))
-
-
-@query()
-def tfidf_pair_cosine_all(spark, d):
     """All pairs that share a term; the others score 0."""
     docs = matching.with_features(planted_documents(spark, d), "doc_id", "text", "cand")
     items = matching.with_features(planted_benchmark(spark, d), "item_id", "text", "post")
@@ -281,20 +256,29 @@ def tfidf_pair_cosine_all(spark, d):
     return df.select(c("cand_id").alias("doc_id"), c("post_id").alias("item_id"), F.round(c("dot") / F.sqrt(norm("own_a", "_qa") * norm("own_b", "_qb")), 6).alias("cosine"))
 
 
-@query()
-def jaccard_pairs_all(spark, d):
+@query("""WITH a AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM benchmark),
+na AS (SELECT doc_id, count(*) AS n FROM a WHERE word <> '' GROUP BY 1), nb AS (SELECT item_id, count(*) AS n FROM b WHERE word <> '' GROUP BY 1),
+k AS (SELECT doc_id, item_id, count(*) AS k FROM a JOIN b USING (word) WHERE word <> '' GROUP BY 1, 2)
+SELECT doc_id, item_id, round(k / (na.n + nb.n - k), 6) AS jaccard FROM k JOIN na USING (doc_id) JOIN nb USING (item_id)""")
+def jaccard_pairs(spark, d):
     """All pairs that share a word; the others score 0."""
 
     def words(df, id_, n):
         split = df.select(id_, F.explode_outer(F.split(F.lower("text"), r"(?U)\s+")).alias("word")).where("word <> ''").distinct()
         return split, split.groupBy(id_).agg(F.count("*").alias(n))
 
-    a, na = words(table(spark, d, "documents").repartition(SPREAD, "doc_id"), "doc_id", "n")
+    a, na = words(spread(table(spark, d, "documents")), "doc_id", "n")
     b, nb = words(table(spark, d, "benchmark"), "item_id", "m")
     df = a.join(b, "word").groupBy("doc_id", "item_id").agg(F.count("*").alias("k")).join(na, "doc_id").join(nb, "item_id")
     return df.select("doc_id", "item_id", F.round(c("k") / (c("n") + c("m") - c("k")), 6).alias("jaccard"))
 
 
+# names under which the whole pairs were registered before they became the queries themselves
+for _whole in ("matched_missing", "tfidf_pair_cosine", "jaccard_pairs"):
+    QUERIES[f"{_whole}_all"], ORACLES[f"{_whole}_all"] = QUERIES[_whole], ORACLES[_whole]
+
+
 @query(f"""WITH t AS (SELECT item_id, term, count(*) AS tf FROM {_terms_sql('benchmark', 'item_id')} GROUP BY 1, 2),
 n AS (SELECT count(*) AS n FROM benchmark), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
 w AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM t JOIN f USING (term), n),
@@ -591,7 +575,7 @@ SELECT doc_id, number FROM n, s WHERE NOT contains(src, number)""")
 def unsupported_numbers(spark, d):
     # the reference texts together are the source; they are a fixed, small table
     src = table(spark, d, "benchmark").agg(F.array_join(F.collect_list("text"), " ").alias("src"))
-    docs = table(spark, d, "documents").repartition(SPREAD, "doc_id").crossJoin(F.broadcast(src))
+    docs = spread(table(spark, d, "documents")).crossJoin(F.broadcast(src))
     return docs.select("doc_id", F.explode(guards.unsupported_numbers(c("text"), c("src"))).alias("number"))
 
 
@@ -600,7 +584,7 @@ b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z]
 SELECT doc_id, name FROM n ANTI JOIN b USING (name)""")
 def entity_antijoin(spark, d):
     names = lambda t: F.explode(F.regexp_extract_all(t, F.lit(guards.PROPER), F.lit(1))).alias("name")
-    mine = table(spark, d, "documents").repartition(SPREAD, "doc_id").select("doc_id", names(c("text"))).distinct()
+    mine = spread(table(spark, d, "documents")).select("doc_id", names(c("text"))).distinct()
     return mine.join(table(spark, d, "benchmark").select(names(c("text"))).distinct(), "name", "left_anti").select("doc_id", "name")
 
 
@@ -630,7 +614,7 @@ def page_title(spark, d):
 
 @query()
 def readable_text(spark, d):
-    return table(spark, d, "pages").repartition(SPREAD, "page_id").select("page_id", pages.readable("html").alias("text"))
+    return spread(table(spark, d, "pages")).select("page_id", pages.readable("html").alias("text"))
 
 
 _FORM = (
@@ -642,7 +626,7 @@ _FORM = (
 @query()
 def scan_controls(spark, d):
     df = table(spark, d, "pages").select("page_id", F.replace("html", F.lit("</body>"), F.lit(_FORM + "</body>")).alias("html"))
-    return pages.scan_controls(df.repartition(SPREAD, "page_id")).select("page_id", "idx", "tag", "type", "name", "label", "required", "max_length", "current_value", "section_context")
+    return pages.scan_controls(spread(df)).select("page_id", "idx", "tag", "type", "name", "label", "required", "max_length", "current_value", "section_context")
 
 
 _LABELS = [
@@ -830,10 +814,10 @@ def events_stream_window(spark, d):
     return spark.table(name).select("event_type", c("window.start").alias("day"), "n", F.round("total", 4).alias("total"))
 
 
-@query(f"""WITH {_SIM.split('s AS')[0].rstrip().rstrip(',')} SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x : (x / sqrt(list_dot_product(v, v))) ** 2))), 6) AS norm FROM e""")
+@query(f"""WITH {_SIM.split('s AS')[0].rstrip().rstrip(',')} SELECT vec_id, generate_subscripts(v, 1) - 1 AS place, round(unnest(v) / sqrt(list_dot_product(v, v)), 6) AS x FROM e""")
 def normalised_vectors(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", similarity.l2_normalise(c("embedding")).alias("v"))
-    return v.select("vec_id", F.round(F.sqrt(similarity.dot(c("v"), c("v"))), 6).alias("norm"))
+    v = table(spark, d, "embeddings").select("vec_id", F.posexplode(similarity.l2_normalise(c("embedding"))).alias("place", "x"))
+    return v.select("vec_id", c("place").cast("bigint").alias("place"), F.round("x", 6).alias("x"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -862,16 +846,23 @@ def match_documents(spark, d):
     return flagship(spark, d).select("cand_id", "post_id", "overlap", "cosine", "match_score", _joined("matched").alias("matched"), "abstained", "rank")
 
 
-@query(f"""WITH {_DOCS}, {_BENCH}, {_LEX}, {_DS}, {_BS},
-p AS (SELECT doc_id, item_id, least(1, len(list_filter(regexp_split_to_array(left(d.text, 12000), '[ \\t\\n\\r\\f\\v]+'), lambda w : w <> '')) / 180.0) AS detail FROM pd d JOIN pb b ON d.doc_id % 40 = b.item_id WHERE length(d.text) < 11000),
-o AS (SELECT p.doc_id, p.detail, (SELECT count(*) FROM ds JOIN bs USING (canon) WHERE ds.doc_id = p.doc_id AND bs.item_id = p.item_id) / (SELECT count(*) FROM bs WHERE bs.item_id = p.item_id) AS o FROM p),
+_CLEAN = "trim(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@query(f"""WITH {_DOCS}, {_BENCH}, {_LEX}, pc AS (SELECT doc_id, left({_CLEAN}, {runner.MAX_CHARS}) AS text FROM pd),
+ds AS (SELECT DISTINCT doc_id, canon FROM pc JOIN pat ON regexp_matches(text, p)), {_BS}, total AS (SELECT count(*) AS n FROM benchmark),
+p AS (SELECT doc_id, item_id, least(1, len(list_filter(regexp_split_to_array(d.text, '[ \\t\\n\\r\\f\\v]+'), lambda w : w <> '')) / 180.0) AS detail FROM pc d, total JOIN pb b ON d.doc_id % total.n = b.item_id),
+need AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1), hit AS (SELECT doc_id, item_id, count(*) AS k FROM ds JOIN bs USING (canon) GROUP BY 1, 2),
+o AS (SELECT p.doc_id, p.detail, coalesce(k / need.n, 0) AS o FROM p LEFT JOIN need USING (item_id) LEFT JOIN hit USING (doc_id, item_id)),
 s AS (SELECT doc_id, o, 0.25 + 0.5 * o + 0.25 * detail AS own, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 100) / 100.0 END AS r FROM o),
 c AS (SELECT doc_id, 'A' AS condition, o AS k, o < 0.4 AS a FROM s UNION ALL SELECT doc_id, 'B', own, own < 0.4 FROM s
  UNION ALL SELECT doc_id, 'C', CASE WHEN r IS NULL THEN own ELSE 0.6 * r + 0.4 * own END, coalesce(0.6 * r + 0.4 * own < 0.4 OR r < 0.4, false) OR own < 0.4 FROM s)
 SELECT condition, count(*) AS n, count(*) FILTER (a) AS abstained, round(avg(k), 2) AS mean_confidence FROM c GROUP BY 1""")
 def run_conditions(spark, d):
-    docs = planted_documents(spark, d).where(F.char_length("text") < 11000).select("doc_id", c("text").alias("resume_text"), (c("doc_id") % 40).alias("item_id"))
-    cases = docs.join(planted_benchmark(spark, d).withColumnRenamed("text", "jd_text"), "item_id").select(
+    """A case for every document, dealt over all postings in turn."""
+    posts = planted_benchmark(spark, d).withColumnRenamed("text", "jd_text")
+    docs = planted_documents(spark, d).select("doc_id", c("text").alias("resume_text"), (c("doc_id") % posts.count()).alias("item_id"))
+    cases = docs.join(posts, "item_id").select(
         c("doc_id").alias("case_id"), "jd_text", "resume_text", F.when(c("doc_id") % 3 > 0, (c("doc_id") % 100) / 100.0).alias("retrieval")
     )
     out = runner.run_cases(cases)
@@ -890,11 +881,11 @@ def forbidden_keys(spark, d):
 SELECT substr(sha256(sentinel), 1, 8) AS sha256_8, count(DISTINCT doc_id) AS documents FROM s JOIN documents d ON length(sentinel) >= 12 AND contains(sentinel, ' ') AND contains(d.text, sentinel) GROUP BY 1""")
 def sentinel_leaks(spark, d):
     secrets = audit.sentinels(table(spark, d, "benchmark"), "text")
-    hits = audit.leaks(table(spark, d, "documents").repartition(SPREAD, "doc_id"), secrets, "text", "doc_id")
+    hits = audit.leaks(spread(table(spark, d, "documents")), secrets, "text", "doc_id")
     return hits.groupBy("sha256_8").agg(F.count("*").alias("documents"))
 
 
 @query()
 def page_scan_counts(spark, d):
     df = table(spark, d, "pages").select("page_id", F.replace("html", F.lit("</body>"), F.lit(_FORM + "</body>")).alias("html"))
-    return audit.scan_counts(forms.normalise_fields(pages.scan_controls(df.repartition(SPREAD, "page_id"))))
+    return audit.scan_counts(forms.normalise_fields(pages.scan_controls(spread(df))))
