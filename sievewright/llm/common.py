@@ -81,16 +81,18 @@ def exactly(docs: DataFrame, doc_id: str, kept: DataFrame) -> DataFrame:
     return held.join(kept.select("doc", "tie"), ["doc", "tie"], "left_semi").dropDuplicates(["doc", "tie"]).select("row.*")
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
     """Left join of ``rows`` with ``groups`` (one row per ``key``), whatever the skew.
 
     Groups that hold at least a thousandth of the grouped rows are at most 1000, a proven bound, and are
     broadcast. Their rows get a salt of their own, so that no task gathers them; all others
     meet their group by exchange. ``size`` is the number of rows of a group. ``rows`` must be read from files or a
-    checkpoint (with row-wise steps at most), so that a rerun numbers them alike. Null keys find nothing.
+    checkpoint (with row-wise steps at most), so that a rerun numbers them alike. Null keys find nothing. ``total``, at least the rows of all groups, spares counting them;
+    groups of few columns are then computed in the join itself.
     """
-    groups = cut(groups)
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    if total is None:
+        groups = cut(groups)
+        total = groups.agg(F.sum(size)).first()[0] or 0
     extra = [c for c in groups.columns if c != key]
     hot = (F.col(size) * 1000 >= total) & (F.col(size) > 50)
     heavy = groups.where(hot).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h{c}") for c in extra])

@@ -5,13 +5,13 @@ both become equal when the character at one place is taken out. So a line gives
 the character at p, for every p) and itself; equal variants meet by hashed key. Those with the same p differ by a
 substitution, a variant and a whole line by an insertion; both are verified by edit distance.
 
-Most lines have no neighbour, so variants come out by halving: in a frame of n characters, a line
+Most lines have no neighbour, so variants come out by narrowing: in a frame of n characters, a line
 of n (or of n - 1, the shorter of a pair) keeps the half in which the edit lies only if the hash of the other half
-is shared. Halves shrink until SPAN characters are left, and the deletion variants at these places are made, each a digest of the whole
-line less the character. No pair is lost: of two lines one edit apart, the half without the edit is the same in both, at every
-level, so both keep the half with it, down to the place of the edit, whose variant they share. A hash that clashes on the way only keeps a line
+is shared, then the quarter of that half, and so on. Parts shrink until SPAN characters are left, and the deletion variants at these places are made, each a digest of the whole
+line less the character. No pair is lost: of two lines one edit apart, all but the part with the edit is the same in both, at every
+level, so both keep that part, down to the place of the edit, whose variant they share. A hash that clashes on the way only keeps a line
 longer; variants meet by 128 bits and are verified. Lines are met once however often they occur, and groups of equal
-variants hold at most (length x alphabet) different lines. Halves that many lines share are split in the join.
+variants hold at most (length x alphabet) different lines. Parts that many lines share are split in the join.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ MIN_CHARS = 20
 EDITS = 1
 #: Characters left when variants are made.
 SPAN = 16
+#: Parts that a place is split in at each level.
+WAYS = 4
 #: Lines whose keys are sent to all executors (16 bytes each); more of them meet by exchange.
 MAX_BROADCAST = 500_000
 _KEY = ["doc", "h1", "h2"]
@@ -48,25 +50,25 @@ def _occurrences(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> Dat
     )
 
 
-def _halves(rows: DataFrame, key: Column, text: Column | None = None) -> DataFrame:
-    """Split each row's place of edit [a, b) in two, keyed by what must then be equal."""
-    m = F.floor((F.col("a") + F.col("b")) / 2)
+def _parts(rows: DataFrame, key: Column) -> DataFrame:
+    """Split each row's place of edit [a, b) in WAYS, keyed by what must then be equal: all before and after the part."""
+    a, b = F.col("a"), F.col("b")
     shift = F.when(F.col("full"), 0).otherwise(1)  # a shorter line lacks the character at the edit
-    right = F.struct(
-        m.alias("a"), F.col("b").alias("b"),
-        F.xxhash64(key, F.lit("R"), m, _part(F.col("line"), F.col("a"), m)).alias("key"),
-    )
-    left = F.struct(
-        F.col("a").alias("a"), m.alias("b"),
-        F.xxhash64(key, F.lit("L"), m, _part(F.col("line"), m - shift, F.col("b") - shift)).alias("key"),
-    )
-    return rows.withColumn("_h", F.explode(F.array(left, right))).where("_h.b > _h.a")
+    edge = [a + F.floor((b - a) * i / WAYS) for i in range(WAYS + 1)]
+    parts = [
+        F.struct(
+            lo.alias("a"), hi.alias("b"),
+            F.xxhash64(key, lo, hi, _part(F.col("line"), a, lo), _part(F.col("line"), hi - shift, b - shift)).alias("key"),
+        )
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True)
+    ]
+    return rows.withColumn("_h", F.explode(F.array(*parts))).where("_h.b > _h.a")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, total: int) -> DataFrame:
     """Rows whose key another line has too, at least one of them in full length."""
     keys = rows.groupBy("key").agg(F.count("*").alias("_n"), F.max("full").alias("_f")).where("_n > 1 and _f")
-    return spread_join(rows, keys.select("key", "_n"), "key", "_n").where("_n is not null")
+    return spread_join(rows, keys.select("key", "_n"), "key", "_n", total).where("_n is not null")
 
 
 def neighbours(lines: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def neighbours(lines: DataFrame, occurrences: DataFrame) -> DataFrame:
     ``lines``: ``lid, rank, n, halves`` per distinct line.
     """
     keyed = lines.select("lid", F.explode("halves").alias("_h")).select("lid", "_h.*")
-    met = cut(_shared(keyed).select("lid", "frame", "full", "a", "b", "key"))
+    met = cut(_shared(keyed, 4 * lines.count()).select("lid", "frame", "full", "a", "b", "key"))
     lids = cut(met.select("lid").distinct())
     few = lids.count() <= MAX_BROADCAST
     texts = occurrences.join(F.broadcast(lids) if few else lids, "lid", "left_semi")
@@ -83,12 +85,12 @@ def neighbours(lines: DataFrame, occurrences: DataFrame) -> DataFrame:
         texts.groupBy("lid").agg(F.min(F.struct(*_RANK)).alias("rank"), F.first("line").alias("line"))
     )
     rows = cut(met.join(texts, "lid"))
-    while (rows.agg(F.max(F.col("b") - F.col("a"))).first()[0] or 0) > SPAN:
-        wide = F.col("b") - F.col("a") > SPAN
-        halved = _halves(rows.where(wide), F.col("key")).select(
+    wide = F.col("b") - F.col("a") > SPAN
+    while many := rows.where(wide).count():
+        halved = _parts(rows.where(wide), F.col("key")).select(
             "lid", "rank", "line", "frame", "full", "_h.a", "_h.b", "_h.key"
         )
-        rows = cut(_shared(halved).select("lid", "rank", "line", "frame", "full", "a", "b", "key").union(
+        rows = cut(_shared(halved, WAYS * many).select("lid", "rank", "line", "frame", "full", "a", "b", "key").union(
             rows.where(~wide).select("lid", "rank", "line", "frame", "full", "a", "b", "key")
         ))
     line, a, b = F.col("line"), F.col("a"), F.col("b")
