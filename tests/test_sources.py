@@ -105,10 +105,34 @@ def test_pdf():
     body = zlib.compress(b"BT (Hello \\(world\\) this is) Tj (a longer text \\101) Tj ET")
     data = b"%PDF-1.4 /Type /Page \nstream\n" + body + b"\nendstream"
     assert pdf.extract(data)[:3] == ("Hello (world) this is a longer text A", 1, True)
-    assert pdf.extract(b"nothing")[2] is False and pdf.literal(r"a\q\061") == "a1"
+    assert pdf.extract(b"nothing")[2] is False and pdf.literal(rb"a\q\061") == "a1"
     assert pdf.extract(b"%PDF\nPlain readable words that stand in the file itself")[2] is True
 
 
+def test_pdf_operators():
+    show = lambda s: pdf.shown(s)
+    assert show(b"BT [(He) -10 (llo) -300 (there)] TJ ET (not shown) Tj") == ["Hello there"]
+    assert show(b"BT (nested (one) \\) two) Tj <48 69> Tj <FEFF00e9> ' T* (% no comment) Tj % comment (x) Tj\nET") == ["nested (one) ) two", "Hi", "\u00e9", "% no comment"]
+    assert show(b"BI /W 1 ID (x) Tj BT (y) Tj EI BT (z) Tj ET") == ["z"]
+    assert show(b"BT (open") == [] and show(b"") == []
+
+
+def test_pdf_pages(spark):
+    def stream(n, body, extra=b""):
+        return b"%d 0 obj\n<< /Length %d %s>>\nstream\n%s\nendstream\nendobj\n" % (n, len(body), extra, body)
+
+    second = zlib.compress(b"BT (second page) Tj ET")
+    data = (
+        b"%PDF-1.4\n" + stream(7, second, b"/Filter /FlateDecode ") + stream(5, b"BT (first endstream page) Tj ET") + stream(6, b"4254202861293e".hex().encode() + b">", b"/Filter /DCTDecode ")
+        + b"1 0 obj\n<< /Type /Pages /Kids [2 0 R 3 0 R] >>\nendobj\n2 0 obj\n<< /Type /Page /Contents [5 0 R 9 0 R] >>\nendobj\n3 0 obj\n<< /Type /Page /Contents 7 0 R >>\nendobj\n"
+    )
+    assert pdf.page_texts(data) == ["first endstream page", "second page"]
+    assert pdf.extract(data)[:3] == ("first endstream page second page", 2, True)
+    rows = spark.createDataFrame([("a", data), ("b", b"no"), ("c", None)], "path string, content binary")
+    assert [tuple(r) for r in pdf.read_pdf_pages(rows).orderBy("page_no").collect()] == [("a", 1, "first endstream page"), ("a", 2, "second page")]
+    assert pdf.read_pdf(rows).where("ok").count() == 1
+
+
 def test_scan_text(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\n中文 here\nthree")
     (tmp_path / "b.txt").write_text("中文 allowed")
