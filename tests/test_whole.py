@@ -1,8 +1,10 @@
 """Queries that other tests see only in part, against brute force."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sievewright.functions import similarity, skills
+from sievewright.operators import matching
 from sievewright.plans import catalogue
 
 
@@ -31,3 +33,22 @@ def test_all_pairs(spark, tiny):
     docs, items = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "benchmark"))
     pairs = docs.select("doc_id", "text").crossJoin(items.select("item_id", F.col("text").alias("other")))
     same(catalogue.jaccard_pairs_all(spark, tiny), pairs.select("doc_id", "item_id", similarity.jaccard(F.col("text"), F.col("other"))))
+
+
+def test_vector_top_k_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    vecs = rng.integers(-2, 3, (60, 3)).astype(float)  # many ties
+    rows = [(i, v.tolist(), ["a", "b", None][i % 3]) for i, v in enumerate(vecs)]
+    x = spark.createDataFrame([*rows, (99, None, "a")], "chunk_id bigint, vec array<double>, family string")
+    q = x.where("chunk_id % 4 = 0 OR chunk_id = 99").withColumnRenamed("chunk_id", "query_id")
+    n = np.linalg.norm(vecs, axis=1, keepdims=True)
+    unit = np.divide(vecs, n, out=np.zeros_like(vecs), where=n > 0)
+    for family in (False, True):
+        want = []
+        for i in range(0, 60, 4):
+            near = [(-round(float(unit[i] @ unit[j]), 6), j) for j in range(60) if not family or rows[i][2] and rows[i][2] == rows[j][2]]
+            want += [(i, j, r) for r, (_, j) in enumerate(sorted(near)[:5], 1)]
+        got = matching.vector_top_k(q, x, 5, family).select("query_id", "chunk_id", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert matching.vector_top_k(q.limit(0), x, 5).count() == 0 == matching.vector_top_k(q, x.limit(0), 5).count()
