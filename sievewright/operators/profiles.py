@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions import fields
+from sievewright.functions import fields, skills
 
 # Modules, in order, and their headings.
 MODULES = {"personal_info": "PERSONAL INFORMATION", "education": "EDUCATION", "internship": "INTERNSHIP AND WORK EXPERIENCE", "projects": "PROJECTS"}
@@ -46,8 +46,8 @@ def render_record(r: Column) -> Column:
     return F.array_join(F.concat(F.array_compact(F.array(line, *details)), others), "\n")
 
 
-def render_profile(profiles: DataFrame) -> DataFrame:
-    """Text of the authorised modules only: ``profile_id, text, used, dropped, empty``.
+def render_profile(profiles: DataFrame, *carry: str) -> DataFrame:
+    """Text of the authorised modules only: ``profile_id, text, used, dropped, empty``, and the columns to carry.
 
     ``profiles``: profile_id, authorised_modules, personal_info (map), education, internship, projects (arrays of maps).
     """
@@ -55,12 +55,12 @@ def render_profile(profiles: DataFrame) -> DataFrame:
     body = {"personal_info": render_personal(c("personal_info"))}
     for m in list(MODULES)[1:]:
         body[m] = F.array_join(F.filter(F.transform(F.coalesce(m, F.array().cast("array<map<string,string>>")), render_record), lambda x: F.length(x) > 0), "\n")
-    df = profiles.select("profile_id", "authorised_modules", *[F.coalesce(b, F.lit("")).alias(f"_{m}") for m, b in body.items()])
+    df = profiles.select("profile_id", "authorised_modules", *carry, *[F.coalesce(b, F.lit("")).alias(f"_{m}") for m, b in body.items()])
     allowed = {m: F.array_contains("authorised_modules", m) for m in MODULES}
     filled = {m: F.length(f"_{m}") > 0 for m in MODULES}
     pick = lambda test: F.array_compact(F.array(*[F.when(test(m), F.lit(m)) for m in MODULES]))
     return df.select(
-        "profile_id",
+        "profile_id", *carry,
         F.concat_ws("\n\n", *[F.when(allowed[m] & filled[m], F.concat(F.lit(h + "\n"), c(f"_{m}"))) for m, h in MODULES.items()]).alias("text"),
         pick(lambda m: allowed[m] & filled[m]).alias("used"), pick(lambda m: ~allowed[m] & filled[m]).alias("dropped"), pick(lambda m: allowed[m] & ~filled[m]).alias("empty"),
     )
@@ -76,6 +76,58 @@ def extract_facts(rendered: DataFrame) -> DataFrame:
     return df.select("profile_id", F.explode(rows).alias("r")).select("profile_id", "r.*").where("value IS NOT NULL")
 
 
+# The module that each fact belongs to; confidences of facts read from records; patterns of labelled ones.
+OWNER = {
+    "full_name": "personal_info", "email": "personal_info", "phone": "personal_info", "education_school": "education",
+    "education_degree": "education", "education_major": "education", "graduation_year": "education",
+}
+CONFIDENCE = {
+    "location": 0.70, "linkedin": 0.80, "github": 0.80, "portfolio": 0.70, "gpa": 0.75, "internship_employer": 0.80, "internship_title": 0.80,
+    "internship_dates": 0.70, "internship_summary": 0.55, "project_name": 0.75, "project_summary": 0.55,
+}
+LABELLED = {
+    "linkedin": r"(?i)\blinked ?in\b\s*[:\-]?\s*(\S[^\n]*)",
+    "github": r"(?i)\bgit ?hub\b\s*[:\-]?\s*(\S[^\n]*)",
+    "portfolio": r"(?i)\b(?:portfolio|personal web ?site|homepage)\b\s*[:\-]?\s*(\S[^\n]*)",
+    "location": r"(?i)\blocation\b\s*[:\-]?\s*([^\n]+)",
+}
+GPA = r"(?i)\bgpa\b\s*[:\-]?\s*([0-9]+(?:\.[0-9]+)?(?:\s*/\s*[0-9]+(?:\.[0-9]+)?)?)"
+
+
+def facts_of(profiles: DataFrame) -> DataFrame:
+    """All facts of the authorised modules, ``profile_id, key, value, confidence``, one per key.
+
+    Names, contacts and studies are what the rules read from the rendered text, links, place and grade what stands behind their label, the
+    others what the first record of internship and projects says; the three best skills count whatever module names them. Blank values are no facts.
+    """
+    c = F.col
+    df = render_profile(profiles, "personal_info", "education", "internship", "projects")
+    df = df.withColumn("_skills", skills.match_skills(c("text")))
+    got, conf = fields.extract_fields(c("text"), skills.rank_skills(c("_skills"), F.array().cast("array<string>")))
+    study = F.array_join(F.transform(F.coalesce("education", F.array().cast("array<map<string,string>>")), render_record), "\n")
+    df = df.withColumns({"_f": got, "_c": conf, "_me": render_personal(c("personal_info")), "_study": study, "_job": F.get("internship", F.lit(0)), "_work": F.get("projects", F.lit(0))})
+    job, work = c("_job"), c("_work")
+    period = F.concat(F.coalesce(_get(job, "start", "start_date"), F.lit("")), F.lit(" - "), F.coalesce(_get(job, "end", "end_date"), F.lit("")))
+    rows = [(k, m, c("_f")[k], c("_c")[k]) for k, m in OWNER.items()]
+    rows.append(("top_skills", None, F.array_join(F.slice(c("_f.top_skills"), 1, 3), ", "), c("_c.top_skills")))
+    rows += [(k, "personal_info", F.regexp_replace(F.regexp_extract("_me", p, 1), r"^[\s,;]+|[\s,;]+$", ""), None) for k, p in LABELLED.items()]
+    rows += [
+        ("gpa", "education", F.regexp_extract("_study", GPA, 1), None),
+        ("internship_employer", "internship", _get(job, "employer", "company", "organisation"), None),
+        ("internship_title", "internship", _get(job, "title", "role", "position"), None),
+        ("internship_dates", "internship", F.regexp_replace(period, "^[ -]+|[ -]+$", ""), None),
+        ("internship_summary", "internship", _get(job, "summary", "description", "detail"), None),
+        ("project_name", "projects", _get(work, "name", "title"), None),
+        ("project_summary", "projects", _get(work, "summary", "description", "detail"), None),
+    ]
+    fact = lambda k, m, v, p: F.when(
+        (F.lit(True) if m is None else F.array_contains("used", m)) & (F.length(F.trim(v)) > 0),
+        F.struct(F.lit(k).alias("key"), F.trim(v).alias("value"), (F.lit(CONFIDENCE[k]) if p is None else p).alias("confidence")),
+    )
+    listed = df.select("profile_id", F.explode(F.array_compact(F.array(*[fact(*r) for r in rows]))).alias("r"))
+    return listed.select("profile_id", "r.*")
+
+
 def profile_from_text(texts: DataFrame, text: str = "text") -> DataFrame:
     """Fields read from free text, by their place in a profile: ``profile_id, filled, uncertain`` (confidence under 0.7)."""
     place = {"full_name": "personal_info", "email": "personal_info", "phone": "personal_info"}

@@ -6,7 +6,7 @@ numbers check the wiring and say nothing about a model's quality.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import confidence, fields, guards, similarity, skills, text
@@ -62,9 +62,17 @@ def retrieval_query(t: Column, found: Column) -> Column:
     return F.concat(F.lit("Job requirements: "), F.array_join(F.slice(found, 1, 12), ", "), F.lit(". Job description excerpt: "), F.substring(t, 1, 400))
 
 
+def first_facts(facts: DataFrame) -> DataFrame:
+    """The first fact of each profile and key: by ``position`` if the table has one, else the surest, then the smallest value."""
+    order = [F.col("position").asc_nulls_last()] if "position" in facts.columns else []
+    order += [F.col("confidence").desc_nulls_last(), F.col("value").asc_nulls_last()]
+    rank = F.row_number().over(Window.partitionBy("profile_id", "key").orderBy(*order))
+    return facts.withColumn("_first", rank).where("_first = 1").drop("_first")
+
+
 def draft_fields(controls: DataFrame, facts: DataFrame, relevance: str = "") -> DataFrame:
     """The responder for forms: a control's fact, copied, or nothing. ``controls``: page_id, field_id, profile_id, fact_key; ``facts``: profile_id, key, value, confidence."""
-    f = facts.select("profile_id", F.col("key").alias("fact_key"), "value", F.col("confidence").alias("_c")).dropDuplicates(["profile_id", "fact_key"])
+    f = first_facts(facts).select("profile_id", F.col("key").alias("fact_key"), "value", F.col("confidence").alias("_c"))
     df = controls.join(f, ["profile_id", "fact_key"], "left")
     got = F.col("value").isNotNull() & (F.col("value") != "")
     return df.select(

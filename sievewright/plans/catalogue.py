@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import confidence, fields, forms, guards, similarity, skills
 from sievewright.functions import text as texts
-from sievewright.operators import audit, generator, matching, profiles, runlog, runner, scoring
+from sievewright.operators import assistant, audit, generator, matching, profiles, runlog, runner, scoring
 from sievewright.session import spread, table
 from sievewright.sources import fetched, files, pages, pdf
 from sievewright.streaming import runs
@@ -889,3 +889,46 @@ def sentinel_leaks(spark, d):
 def page_scan_counts(spark, d):
     df = table(spark, d, "pages").select("page_id", F.replace("html", F.lit("</body>"), F.lit(_FORM + "</body>")).alias("html"))
     return audit.scan_counts(forms.normalise_fields(pages.scan_controls(spread(df))))
+
+
+_APPLY = (
+    "<form><p><label>Full name <input name='a'></label></p><p><label>Email address <input type='email' name='b' value='x@y.org'></label></p><p><label>Passport number <input name='c'></label></p>"
+    "<p><label>Degree <select name='d'><option value=''></option><option>BSc</option><option>MSc</option></select></label></p><p><label>Portfolio <input name='e'></label></p>"
+    "<p><label>Why do you want this role? <textarea name='f'></textarea></label></p><input type='file' name='g'></form>"
+)
+
+
+def form_requests(spark, d):
+    """Controls planted into every page, a request per page by turns, and the profiles."""
+    web = table(spark, d, "pages")
+    df = web.select("page_id", F.replace("html", F.lit("</body>"), F.lit(_APPLY + "</body>")).alias("html"))
+    turn = F.element_at(F.array(*map(F.lit, assistant.CONDITIONS)), (c("page_id") % 3 + 1).cast("int"))
+    who = F.when(c("page_id") % 2 == 0, "p1").otherwise("p2")
+    asks = web.select("page_id", who.alias("profile_id"), turn.alias("condition"), F.lit("We need Python and SQL").alias("posting"), F.lit(0.8).alias("retrieval"), F.lit(False).alias("overwrite"))
+    return pages.scan_controls(spread(df)), asks, _values(spark, _PROFILES, _PROFILE_SCHEMA)
+
+
+_ASKED = "a AS (SELECT page_id, contains(html, '</body>') AS f, page_id % 2 = 0 AS known, ['A', 'B', 'C'][page_id % 3 + 1] AS condition FROM pages)"
+_DECIDED = [
+    (0, "personal", "Ada Example", "offered", "missing"), (1, "personal", None, "already_filled", "already_filled"), (2, "unknown", None, "sensitive_skipped", "sensitive_skipped"),
+    (3, "education", "MSc", "offered", "missing"), (4, "personal", None, "missing", "missing"), (5, "narrative", None, "missing", "missing"), (6, "unknown", None, "not_fillable", "not_fillable"),
+]
+
+
+@query(f"""WITH {_ASKED}, r AS ({_sql(_DECIDED, "idx, category, value, known_one, other")})
+SELECT page_id, idx, condition, category, CASE WHEN known THEN value END AS suggested_value, CASE WHEN known THEN known_one ELSE other END AS decision FROM a, r WHERE f""")
+def suggest_fields(spark, d):
+    out = assistant.suggest(*form_requests(spark, d))
+    return out.select("page_id", "idx", "condition", "category", "suggested_value", "decision")
+
+
+@query(f"""WITH {_ASKED} SELECT page_id, condition, CASE WHEN f THEN 7 ELSE 0 END AS total, CASE WHEN f AND known THEN 2 ELSE 0 END AS offered, 0 AS withheld,
+ CASE WHEN NOT f THEN 0 WHEN known THEN 2 ELSE 4 END AS missing, CASE WHEN f THEN 1 ELSE 0 END AS sensitive_skipped, CASE WHEN f THEN 1 ELSE 0 END AS already_filled,
+ CASE WHEN NOT f THEN 0 WHEN known THEN 5 ELSE 7 END AS needs_confirmation, CASE WHEN f THEN 1 ELSE 0 END AS not_fillable, 'Python|SQL' AS lacking_text,
+ CASE WHEN known THEN 'personal_info|education' ELSE 'internship' END AS used_text, CASE WHEN known THEN 'internship' ELSE 'personal_info' END AS dropped_text,
+ concat_ws('|', CASE WHEN condition = 'B' THEN 'no retrieved notes were used' END, CASE WHEN NOT f THEN 'no control may be filled' END,
+  CASE WHEN condition <> 'A' THEN 'drafts are the offline responder''s' END) AS notes_text FROM a""")
+def generate_forms(spark, d):
+    controls, asks, people = form_requests(spark, d)
+    out = assistant.summarise(assistant.suggest(controls, asks, people), asks, people)
+    return out.select("*", *[_joined(x).alias(f"{x}_text") for x in ("lacking", "used", "dropped", "notes")]).drop("lacking", "used", "dropped", "notes")

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sievewright.functions import similarity, skills
-from sievewright.operators import matching
+from sievewright.operators import assistant, matching, profiles, runner
 from sievewright.plans import catalogue
 
 
@@ -52,3 +52,42 @@ def test_vector_top_k_in_blocks(spark, monkeypatch):
         got = matching.vector_top_k(q, x, 5, family).select("query_id", "chunk_id", "rank").collect()
         assert sorted(map(tuple, got)) == sorted(want)
     assert matching.vector_top_k(q.limit(0), x, 5).count() == 0 == matching.vector_top_k(q, x.limit(0), 5).count()
+
+
+def test_suggestions_of_a_model(spark):
+    """Drafts of a model: grounded ones pass, invented ones don't, and condition A sees none."""
+    html = "<form>" + "".join(f"<p><label>{t} <input name='{n}'></label></p>" for t, n in (("Full name", "a"), ("Cover letter", "b"), ("University", "c"))) + "</form>"
+    web = spark.createDataFrame([(1, html), (2, html), (3, html), (4, None)], "page_id bigint, html string")
+    asks = spark.createDataFrame([(1, "p1", "c", None, 0.9, None), (2, "p1", "A", None, None, False), (3, "nobody", "B", None, None, False), (4, "p1", "B", "", None, False)],
+                                 "page_id bigint, profile_id string, condition string, posting string, retrieval double, overwrite boolean")
+    people = catalogue._values(spark, catalogue._PROFILES, catalogue._PROFILE_SCHEMA)
+    controls = catalogue.pages.scan_controls(web)
+    ids = {r.idx: r.field_id for r in catalogue.forms.normalise_fields(controls).where("page_id = 1").collect()}
+    said = {0: "Eve Other", 1: "At Beta Labs Group I led 40 people.", 2: "Example University"}
+    drafts = spark.createDataFrame([(p, ids[i], v, 0.9) for p in (1, 2, 3) for i, v in said.items()], "page_id bigint, field_id string, proposed string, model_confidence double")
+    out = assistant.suggest(controls, asks, people, drafts)
+    got = {(r.page_id, r.idx): (r.decision, r.suggested_value) for r in out.collect()}
+    assert got[1, 0] == ("offered", "Ada Example") and got[1, 1] == ("missing", None) and got[1, 2] == ("offered", "Example University")
+    assert got[2, 0] == ("offered", "Ada Example") and got[2, 1] == ("missing", None)
+    assert {got[3, i] for i in range(3)} == {("missing", None)} and len(got) == 9
+    assert {r.page_id: r.total for r in assistant.summarise(out, asks, people).collect()} == {1: 3, 2: 3, 3: 3, 4: 0}
+
+
+def test_first_facts(spark):
+    rows = [("p", "k", "late", 0.9, 2), ("p", "k", "early", 0.1, 1), ("p", "other", None, None, None)]
+    df = spark.createDataFrame(rows, "profile_id string, key string, value string, confidence double, position int")
+    assert {r.value for r in runner.first_facts(df).collect()} == {"early", None}
+    assert {r.value for r in runner.first_facts(df.drop("position")).collect()} == {"late", None}
+
+
+def test_facts_of(spark):
+    people = catalogue._values(spark, catalogue._PROFILES, catalogue._PROFILE_SCHEMA)
+    rows = spark.createDataFrame([("p3", ["personal_info", "education"], {"linkedin": " in/x ,", "location": "Oslo", "github": " "}, [{"school": "X College", "gpa": "3.9 / 4"}], [{"title": "hidden"}], None), ("p4", [], None, None, None, None)],
+                                 people.schema)
+    got = {(r.profile_id, r.key): (r.value, r.confidence) for r in profiles.facts_of(people.unionByName(rows)).collect()}
+    assert got["p1", "education_degree"] == ("Master of Science", 0.8) and got["p1", "gpa"] == ("4.5", 0.75) and ("p1", "internship_title") not in got
+    assert {k: v for (p, k), v in got.items() if p == "p2"} == {
+        "internship_employer": ("Acme Corp", 0.8), "internship_title": ("Intern", 0.8), "internship_dates": ("May", 0.7), "internship_summary": ("Did things", 0.55)}
+    mine = {k: v for (p, k), v in got.items() if p == "p3"}
+    assert mine["linkedin"] == ("in/x", 0.8) and mine["location"] == ("Oslo", 0.7) and mine["gpa"] == ("3.9 / 4", 0.75) and "github" not in mine
+    assert not any(p == "p4" for p, _ in got)
