@@ -15,7 +15,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -73,26 +73,64 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def merge_few(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """What ``merge`` gives, by looking at all pairs each time: quicker for a few bytes."""
+def joining(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The rank of what two tokens join to, by ``left * 2**32 + right``: every way to cut a token into two tokens."""
+    get = ranks.get
+    out = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            left = get(token[:i])
+            if left is not None and (right := get(token[i:])) is not None:
+                out[left << 32 | right] = rank
+    return out
+
+
+def merge_few(piece: bytes, ranks: dict[bytes, int], single: list[int], joined: dict[int, int]) -> list[int]:
+    """What ``merge`` gives, by looking at all pairs each time: quicker for a few bytes. Works on ids, which are the ranks.
+
+    ``single``: the ids of the 256 bytes; ``joined``: ``joining(ranks)``.
+    """
     if piece in ranks:
         return [ranks[piece]]
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    none = len(ranks) + 1
-    get = ranks.get
-    pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    ids = [single[x] for x in piece]
+    none = 1 << 62
+    get = joined.get
+    pairs = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
     while pairs:
         low = min(pairs)
         if low == none:
             break
         i = pairs.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
+        ids[i] = low
+        del ids[i + 1], pairs[i]
         if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], none)
+            pairs[i] = get(low << 32 | ids[i + 1], none)
         if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-    return [ranks[p] for p in parts]
+            pairs[i - 1] = get(ids[i - 1] << 32 | low, none)
+    return ids
+
+
+class Memory(dict):
+    """Ids of matches, encoded when first asked for.
+
+    At ``MEMORY`` matches all move to a second place, from where a match comes back if it is met again.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.joined = ranks, joining(ranks)
+        self.single = [ranks[bytes([i])] for i in range(256)]
+        self.older: dict[str, list[int]] = {}
+
+    def __missing__(self, piece: str) -> list[int]:
+        if len(piece) > SHORT:
+            return merge(piece.encode(), self.ranks)
+        if len(self) >= MEMORY:
+            self.older = dict(self)
+            self.clear()
+        got = self.older.get(piece) or merge_few(piece.encode(), self.ranks, self.single, self.joined)
+        self[piece] = got
+        return got
 
 
 class Codec:
@@ -101,7 +139,7 @@ class Codec:
         self.leaf = leaf
         # white space by Unicode's property, as the tokenizer's own engine has it
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory = Memory(self.ranks)
         self.token = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for t, i in self.ranks.items():
             self.token[i] = t
@@ -109,20 +147,7 @@ class Codec:
 
     def ids(self, text: str) -> list[int]:
         """Ids of a text that is encoded at once."""
-        out: list[int] = []
-        get = self.memory.get
-        for piece in self.split(text):
-            out += get(piece) or self._ids(piece)
-        return out
-
-    def _ids(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        if len(piece) > SHORT:
-            return tuple(merge(data, self.ranks))
-        if len(self.memory) >= MEMORY:
-            self.memory.clear()
-        got = self.memory[piece] = tuple(merge_few(data, self.ranks))
-        return got
+        return list(chain.from_iterable(map(self.memory.__getitem__, self.split(text))))
 
     def encode(self, text: str, lo: int = 0, hi: int | None = None) -> list[int]:
         """Ids of ``text[lo:hi]``."""
