@@ -274,11 +274,6 @@ def jaccard_pairs(spark, d):
     return df.select("doc_id", "item_id", F.round(c("k") / (c("n") + c("m") - c("k")), 6).alias("jaccard"))
 
 
-# names under which the whole pairs were registered before they became the queries themselves
-for _whole in ("matched_missing", "tfidf_pair_cosine", "jaccard_pairs"):
-    QUERIES[f"{_whole}_all"], ORACLES[f"{_whole}_all"] = QUERIES[_whole], ORACLES[_whole]
-
-
 @query(f"""WITH t AS (SELECT item_id, term, count(*) AS tf FROM {_terms_sql('benchmark', 'item_id')} GROUP BY 1, 2),
 n AS (SELECT count(*) AS n FROM benchmark), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
 w AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM t JOIN f USING (term), n),

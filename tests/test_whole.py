@@ -8,14 +8,14 @@ from sievewright.operators import assistant, matching, profiles, runner
 from sievewright.plans import catalogue
 
 
-def test_matched_missing_all(spark, tiny):
+def test_matched_missing(spark, tiny):
     def own(df, key):
         return {r[0]: set(r.s) for r in df.select(key, skills.match_skills(df["text"]).alias("s")).collect()}
 
     docs = own(catalogue.planted_documents(spark, tiny), "doc_id")
     posts = own(catalogue.planted_benchmark(spark, tiny), "item_id")
     want = {(i, j, "|".join(sorted(a & b)), "|".join(sorted(b - a))) for i, a in docs.items() for j, b in posts.items() if a & b}
-    got = [tuple(r) for r in catalogue.QUERIES["matched_missing_all"](spark, tiny).collect()]
+    got = [tuple(r) for r in catalogue.QUERIES["matched_missing"](spark, tiny).collect()]
     assert len(got) == len(want) and set(got) == want
     assert {r[1] % 4 for r in got} == {0, 1, 2, 3}
 
@@ -29,10 +29,10 @@ def test_all_pairs(spark, tiny):
     docs, items = catalogue.planted_documents(spark, tiny).select("doc_id", "text"), catalogue.planted_benchmark(spark, tiny)
     a, b = similarity.with_term_counts(docs, "text", "a").drop("text"), similarity.with_term_counts(items, "text", "b").drop("text")
     pairs = a.crossJoin(b)
-    same(catalogue.tfidf_pair_cosine_all(spark, tiny), pairs.select("doc_id", "item_id", similarity.pair_cosine(F.col("a"), F.col("b"))))
+    same(catalogue.tfidf_pair_cosine(spark, tiny), pairs.select("doc_id", "item_id", similarity.pair_cosine(F.col("a"), F.col("b"))))
     docs, items = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "benchmark"))
     pairs = docs.select("doc_id", "text").crossJoin(items.select("item_id", F.col("text").alias("other")))
-    same(catalogue.jaccard_pairs_all(spark, tiny), pairs.select("doc_id", "item_id", similarity.jaccard(F.col("text"), F.col("other"))))
+    same(catalogue.jaccard_pairs(spark, tiny), pairs.select("doc_id", "item_id", similarity.jaccard(F.col("text"), F.col("other"))))
 
 
 def test_vector_top_k_in_blocks(spark, monkeypatch):
