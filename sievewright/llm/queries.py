@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,15 +11,18 @@ from sievewright.llm import (
     byte_bpe,
     cover_tree,
     exact_dedup,
+    impact_search,
     language_id,
     line_dedup,
     masked_lm,
+    merkle,
     mixing,
+    sharding,
     simhash,
     substring_dedup,
     url_filter,
 )
-from sievewright.llm.common import table
+from sievewright.llm.common import ensure_checkpoint_dir, table
 
 
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +84,35 @@ def op10_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the shards as files, and describe each record from them."""
+    docs = table(spark, sf_dir, "documents")
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(sharding.shard(docs, row=F.struct("_metadata.file_name", "_metadata.row_index")), path)
+    written = sharding.read_shards(spark, path, docs.schema)
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return written.select(
+        F.col("row.doc_id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows, folded again from leaves of which half have lost their line breaks."""
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    broken = merkle.leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.replace("text", F.lit("\n"), F.lit("")))
+    got = merkle.manifest(docs, claimed=F.when(hit & F.contains("text", F.lit("\n")), broken))
+    got = got.withColumn("folded_root", merkle.fold(F.coalesce("claimed", "leaf"), F.col("path")))
+    proof = F.sha2(merkle.siblings(F.col("path")), 256)
+    return got.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +123,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_neardup, op2_mix_sources, op3_language_id, op4_exact_dedup, op5_simhash_neardup,
-        op6_url_filter, op7_substring_dedup, op8_byte_bpe, op9_masked_lm, op10_line_dedup, op10_line_dedup_long, pipeline,
+        op6_url_filter, op7_substring_dedup, op8_byte_bpe, op9_masked_lm, op10_line_dedup, op10_line_dedup_long,
+        op11_sharding, op12_merkle, op13_ranked_search, pipeline,
     )
 }
 
@@ -212,6 +247,51 @@ SELECT s.doc_id, count(*)::INTEGER AS n_lines, count(late.place)::INTEGER AS n_r
 FROM line s LEFT JOIN late ON late.doc_id = s.doc_id AND late.place = s.place GROUP BY s.doc_id
 """
 
+#: crc32 of a short ASCII text: the table of 256 remainders follows from the polynomial.
+_CRC = """crc AS (SELECT list(r ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda r, i : CASE WHEN r & 1 = 1 THEN xor(3988292384, r >> 1) ELSE r >> 1 END) AS r
+  FROM range(256) x(b)))"""
+_OP12 = f"""
+WITH RECURSIVE {_CRC},
+d AS (SELECT doc_id, source, concat(CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END, CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+        CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END, CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END) AS head, text,
+        list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x : ascii(x)::BIGINT)), lambda r, x : xor(t[((xor(r, x)) & 255) + 1], r >> 8)) AS c FROM documents, crc),
+bad AS (SELECT *, CASE WHEN xor(c, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM d),
+leaf AS (SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+         sha256(head || CASE WHEN other IS NULL THEN '-' ELSE strlen(other) || ':' || other END) AS claimed FROM bad),
+place AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM leaf),
+node(source, level, idx, n, h) AS (SELECT source, 0, idx, n, leaf FROM place UNION ALL
+  SELECT source, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM node WHERE n > 1 GROUP BY source, level, idx // 3, n),
+sub AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS k, count(*) OVER () AS n FROM node WHERE n = 1),
+top(level, idx, n, h) AS (SELECT 0, k, n, subroot FROM sub UNION ALL SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY level, idx // 3, n),
+root AS (SELECT h AS root FROM top WHERE n = 1),
+run AS (SELECT source, level, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM node WHERE n > 1 GROUP BY 1, 2, 3),
+toprun AS (SELECT level, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM top WHERE n > 1 GROUP BY 1, 2),
+step AS (SELECT p.doc_id, p.source, r.level, hs[:(p.idx // (3 ** r.level)::BIGINT) % 3] AS l, hs[(p.idx // (3 ** r.level)::BIGINT) % 3 + 2:] AS r
+         FROM place p JOIN run r ON p.source IS NOT DISTINCT FROM r.source AND r.run = p.idx // (3 ** (r.level + 1))::BIGINT
+         UNION ALL SELECT p.doc_id, p.source, 1000 + r.level, hs[:(k // (3 ** r.level)::BIGINT) % 3], hs[(k // (3 ** r.level)::BIGINT) % 3 + 2:]
+         FROM place p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source JOIN toprun r ON r.run = k // (3 ** (r.level + 1))::BIGINT),
+path AS (SELECT doc_id, list(struct_pack(l := array_to_string(l, ''), r := array_to_string(r, '')) ORDER BY level) AS steps FROM step GROUP BY doc_id),
+fold(doc_id, k, h) AS (SELECT doc_id, 0, claimed FROM leaf UNION ALL
+  SELECT f.doc_id, k + 1, sha256(steps[k + 1].l || h || steps[k + 1].r) FROM fold f JOIN path p ON p.doc_id = f.doc_id AND k < len(steps)),
+last AS (SELECT doc_id, arg_max(h, k) AS folded_root FROM fold GROUP BY doc_id)
+SELECT p.doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda x : x.l || x.r), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM place p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source CROSS JOIN root LEFT JOIN path USING (doc_id) JOIN last USING (doc_id)
+"""
+
+_WORDS = "unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+_OP13 = f"""
+WITH word AS (SELECT doc_id, {_WORDS} AS term FROM documents),
+ask AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, {_WORDS} AS term FROM benchmark) GROUP BY 1, 2),
+size AS (SELECT doc_id, count(*) AS n FROM word GROUP BY 1),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM size),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM word WHERE term IN (SELECT term FROM ask) GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term, docs),
+impact AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length))) AS s FROM tf JOIN w USING (term) JOIN size USING (doc_id), whole),
+score AS (SELECT item_id, doc_id, sum(times * s)::BIGINT AS score FROM ask JOIN impact USING (term) GROUP BY 1, 2)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0)
+WHERE rank <= {impact_search.TOP}
+"""
+
 ORACLES = {
     "op1_embedding_neardup": _OP1,
     "op4_exact_dedup": _OP4,
@@ -219,4 +299,6 @@ ORACLES = {
     "op7_substring_dedup": _OP7,
     "op10_line_dedup": _OP10,
     "op10_line_dedup_long": _OP10_LONG,
+    "op12_merkle": _OP12,
+    "op13_ranked_search": _OP13,
 }

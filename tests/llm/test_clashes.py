@@ -11,10 +11,13 @@ from sievewright.llm import (
     byte_bpe,
     cover_tree,
     exact_dedup,
+    impact_search,
     language_id,
     line_dedup,
     masked_lm,
+    merkle,
     mixing,
+    sharding,
     simhash,
     substring_dedup,
     url_filter,
@@ -25,6 +28,10 @@ from sievewright.llm.queries import tokenizer
 OWN = {"doc_id", "text", "lang", "source", "n_chars", "vec_id", "embedding", "page_id", "url", "html"}
 
 
+#: Names that need quotes.
+ODD = ["a.b", "with space", "Upper.Case", "back`tick"]
+
+
 def inner_names() -> list[str]:
     """Every identifier that stands as a string in the operators' sources."""
     found = set()
@@ -35,7 +42,7 @@ def inner_names() -> list[str]:
 
 
 def with_clashes(df):
-    return df.select("*", *[F.lit("x").alias(n) for n in inner_names()])
+    return df.select("*", *[F.lit("x").alias(n) for n in [*inner_names(), *ODD]])
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +75,9 @@ DOC_CASES = {
     "bpe": lambda d: byte_bpe.encode_documents(d, *tokenizer(), keep=["doc_id", "source", "lang"]),
     "lm": masked_lm.pseudo_likelihood,
     "line": line_dedup.line_dedup,
+    "shards": lambda d: sharding.shard(d).select("row.doc_id", "row.text", "shard", "slot"),
+    "merkle": merkle.manifest,
+    "search": lambda d: impact_search.ranked_search(d, d.where("doc_id % 5 = 0").withColumnsRenamed({"doc_id": "item_id"})),
 }
 
 

@@ -9,7 +9,7 @@ from sievewright.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, tiny, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tiny}/{t}.parquet'")
     got = queries.QUERIES[name](spark, tiny)
     want = con.execute(queries.ORACLES[name])
