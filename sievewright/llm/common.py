@@ -40,6 +40,11 @@ def width(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def quoted(name: str) -> str:
+    """A column name for use in expressions, whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def digest(col) -> F.Column:
     """A 128-bit key of a string column (md5 as 16 bytes)."""
     return F.unhex(F.md5(col))
@@ -64,7 +69,7 @@ _LAST = (1 << 63) - 1
 def row_hash(docs: DataFrame) -> F.Column:
     """64 bits of all columns of a row, to rank rows that share an id."""
     hashable = [
-        F.to_json(F.struct(docs[f"`{f.name}`"])) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else docs[f"`{f.name}`"]
+        F.to_json(F.struct(docs[quoted(f.name)])) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else docs[quoted(f.name)]
         for f in docs.schema
     ]
     return F.xxhash64(*hashable)

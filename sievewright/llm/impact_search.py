@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import cut
+from sievewright.llm.common import cut, quoted
 
 #: Letters, digits and whatever isn't ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -62,7 +62,7 @@ def forward(docs: DataFrame, vocabulary: dict[str, int], doc_id: str, text: str)
             arrays = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "terms", "counts"])
 
-    return docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text")).mapInArrow(count, _FORWARD)
+    return docs.select(docs[quoted(doc_id)].cast("long").alias("doc_id"), docs[quoted(text)].alias("text")).mapInArrow(count, _FORWARD)
 
 
 def weight(n_docs: int, df: int) -> int:
@@ -237,7 +237,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = TOP, doc_id: str =
     without a term find nothing, and those that repeat an id are answered each. Whole texts count, of any length: a text is read into terms in one task. Other columns are ignored.
     Empty tables give an empty result.
     """
-    asked = items.select(items[f"`{item_id}`"].alias("item_id"), items[f"`{text}`"].alias("text")).where("text IS NOT NULL")
+    asked = items.select(items[quoted(item_id)].alias("item_id"), items[quoted(text)].alias("text")).where("text IS NOT NULL")
     # a bound: a term and what parts it from the next are two characters at least
     pairs = asked.agg(F.sum(F.expr("char_length(text) div 2 + 1"))).first()[0] or 0
     batches = max(1, -(-pairs // max_pairs))

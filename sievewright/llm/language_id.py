@@ -19,6 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sievewright.llm.common import cut, quoted
 
 #: Bound of the labelled sample: documents looked at per language (expected), and characters kept per language.
 SAMPLE_DOCS = 120
@@ -240,17 +243,16 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
     """Fit on a bounded, hash-chosen sample of labelled documents that aren't held out."""
     seen = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r["count"] for r in seen.groupBy(lang).count().collect()}
+    counts = cut(seen.groupBy(F.col(lang).alias("_label")).agg(F.count("*").alias("_of")))
+    sizes = [r[0] for r in counts.select("_label").collect()]
     if not sizes:
         return Model({})
     u = F.pmod(F.xxhash64(F.lit(SEED), F.col(doc_id)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    rate = F.lit(0.0)
-    for k, n in sizes.items():
-        rate = F.when(F.col(lang) == k, F.lit(min(1.0, SAMPLE_DOCS / n))).otherwise(rate)
     start = F.greatest(F.lit(1), F.floor(F.char_length(text) / 2 - SAMPLE_SLICE / 2).cast("int"))
     rows = (
-        seen.where(u < rate)
-        .select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.substring(F.col(text), start, F.lit(SAMPLE_SLICE)).alias("t"))
+        # one row for each label, as the model has a text for each
+        seen.select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.substring(F.col(text), start, F.lit(SAMPLE_SLICE)).alias("t"), u.alias("u"))
+        .join(F.broadcast(counts), F.col("l") == F.col("_label")).where(F.col("u") < F.lit(float(SAMPLE_DOCS)) / F.col("_of")).select("i", "l", "t")
         .limit(4 * SAMPLE_DOCS * len(sizes))
         .collect()
     )
@@ -288,25 +290,27 @@ def label(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "_l
     replace columns of these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(lang_out, score_out, known_out)
-    names = docs.columns
-    at_text = names.index(text)
+    # the columns travel as one struct, whatever their names
+    held = docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row"), docs[quoted(text)].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in (x for b in batches for x in _together(b, at_text)):
-            got = m.predict(batch.column(at_text).to_pylist())
+        for batch in (x for b in batches for x in _together(b, 1)):
+            got = m.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns,
+                    batch.column(0),
                     pa.array([x for x, _, _ in got], pa.string()),
                     pa.array([s for _, s, _ in got], pa.float64()),
                     pa.array([k for _, _, k in got], pa.bool_()),
                 ],
-                names=[*names, lang_out, score_out, known_out],
+                names=["row", "lang", "score", "known"],
             )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{lang_out}` string", f"`{score_out}` double", f"`{known_out}` boolean"]))
+    schema = T.StructType([T.StructField("row", held.schema["row"].dataType), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.BooleanType())])
+    got = held.mapInArrow(run, schema)
+    added = [F.col(c).alias(out) for c, out in (("lang", lang_out), ("score", score_out), ("known", known_out))]
+    return got.select(*[F.col("row")[c].alias(c) for c in docs.columns], *added)
 
 
 def known(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", languages: list[str] | None = None) -> DataFrame:
@@ -322,5 +326,5 @@ def known(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang",
         out = ["_" + x for x in out]
     got = label(docs, model, text, *out)
     good = F.col(out[2]) if languages is None else F.col(out[2]) & F.col(out[0]).isin(languages)
-    filled = [F.coalesce(F.col(f"`{c}`"), F.col(out[0])).alias(c) if c == lang else F.col(f"`{c}`") for c in docs.columns]
+    filled = [F.coalesce(F.col(quoted(c)), F.col(out[0])).alias(c) if c == lang else F.col(quoted(c)) for c in docs.columns]
     return got.where(good).select(*filled)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import cut, spread_join, width
+from sievewright.llm.common import cut, quoted, spread_join, width
 
 ARITY = 3
 #: Levels whose coordinates are exploded at once.
@@ -136,10 +136,10 @@ def manifest(
     name (null first). Nulls in any column are encoded apart from texts. Texts of any length are hashed where they are read, once, and aren't moved.
     A group with a third of all rows is split over tasks like others. Columns of other names are ignored; an empty table gives an empty result.
     """
-    at = {c: docs[f"`{c}`"] for c in columns}
+    at = {c: docs[quoted(c)] for c in columns}
     leaves = cut(
         docs.select(
-            docs[f"`{order}`"].cast("long").alias("order"), docs[f"`{group}`"].cast("string").alias("group"), F.unhex(leaf_digest(*at.values())).alias("digest"),
+            docs[quoted(order)].cast("long").alias("order"), docs[quoted(group)].cast("string").alias("group"), F.unhex(leaf_digest(*at.values())).alias("digest"),
             F.struct(F.lit(0).alias("_"), *[e.alias(name) for name, e in more.items()]).alias("more"),
         )
     )

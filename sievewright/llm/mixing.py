@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.common import width
+from sievewright.llm.common import quoted, width
 
 SEED = 20260801
 #: Most sources whose rates are sent to all executors; beyond it the rates are joined by exchange.
@@ -89,7 +89,7 @@ def mix(
     if rates.count() <= MAX_BROADCAST:
         rates = F.broadcast(rates)
     # the document is one struct until its copies are made, so that no name of its columns meets one of the rates
-    base = docs.select(F.struct(*columns).alias("row"))
+    base = docs.select(F.struct(*[docs[quoted(c)] for c in columns]).alias("row"))
     at = {c: F.col("row")[c] for c in columns}
     with_rate = base.join(rates, at[source].eqNullSafe(rates["_source"]))
     key = [F.lit(seed), at[doc_id]] + ([at[text]] if text is not None else [])

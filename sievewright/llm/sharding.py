@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.llm.common import width
+from sievewright.llm.common import quoted, width
 
 SEED = 20261128
 SHARDS = 16
@@ -60,7 +60,7 @@ def shard(
     Shards differ by one row at most; with fewer rows than shards some are empty. An empty table gives an empty result.
     """
     place = F.monotonically_increasing_id() if row is None else row
-    base = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(F.lit(seed), place).alias("draw"))
+    base = docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row"), F.xxhash64(F.lit(seed), place).alias("draw"))
     sums = base.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("row")[text])).alias("bytes")).first()
     total, buckets = sums["n"], max(1, -(-(sums["bytes"] or 0) // bucket_bytes))
     parts = width(docs.sparkSession)

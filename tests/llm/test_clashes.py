@@ -22,10 +22,11 @@ from sievewright.llm import (
     substring_dedup,
     url_filter,
 )
+from sievewright.llm.common import quoted
 from sievewright.llm.queries import tokenizer
 
 #: Names that the data or the result own.
-OWN = {"doc_id", "text", "lang", "source", "n_chars", "vec_id", "embedding", "page_id", "url", "html"}
+OWN = {"doc_id", "text", "lang", "source", "n_chars", "vec_id", "embedding", "page_id", "url", "html", "item_id"}
 
 
 #: Names that need quotes.
@@ -95,6 +96,18 @@ def test_documents(docs, name):
     same(DOC_CASES[name], docs)
 
 
+def test_many_labels(spark):
+    n = 2000
+    rows = spark.range(4 * n).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(" again and again")).alias("text"),
+        F.concat(F.lit("l"), F.col("id") % n).alias("lang"),
+    )
+    model = language_id.train(rows)
+    assert len(model.langs) > 0.99 * n
+    few = rows.where("doc_id < 8")
+    assert language_id.identify(few, model).count() == 8
+
+
 def test_filters_return_the_columns_of_documents_as_they_were(docs, spark):
     import corpus_pipeline
 
@@ -102,7 +115,7 @@ def test_filters_return_the_columns_of_documents_as_they_were(docs, spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, clashing, "")
         assert got.columns == clashing.columns and got.count()
-        assert got.where(" or ".join(f"`{n}` <> 'x'" for n in inner_names())).count() == 0
+        assert got.where(" or ".join(f"{quoted(n)} <> 'x'" for n in [*inner_names(), *ODD])).count() == 0
 
 
 def test_vectors(vectors):
