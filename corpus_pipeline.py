@@ -11,9 +11,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievewright.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
-from sievewright.llm.common import ensure_checkpoint_dir
+from sievewright.llm.common import ensure_checkpoint_dir, quoted
 from sievewright.llm.queries import tokenizer
 
 
@@ -47,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source of its own. Rows that repeat doc_id and text draw the same number of copies.
     """
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
