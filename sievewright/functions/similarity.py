@@ -23,12 +23,12 @@ STOP_WORDS = (
 ONE_OF_TWO = 1 + math.log(1.5)
 
 
-def with_terms(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the terms of a text: words of two and more word characters, stop words dropped, then pairs of neighbours.
+def with_terms(df: DataFrame, text: str, out: str, stop_words: list[str] | None = None) -> DataFrame:
+    """Adds the terms of a text: words of two and more word characters, stop words dropped (``stop_words``, or the own list), then pairs of neighbours.
 
     Built in stages, as an expression that a lambda captures would be evaluated anew for each element.
     """
-    stop = F.array(*map(F.lit, STOP_WORDS))
+    stop = F.array(*map(F.lit, STOP_WORDS if stop_words is None else stop_words)).cast("array<string>")
     found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     df = df.withColumn("_words", F.filter(found, lambda w: ~F.array_contains(stop, w)))
     words = F.col("_words")

@@ -9,22 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Keys that are never stored, and ids that may be.
-FORBIDDEN = (
-    "passport|national[ _-]?id|identity[ _-]?(card|number|no)|id[ _-]?(card|number|no)|nric|mykad|aadhaar|ssn|social[ _-]?security|residence[ _-]?permit|"
-    "tax[ _-]?(id|identification)|licen[cs]e[ _-]?(number|no)"
-)
-SAFE = "(student|matric(ulation)?|enrol?ment|application|candidate|reference)[ _-]?(id|no|number)"
+from sievewright.functions import records
+from sievewright.functions.records import key_forbidden
+from sievewright.operators import containment
+
 # Glyphs of quotes, and of dashes and dots with what they become.
 QUOTES = "“”‘’\"'«»"
 FOLDED = {"—": "-", "–": "-", "−": "-", "…": "..."}
 
 
-def key_forbidden(key: Column) -> Column:
-    flat = F.trim(F.regexp_replace(key, r"[_\-.]+", " "))
-    return ~flat.rlike("(?i)" + SAFE) & flat.rlike("(?i)" + FORBIDDEN)
-
-
 def strip_forbidden(record: Column) -> Column:
     """A map without the keys that are never stored."""
     return F.map_filter(record, lambda k, _: ~key_forbidden(k))
@@ -36,9 +29,17 @@ def sentinels(texts: DataFrame, text: str) -> DataFrame:
     return texts.select(line.alias("sentinel")).where((F.length("sentinel") >= 12) & F.contains("sentinel", F.lit(" "))).distinct()
 
 
+def profile_sentinels(profiles: DataFrame, column: str) -> DataFrame:
+    """Distinctive strings of nested profiles: values at any depth of eight and more characters with a blank or a symbol, once each."""
+    values = records.strings(F.col(column), profiles.schema[column].dataType, records.NOT_PRIVATE)
+    value = profiles.select(F.explode(values).alias("value")).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("sentinel"))
+    return value.where((F.char_length("sentinel") >= 8) & F.col("sentinel").rlike("[^A-Za-z0-9]")).distinct()
+
+
 def leaks(files: DataFrame, secrets: DataFrame, text: str = "value", file: str = "file") -> DataFrame:
-    """Files that contain a sentinel, with the hash of which. The sentinels are those of a small, fixed set of sources."""
-    return files.join(F.broadcast(secrets), F.contains(files[text], secrets["sentinel"])).select(file, F.substring(F.sha2("sentinel", 256), 1, 8).alias("sha256_8")).distinct()
+    """Files that contain a sentinel, with the hash of which."""
+    hits = containment.find(files, secrets.select(F.col("sentinel").alias("needle")), file, text)
+    return hits.select(file, F.substring(F.sha2("needle", 256), 1, 8).alias("sha256_8")).distinct()
 
 
 def fold(s: str | None) -> str | None:

@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.functions import confidence, fields, forms, guards, similarity, skills
+from sievewright.functions import confidence, fields, forms, guards, records, similarity, skills
 from sievewright.functions import text as texts
-from sievewright.operators import assistant, audit, generator, matching, profiles, runlog, runner, scoring
+from sievewright.operators import assistant, audit, generator, matching, profiles, runlog, runner, scoring, sparse
 from sievewright.session import spread, table
 from sievewright.sources import fetched, files, pages, pdf
 from sievewright.streaming import runs
@@ -283,6 +283,29 @@ def tfidf_corpus_weights(spark, d):
     return matching.corpus_tfidf(table(spark, d, "benchmark"), "item_id", "text").select("id", "term", F.round("weight", 6).alias("weight"))
 
 
+_SPARSE = f"""WITH t AS (SELECT doc_id, term, count(*) AS tf FROM {_terms_sql('documents', 'doc_id')} GROUP BY 1, 2),
+n AS (SELECT count(*) AS n FROM documents),
+f AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM t GROUP BY 1 ORDER BY total DESC, term LIMIT {sparse.MAX_FEATURES}), n),
+w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM t JOIN f USING (term)),
+q AS (SELECT item_id, term, (1 + ln(tf)) * idf AS w FROM (SELECT item_id, term, count(*) AS tf FROM {_terms_sql('benchmark', 'item_id')} GROUP BY 1, 2) JOIN f USING (term)),
+s AS (SELECT item_id AS query, doc_id AS id, round(sum(q.w * w.w) / any_value(a.n * b.n), 6) AS similarity FROM q JOIN w USING (term)
+  JOIN (SELECT item_id, sqrt(sum(w * w)) AS n FROM q GROUP BY 1) a USING (item_id) JOIN (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1) b USING (doc_id) GROUP BY 1, 2)"""
+
+
+@query(_SPARSE + """ SELECT query, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank FROM s) WHERE rank <= 4""")
+def sparse_topk(spark, d):
+    """Postings as queries over all documents, by the corpus's TF-IDF; the SQL scores every pair."""
+    index = sparse.Index(spread(table(spark, d, "documents")), "doc_id", "text")
+    return index.top_k(index.queries(table(spark, d, "benchmark"), "item_id", "text"), 4)
+
+
+@query()
+def sparse_touched(spark, d):
+    """What of the postings the top-k of ``sparse_topk`` reads."""
+    index = sparse.Index(spread(table(spark, d, "documents")), "doc_id", "text")
+    return index.touched(index.plan(index.queries(table(spark, d, "benchmark"), "item_id", "text"), 4))
+
+
 _SIM = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, x.vec_id AS chunk_id, q.label AS ql, x.label AS xl,
  round(list_dot_product(q.v, x.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(x.v, x.v)), 6) AS similarity FROM e q JOIN e x ON q.vec_id % 20 = 0)"""
@@ -880,6 +903,59 @@ def sentinel_leaks(spark, d):
     return hits.groupBy("sha256_8").agg(F.count("*").alias("documents"))
 
 
+_EMAIL, _PHONE = "[\\w.\\-+]+@[\\w\\-]+\\.[\\w.\\-]+", "(?:\\+\\d{1,3}[\\s\\-]?)?(?:\\(?\\d{2,4}\\)?[\\s\\-]?)?\\d{3,4}[\\s\\-]?\\d{4}"
+
+
+@query(f"""WITH v AS (SELECT unnest([regexp_extract(text, '{_EMAIL}'), regexp_extract(text, '{_PHONE}'), split_part(text, chr(10), 1)]) AS v FROM documents),
+s AS (SELECT DISTINCT regexp_replace(v, '^\\s+|\\s+$', '', 'g') AS sentinel FROM v)
+SELECT substr(sha256(sentinel), 1, 8) AS sha256_8, count(DISTINCT doc_id) AS documents FROM s JOIN documents d
+  ON length(sentinel) >= 8 AND regexp_matches(sentinel, '[^A-Za-z0-9]') AND contains(d.text, sentinel) GROUP BY 1""")
+def profile_leaks(spark, d):
+    """What documents hold of profiles: contacts and first lines of all documents, in nested records."""
+    docs = spread(table(spark, d, "documents"))
+    info = F.create_map(F.lit("email"), fields.email(c("text")), F.lit("phone"), fields.phone(c("text")), F.lit("notes"), c("text"))
+    people = docs.select(F.struct(info.alias("personal_info"), F.array(F.struct(c("source").alias("title"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("summary"))).alias("projects")).alias("profile"))
+    hits = audit.leaks(docs, audit.profile_sentinels(people, "profile"), "text", "doc_id")
+    return hits.groupBy("sha256_8").agg(F.count("*").alias("documents"))
+
+
+_MARK = "'{\"chars\":' || length(text) || ',\"sha256_8\":\"' || substr(sha256(text), 1, 8) || '\"}'"
+
+
+@query(f"""SELECT conv_id, turn, length(text) AS chars, substr(sha256(text), 1, 8) AS deep, substr(sha256(role), 1, 8) AS answer, text AS listed, role AS kept, {_MARK} AS mapped,
+ CASE WHEN turn % 3 = 0 THEN NULL ELSE substr(sha256(role), 1, 8) END AS dynamic, turn::BIGINT AS number FROM conversations""")
+def scrubbed_records(spark, d):
+    """Turns as nested records, with texts at depth three, in lists, maps and variants, as a log may keep them."""
+    t, role = c("text"), c("role")
+    free = F.concat(F.lit('{"a":[{"b":{"k":'), c("turn"), F.lit(',"prompt":'), F.when(c("turn") % 3 == 0, "null").otherwise(F.concat(F.lit('"'), role, F.lit('"'))), F.lit("}}]}"))
+    record = F.struct(
+        F.struct(F.struct(t.alias("Content"), F.array(t).alias("text")).alias("inner"), role.alias("role")).alias("outer"), F.create_map(F.lit("prompt"), t, F.lit("role"), role).alias("meta"),
+        F.array(F.struct(role.alias("completion"))).alias("answers"), F.parse_json(free).alias("free"),
+    )
+    df = table(spark, d, "conversations").select("conv_id", "turn", record.alias("r"))
+    r = records.scrub(c("r"), df.schema["r"].dataType)
+    got = lambda p, kind: F.try_variant_get("s.free", f"$.a[0].b.{p}", kind)
+    return df.select("conv_id", "turn", r.alias("s")).select(
+        "conv_id", "turn", c("s.outer.inner.Content.chars").cast("bigint").alias("chars"), c("s.outer.inner.Content.sha256_8").alias("deep"), c("s.answers")[0]["completion"]["sha256_8"].alias("answer"),
+        c("s.outer.inner.text")[0].alias("listed"), c("s.outer.role").alias("kept"), c("s.meta")["prompt"].alias("mapped"), got("prompt.sha256_8", "string").alias("dynamic"), got("k", "bigint").alias("number"),
+    )
+
+
+@query("""SELECT event_id, '{"outer":{"student_id":' || user_id || ',"list":[{"kind":"' || event_type || '"}]},"meta":{"application no":"' || event_type || '"},"rest":{}}' AS kept,
+ '{"a":{"candidate_id":' || user_id || ',"k":[1,{"z":' || event_id || '}]}}' AS free FROM events""")
+def stripped_records(spark, d):
+    """Events as nested records with keys at every depth that may not be stored."""
+    kind = c("event_type")
+    record = F.struct(
+        F.struct(c("user_id").alias("passportNo"), c("user_id").alias("student_id"), F.array(F.struct(kind.alias("kind"), kind.alias("tax_id"))).alias("list")).alias("outer"),
+        F.create_map(F.lit("NRIC"), kind, F.lit("application no"), kind).alias("meta"), F.create_map(F.lit("id_card"), F.create_map(F.lit("x"), kind)).alias("rest"), kind.alias("ssn"),
+    )
+    free = F.parse_json(F.concat(F.lit('{"a":{"candidate_id":'), c("user_id"), F.lit(',"social-security":[1],"k":[1,{"licence number":2,"z":'), c("event_id"), F.lit('}]},"aadhaar":{"b":1}}')))
+    df = table(spark, d, "events").select("event_id", record.alias("r"), free.alias("v"))
+    kinds = {f.name: f.dataType for f in df.schema}
+    return df.select("event_id", F.to_json(records.strip(c("r"), kinds["r"])).alias("kept"), F.to_json(records.strip(c("v"), kinds["v"])).alias("free"))
+
+
 @query()
 def page_scan_counts(spark, d):
     df = table(spark, d, "pages").select("page_id", F.replace("html", F.lit("</body>"), F.lit(_FORM + "</body>")).alias("html"))

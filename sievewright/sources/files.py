@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.functions.text import fingerprint
+from sievewright.functions import records
+from sievewright.operators import containment
+from sievewright.session import cut
 
 CASES = (
     "case_id string, job_family string, variant string, profile_id string, company string, title string, jd_text string, resume_text string, "
@@ -27,8 +29,7 @@ RUN_LOG = (
 )
 TIMERS = "timer_id string, case_id string, phase string, minutes string, first_exposure string"
 FORM_SCHEMA = "name string, label string, type string, is_list boolean, required boolean"
-# Keys whose values a log keeps only as fingerprints; bounds of a chunk.
-TEXT_KEYS = ("resume_text", "jd_text", "text", "raw_text", "content", "prompt", "user_prompt", "completion", "response_text")
+# Bounds of a chunk.
 CHUNK_CHARS = (40, 500)
 
 
@@ -93,9 +94,8 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_run_log(df: DataFrame, path: str) -> None:
-    """Append records as JSON Lines; columns that hold texts are kept only as fingerprints."""
-    scrubbed = [fingerprint(F.col(c)).alias(c) if c.lower() in TEXT_KEYS and dict(df.dtypes)[c] == "string" else F.col(c) for c in df.columns]
-    df.select(*scrubbed).write.mode("append").json(path)
+    """Append records as JSON Lines; texts under text-like keys, at any depth, are kept only as fingerprints."""
+    df.select(*[records.scrub(df[f"`{f.name}`"], f.dataType, f.name).alias(f.name) for f in df.schema]).write.mode("append").json(path)
 
 
 def read_timers(spark: SparkSession, path: str) -> DataFrame:
@@ -135,8 +135,11 @@ def scan_text(spark: SparkSession, path: str, pattern: str, skip: str = r"/\.git
     hits = hits.withColumn("line_no", F.col("line_no") + 1)
     if allowed is None:
         return hits
-    a = allowed.select(F.col("file").alias("_f"), F.col("excerpt").alias("_e"))
-    return hits.join(F.broadcast(a), hits["file"].endswith(a["_f"]) & F.contains(hits["line"], a["_e"]), "left_anti")
+    marked = cut(hits)
+    line = marked.withColumn("_at", F.struct("file", "line_no"))
+    excuses = allowed.select(F.col("file").alias("_f"), F.col("excerpt").alias("needle"))
+    excused = containment.find(line, excuses, "_at", "line").join(excuses, "needle").where(F.endswith(F.col("_at.file"), F.col("_f")))
+    return marked.join(excused.select("_at.file", "_at.line_no").distinct(), ["file", "line_no"], "left_anti")
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
