@@ -5,34 +5,21 @@ The tables have no skills, so documents and benchmark items get some planted, th
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import confidence, fields, forms, guards, records, similarity, skills
 from sievewright.functions import text as texts
 from sievewright.operators import assistant, audit, generator, matching, profiles, runlog, runner, scoring, sparse
+from sievewright.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from sievewright.session import spread, table
 from sievewright.sources import fetched, files, pages, pdf
 from sievewright.streaming import runs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 PLANT = ["Python", "JavaScript", "Java", "C++", "ci/cd", "scikit-learn", "k8s", "Excellent", "Golang", "a/b testing"]
 c = F.col
 
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
 def _word(id_: str, a: int, b: int) -> Column:
     return F.element_at(F.array(*map(F.lit, PLANT)), (F.pmod(c(id_) * a + b, F.lit(10)) + 1).cast("int"))
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sievewright.plans import catalogue
+from sievewright.plans import catalogue, evidence, registry  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -26,10 +26,10 @@ def close(a, b):
     return len(a) == len(b) and all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-6) for x, y in zip(a, b, strict=True))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracle(spark, duck, tiny, name):
-    got = catalogue.QUERIES[name](spark, tiny).toPandas()
-    want = duck.execute(catalogue.ORACLES[name]).df()
+    got = registry.QUERIES[name](spark, tiny).toPandas()
+    want = duck.execute(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     for c in got.columns:  # timestamps as text
         if "datetime" in str(got[c].dtype):
@@ -39,6 +39,6 @@ def test_oracle(spark, duck, tiny, name):
     assert all(map(close, a, b)), [(x, y) for x, y in zip(a, b, strict=True) if not close(x, y)][:3]
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_rows(spark, tiny, name):
-    assert catalogue.QUERIES[name](spark, tiny).count() > 0
+    assert registry.QUERIES[name](spark, tiny).count() > 0
