@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewright.operators.quantiles import with_quantiles
+from sievewright.session import cut
+
 
 def cost_latency(log: DataFrame, price_in: float = 0.15, price_out: float = 0.60) -> DataFrame:
     """Per condition: calls, tokens, cost, cost per passed case (null if none passed), median and maximal latency.
@@ -19,9 +22,8 @@ def cost_latency(log: DataFrame, price_in: float = 0.15, price_out: float = 0.60
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("completion_tokens"),
         F.max("latency_ms").alias("max_latency_ms"),
-        # the lower median of the negated values is the upper one: the element at n // 2
-        F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -latency_ms)").cast("double").alias("median_latency_ms"),
     )
+    df = with_quantiles(df, log, ["condition"], "latency_ms", {"median_latency_ms": ("upper", 0.5)})
     cost = (c("prompt_tokens") * price_in + c("completion_tokens") * price_out) / 1e6
     return df.withColumn("cost", F.bround(cost, 6)).withColumn("cost_per_passed", F.bround(F.try_divide(cost, c("passed")), 6))
 
@@ -29,9 +31,8 @@ def cost_latency(log: DataFrame, price_in: float = 0.15, price_out: float = 0.60
 def retrieval_stats(log: DataFrame) -> DataFrame:
     """Smallest, median and largest similarity and number of distinct chunks per condition (``condition, similarity, chunk_ids``)."""
     chunks = log.select("condition", F.explode("chunk_ids").alias("chunk")).groupBy("condition").agg(F.countDistinct("chunk").alias("distinct_chunks"))
-    sims = log.groupBy("condition").agg(
-        F.min("similarity").alias("min_similarity"), F.percentile("similarity", F.lit(0.5)).alias("median_similarity"), F.max("similarity").alias("max_similarity")
-    )
+    sims = log.groupBy("condition").agg(F.min("similarity").alias("min_similarity"), F.max("similarity").alias("max_similarity"))
+    sims = with_quantiles(sims, log, ["condition"], "similarity", {"median_similarity": ("linear", 0.5)})
     return sims.join(chunks, "condition", "left")
 
 
@@ -109,13 +110,14 @@ def timing_pairs(timers: DataFrame) -> DataFrame:
 def timing_gate(timers: DataFrame, least: int = 3, target: float = 0.30) -> DataFrame:
     """One row: status and counts; means only if enough independent timers and a complete pair are there."""
     c = F.col
-    pairs = timing_pairs(timers)
     complete = c("baseline").isNotNull() & c("assisted").isNotNull()
-    cut = F.when(complete, (c("baseline") - c("assisted")) / c("baseline"))
+    pairs = cut(timing_pairs(timers).withColumn("_cut", F.when(complete, (c("baseline") - c("assisted")) / c("baseline"))))
+    reduction = c("_cut")
     agg = pairs.agg(
-        F.countDistinct("timer_id").alias("n_timers"), F.count_if(complete).alias("n_paired"), F.count_if(cut >= target).alias("_hits"),
-        F.avg(cut).alias("_mean"), F.percentile(cut, F.lit(0.5)).alias("_median"), F.min(cut).alias("_min"), F.max(cut).alias("_max"),
+        F.countDistinct("timer_id").alias("n_timers"), F.count_if(complete).alias("n_paired"), F.count_if(reduction >= target).alias("_hits"),
+        F.avg(reduction).alias("_mean"), F.min(reduction).alias("_min"), F.max(reduction).alias("_max"),
     )
+    agg = with_quantiles(agg, pairs, [], "_cut", {"_median": ("linear", 0.5)})
     seen = timers.agg(F.count("*").alias("_rows"))
     status = F.when(c("_rows") == 0, "no_data").when((c("n_timers") < least) | (c("n_paired") == 0), "insufficient").otherwise("reported")
     shown = lambda x: F.when(status == "reported", F.bround(x, 4))

@@ -329,7 +329,7 @@ def calibrated_retrieval(spark, d):
 @query("""WITH p(probe, relevant, similarity) AS (SELECT doc_id % 50, doc_id % 7 < 3, round((n_chars % 997) / 997.0 + CASE WHEN doc_id % 7 < 3 THEN 0.05 ELSE 0 END, 6) FROM documents),
 b AS (SELECT probe, max(similarity) FILTER (relevant) AS rel, max(similarity) FILTER (NOT relevant) AS irr FROM p GROUP BY 1)
 SELECT round(quantile_cont(irr, 0.1), 6) AS floor, round(quantile_cont(rel, 0.9), 6) AS ceiling, round(median(irr), 6) AS irrelevant_median, round(median(rel), 6) AS relevant_median,
- quantile_disc(irr, 0.95) AS irrelevant_p95, count(*) AS probes FROM b""")
+ list_sort(list(irr) FILTER (irr IS NOT NULL))[round_even(0.95 * (count(irr) - 1), 0)::INTEGER + 1] AS irrelevant_p95, count(*) AS probes FROM b""")
 def derive_calibration(spark, d):
     sims = table(spark, d, "documents").select(
         (c("doc_id") % 50).alias("probe"), (c("doc_id") % 7 < 3).alias("relevant"),

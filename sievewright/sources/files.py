@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from sievewright.functions import records
 from sievewright.operators import containment
+from sievewright.operators.quantiles import with_quantiles
 from sievewright.session import cut
 
 CASES = (
@@ -74,11 +75,9 @@ def validate_chunks(chunks: DataFrame) -> DataFrame:
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     """Per family: count and smallest, median (upper) and largest length."""
-    n = F.char_length("text")
-    return chunks.withColumn("_n", n).groupBy("family").agg(
-        F.count("*").alias("chunks"), F.min("_n").alias("shortest"), F.max("_n").alias("longest"),
-        F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -_n)").cast("int").alias("median"),
-    )
+    sized = chunks.withColumn("_n", F.char_length("text"))
+    stats = sized.groupBy("family").agg(F.count("*").alias("chunks"), F.min("_n").alias("shortest"), F.max("_n").alias("longest"))
+    return with_quantiles(stats, sized, ["family"], "_n", {"median": ("upper", 0.5)}).withColumn("median", F.col("median").cast("int"))
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
