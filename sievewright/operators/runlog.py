@@ -110,18 +110,23 @@ def timing_pairs(timers: DataFrame) -> DataFrame:
 def timing_gate(timers: DataFrame, least: int = 3, target: float = 0.30) -> DataFrame:
     """One row: status and counts; means only if enough independent timers and a complete pair are there."""
     c = F.col
+    return gate(timing_pairs(timers), timers.isEmpty(), least, target)
+
+
+def gate(pairs: DataFrame, nothing: bool = False, least: int = 3, target: float = 0.30) -> DataFrame:
+    """The measure of ``pairs(timer_id, baseline, assisted)``; ``nothing`` tells that there was no record at all."""
+    c = F.col
     complete = c("baseline").isNotNull() & c("assisted").isNotNull()
-    pairs = cut(timing_pairs(timers).withColumn("_cut", F.when(complete, (c("baseline") - c("assisted")) / c("baseline"))))
+    pairs = cut(pairs.withColumn("_cut", F.when(complete, (c("baseline") - c("assisted")) / c("baseline"))))
     reduction = c("_cut")
     agg = pairs.agg(
         F.countDistinct("timer_id").alias("n_timers"), F.count_if(complete).alias("n_paired"), F.count_if(reduction >= target).alias("_hits"),
         F.avg(reduction).alias("_mean"), F.min(reduction).alias("_min"), F.max(reduction).alias("_max"),
     )
     agg = with_quantiles(agg, pairs, [], "_cut", {"_median": ("linear", 0.5)})
-    seen = timers.agg(F.count("*").alias("_rows"))
-    status = F.when(c("_rows") == 0, "no_data").when((c("n_timers") < least) | (c("n_paired") == 0), "insufficient").otherwise("reported")
+    status = F.when(F.lit(nothing), "no_data").when((c("n_timers") < least) | (c("n_paired") == 0), "insufficient").otherwise("reported")
     shown = lambda x: F.when(status == "reported", F.bround(x, 4))
-    return agg.crossJoin(F.broadcast(seen)).select(
+    return agg.select(
         status.alias("status"), "n_timers", "n_paired", F.when(status == "reported", c("_hits")).alias("hits"),
         shown(c("_mean")).alias("mean_reduction"), shown(c("_median")).alias("median_reduction"),
         shown(c("_min")).alias("min_reduction"), shown(c("_max")).alias("max_reduction"),

@@ -5,6 +5,8 @@ The tables have no skills, so documents and benchmark items get some planted, th
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,9 @@ from sievewright.functions import confidence, fields, forms, guards, records, si
 from sievewright.functions import text as texts
 from sievewright.operators import assistant, audit, generator, matching, profiles, runlog, runner, scoring, sparse
 from sievewright.plans.registry import ORACLES, QUERIES, query  # noqa: F401
-from sievewright.session import spread, table
+from sievewright.session import shared_folder, spread, table
 from sievewright.sources import fetched, files, pages, pdf
-from sievewright.streaming import runs
+from sievewright.streaming import runs, timers
 
 PLANT = ["Python", "JavaScript", "Java", "C++", "ci/cd", "scikit-learn", "k8s", "Excellent", "Golang", "a/b testing"]
 c = F.col
@@ -808,15 +810,16 @@ def events_per_day(spark, d):
     return e
 
 
-@query()
+@query("""SELECT event_type, time_bucket(INTERVAL 1 day, ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def events_stream_window(spark, d):
-    """Extension: events as a file stream, counted per type and day with a watermark."""
+    """Extension: events as a file stream, counted per type and day with a watermark; each batch goes to a part, of which a window's last counts."""
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", c("ts").cast("timestamp"))
-    name = "events_stream_window"
-    q = runs.event_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("event_type", c("window.start").alias("day"), "n", F.round("total", 4).alias("total"))
+    counts = runs.event_counts(stream)
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    timers.write_parts(counts, f"{base}/parts", f"{base}/state")
+    last = spark.read.schema(counts.schema.add("batch", "long")).parquet(f"{base}/parts").groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("r"))
+    return last.select("event_type", c("window.start").cast("timestamp_ntz").alias("day"), "r.n", F.round("r.total", 4).alias("total"))
 
 
 @query(f"""WITH {_SIM.split('s AS')[0].rstrip().rstrip(',')} SELECT vec_id, generate_subscripts(v, 1) - 1 AS place, round(unnest(v) / sqrt(list_dot_product(v, v)), 6) AS x FROM e""")

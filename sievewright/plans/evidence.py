@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from sievewright.functions import skills
+from sievewright.operators import runlog, sampling
+from sievewright.plans import catalogue
 from sievewright.plans.registry import query
-from sievewright.session import spread, table
-from sievewright.sources import crawl
+from sievewright.session import shared_folder, table
+from sievewright.sources import crawl, snapshots
+from sievewright.streaming import timers
 
 c = F.col
 
@@ -62,3 +68,91 @@ def robots_allowed(spark, d):
     text = F.concat(F.lit("User-agent: slowbot\nDisallow: /\nUser-agent: *\nAllow: /en/1\nDisallow: /"), third, F.lit("\nDisallow: /de/2"))
     rules = crawl.robots_rules(hosts.select("host", text.alias("text")), "sievewright")
     return crawl.allowed(responses.select("page_id", "url"), rules).select("page_id", "robots_allowed")
+
+
+# --- sampling, probes, calibration -------------------------------------------
+
+_DRAWN = f"""e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('{sampling.SEED}:' || vec_id), vec_id) AS place FROM e) WHERE place <= {sampling.PER_FAMILY}),
+s AS (SELECT p.vec_id AS probe, p.label, p.label = x.label AS relevant, x.vec_id, round(list_dot_product(p.v, x.v) / sqrt(list_dot_product(p.v, p.v) * list_dot_product(x.v, x.v)), 6) AS similarity
+  FROM p JOIN e x ON p.vec_id <> x.vec_id),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= {sampling.TOP_K}),
+b AS (SELECT probe, label, max(similarity) FILTER (relevant) AS rel, max(similarity) FILTER (NOT coalesce(relevant, false)) AS irr FROM h GROUP BY 1, 2)"""
+
+
+def _corpus(spark, d):
+    return table(spark, d, "embeddings").select(c("vec_id").alias("chunk_id"), c("embedding").alias("vec"), c("label").alias("family"))
+
+
+@query(f"WITH {_DRAWN} SELECT label AS family, vec_id AS id, place FROM p")
+def drawn_probes(spark, d):
+    """A seeded sample of vectors of each family."""
+    return sampling.draw(_corpus(spark, d), ["family"], ["chunk_id"], sampling.PER_FAMILY).select("family", c("chunk_id").alias("id"), "place")
+
+
+@query(f"""WITH {_DRAWN} SELECT round(quantile_cont(irr, 0.1), 6) AS floor, round(quantile_cont(rel, 0.9), 6) AS ceiling, round(median(irr), 6) AS irrelevant_median, round(median(rel), 6) AS relevant_median,
+ list_sort(list(irr) FILTER (irr IS NOT NULL))[round_even(0.95 * (count(irr) - 1), 0)::INTEGER + 1] AS irrelevant_p95, round(median(rel) - median(irr), 6) AS separation, count(*) AS probes FROM b""")
+def probe_calibration(spark, d):
+    """Probes drawn, retrieved and calibrated."""
+    whole, _ = sampling.calibrate(_corpus(spark, d))
+    return whole.select(*[F.round(x, 6).alias(x) for x in ("floor", "ceiling", "irrelevant_median", "relevant_median")], "irrelevant_p95", F.round("separation", 6).alias("separation"), "probes")
+
+
+@query(f"WITH {_DRAWN} SELECT label AS family, round(median(rel), 6) AS relevant_median, round(median(irr), 6) AS irrelevant_median, count(rel) AS n FROM b GROUP BY 1")
+def probe_families(spark, d):
+    _, per = sampling.calibrate(_corpus(spark, d))
+    return per.select("family", F.round("relevant_median", 6).alias("relevant_median"), F.round("irrelevant_median", 6).alias("irrelevant_median"), "n")
+
+
+_TITLES = ["Data Engineer", "Analyst"]
+
+
+@query(f"""WITH {catalogue._DOCS}, {catalogue._LEX}, {catalogue._DS}, f AS (SELECT DISTINCT lang AS family, canon AS skill FROM ds JOIN documents USING (doc_id) WHERE lang IS NOT NULL),
+n AS (SELECT family, count(*) AS n FROM f GROUP BY 1), a AS (SELECT family, n, unnest(range({sampling.PER_FAMILY})) AS probe FROM n),
+z AS (SELECT *, CASE WHEN n <= {sampling.LEAST} THEN n ELSE {sampling.LEAST} + ('0x' || md5('{sampling.SEED}:' || family || ':' || probe)[1:8])::BIGINT % (n - {sampling.LEAST} + 1) END AS size FROM a),
+r AS (SELECT family, probe, size, skill, row_number() OVER (PARTITION BY family, probe ORDER BY md5('{sampling.SEED}:' || family || ':' || probe || ':' || skill), skill) AS place FROM z JOIN f USING (family))
+SELECT family, probe::INTEGER AS probe, 'Job requirements: ' || string_agg(skill, ', ' ORDER BY place) || '. Job description excerpt: We are hiring a ' || {_TITLES}[probe % 2 + 1] ||
+ ' to join our team and work on production systems.' AS query FROM r WHERE place <= size GROUP BY family, probe""")
+def probe_corpus(spark, d):
+    """Posting-like probes from the skills that documents of each language name."""
+    found = catalogue.planted_documents(spark, d).select(c("lang").alias("family"), F.explode(skills.match_skills(c("text"))).alias("skill"))
+    return sampling.probe_texts(found, _TITLES)
+
+
+# --- streams, snapshots, logs ---------------------------------------------------
+
+
+@query(catalogue.ORACLES["timing_gate"])
+def timing_stream(spark, d):
+    """The timing measure of events that arrive as a stream, paired in keyed state."""
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    phase = F.when(c("event_type").isin("view", "click"), " Baseline ").when(c("event_type") == "purchase", "assisted").otherwise("other")
+    rows = stream.select(
+        c("user_id").cast("string").alias("timer_id"), (c("event_id") % 20).cast("string").alias("case_id"), phase.alias("phase"), c("value").cast("string").alias("minutes"),
+        F.lit("baseline_first").alias("first_exposure"), c("event_id").alias("ordinal"), c("ts").cast("timestamp").alias("at"),
+    )
+    truth = table(spark, d, "events").select((c("event_id") % 20).cast("string").alias("case_id"))
+    base = f"{shared_folder(spark)}/timers-{uuid.uuid4().hex}"
+    with timers.keyed_state(spark):
+        timers.write_parts(timers.pairs(rows, truth), f"{base}/parts", f"{base}/state")
+    g = runlog.gate(timers.read_pairs(spark, f"{base}/parts"))
+    return g.select("status", "n_timers", "n_paired", "hits", F.round("median_reduction", 3).alias("median_reduction"), F.round("max_reduction", 3).alias("max_reduction"))
+
+
+@query("SELECT vec_id, label, len(embedding)::INTEGER AS size, vec_id % 2 = 0 AS pinned FROM embeddings")
+def index_snapshot(spark, d):
+    """Two versions of the vectors: half of them, then all; a reader that pinned the first one still has it."""
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    first = snapshots.publish(e.where("vec_id % 2 = 0"), root)
+    pinned = snapshots.read(spark, root)
+    snapshots.publish(e, root)
+    now, old = snapshots.read(spark, root), pinned.select("vec_id", F.lit(first).alias("first"))
+    return now.join(old, "vec_id", "left").select("vec_id", "label", F.size("embedding").alias("size"), c("first").isNotNull().alias("pinned"))
+
+
+@query("""SELECT page_id, length(html)::INTEGER AS html_chars, substr(sha256(html), 1, 8) AS html_sha256_8, length(url)::INTEGER AS url_chars, substr(sha256(url), 1, 8) AS url_sha256_8 FROM pages""")
+def action_log(spark, d):
+    """What the log of actions keeps of pages: lengths and prefixes of hashes."""
+    got = snapshots.action_records(table(spark, d, "pages"), ["html", "url"], ["page_id"])
+    return got.select("page_id", *[c(f"{t}.{x}").alias(f"{t}_{x}") for t in ("html", "url") for x in ("chars", "sha256_8")])

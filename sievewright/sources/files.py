@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +24,9 @@ GROUND_TRUTH = (
 CHUNKS = "id string, source string, family string, tags array<string>, text string"
 RUN_LOG = (
     "run_id string, condition string, case_id string, job_family string, variant string, mode string, model string, retrieved_chunk_ids array<string>, "
-    "retrieval_similarity double, llm_self_confidence double, confidence double, abstained boolean, abstention_reason string, match_score int, "
-    "jd_skills array<string>, top_skills array<string>, prefill map<string,string>, claimed_items array<string>, stripped_claims array<string>, "
-    "usage struct<prompt_tokens:bigint,completion_tokens:bigint,est_cost_usd:double,calls:int>, latency_ms bigint, errors array<string>, notes array<string>, timestamp double"
+    "retrieval_similarity double, retrieval_mean_similarity double, llm_self_confidence double, confidence double, components_present array<string>, abstained boolean, abstention_reason string, match_score int, "
+    "jd_skills array<string>, top_skills array<string>, prefill map<string,string>, suggestions array<string>, claimed_items array<string>, stripped_claims array<string>, "
+    "input_report map<string,string>, usage struct<prompt_tokens:bigint,completion_tokens:bigint,est_cost_usd:double,calls:int>, latency_ms bigint, errors array<string>, notes array<string>, timestamp double"
 )
 TIMERS = "timer_id string, case_id string, phase string, minutes string, first_exposure string"
 FORM_SCHEMA = "name string, label string, type string, is_list boolean, required boolean"
@@ -34,6 +34,21 @@ FORM_SCHEMA = "name string, label string, type string, is_list boolean, required
 CHUNK_CHARS = (40, 500)
 
 
+#: Where a row stands in a folder of files.
+PLACE = "struct<changed:timestamp,file:string,block:bigint,row:bigint>"
+
+
+def place() -> Column:
+    """Where a row of a file source stands: files by time of change and name, then the block, then the row in it.
+
+    Splits are packed into tasks by size, so that row numbers alone don't follow the files; within a block they do.
+    """
+    meta = F.col("_metadata")
+    return F.struct(
+        meta["file_modification_time"].cast("timestamp").alias("changed"), meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -82,14 +97,14 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Ground truth of a CSV; of several rows of a case the last wins."""
-    rows = spark.read.csv(path, schema=GROUND_TRUTH, header=True).withColumn("_n", F.monotonically_increasing_id())
+    rows = spark.read.csv(path, schema=GROUND_TRUTH, header=True).select("*", place().alias("_n"))
     last = rows.groupBy("case_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("case_id", "_n")]), "_n").alias("r")).select("case_id", "r.*")
     return last.withColumns({"hard_case": F.col("hard_case") == 1, "should_abstain": F.col("should_abstain") == 1})
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines of runs; blank lines are skipped, malformed ones give null fields."""
-    return spark.read.schema(RUN_LOG).json(path)
+    """JSON Lines of runs with their place as ``ordinal``, later appended ones last; blank lines are skipped, malformed ones give null fields."""
+    return spark.read.schema(RUN_LOG).json(path).select("*", place().alias("ordinal"))
 
 
 def append_run_log(df: DataFrame, path: str) -> None:
@@ -100,8 +115,8 @@ def append_run_log(df: DataFrame, path: str) -> None:
 def read_timers(spark: SparkSession, path: str) -> DataFrame:
     """Timer rows in file order; a missing file is an empty table."""
     if not _exists(spark, path):
-        return spark.createDataFrame([], TIMERS + ", ordinal bigint")
-    return spark.read.csv(path, schema=TIMERS, header=True).withColumn("ordinal", F.monotonically_increasing_id())
+        return spark.createDataFrame([], f"{TIMERS}, ordinal {PLACE}")
+    return spark.read.csv(path, schema=TIMERS, header=True).select("*", place().alias("ordinal"))
 
 
 def read_form_schema(spark: SparkSession, path: str) -> DataFrame:
