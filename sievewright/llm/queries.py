@@ -195,26 +195,22 @@ word AS (SELECT doc_id, k, lo, lower(piece) AS w, newline, regexp_matches(piece,
                 row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM spot WHERE NOT regexp_matches(piece, '^[{_WS}]')),
 sent AS (SELECT *, coalesce(sum((stop_before OR newline)::INT) OVER (PARTITION BY doc_id ORDER BY k), 0) AS s
          FROM (SELECT *, lag(stop, 1, false) OVER (PARTITION BY doc_id ORDER BY k) AS stop_before FROM word)),
-long AS (SELECT *, stop AND count(*) OVER (PARTITION BY doc_id, s) >= {substring_dedup.MIN_SENTENCE} AS ends FROM sent),
-numbered AS (SELECT *, sum((lag_ends OR newline)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS u
-             FROM (SELECT *, lag(ends, 1, false) OVER (PARTITION BY doc_id ORDER BY k) AS lag_ends FROM long)),
-unit AS (SELECT doc_id, u, count(*) AS n, string_agg(w, ' ' ORDER BY k) AS norm, min(lo) AS lo FROM numbered GROUP BY doc_id, u),
+unit AS (SELECT doc_id, s AS u, count(*) AS n, string_agg(w, ' ' ORDER BY k) AS norm, min(lo) AS lo FROM sent GROUP BY doc_id, s),
 late AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, u) > 1 AS late,
                 row_number() OVER (PARTITION BY doc_id ORDER BY u) AS place,
                 lead(lo) OVER (PARTITION BY doc_id ORDER BY u) AS hi FROM unit),
 run AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, late ORDER BY place) AS r FROM late),
-gone AS (SELECT doc_id, r, count(*) AS n, min(CASE WHEN place = 1 THEN 0 ELSE lo END) AS lo, max(place) AS last FROM run WHERE late GROUP BY doc_id, r
-         HAVING sum(CASE WHEN n >= {substring_dedup.MIN_SENTENCE} THEN n ELSE 0 END) >= {substring_dedup.MIN_WORDS}),
-span AS (SELECT g.doc_id, g.n, g.lo::BIGINT AS lo, coalesce(l.hi, length(d.text))::BIGINT AS hi
+gone AS (SELECT doc_id, r, count(*) AS n, sum(n) AS words, min(CASE WHEN place = 1 THEN 0 ELSE lo END) AS lo, max(place) AS last FROM run WHERE late GROUP BY doc_id, r),
+span AS (SELECT g.doc_id, g.n, g.words, g.lo::BIGINT AS lo, coalesce(l.hi, length(d.text))::BIGINT AS hi
          FROM gone g JOIN late l ON l.doc_id = g.doc_id AND l.place = g.last JOIN documents d ON d.doc_id = g.doc_id),
-cut AS (SELECT doc_id, sum(n)::INTEGER AS n, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS removed, list(struct_pack(lo := lo, hi := hi) ORDER BY lo) AS spans FROM span GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(n)::INTEGER AS n, max(words) AS words, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS removed, list(struct_pack(lo := lo, hi := hi) ORDER BY lo) AS spans FROM span GROUP BY doc_id),
 kept AS (SELECT c.doc_id, string_agg(substr(d.text, a.lo + 1, a.hi - a.lo), '' ORDER BY a.lo) AS text
          FROM cut c JOIN documents d ON d.doc_id = c.doc_id,
               LATERAL (SELECT unnest(list_concat([0::BIGINT], list_transform(c.spans, lambda x : x.hi))) AS lo,
                               unnest(list_concat(list_transform(c.spans, lambda x : x.lo), [length(d.text)::BIGINT])) AS hi) a
          GROUP BY c.doc_id),
 units AS (SELECT doc_id, count(*)::INTEGER AS n FROM unit GROUP BY doc_id)
-SELECT d.doc_id, coalesce(units.n, 0) AS n_units, coalesce(cut.n, 0) AS n_removed, cut.n IS NOT NULL AS repeats, coalesce(cut.removed, '') AS removed,
+SELECT d.doc_id, coalesce(units.n, 0) AS n_units, coalesce(cut.n, 0) AS n_removed, coalesce(2 * cut.words >= {substring_dedup.PASSAGE}, false) AS repeats, coalesce(cut.removed, '') AS removed,
        CASE WHEN cut.n IS NULL THEN d.text ELSE kept.text END AS text
 FROM documents d LEFT JOIN units USING (doc_id) LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 """

@@ -1,11 +1,10 @@
 """Substring dedup by hashing of lines and their sentences.
 
-A unit is a line or, within a line, what runs up to the end of a sentence of at least ``MIN_SENTENCE`` words; shorter sentences go with what
-follows. Where a unit ends depends on the words just before only, so a passage that stands in the middle of another document's line
-falls into the same units there, but for its first and last. Units are normalised and digested, digests are
-grouped globally with partial sums first, and the occurrence of the smallest rank (document, then place) stays. Later ones are
-removed where neighbours that are all repeated make up a run of ``MIN_WORDS`` words: a passage goes, a lone common line stays.
-What is removed is told by its offsets in the original text.
+A unit is a line or, within a line, what runs up to the end of a sentence. Where a unit ends depends on the word just before only, so a passage that stands
+in the middle of another document's line falls into the same units there, but for its first and last. Units are normalised and digested,
+digests are grouped globally with partial sums first, and the occurrence of the smallest rank (document, then place) stays. All later ones
+are removed, whatever their length. What is removed is told by its offsets in the original text. A document is said to repeat a passage if neighbouring removed
+units hold half of ``PASSAGE`` words: the first and last sentence of a passage may be cut off by what it stands in.
 """
 
 from __future__ import annotations
@@ -21,10 +20,8 @@ from pyspark.sql import functions as F
 
 from sievewright.llm.common import row_identity, spread_join
 
-#: A run of repeated units is removed if its units of MIN_SENTENCE words and more hold so many words together.
-MIN_WORDS = 20
-#: A sentence of fewer words ends no unit.
-MIN_SENTENCE = 4
+#: Words of a passage that is reported as repeated.
+PASSAGE = 50
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
 _BETWEEN = {
     # white space that ends a line or follows the end of a sentence
@@ -37,18 +34,12 @@ _RANK = "doc bigint, h1 bigint, h2 bigint"
 def units(text: str, unit: str = "line") -> list[tuple[int, list[str]]]:
     """Where each unit starts, and its words in lower case. Units tile the text; one without words has none."""
     out: list[tuple[int, list[str]]] = []
-    at = start = 0
-    words: list[str] = []
-    for m in _BETWEEN[unit].finditer(text):
-        more = _WORD.findall(text[at : m.start()].lower())
-        words += more
-        if words and (unit != "line" or "\n" in m.group() or len(more) >= MIN_SENTENCE):
-            out.append((start, words))
-            start, words = m.end(), []
-        at = m.end()
-    words += _WORD.findall(text[at:].lower())
-    if words:
-        out.append((start, words))
+    at = 0
+    for m in [*_BETWEEN[unit].finditer(text), None]:
+        words = _WORD.findall(text[at : m.start() if m else len(text)].lower())
+        if words:
+            out.append((at, words))
+        at = m.end() if m else at
     return [(0, out[0][1]), *out[1:]] if out else out
 
 
@@ -56,17 +47,16 @@ def digest(words: list[str]) -> bytes:
     return hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()
 
 
-def runs(found: list[tuple[int, list[str]]], late: set[int], min_words: int) -> list[tuple[int, int]]:
-    """Runs (first, last + 1) of units that are all ``late`` and long enough together."""
+def runs(found: list[tuple[int, list[str]]], late: set[int]) -> list[tuple[int, int, int]]:
+    """Runs of units that are all ``late``: first, last + 1, words."""
     out, at, held = [], None, 0
     for i, (_, words) in enumerate([*found, (0, [])]):
         if i in late:
             if at is None:
                 at, held = i, 0
-            held += len(words) if len(words) >= MIN_SENTENCE else 0
+            held += len(words)
         elif at is not None:
-            if held >= min_words:
-                out.append((at, i))
+            out.append((at, i, held))
             at = None
     return out
 
@@ -99,11 +89,11 @@ def unit_table(docs: DataFrame, text: str, doc_id: str, unit: str) -> DataFrame:
 
 
 def substring_dedup(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", unit: str = "line", min_words: int = MIN_WORDS
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", unit: str = "line", passage: int = PASSAGE
 ) -> DataFrame:
-    """Remove repeated passages from all texts.
+    """Remove repeated units from all texts.
 
-    Returns one row per row: ``doc_id, n_units, n_removed`` (units), ``repeats`` (whether any went), ``removed`` (array of start and end
+    Returns one row per row: ``doc_id, n_units, n_removed`` (units), ``repeats`` (whether a passage of ``passage`` words did), ``removed`` (array of start and end
     offsets, in characters of the original text, white space up to the next unit included), ``text`` (what stays: the original without these spans).
     A repeated unit's earliest occurrence by doc_id and place stays, also within one document. Words are what white space (blank, tab, line and page
     breaks) parts, in lower case. A null text stays null and an empty one empty, with no units. Rows that share a doc_id but not the text are
@@ -120,15 +110,16 @@ def substring_dedup(
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
-            n, gone, offsets, lows, highs, texts = [], [], [0], [], [], []
+            n, gone, long, offsets, lows, highs, texts = [], [], [], [0], [], [], []
             for t, late_ in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 t = t.as_py()
                 found = units(t, unit) if t is not None else []
-                spans = runs(found, set(late_), min_words) if late_ else []
+                spans = runs(found, set(late_)) if late_ else []
                 n.append(len(found))
-                gone.append(sum(b - a for a, b in spans))
+                gone.append(sum(b - a for a, b, _ in spans))
+                long.append(any(2 * w >= passage for *_, w in spans))
                 parts, at = [], 0
-                for a, b in spans:
+                for a, b, _ in spans:
                     lo, hi = found[a][0], found[b][0] if b < len(found) else len(t)
                     lows.append(lo)
                     highs.append(hi)
@@ -142,7 +133,7 @@ def substring_dedup(
                     batch.column(0),
                     pa.array(n, pa.int32()),
                     pa.array(gone, pa.int32()),
-                    pa.array([x > 0 for x in gone], pa.bool_()),
+                    pa.array(long, pa.bool_()),
                     pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), span),
                     pa.array(texts, pa.string()),
                 ],

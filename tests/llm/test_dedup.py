@@ -242,21 +242,18 @@ def test_share_of_open_pairs(tiny):
     assert leaf < 0.01 and kept > 0.9
 
 
-def substring_brute(rows, least):
+def substring_brute(rows):
     """Word by word: units, then runs of units that an earlier place has."""
     table = {}
     for i, t in sorted(r for r in rows if r[1] is not None):
-        found, words, stop, since = [], [], False, 0
+        found, words, stop = [], [], False
         for m in re.finditer("[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+", t):
             if m[0].isspace() and m[0][0] in " \t\n\r\f\v":
-                if words and ("\n" in m[0] or stop and since >= 4):
+                if words and ("\n" in m[0] or stop):
                     found.append(words)
                     words = []
-                if "\n" in m[0] or stop:
-                    since, stop = 0, False
                 continue
             words.append((m.start(), m[0].lower()))
-            since += 1
             stop = m[0][-1] in ".!?"
         table[i, t] = [*found, words] if words else found
     first = {}
@@ -272,8 +269,8 @@ def substring_brute(rows, least):
             m = n
             while m < len(found) and late[m]:
                 m += 1
-            if sum(len(ws) for ws in found[n:m] if len(ws) >= 4) >= least and m > n:
-                spans.append((starts[n], starts[m]))
+            if m > n:
+                spans.append((starts[n], starts[m], sum(map(len, found[n:m]))))
             n = max(m, n + 1)
         out[k] = spans
     return out
@@ -287,18 +284,22 @@ def without(text, spans):
 
 def test_substring(spark, tiny):
     df, rows = docs_of(spark, tiny)
-    passage = "One two three four five six. Seven!  Eight nine ten eleven twelve? A b c d.\nE f g h i j k l m n o p q."
+    passage = "One two three four five six. Seven!  Eight nine ten eleven twelve? A b c d.\nE f g h i j k l m n o p q r s t."
     rows += [(70_000 + i, f"Own words {i} here {passage} and own {i}") for i in range(80)]
     rows += [(71_000, "All rights reserved by the owner of it."), (71_001, "own\nAll rights reserved by the owner of it.\nown"), (71_002, ""), (71_003, " \n\t"), (71_004, None)]
     got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = substring_brute(rows, substring_dedup.MIN_WORDS)
+    want = substring_brute(rows)
     texts = dict(rows)
-    assert {r.doc_id: [tuple(x) for x in r.removed] for r in got if r.doc_id != 71_004} == {i: v for (i, _), v in want.items()}
+    assert {r.doc_id: [tuple(x) for x in r.removed] for r in got if r.doc_id != 71_004} == {i: [x[:2] for x in v] for (i, _), v in want.items()}
     for r in got:
         spans = [tuple(x) for x in r.removed]
-        assert r.text == (None if texts[r.doc_id] is None else without(texts[r.doc_id], spans)) and r.repeats == bool(spans) == (r.n_removed > 0)
+        assert r.text == (None if texts[r.doc_id] is None else without(texts[r.doc_id], spans)) and bool(spans) == (r.n_removed > 0)
+        assert r.repeats == any(2 * n >= substring_dedup.PASSAGE for *_, n in want.get((r.doc_id, texts[r.doc_id]), []))
     by = {r.doc_id: r for r in got}
     assert not by[70_000].repeats and all(by[70_000 + i].repeats for i in range(1, 80)) and not by[71_001].repeats
+    assert by[71_000].text and by[71_001].text == "own\n" and by[71_001].n_removed == 2  # a lone line, and the second "own"
+    units = [" ".join(w) for r in got if r.text for _, w in substring_dedup.units(r.text)]
+    assert len(units) - len(set(units)) < 0.001 * len(units)  # what is left repeats only where removal joined the ends of lines
     assert by[70_001].text == "Own words 1 here One two three four five six. and own 1"
 
 
@@ -320,7 +321,7 @@ def test_substring_edges(spark):
     assert len(got) == len(EDGE) + len(more)
     by = {r.doc_id: r for r in got}
     assert (by[3].text, by[3].n_units, by[3].repeats) == (None, 0, False) and (by[4].text, by[4].n_units) == ("", 0)
-    assert (by[9].text, by[9].n_removed) == ("", 1) and by[8].text == long and by[2].text == "same text here" and by[10].n_units == 1
+    assert (by[9].text, by[9].n_removed) == ("", 1) and by[8].text == long and by[1].text == "same text here" and by[2].text == "" and by[10].n_units == 1
     assert not substring_dedup.substring_dedup(spark.createDataFrame([], SCHEMA)).collect()
     assert substring_dedup.units("a\n\nB c\nd.\n \ne", "paragraph") == [(0, ["a"]), (3, ["b", "c", "d."]), (12, ["e"])]
 
