@@ -832,8 +832,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Condition A end to end: planted documents against planted postings, the three best per document."""
     cands = matching.with_features(planted_documents(spark, d), "doc_id", "text", "cand")
     posts = matching.with_features(planted_benchmark(spark, d), "item_id", "text", "post")
-    scored = matching.baseline(cands, posts)
-    return matching.top_k(scored, ["cand_id"], [c("match_score").desc(), "post_id"], 3)
+    return matching.match_top_k(cands, posts, 3)
 
 
 _MATCH = _PAIRS + f""",
