@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sievewright.plans import catalogue, evidence, registry  # noqa: F401
+from sievewright.plans import catalogue, derived, evidence, registry  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
