@@ -204,7 +204,11 @@ def tidy_skills(values: Column) -> Column:
 
 def first_spellings(values: Column) -> Column:
     """One of each normalised key: its first spelling, in order."""
-    return F.filter(values, lambda v, i: F.array_position(F.transform(values, normalise_skill), normalise_skill(v)) == i + 1)
+    keyed = F.transform(values, lambda v: F.struct(normalise_skill(v).alias("k"), v.alias("v")))
+    one = lambda seen, x: F.when(F.array_contains(seen["keys"], x["k"]), seen).otherwise(
+        F.struct(F.concat(seen["keys"], F.array(x["k"])).alias("keys"), F.concat(seen["kept"], F.array(x["v"])).alias("kept")))
+    none = F.array().cast("array<string>")
+    return F.aggregate(F.filter(keyed, lambda x: x["k"].isNotNull()), F.struct(none.alias("keys"), none.alias("kept")), one, lambda s: s["kept"])
 
 
 def merged_skills(model: Column, literal: Column) -> Column:

@@ -36,6 +36,35 @@ def retrieval_stats(log: DataFrame) -> DataFrame:
     return sims.join(chunks, "condition", "left")
 
 
+def chunk_histogram(log: DataFrame) -> DataFrame:
+    """How many records of each condition retrieved how many chunks (null counts as none)."""
+    size = F.coalesce(F.nullif(F.size("chunk_ids"), F.lit(-1)), F.lit(0))
+    return log.groupBy("condition", size.alias("chunks")).agg(F.count("*").alias("n"))
+
+
+def usage_per_run(log: DataFrame, price_in: float = 0.15, price_out: float = 0.60) -> DataFrame:
+    """Per run and condition: records, calls, tokens, cost, cost of a record."""
+    sums = log.groupBy("run_id", "condition").agg(
+        F.count("*").alias("n"), F.sum("calls").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens")
+    )
+    cost = (F.col("prompt_tokens") * price_in + F.col("completion_tokens") * price_out) / 1e6
+    return sums.withColumn("cost", F.bround(cost, 6)).withColumn("cost_per_record", F.bround(cost / F.col("n"), 8))
+
+
+def stripped_and_displayed(stripped: DataFrame, displayed: DataFrame, limit: int = 6) -> DataFrame:
+    """Claims that a guard removed beside those that were shown: ``condition, kind, item, n, total, rank``, the ``limit`` most frequent of each condition and kind.
+
+    Both take ``condition`` and an array ``items``. ``total`` counts all claims of the condition and kind. Ties by item.
+    """
+    rows = stripped.select("condition", F.lit("stripped").alias("kind"), F.explode("items").alias("item"))
+    rows = rows.union(displayed.select("condition", F.lit("displayed"), F.explode("items")))
+    counts = rows.groupBy("condition", "kind", "item").agg(F.count("*").alias("n"))
+    by = ["condition", "kind"]
+    order = Window.partitionBy(*by).orderBy(F.col("n").desc(), "item")
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return top.join(counts.groupBy(*by).agg(F.sum("n").alias("total")), by).select(*by, "item", "n", "total", "rank")
+
+
 def frequency(log: DataFrame, items: str, limit: int) -> DataFrame:
     """The most frequent elements of an array column (ties by name)."""
     return (

@@ -64,8 +64,13 @@ def score_cases(records: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
-def condition_metrics(scores: DataFrame, bar: float = 0.80, examples: int = 20) -> DataFrame:
-    """Counts, denominators, means and capped example lists per condition, as text cells where a count needs its denominator."""
+def rate(part: Column, whole: Column) -> Column:
+    """A share; 0 of nothing is 0."""
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+
+
+def condition_metrics(scores: DataFrame, bar: float = 0.80, digits: int = 1) -> DataFrame:
+    """Counts, denominators and means per condition, as text cells where a count needs its denominator; the mean score is rounded to ``digits``."""
     c = F.col
     of = lambda name: F.count_if(c(name))
     flags = ["complete_coverage", "zero_fabrication", "prefill_full_name", "prefill_email", "prefill_education_school", "prefill_top_skills", "prefill_all_match", "abstained"]
@@ -74,7 +79,7 @@ def condition_metrics(scores: DataFrame, bar: float = 0.80, examples: int = 20)
         F.count_if(c("hard_case")).alias("n_hard"), F.count_if(~c("hard_case")).alias("n_easy"),
         F.count_if(c("hard_case") & c("abstained")).alias("abstained_on_hard"), F.count_if(~c("hard_case") & c("abstained")).alias("abstained_on_easy"),
         F.sum(F.size("fabricated")).alias("total_fabrications"),
-        F.bround(F.avg("coverage"), 3).alias("mean_coverage"), F.bround(F.avg("match_score"), 1).alias("mean_match_score"), F.bround(F.avg("confidence"), 3).alias("mean_confidence"),
+        F.bround(F.avg("coverage"), 3).alias("mean_coverage"), F.bround(F.avg("match_score"), digits).alias("mean_match_score"), F.bround(F.avg("confidence"), 3).alias("mean_confidence"),
     )
     cell = lambda n, d: F.concat_ws("/", c(n).cast("string"), c(d).cast("string"))
     return agg.select(

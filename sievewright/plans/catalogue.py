@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import confidence, fields, forms, guards, records, similarity, skills
 from sievewright.functions import text as texts
-from sievewright.operators import assistant, audit, generator, matching, profiles, runlog, runner, scoring, sparse
+from sievewright.operators import audit, containment, matching, runlog, runner, scoring, sparse
 from sievewright.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from sievewright.session import shared_folder, spread, table
-from sievewright.sources import fetched, files, pages, pdf
+from sievewright.sources import files, pages
 from sievewright.streaming import runs, timers
 
 PLANT = ["Python", "JavaScript", "Java", "C++", "ci/cd", "scikit-learn", "k8s", "Excellent", "Golang", "a/b testing"]
@@ -84,7 +84,9 @@ def _shared(spark, d):
 SELECT doc_id, item_id, round(k / n, 4) AS overlap, row_number() OVER (PARTITION BY doc_id ORDER BY round(k / n, 4) DESC, item_id) AS rank
 FROM hit JOIN need USING (item_id)) WHERE rank <= 3""")
 def skill_overlap_topk(spark, d):
-    return matching.top_k(_shared(spark, d), ["cand_id"], [c("overlap").desc(), "post_id"], 3).select("cand_id", "post_id", "overlap", "rank")
+    cands, posts = _features(spark, d)
+    pairs = matching.overlap_pairs(cands, posts).withColumn("overlap", F.round("overlap", 4))
+    return matching.top_k(pairs, ["cand_id"], [c("overlap").desc(), "post_id"], 3).select("cand_id", "post_id", "overlap", "rank")
 
 
 @query(_PAIRS + """, every AS (SELECT item_id, list(canon ORDER BY canon) AS l FROM bs GROUP BY 1)
@@ -285,10 +287,19 @@ def derive_calibration(spark, d):
     return r.select(*[F.round(x, 6).alias(x) for x in ("floor", "ceiling", "irrelevant_median", "relevant_median")], "irrelevant_p95", "probes")
 
 
-@query()
+@query(f"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', ' ', 'g')), '\\s+'), lambda x : length(x) > 1) AS ws FROM benchmark),
+l AS (SELECT *, array_to_string(ws, ' ') AS line FROM w),
+f AS (SELECT item_id, unnest(list_concat(ws, list_transform(range(0, greatest(length(line) - 4, 0), 2), lambda i : substr(line, i + 1, 4)))) AS f FROM l),
+b AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)),
+h AS (SELECT f, list_reduce(list_prepend({similarity.FNV_OFFSET}::HUGEINT, list_transform(range(0, length(x) // 2), lambda i : ('0x' || substr(x, 2 * i + 1, 2))::HUGEINT)),
+  lambda a, y : (xor(a, y) * {similarity.FNV_PRIME}::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM b),
+s AS (SELECT item_id, (h % {similarity.HASH_DIM})::BIGINT AS place, sum(CASE WHEN (h // 4294967296) % 2 = 1 THEN -1 ELSE 1 END)::DOUBLE AS v FROM f JOIN h USING (f) GROUP BY 1, 2),
+n AS (SELECT item_id, sqrt(sum(v * v)) AS n FROM s GROUP BY 1)
+SELECT item_id, place, round(v / n, 6) AS x FROM s JOIN n USING (item_id) WHERE v <> 0""")
 def hashed_embeddings(spark, d):
-    df = table(spark, d, "benchmark").select("item_id", similarity.hash_embedding("text").alias("v"))
-    return df.select("item_id", F.size("v").alias("dim"), F.round(similarity.dot(c("v"), c("v")), 6).alias("norm"))
+    """The components that aren't zero."""
+    df = spread(table(spark, d, "benchmark")).select("item_id", F.posexplode(similarity.hash_embedding("text")).alias("place", "x"))
+    return df.where("x <> 0").select("item_id", c("place").cast("bigint").alias("place"), F.round("x", 6).alias("x"))
 
 
 # --- confidence -----------------------------------------------------------
@@ -359,11 +370,8 @@ def score_cases(spark, d):
  count(*) FILTER (abstained AND hard) || '/' || count(*) FILTER (hard) AS abstained_on_hard, count(*) FILTER (abstained AND NOT hard) || '/' || count(*) FILTER (NOT hard) AS abstained_on_easy,
  sum(len(fabricated))::BIGINT AS total_fabrications, round(avg(match_score), 4) AS mean_match_score FROM se GROUP BY 1""")
 def condition_metrics(spark, d):
-    s = _records(spark, d)
-    m = scoring.condition_metrics(s).drop("mean_match_score")
-    mean = s.groupBy("condition").agg(F.round(F.avg("match_score"), 4).alias("mean_match_score"))
-    return m.join(mean, "condition").select("condition", "n_cases", "passed_cases", "meets_pass_bar", "zero_fabrication", "prefill_all_match", "abstained",
-                                            "abstained_on_hard", "abstained_on_easy", "total_fabrications", "mean_match_score")
+    return scoring.condition_metrics(_records(spark, d), digits=4).select("condition", "n_cases", "passed_cases", "meets_pass_bar", "zero_fabrication", "prefill_all_match", "abstained",
+        "abstained_on_hard", "abstained_on_easy", "total_fabrications", "mean_match_score")
 
 
 @query(f"""WITH {_SCORES} SELECT condition, count(*) FILTER (passed AND job_family = 'de') AS de, count(*) FILTER (passed AND job_family = 'en') AS en,
@@ -411,7 +419,7 @@ def _usage(spark, d):
     return li.select(
         c("l_returnflag").alias("condition"), (c("l_linestatus") == "F").alias("passed"), c("l_partkey").alias("prompt_tokens"), c("l_suppkey").alias("completion_tokens"),
         c("l_linenumber").alias("calls"), c("l_quantity").alias("latency_ms"), F.array(c("l_suppkey").cast("string"), (c("l_suppkey") % 7).cast("string")).alias("chunk_ids"),
-        F.round(c("l_discount"), 2).alias("similarity"),
+        F.round(c("l_discount"), 2).alias("similarity"), (c("l_orderkey") % 97).alias("_run"),
     )
 
 
@@ -428,6 +436,32 @@ def retrieval_stats(spark, d):
     return runlog.retrieval_stats(_usage(spark, d)).withColumn("median_similarity", F.round("median_similarity", 6))
 
 
+_LOG = "u AS (SELECT l_returnflag AS condition, l_orderkey % 97 AS run_id, l_partkey AS p, l_suppkey AS q, l_linenumber AS k FROM lineitem)"
+
+
+@query(f"""WITH {_LOG} SELECT run_id, condition, count(*) AS n, sum(k)::BIGINT AS calls, sum(p)::BIGINT AS prompt_tokens, sum(q)::BIGINT AS completion_tokens, round_even((sum(p) * 0.15 + sum(q) * 0.6) / 1e6, 6) AS cost FROM u GROUP BY 1, 2""")
+def usage_per_run(spark, d):
+    log = _usage(spark, d).withColumn("run_id", c("_run"))
+    return runlog.usage_per_run(log).select("run_id", "condition", "n", "calls", "prompt_tokens", "completion_tokens", "cost")
+
+
+@query("SELECT l_returnflag AS condition, (l_linenumber % 4)::INTEGER AS chunks, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def chunk_histogram(spark, d):
+    log = table(spark, d, "lineitem").select(c("l_returnflag").alias("condition"), F.when(c("l_linenumber") % 4 > 0, F.sequence(F.lit(1), c("l_linenumber") % 4)).alias("chunk_ids"))
+    return runlog.chunk_histogram(log)
+
+
+@query("""WITH u AS (SELECT l_returnflag AS condition, l_linenumber, 'c' || l_suppkey % 23 AS a, 'd' || l_partkey % 29 AS b FROM lineitem),
+r AS (SELECT condition, 'stripped' AS kind, a AS item FROM u WHERE l_linenumber % 2 = 0 UNION ALL SELECT condition, 'displayed', unnest([a, b]) FROM u WHERE l_linenumber % 3 = 0),
+n AS (SELECT condition, kind, item, count(*) AS n FROM r GROUP BY 1, 2, 3), k AS (SELECT *, sum(n) OVER (PARTITION BY condition, kind)::BIGINT AS total, row_number() OVER (PARTITION BY condition, kind ORDER BY n DESC, item) AS rank FROM n)
+SELECT condition, kind, item, n, total, rank FROM k WHERE rank <= 6""")
+def stripped_and_displayed(spark, d):
+    li = table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "condition")
+    a, b = F.concat(F.lit("c"), c("l_suppkey") % 23), F.concat(F.lit("d"), c("l_partkey") % 29)
+    stripped = li.where("l_linenumber % 2 = 0").select("condition", F.array(a).alias("items"))
+    return runlog.stripped_and_displayed(stripped, li.where("l_linenumber % 3 = 0").select("condition", F.array(a, b).alias("items")))
+
+
 @query("SELECT item, count(*) AS n FROM (SELECT unnest([l_suppkey::VARCHAR, (l_suppkey % 7)::VARCHAR]) AS item FROM lineitem) GROUP BY 1 ORDER BY n DESC, item LIMIT 8")
 def chunk_frequency(spark, d):
     return runlog.frequency(_usage(spark, d), "chunk_ids", 8)
@@ -524,10 +558,11 @@ def control_decisions(spark, d):
 @query("""WITH n AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\d[\\d,]*(?:\\.\\d+)?')) AS number FROM documents), s AS (SELECT string_agg(text, ' ') AS src FROM benchmark)
 SELECT doc_id, number FROM n, s WHERE NOT contains(src, number)""")
 def unsupported_numbers(spark, d):
-    # the reference texts together are the source; they are a fixed, small table
-    src = table(spark, d, "benchmark").agg(F.array_join(F.collect_list("text"), " ").alias("src"))
-    docs = spread(table(spark, d, "documents")).crossJoin(F.broadcast(src))
-    return docs.select("doc_id", F.explode(guards.unsupported_numbers(c("text"), c("src"))).alias("number"))
+    """Numbers of documents that no benchmark text holds, as a number or within a longer one."""
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(guards.NUMBER), F.lit(0)))
+    numbers = spread(table(spark, d, "documents")).select("doc_id", F.explode(found).alias("number"))
+    known = containment.find(table(spark, d, "benchmark"), numbers.select(c("number").alias("needle")), "item_id", "text").select(c("needle").alias("number")).distinct()
+    return numbers.join(known, "number", "left_anti").select("doc_id", "number")
 
 
 @query("""WITH n AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9&''’.\\-]*(?:[ \\t\\n]+[A-Z][A-Za-z0-9&''’.\\-]*)+)', 1)) AS name FROM documents),
@@ -727,46 +762,3 @@ def stripped_records(spark, d):
 def page_scan_counts(spark, d):
     df = table(spark, d, "pages").select("page_id", F.replace("html", F.lit("</body>"), F.lit(_FORM + "</body>")).alias("html"))
     return audit.scan_counts(forms.normalise_fields(pages.scan_controls(spread(df))))
-
-
-_APPLY = (
-    "<form><p><label>Full name <input name='a'></label></p><p><label>Email address <input type='email' name='b' value='x@y.org'></label></p><p><label>Passport number <input name='c'></label></p>"
-    "<p><label>Degree <select name='d'><option value=''></option><option>BSc</option><option>MSc</option></select></label></p><p><label>Portfolio <input name='e'></label></p>"
-    "<p><label>Why do you want this role? <textarea name='f'></textarea></label></p><input type='file' name='g'></form>"
-)
-
-
-def form_requests(spark, d):
-    """Controls planted into every page, a request per page by turns, and the profiles."""
-    web = table(spark, d, "pages")
-    df = web.select("page_id", F.replace("html", F.lit("</body>"), F.lit(_APPLY + "</body>")).alias("html"))
-    turn = F.element_at(F.array(*map(F.lit, assistant.CONDITIONS)), (c("page_id") % 3 + 1).cast("int"))
-    who = F.when(c("page_id") % 2 == 0, "p1").otherwise("p2")
-    asks = web.select("page_id", who.alias("profile_id"), turn.alias("condition"), F.lit("We need Python and SQL").alias("posting"), F.lit(0.8).alias("retrieval"), F.lit(False).alias("overwrite"))
-    return pages.scan_controls(spread(df)), asks, _values(spark, _PROFILES, _PROFILE_SCHEMA)
-
-
-_ASKED = "a AS (SELECT page_id, contains(html, '</body>') AS f, page_id % 2 = 0 AS known, ['A', 'B', 'C'][page_id % 3 + 1] AS condition FROM pages)"
-_DECIDED = [
-    (0, "personal", "Ada Example", "offered", "missing"), (1, "personal", None, "already_filled", "already_filled"), (2, "unknown", None, "sensitive_skipped", "sensitive_skipped"),
-    (3, "education", "MSc", "offered", "missing"), (4, "personal", None, "missing", "missing"), (5, "narrative", None, "missing", "missing"), (6, "unknown", None, "not_fillable", "not_fillable"),
-]
-
-
-@query(f"""WITH {_ASKED}, r AS ({_sql(_DECIDED, "idx, category, value, known_one, other")})
-SELECT page_id, idx, condition, category, CASE WHEN known THEN value END AS suggested_value, CASE WHEN known THEN known_one ELSE other END AS decision FROM a, r WHERE f""")
-def suggest_fields(spark, d):
-    out = assistant.suggest(*form_requests(spark, d))
-    return out.select("page_id", "idx", "condition", "category", "suggested_value", "decision")
-
-
-@query(f"""WITH {_ASKED} SELECT page_id, condition, CASE WHEN f THEN 7 ELSE 0 END AS total, CASE WHEN f AND known THEN 2 ELSE 0 END AS offered, 0 AS withheld,
- CASE WHEN NOT f THEN 0 WHEN known THEN 2 ELSE 4 END AS missing, CASE WHEN f THEN 1 ELSE 0 END AS sensitive_skipped, CASE WHEN f THEN 1 ELSE 0 END AS already_filled,
- CASE WHEN NOT f THEN 0 WHEN known THEN 5 ELSE 7 END AS needs_confirmation, CASE WHEN f THEN 1 ELSE 0 END AS not_fillable, 'Python|SQL' AS lacking_text,
- CASE WHEN known THEN 'personal_info|education' ELSE 'internship' END AS used_text, CASE WHEN known THEN 'internship' ELSE 'personal_info' END AS dropped_text,
- concat_ws('|', CASE WHEN condition = 'B' THEN 'no retrieved notes were used' END, CASE WHEN NOT f THEN 'no control may be filled' END,
-  CASE WHEN condition <> 'A' THEN 'drafts are the offline responder''s' END) AS notes_text FROM a""")
-def generate_forms(spark, d):
-    controls, asks, people = form_requests(spark, d)
-    out = assistant.summarise(assistant.suggest(controls, asks, people), asks, people)
-    return out.select("*", *[_joined(x).alias(f"{x}_text") for x in ("lacking", "used", "dropped", "notes")]).drop("lacking", "used", "dropped", "notes")

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import fields, forms, guards, records, skills
 from sievewright.functions import text as texts
-from sievewright.operators import audit, generator, matching, profiles, sampling
+from sievewright.operators import assistant, audit, generator, matching, profiles
 from sievewright.plans import catalogue
 from sievewright.plans.registry import query
 from sievewright.session import spread, table
-from sievewright.sources import fetched, pdf
+from sievewright.sources import fetched, pages, pdf
 
 c = F.col
 
@@ -388,3 +388,58 @@ def pdf_text(spark, d):
     content = F.when(_id() % 9 == 0, c("text")).otherwise(stream).cast("binary")
     files = spread(table(spark, d, "documents")).select(_id().cast("string").alias("path"), content.alias("content"))
     return pdf.read_pdf(files).select(c("path").cast("bigint").alias("doc_id"), "text", "ok")
+
+
+# --- forms end to end ---------------------------------------------------------------
+
+#: The controls of a form: what they are called here, the pages that have them (as SQL of both engines), their markup.
+_CONTROLS = [
+    ("name", "page_id % 2 = 0", "<p><label>Full name <input name='a'></label></p>"),
+    ("mail", "page_id % 3 = 0", "<p><label>Email address <input type='email' name='b' value='x@y.org'></label></p>"),
+    ("mail2", "page_id % 3 > 0", "<p><label>Email address <input type='email' name='b'></label></p>"),
+    ("passport", "page_id % 5 < 2", "<p><label>Passport number <input name='c'></label></p>"),
+    ("degree", "page_id % 4 <> 1", "<p><label>Degree <select name='d'><option value=''></option><option>BSc</option><option>MSc</option><option>PhD</option></select></label></p>"),
+    ("school", "page_id % 3 <> 2", "<p><label>University <input name='u'></label></p>"),
+    ("gpa", "page_id % 8 < 4", "<p><label>GPA <input name='g'></label></p>"),
+    ("gpa2", "page_id % 8 >= 6", "<p><label>GPA <input name='g' maxlength='2'></label></p>"),
+    ("links", "true", "<p><label>Portfolio <input name='e'></label></p>"),
+    ("why", "page_id % 4 = 2", "<p><label>Why do you want this role? <textarea name='f'></textarea></label></p>"),
+    ("file", "page_id % 6 = 0", "<input type='file' name='cv'>"),
+]
+_OPTION_OF = {"Master of Science": "MSc", "BSc": "BSc", "Bachelor of Engineering": "BSc", "PhD": "PhD"}
+_FORMS_SQL = f"""{_PEOPLE_SQL}, q AS (SELECT page_id, ['A', 'B', 'C'][page_id // 2 % 3 + 1] AS condition, contains(html, '</body>') AS f FROM pages),
+x AS (SELECT page_id, unnest(list_filter([{', '.join(f"CASE WHEN {when} THEN '{name}' END" for name, when, _ in _CONTROLS)}], lambda x : x IS NOT NULL)) AS control FROM q WHERE f),
+n AS (SELECT page_id, control, row_number() OVER (PARTITION BY page_id ORDER BY list_position({_list([n for n, *_ in _CONTROLS])}, control)) - 1 AS idx FROM x),
+s AS (SELECT n.page_id, idx, condition, CASE WHEN control IN ('name', 'mail', 'mail2', 'links') THEN 'personal' WHEN control IN ('degree', 'school', 'gpa', 'gpa2') THEN 'education' WHEN control = 'why' THEN 'narrative' ELSE 'unknown' END AS category,
+ CASE control WHEN 'name' THEN p.name WHEN 'mail2' THEN p.mail WHEN 'degree' THEN CASE WHEN p.doc_id % 3 <> 1 THEN CASE p.degree {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _OPTION_OF.items())} END END
+  WHEN 'school' THEN CASE WHEN p.doc_id % 3 <> 1 THEN p.school END WHEN 'gpa' THEN CASE WHEN p.doc_id % 3 <> 1 THEN '4.5' END END AS value, control FROM n JOIN q USING (page_id) LEFT JOIN p ON p.doc_id = n.page_id),
+z AS (SELECT *, CASE control WHEN 'mail' THEN 'already_filled' WHEN 'passport' THEN 'sensitive_skipped' WHEN 'file' THEN 'not_fillable' ELSE CASE WHEN value IS NULL THEN 'missing' ELSE 'offered' END END AS decision FROM s)"""
+
+
+def form_requests(spark, d):
+    """A form of its own in every page, a request for it, and the profiles of the documents' people; that of the page's number is asked for."""
+    web = table(spark, d, "pages")
+    form = F.concat(F.lit("<form>"), *[F.when(F.expr(when), html).otherwise("") for _, when, html in _CONTROLS], F.lit("</form></body>"))
+    df = web.select("page_id", F.replace("html", F.lit("</body>"), form).alias("html"))
+    turn = _turn(list(assistant.CONDITIONS), F.floor(c("page_id") / 2))
+    asks = web.select("page_id", c("page_id").alias("profile_id"), turn.alias("condition"), F.lit("We need Python and SQL").alias("posting"), F.lit(0.8).alias("retrieval"), F.lit(False).alias("overwrite"))
+    return pages.scan_controls(spread(df)), asks, _people(spark, d)
+
+
+@query(f"WITH {_FORMS_SQL} SELECT page_id, idx, condition, category, value AS suggested_value, decision FROM z")
+def suggest_fields(spark, d):
+    out = assistant.suggest(*form_requests(spark, d))
+    return out.select("page_id", "idx", "condition", "category", "suggested_value", "decision")
+
+
+@query(f"""WITH {_FORMS_SQL}, k AS (SELECT page_id, count(*) AS total, count(*) FILTER (decision = 'offered') AS offered, count(*) FILTER (decision = 'missing') AS missing, count(*) FILTER (decision = 'sensitive_skipped') AS sensitive_skipped,
+ count(*) FILTER (decision = 'already_filled') AS already_filled, count(*) FILTER (decision = 'not_fillable') AS not_fillable, count(*) FILTER (decision <> 'offered') AS needs_confirmation FROM z GROUP BY 1)
+SELECT q.page_id, q.condition, coalesce(total, 0) AS total, coalesce(offered, 0) AS offered, 0 AS withheld, coalesce(missing, 0) AS missing, coalesce(sensitive_skipped, 0) AS sensitive_skipped, coalesce(already_filled, 0) AS already_filled,
+ coalesce(needs_confirmation, 0) AS needs_confirmation, coalesce(not_fillable, 0) AS not_fillable, 'Python|SQL' AS lacking_text,
+ CASE p.doc_id % 3 WHEN 0 THEN 'personal_info|education' WHEN 1 THEN 'personal_info|internship' WHEN 2 THEN 'personal_info|education|internship' ELSE '' END AS used_text, CASE p.doc_id % 3 WHEN 0 THEN 'internship' WHEN 1 THEN 'education' ELSE '' END AS dropped_text,
+ concat_ws('|', CASE WHEN q.condition = 'B' THEN 'no retrieved notes were used' END, CASE WHEN NOT q.f THEN 'no control may be filled' END, CASE WHEN q.condition <> 'A' THEN 'drafts are the offline responder''s' END) AS notes_text
+FROM q LEFT JOIN k USING (page_id) LEFT JOIN p ON p.doc_id = q.page_id""")
+def generate_forms(spark, d):
+    controls, asks, people = form_requests(spark, d)
+    out = assistant.summarise(assistant.suggest(controls, asks, people), asks, people)
+    return out.select("*", *[F.array_join(x, "|").alias(f"{x}_text") for x in ("lacking", "used", "dropped", "notes")]).drop("lacking", "used", "dropped", "notes")
