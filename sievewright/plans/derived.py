@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import fields, forms, guards, records, skills
 from sievewright.functions import text as texts
-from sievewright.operators import assistant, audit, generator, matching, profiles
+from sievewright.operators import assistant, audit, generator, matching, prefill, profiles
 from sievewright.plans import catalogue
 from sievewright.plans.registry import query
 from sievewright.session import spread, table
@@ -443,3 +443,40 @@ def generate_forms(spark, d):
     controls, asks, people = form_requests(spark, d)
     out = assistant.summarise(assistant.suggest(controls, asks, people), asks, people)
     return out.select("*", *[F.array_join(x, "|").alias(f"{x}_text") for x in ("lacking", "used", "dropped", "notes")]).drop("lacking", "used", "dropped", "notes")
+
+
+# --- prefill ------------------------------------------------------------------------
+
+_PLAIN_SQL = lambda t: f"trim(regexp_replace(regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _supports_sql(v: str) -> str:
+    word = lambda w: f"regexp_matches(hay, '(^|[^a-z0-9])' || {w} || '($|[^a-z0-9])')"
+    tokens = f"list_filter(string_split({_PLAIN_SQL(v)}, ' '), lambda t : length(t) > 2)"
+    return f"coalesce({_PLAIN_SQL(v)} <> '' AND ({word(_PLAIN_SQL(v))} OR (len({tokens}) > 0 AND list_bool_and(list_transform({tokens}, lambda t : {word('t')})))), false)"
+
+
+_TWO = "array_to_string(regexp_extract_all(text, '[A-Za-z]{3,}')[1:2], ' ')"
+_MAIL = "CASE doc_id % 3 WHEN 0 THEN regexp_extract(text, '[A-Za-z]{3,}') || '@none.org' WHEN 1 THEN regexp_extract(text, '[A-Za-z]{3,}') END"
+
+
+@query(f"""WITH {catalogue._DOCS}, a AS (SELECT doc_id, {_PLAIN_SQL('text')} AS hay, CASE WHEN doc_id % 5 > 0 THEN {_TWO} ELSE 'Nobody Named' END AS full_name, {_MAIL} AS email, {_turn_sql(_SCHOOLS, 'doc_id')} AS school,
+ 'MSc' AS degree, {_turn_sql(catalogue.PLANT, 'doc_id * 3')} AS s1, {_turn_sql(catalogue.PLANT, 'doc_id * 7')} AS s2, {_turn_sql(catalogue.PLANT, 'doc_id * 3 + 1')} AS s3 FROM pd),
+o AS (SELECT *, {_supports_sql('full_name')} AS ok_name, {_supports_sql('email')} AS ok_mail, {_supports_sql('school')} AS ok_school, {_supports_sql('s1')} AS ok1, {_supports_sql('s2')} AS ok2, {_supports_sql('s3')} AS ok3 FROM a)
+SELECT doc_id, CASE WHEN ok_name THEN full_name END AS full_name, CASE WHEN ok_mail THEN email END AS email, CASE WHEN ok_school THEN school END AS school, degree,
+ concat_ws('|', CASE WHEN ok1 THEN s1 END, CASE WHEN ok2 THEN s2 END, CASE WHEN ok3 THEN s3 END) AS top_skills, CASE WHEN ok_name THEN 0.9 ELSE 0.0 END::DOUBLE AS sure_name, 0.8::DOUBLE AS sure_degree,
+ concat_ws('|', CASE WHEN NOT ok_name THEN 'personal_info.full_name=''' || full_name || '''' END, CASE WHEN email IS NOT NULL AND NOT ok_mail THEN 'personal_info.email=''' || email || '''' END,
+  CASE WHEN NOT ok_school THEN 'education.school=''' || school || '''' END, CASE WHEN NOT ok1 THEN 'top_skills=''' || s1 || '''' END, CASE WHEN NOT ok2 THEN 'top_skills=''' || s2 || '''' END, CASE WHEN NOT ok3 THEN 'top_skills=''' || s3 || '''' END) AS dropped FROM o""")
+def prefill_answers(spark, d):
+    """A model's answer about each document, partly made up, held against the whole text."""
+    word = F.regexp_extract("text", "[A-Za-z]{3,}", 0)
+    two = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 2), " ")
+    mail = F.when(_id() % 3 == 0, F.concat(word, F.lit("@none.org"))).when(_id() % 3 == 1, word)
+    info = F.struct(F.when(_id() % 5 > 0, two).otherwise("Nobody Named").alias("full_name"), mail.alias("email"))
+    study = F.struct(_turn(_SCHOOLS, _id()).alias("school"), F.lit("MSc").alias("degree"))
+    named = F.array(*[_turn(catalogue.PLANT, _id() * k + b) for k, b in ((3, 0), (7, 0), (3, 1))])
+    sure = F.create_map(F.lit("full_name"), F.lit(0.9), F.lit("education_degree"), F.lit(0.8))
+    answer = F.concat(F.lit("```json\n"), F.to_json(F.struct(info.alias("personal_info"), study.alias("education"), named.alias("top_skills"), sure.alias("field_confidence"))), F.lit("\n```"))
+    got = prefill.extract_prefill(catalogue.planted_documents(spark, d).select(_id().alias("case_id"), c("text").alias("resume_text"), answer.alias("answer")))
+    return got.select(c("case_id").alias("doc_id"), "full_name", "email", c("education_school").alias("school"), c("education_degree").alias("degree"), F.array_join("top_skills", "|").alias("top_skills"),
+                      c("field_confidence")["full_name"].alias("sure_name"), c("field_confidence")["education_degree"].alias("sure_degree"), F.array_join("dropped", "|").alias("dropped"))
