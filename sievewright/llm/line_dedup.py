@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from sievewright.llm.common import cut, digest, row_identity, spread_join
 
-#: Lines of fewer characters stay as they are, or only go if equal to an earlier one.
+#: The bound is one edit for so many characters of the shorter line: shorter lines stay as they are, or (``short``) go if equal to an earlier one.
 MIN_CHARS = 20
-#: The edit bound.
+#: The edit bound of all others.
 EDITS = 1
 #: Characters left when variants are made.
 SPAN = 16

@@ -421,3 +421,29 @@ def test_line_edges(spark):
     by = {r.doc_id: r for r in got}
     assert by[3].text is None and by[4].text == "" and by[2].n_removed == 1 and by[2].text == ""
     assert not line_dedup.line_dedup(spark.createDataFrame([], SCHEMA)).collect()
+
+
+def test_lines_of_1_to_30_characters(spark):
+    """One edit at every length, and one edit for 20 characters of the shorter line."""
+    rng = random.Random(17)
+    lines = ["".join(rng.choice("abc ") for _ in range(n)) for n in range(1, 31) for _ in range(3)]
+    rows = []
+    for i in range(150):
+        x = list(rng.choice(lines))
+        p, what = rng.randrange(len(x)), rng.randrange(4)
+        x[p : p + (what < 2)] = rng.choice("abc") if what in (0, 2) else ""
+        rows.append((i, "".join(x) + "\n" + rng.choice(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(df, min_chars=1).collect()} == line_brute(rows, 1)
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(df, short=True).collect()}
+    seen, want = [], {}
+    for i, t in rows:
+        left = []
+        for raw in t.split("\n"):
+            x = raw.strip(" ")
+            near = lambda y: x == y or min(len(x), len(y)) >= line_dedup.MIN_CHARS and edit_within_one(x, y)  # noqa: B023, E731
+            if not x or not any(map(near, seen)):
+                left.append(raw)
+            seen.append(x)
+        want[i] = "\n".join(left)
+    assert got == want
