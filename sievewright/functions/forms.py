@@ -267,13 +267,20 @@ def decide(fields: DataFrame, threshold: float = confidence.THRESHOLD) -> DataFr
     )
 
 
-def classify_decision(fillable: Column, sensitive: Column, value: Column, abstained: Column, missing: Column, filled: Column) -> Column:
+# In which order a control's signs are judged, by a run over all forms and by a check of a live service.
+DECISION_ORDERS = {
+    "matrix": ("not_fillable", "sensitive_skipped", "offered", "abstained", "missing", "already_filled"),
+    "live": ("sensitive_skipped", "not_fillable", "offered", "already_filled", "abstained", "missing"),
+}
+
+
+def classify_decision(fillable: Column, sensitive: Column, value: Column, abstained: Column, missing: Column, filled: Column, order: str = "matrix") -> Column:
     """One of six states, by precedence."""
     yes = lambda x: F.coalesce(x, F.lit(False))
-    return (
-        F.when(~F.coalesce(fillable, F.lit(True)), "not_fillable").when(yes(sensitive), "sensitive_skipped").when(value.isNotNull(), "offered")
-        .when(yes(abstained), "abstained").when(yes(missing), "missing").when(yes(filled), "already_filled").otherwise("unclassified")
-    )
+    signs = {
+        "not_fillable": ~F.coalesce(fillable, F.lit(True)), "sensitive_skipped": yes(sensitive), "offered": value.isNotNull(), "abstained": yes(abstained), "missing": yes(missing), "already_filled": yes(filled),
+    }
+    return F.coalesce(*[F.when(signs[state], state) for state in DECISION_ORDERS[order]], F.lit("unclassified"))
 
 
 def field_list(fields: DataFrame) -> DataFrame:

@@ -50,6 +50,23 @@ def draw_cases(ids: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: below this overlap a case is hard.
+HARD_OVERLAP = 0.5
+
+
+def ground_truth(cases: DataFrame) -> DataFrame:
+    """What a right answer to each case is: overlap, whether it is hard, the person's name, the skills that count and how many of them."""
+    c = F.col
+    o = skills.skill_overlap(c("candidate_skills"), c("required_skills"))
+    pool = F.array_sort(F.array_intersect("candidate_skills", "required_skills"))
+    hard = (o < HARD_OVERLAP).cast("int")
+    return cases.select(
+        "case_id", "job_family", F.array_join("required_skills", "|").alias("jd_required_skills"), F.array_join("candidate_skills", "|").alias("candidate_skills"), F.bround(o, 4).alias("skill_overlap"),
+        hard.alias("hard_case"), hard.alias("should_abstain"), F.lit(f"skill_overlap < {HARD_OVERLAP}").alias("hard_case_definition"), c("full_name").alias("expected_full_name"),
+        F.array_join(pool, "|").alias("expected_top_skills"), F.least(F.lit(3), F.size(pool)).alias("expected_top_skills_n"),
+    )
+
+
 def build_cases(spark: SparkSession, families: list[str], per_family: int) -> DataFrame:
     """``per_family`` cases of each family, drawn and rendered."""
     ids = spark.range(per_family).select(F.explode(F.array(*map(F.lit, families))).alias("job_family"), "id")

@@ -480,3 +480,29 @@ def prefill_answers(spark, d):
     got = prefill.extract_prefill(catalogue.planted_documents(spark, d).select(_id().alias("case_id"), c("text").alias("resume_text"), answer.alias("answer")))
     return got.select(c("case_id").alias("doc_id"), "full_name", "email", c("education_school").alias("school"), c("education_degree").alias("degree"), F.array_join("top_skills", "|").alias("top_skills"),
                       c("field_confidence")["full_name"].alias("sure_name"), c("field_confidence")["education_degree"].alias("sure_degree"), F.array_join("dropped", "|").alias("dropped"))
+
+
+# --- truth of cases, states of controls ----------------------------------------------
+
+
+@query(f"""WITH i AS (SELECT doc_id::VARCHAR AS case_id, lang AS family FROM documents), r AS (SELECT *, {_drawn_sql('required', _SIZE('required', generator.REQUIRED[0], generator.REQUIRED[1] - generator.REQUIRED[0] + 1))} AS req FROM i),
+o AS (SELECT *, list_concat(req[1:{_SIZE('kept', 0, 'len(req) + 1')}], {_drawn_sql('own', generator.OTHERS)}) AS own FROM r),
+p AS (SELECT *, list_sort(list_filter(req, lambda x : list_contains(own, x))) AS pool FROM o)
+SELECT case_id, array_to_string(list_sort(req), '|') AS jd_required_skills, array_to_string(list_sort(list_distinct(own)), '|') AS candidate_skills, round_even(len(pool) / len(req), 4) AS skill_overlap,
+ (len(pool) / len(req) < 0.5)::INTEGER AS hard_case, array_to_string(pool, '|') AS expected_top_skills, least(3, len(pool))::INTEGER AS expected_top_skills_n, 'Candidate ' || case_id || ' Example' AS expected_full_name FROM p""")
+def case_truth(spark, d):
+    """The ground truth of a case drawn for each document."""
+    cases = generator.draw_cases(table(spark, d, "documents").select(_id().cast("string").alias("case_id"), c("lang").alias("job_family")))
+    return generator.ground_truth(cases).select("case_id", "jd_required_skills", "candidate_skills", "skill_overlap", "hard_case", "expected_top_skills", "expected_top_skills_n", "expected_full_name")
+
+
+@query("""WITH s AS (SELECT event_id, event_id % 2 = 0 AS fillable, event_id % 3 = 0 AS sensitive, event_id % 5 = 0 AS offered, user_id % 2 = 0 AS abstained, user_id % 3 = 0 AS missing, event_type = 'view' AS filled FROM events)
+SELECT CASE WHEN NOT fillable THEN 'not_fillable' WHEN sensitive THEN 'sensitive_skipped' WHEN offered THEN 'offered' WHEN abstained THEN 'abstained' WHEN missing THEN 'missing' WHEN filled THEN 'already_filled' ELSE 'unclassified' END AS matrix,
+ CASE WHEN sensitive THEN 'sensitive_skipped' WHEN NOT fillable THEN 'not_fillable' WHEN offered THEN 'offered' WHEN filled THEN 'already_filled' WHEN abstained THEN 'abstained' WHEN missing THEN 'missing' ELSE 'unclassified' END AS live,
+ count(*) AS n FROM s GROUP BY 1, 2""")
+def decision_orders(spark, d):
+    """States of controls with every combination of signs, in both orders."""
+    e, u = c("event_id"), c("user_id")
+    signs = (e % 2 == 0, e % 3 == 0, F.when(e % 5 == 0, "x"), u % 2 == 0, u % 3 == 0, c("event_type") == "view")
+    df = table(spark, d, "events").select(*[forms.classify_decision(*signs, order=o).alias(o) for o in forms.DECISION_ORDERS])
+    return df.groupBy(*forms.DECISION_ORDERS).agg(F.count("*").alias("n"))

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from sievewright.functions import skills
-from sievewright.operators import runlog, sampling
+from sievewright.operators import embedding, runlog, sampling
 from sievewright.plans import catalogue
 from sievewright.plans.registry import query
-from sievewright.session import shared_folder, table
+from sievewright.session import shared_folder, spread, table
 from sievewright.sources import crawl, snapshots
 from sievewright.streaming import timers
 
@@ -156,3 +156,11 @@ def action_log(spark, d):
     """What the log of actions keeps of pages: lengths and prefixes of hashes."""
     got = snapshots.action_records(table(spark, d, "pages"), ["html", "url"], ["page_id"])
     return got.select("page_id", *[c(f"{t}.{x}").alias(f"{t}_{x}") for t in ("html", "url") for x in ("chars", "sha256_8")])
+
+
+@query(catalogue._SPARSE + """, b AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM q GROUP BY 1) SELECT 'tfidf-corpus-fitted' AS backend, true AS downgraded, item_id AS id, term AS feature, round(w / n, 6) AS x FROM q JOIN b USING (item_id)""")
+def embedded_postings(spark, d):
+    """Postings embedded by what ``auto`` comes to without a sentence model: TF-IDF of the documents."""
+    chosen = embedding.choose("auto", spread(table(spark, d, "documents")), "doc_id", "text")
+    out = chosen.encode(table(spark, d, "benchmark"), "item_id", "text")
+    return out.select(F.lit(chosen.info["backend"]).alias("backend"), F.lit(chosen.info["downgraded"]).alias("downgraded"), "id", "feature", F.round("x", 6).alias("x"))

@@ -64,6 +64,36 @@ def read_cases(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return rows if limit is None else rows.where(F.col("ordinal") < limit)
 
 
+def write_cases(cases: DataFrame, path: str) -> None:
+    """Cases as JSON Lines, from as many tasks as there are."""
+    cases.write.mode("overwrite").json(path)
+
+
+def read_case_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Cases of JSON Lines."""
+    return spark.read.schema(CASES).json(path)
+
+
+def write_truth(truth: DataFrame, path: str) -> None:
+    """Ground truth as CSV with all columns that readers expect; what ``truth`` lacks stays empty."""
+    names = [x.split(" ")[0] for x in GROUND_TRUTH.split(", ")]
+    truth.select(*[F.col(n) if n in truth.columns else F.lit(None).cast("string").alias(n) for n in names]).write.mode("overwrite").csv(path, header=True)
+
+
+def write_samples(cases: DataFrame, path: str, n: int = 3) -> None:
+    """The texts of the first ``n`` cases by id, a folder for each case and side."""
+    few = cases.orderBy("case_id").limit(n)
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_text").alias("text")) for s in ("jd", "resume")])).alias("s")
+    few.select("case_id", sides).select("case_id", "s.side", "s.text").write.mode("overwrite").partitionBy("case_id", "side").text(path)
+
+
+def read_written_samples(spark: SparkSession, path: str) -> DataFrame:
+    """``case_id, jd_text, resume_text`` of written samples, without the line end that each file closes with."""
+    rows = spark.read.option("wholetext", "true").text(path).withColumn("value", F.expr("left(value, char_length(value) - 1)"))
+    one = lambda side: rows.where(F.col("side") == side).select("case_id", F.col("value").alias(f"{side}_text"))
+    return one("jd").join(one("resume"), "case_id")
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Knowledge base chunks, trimmed, ids filled in by position; a chunk over the upper bound raises on use."""
     inner = T._parse_datatype_string("array<struct<" + ",".join(x.replace(" ", ":", 1) for x in CHUNKS.split(", ")) + ">>")

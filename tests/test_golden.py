@@ -239,3 +239,23 @@ def test_golden(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     a, b = rows(got), rows(want)
     assert len(a) == len(b) and all(map(close, a, b)), [(x, y) for x, y in zip(a, b) if not close(x, y)]
+
+
+def test_cases_written_and_read(spark, tmp_path):
+    from sievewright.sources import files
+
+    cases = generator.build_cases(spark, ["AI", "Data"], 4)
+    files.write_cases(cases, str(tmp_path / "cases"))
+    back = files.read_case_lines(spark, str(tmp_path / "cases"))
+    same = lambda df: sorted(map(str, df.select("case_id", "jd_text", "resume_text", "required_skills", "candidate_skills").collect()))
+    assert same(back) == same(cases)
+    files.write_truth(generator.ground_truth(cases), str(tmp_path / "truth"))
+    truth = {r.case_id: r for r in files.read_ground_truth(spark, str(tmp_path / "truth")).collect()}
+    for r in cases.collect():
+        pool = set(r.required_skills) & set(r.candidate_skills)
+        t = truth[r.case_id]
+        assert t.hard_case == (len(pool) / len(r.required_skills) < 0.5) == t.should_abstain and t.expected_top_skills_n == min(3, len(pool))
+        assert (t.expected_full_name, t.expected_email) == (f"Candidate {r.case_id} Example", None)
+    files.write_samples(cases, str(tmp_path / "samples"), 2)
+    got = files.read_written_samples(spark, str(tmp_path / "samples"))
+    assert sorted((r.case_id, r.jd_text, r.resume_text) for r in got.collect()) == sorted((r.case_id, r.jd_text, r.resume_text) for r in cases.collect())[:2]

@@ -76,3 +76,22 @@ def test_empty(spark):
     for docs, asks in ((some, none), (none, some)):
         index = sparse.Index(docs, "id", "text")
         assert index.top_k(index.queries(asks, "id", "text"), 3).count() == 0
+
+
+def test_choice_of_an_embedder(spark):
+    from sievewright.operators import embedding
+
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, None)], "id long, text string")
+    tell = lambda *a, **k: (embedding.choose(*a, **k).info["backend"], embedding.choose(*a, **k).info["downgraded"])
+    assert tell("auto", docs) == tell(None, docs) == (embedding.TFIDF, True) and tell("tfidf", docs) == (embedding.TFIDF, False)
+    assert tell("auto") == tell("tfidf") == tell("hashing", docs) == (embedding.HASHING, True)
+    model = embedding.Embedder(lambda t, i, x: t, {"backend": "a model"})
+    assert tell("auto", docs, sentence_model=lambda: model) == tell("sentence_transformers", sentence_model=lambda: model) == ("a model", False)
+    with pytest.raises(RuntimeError, match="can't be loaded"):
+        embedding.choose("sentence_transformers", docs)
+    with pytest.raises(ValueError, match="unknown"):
+        embedding.choose("other")
+    for backend in ("tfidf", "hashing"):
+        rows = embedding.choose(backend, docs).encode(docs, "id", "text").collect()
+        norms = {i: sum(r.x**2 for r in rows if r.id == i) for i in {r.id for r in rows}}
+        assert set(norms) == {1, 2} and all(abs(n - 1) < 1e-9 for n in norms.values())
