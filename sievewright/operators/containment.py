@@ -19,7 +19,7 @@ from sievewright.session import cut
 #: Longest plain gram.
 Q = 8
 #: Needles that are sent to all tasks.
-MAX_BROADCAST = 200_000
+MAX_BROADCAST = 50_000
 _AT_SEPARATOR = r"(?s)(?=(.{3}[^A-Za-z0-9].{4}))"
 
 

@@ -92,6 +92,7 @@ def decision_histogram(decisions: DataFrame) -> DataFrame:
 def form_deltas(decisions: DataFrame, baseline: str) -> DataFrame:
     """Counts of each form and decision less those of the baseline form (``form_id, decision``)."""
     n = decisions.groupBy("form_id", "decision").agg(F.count("*").alias("n"))
+    # a row for each kind of decision
     base = n.where(F.col("form_id") == baseline).select("decision", F.col("n").alias("base"))
     return n.join(F.broadcast(base), "decision", "left").select("form_id", "decision", "n", (F.col("n") - F.coalesce("base", F.lit(0))).alias("delta"))
 

@@ -44,6 +44,7 @@ def probe_texts(skills: DataFrame, titles: list[str], per_family: int = PER_FAMI
     # a family's skills are at most the vocabulary
     named = ranked.withColumn("place", place).where("place <= size").groupBy("family", "probe").agg(F.array_sort(F.collect_list(F.struct("place", "skill"))).alias("s"))
     title = F.element_at(F.array(*map(F.lit, titles)), (c("probe") % len(titles) + 1).cast("int"))
+    # The wording of a probe.
     return named.select("family", "probe", F.concat(
         F.lit("Job requirements: "), F.array_join(F.transform("s", lambda x: x["skill"]), ", "), F.lit(". Job description excerpt: We are hiring a "), title,
         F.lit(" to join our team and work on production systems."),

@@ -83,7 +83,7 @@ class Index:
         first = whole.withColumn("before", F.coalesce(F.sum("all").over(rare), F.lit(0))).where(F.col("before") < 8 * k)
         part = self.postings.join(self._near(first.select("query", "term", "qw"), n), "term").groupBy("query", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("part"))
         ranked = part.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.col("part").desc(), "id"))).where(F.col("r") <= k)
-        full = self.postings.join(F.broadcast(ranked.select("query", "id")), "id").join(self._near(q, n), ["query", "term"])
+        full = self.postings.join(self._near(ranked.select("query", "id"), k * n), "id").join(self._near(q, n), ["query", "term"])
         sure = full.groupBy("query", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("score")).groupBy("query").agg(F.min("score").alias("low"), F.count("*").alias("c"))
         theta = sure.select("query", F.when(F.col("c") >= k, F.col("low")).otherwise(F.lit(0.0)).alias("theta"))
         up = Window.partitionBy("query", "kind").orderBy("qw", F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)

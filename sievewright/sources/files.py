@@ -89,7 +89,7 @@ def write_samples(cases: DataFrame, path: str, n: int = 3) -> None:
 
 def read_written_samples(spark: SparkSession, path: str) -> DataFrame:
     """``case_id, jd_text, resume_text`` of written samples, without the line end that each file closes with."""
-    rows = spark.read.option("wholetext", "true").text(path).withColumn("value", F.expr("left(value, char_length(value) - 1)"))
+    rows = spark.read.text(path, wholetext=True).withColumn("value", F.expr("left(value, char_length(value) - 1)"))
     one = lambda side: rows.where(F.col("side") == side).select("case_id", F.col("value").alias(f"{side}_text"))
     return one("jd").join(one("resume"), "case_id")
 
