@@ -70,7 +70,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents. Between stages tables are written to the cluster's shared folder."""
+    """Apply the stages to documents. Between stages tables are written to the cluster's shared folder; only the last one is left, as the result reads it."""
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -79,4 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if n < len(STAGES) - 1:
             docs.write.parquet(f"{base}/{n}-{name}")
             docs = spark.read.parquet(f"{base}/{n}-{name}")
+            if n:  # what has been read in full isn't needed again
+                old = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{n - 1}-{STAGES[n - 1][0]}")
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs
