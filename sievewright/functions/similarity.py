@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievewright.functions.skills import trie
+
 # Our own explicit list of function words. The usual machine-learning lists differ from one another; this
 # one is fixed here so that both engines agree.
 STOP_WORDS = (
@@ -24,16 +26,17 @@ ONE_OF_TWO = 1 + math.log(1.5)
 
 
 def with_terms(df: DataFrame, text: str, out: str, stop_words: list[str] | None = None) -> DataFrame:
-    """Adds the terms of a text: words of two and more word characters, stop words dropped (``stop_words``, or the own list), then pairs of neighbours.
+    """Adds the terms of a text: words of two and more word characters, stop words dropped (``stop_words``, in lower case, or the own list), then pairs of neighbours.
 
-    Built in stages, as an expression that a lambda captures would be evaluated anew for each element.
+    One pattern passes over stop words as it finds the others. Built in stages, as an expression that a lambda captures would be evaluated anew for each element.
     """
-    stop = F.array(*map(F.lit, STOP_WORDS if stop_words is None else stop_words)).cast("array<string>")
-    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    df = df.withColumn("_words", F.filter(found, lambda w: ~F.array_contains(stop, w)))
+    one = r"[\p{L}\p{N}_]"
+    pattern = rf"(?<!{one})(?!{trie(STOP_WORDS if stop_words is None else stop_words)}(?!{one})){one}{{2,}}"
+    df = df.withColumn("_words", F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(0)))
     words = F.col("_words")
-    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    return df.withColumn(out, F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))).drop("_words")
+    heads = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    pairs = F.zip_with(heads, F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return df.withColumn(out, F.concat(words, pairs)).drop("_words")
 
 
 def with_term_counts(df: DataFrame, text: str, out: str) -> DataFrame:

@@ -88,7 +88,7 @@ def normalise_key(text: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9+#]+", " ", text.lower()).split())
 
 
-def _trie(words: Iterable[str]) -> str:
+def trie(words: Iterable[str]) -> str:
     """A pattern for any of the words, longest first, with common starts factored out."""
     groups: dict[str, list[str]] = {}
     ends = False
@@ -99,7 +99,7 @@ def _trie(words: Iterable[str]) -> str:
             ends = True
     if not groups:
         return ""
-    alternatives = [re.escape(c) + _trie(rest) for c, rest in sorted(groups.items())]
+    alternatives = [re.escape(c) + trie(rest) for c, rest in sorted(groups.items())]
     body = "(?:" + "|".join(alternatives) + ")"
     return body + ("?" if ends else "")
 
@@ -114,7 +114,7 @@ def _implied() -> dict[str, list[str]]:
 
 
 IMPLIED = _implied()
-PATTERN = r"(?i)(?<![A-Za-z0-9])(?=(" + _trie(IMPLIED) + r")(?![A-Za-z0-9]))"
+PATTERN = r"(?i)(?<![A-Za-z0-9])(?=(" + trie(IMPLIED) + r")(?![A-Za-z0-9]))"
 C_SHARP = r"(?i)(?<![A-Za-z0-9+#./\-])c#(?![A-Za-z0-9+#./\-])"
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sievewright.session import cut
 
 #: Parts of a range, and rows that are sorted in one array.
-CUTS, FEW = 64, 20_000
+CUTS, FEW = 64, 250_000
 #: Wanted ranks that are sent to all tasks.
 MAX_BROADCAST = 100_000
 

@@ -26,18 +26,27 @@ SLACK = 2e-6
 MAX_BROADCAST = 500_000
 
 
-def counted(texts: DataFrame, id_: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
-    """``id, term, tf`` of all terms of each text."""
+def occurrences(texts: DataFrame, id_: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
+    """``id, term`` of every term of each text, repeats included."""
     df = similarity.with_terms(texts.select(F.col(id_).alias("id"), F.col(text).alias("_text")), "_text", "terms", stop_words)
-    long = df.select("id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
-    return long.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return df.select("id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
 
 
-def fit(tf: DataFrame, n_docs: int, max_features: int = MAX_FEATURES) -> DataFrame:
-    """The features ``term, idf`` of a corpus: its most frequent terms, at most ``max_features``."""
-    terms = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    best = terms.orderBy(F.col("total").desc(), "term").limit(max_features)
-    return cut(best.select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")))
+def counted(rows: DataFrame) -> DataFrame:
+    """``id, term, tf`` of occurrences."""
+    return rows.groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+
+def frequent(rows: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """The features ``term``: the most frequent terms of occurrences, ties by term."""
+    totals = rows.groupBy("term").agg(F.count("*").alias("total"))
+    return cut(totals.orderBy(F.col("total").desc(), "term").limit(max_features).select("term"))
+
+
+def fit(tf: DataFrame, n_docs: int) -> DataFrame:
+    """``term, idf`` of the counted features of a corpus of ``n_docs`` texts."""
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    return cut(df.select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")))
 
 
 def transform(tf: DataFrame, features: DataFrame) -> DataFrame:
@@ -56,8 +65,10 @@ class Index:
 
     def __init__(self, corpus: DataFrame, id_: str, text: str, max_features: int = MAX_FEATURES, stop_words: list[str] | None = None):
         self.stop_words = stop_words
-        tf = cut(counted(corpus, id_, text, stop_words))
-        self.features = fit(tf, corpus.count(), max_features)
+        rows = occurrences(corpus, id_, text, stop_words)
+        # texts are read twice, so that only features are counted by document
+        tf = cut(counted(rows.join(F.broadcast(frequent(rows, max_features)), "term")))
+        self.features = fit(tf, corpus.count())
         # classes double in size, so that a class's largest weights are near those of all its documents
         postings = transform(tf, self.features).select("id", F.floor(F.log2("n")).cast("int").alias("kind"), "term", "w")
         self.postings = cut(postings)
@@ -65,7 +76,7 @@ class Index:
 
     def queries(self, texts: DataFrame, id_: str, text: str) -> DataFrame:
         """``query, term, qw``: texts in the corpus's features."""
-        return transform(counted(texts, id_, text, self.stop_words), self.features).select(F.col("id").alias("query"), "term", F.col("w").alias("qw"))
+        return transform(counted(occurrences(texts, id_, text, self.stop_words)), self.features).select(F.col("id").alias("query"), "term", F.col("w").alias("qw"))
 
     def _near(self, q: DataFrame, n: int) -> DataFrame:
         return F.broadcast(q) if n <= MAX_BROADCAST else q

@@ -59,7 +59,8 @@ def _joined(col: str) -> Column:
 
 @query(f"WITH {_DOCS}, {_LEX}, {_DS} SELECT doc_id, string_agg(canon, '|' ORDER BY canon) AS skills, count(*) AS n_skills FROM ds GROUP BY 1")
 def skills_per_doc(spark, d):
-    got = planted_documents(spark, d).select("doc_id", skills.match_skills(c("text")).alias("s"))
+    # exploded from an array of one, so that the filter and the columns don't each match again
+    got = planted_documents(spark, d).select("doc_id", F.explode(F.array(skills.match_skills(c("text")))).alias("s"))
     return got.where(F.size("s") > 0).select("doc_id", _joined("s").alias("skills"), F.size("s").cast("bigint").alias("n_skills"))
 
 
