@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ END, OLDER = 32, 33
 CELLS = OLDER * 256 * 256
 #: How many occurrences the shorter context weighs.
 BACK = 4.0
+#: Distinct words that a task remembers, about, before it begins anew.
+HELD = 200_000
 
 
 def words(text: str | None) -> list[str]:
@@ -65,9 +68,9 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for t in batch.column(0):
                 held.update(words(t.as_py()))
-            if len(held) > 200_000:
-                yield _counts(held)
-                held = Counter()
+                if len(held) > HELD:
+                    yield _counts(held)
+                    held = Counter()
         if held:
             yield _counts(held)
 
@@ -89,13 +92,21 @@ def _counts(held: dict[str, int]) -> pa.RecordBatch:
     )
 
 
+_CELL_OF_LAST = np.arange(256) * 256
+_CELL_OF_OLDER = np.arange(256) % 32 * 65536
+_CELL_OF_OLDER[END] = (OLDER - 1) * 65536
+
+
 def _spelled(rare: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Cells of the spelling table for every byte of the words and their ends, and where each word starts."""
-    data = np.frombuffer((" " + " ".join(rare) + " ").encode(), np.uint8).astype(np.int64)
-    last = data[:-1]
-    older = np.where(np.concatenate([[END], data[:-2]]) == END, OLDER - 1, np.concatenate([[END], data[:-2]]) % 32)
-    older[last == END] = OLDER - 1  # words stand alone
-    return (older * 256 + last) * 256 + data[1:], np.flatnonzero(last == END)
+    data = np.frombuffer((" " + " ".join(rare) + " ").encode(), np.uint8)
+    start = np.flatnonzero(data[:-1] == END)
+    cells = np.empty(len(data) - 1, np.int64)
+    cells[1:] = _CELL_OF_OLDER[data[:-2]]
+    cells[start] = _CELL_OF_OLDER[END]  # words stand alone
+    cells += _CELL_OF_LAST[data[:-1]]
+    cells += data[1:]
+    return cells, start
 
 
 def spelling(counted: DataFrame, vocab: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +114,7 @@ def spelling(counted: DataFrame, vocab: list[str]) -> tuple[np.ndarray, np.ndarr
     known = counted.sparkSession.sparkContext.broadcast(set(vocab))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, heads = np.zeros(CELLS + BUCKETS, np.int64), Heads()
+        held = np.zeros(CELLS + BUCKETS, np.int64)
         for batch in batches:
             rows = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in known.value]
             if rows:
@@ -111,8 +122,7 @@ def spelling(counted: DataFrame, vocab: list[str]) -> tuple[np.ndarray, np.ndarr
                 often = np.repeat(np.array([n for _, n in rows]), np.diff(np.append(start, len(cells))))
                 at, back = np.unique(cells, return_inverse=True)
                 held[at] += np.bincount(back, often).astype(np.int64)
-                group = np.array([heads[w[:2]] - RARE for w, _ in rows])
-                held[CELLS:] += np.bincount(group, [n for _, n in rows], BUCKETS).astype(np.int64)
+                held[CELLS:] += np.bincount(_groups(cells, start), [n for _, n in rows], BUCKETS).astype(np.int64)
         at = np.flatnonzero(held)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["cell", "n"])
@@ -138,21 +148,20 @@ def _bucket(head: bytes) -> int:
     return ((head[0] << 8 | (head[1] if len(head) > 1 else END)) * 40503 >> 4) % BUCKETS
 
 
-class Heads(dict):
-    """Ids of rare words by their first two characters, which hold the first two bytes."""
+_BUCKETS = np.array([[_bucket(bytes([a, b])) for b in range(256)] for a in range(256)])
+
 
-    def __missing__(self, head: str) -> int:
-        self[head] = got = RARE + _bucket(head.encode()[:2])
-        return got
+def _groups(cells: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The groups of words by what ``_spelled`` gives of them."""
+    return _BUCKETS[cells[start] % 256, cells[start + 1] % 256]
 
 
 def bucket_log_probabilities(table: np.ndarray) -> np.ndarray:
     """Log-probability that spelling begins with a pair of bytes of each group."""
     t = table.reshape(OLDER, 256, 256)[OLDER - 1].astype(np.float64)
     pair = np.exp(t[END][:, None] + t)  # the first byte, then the second given it alone
-    group = np.array([[_bucket(bytes([a, b])) for b in range(256)] for a in range(256)])
     pair[END] = 0  # no word begins with END
-    return np.log(np.bincount(group.ravel(), pair.ravel(), BUCKETS))
+    return np.log(np.bincount(_BUCKETS.ravel(), pair.ravel(), BUCKETS))
 
 
 def spelling_log_probabilities(table: np.ndarray, rare: list[str]) -> np.ndarray:
@@ -188,66 +197,77 @@ def unpack(flat: np.ndarray, dim: int = DIM) -> list[np.ndarray]:
 
 def contexts(ids: np.ndarray) -> np.ndarray:
     """Rows of the embedding table for each position: WINDOW tokens left, then right."""
-    pad = np.concatenate([np.full(WINDOW, EDGE), ids, np.full(WINDOW, EDGE)])
-    v = SIZE
-    places = [k for k in range(2 * WINDOW + 1) if k != WINDOW]
-    return np.stack([pad[k : k + len(ids)] + n * v for n, k in enumerate(places)], axis=1)
-
-
-#: Rows of a matrix product that BLAS still does in the calling thread; more would wake threads that cost more than they save.
-_ROWS = 512
-
+    return windows([ids])[0]
+
+
+def windows(docs: list[np.ndarray], first: int = 0, stride: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts (each place of the window in one piece of memory) and targets of every ``stride``-th position of each document, from ``first`` on."""
+    edge = np.full(WINDOW, EDGE, np.int16)
+    line = np.concatenate([edge, *chain.from_iterable((d, edge) for d in docs)])  # neighbours share an edge
+    sizes = np.array([len(d) for d in docs], np.int64)
+    start = np.cumsum(sizes + WINDOW) - sizes
+    n = np.maximum(-(-(sizes - first) // stride), 0)
+    at = np.repeat(start + first - stride * (np.cumsum(n) - n), n) + stride * np.arange(n.sum())
+    ctx = np.empty((2 * WINDOW, len(at)), np.int64)
+    for k, off in enumerate(o for o in range(-WINDOW, WINDOW + 1) if o):
+        ctx[k] = line[at + off]
+        ctx[k] += k * SIZE
+    return ctx.T, line[at].astype(np.int64)
+
+
+def _hidden(e: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    h = e.take(ctx[:, 0], axis=0)
+    for k in range(1, ctx.shape[1]):
+        h += e.take(ctx[:, k], axis=0)
+    return np.tanh(h, out=h)
 
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``a @ b``, by pieces of _ROWS rows of ``a``."""
-    n = len(a) - len(a) % _ROWS
-    if not n:
-        return a @ b
-    head = (a[:n].reshape(-1, _ROWS, a.shape[1]) @ b).reshape(n, b.shape[1])
-    return np.concatenate([head, a[n:] @ b]) if n < len(a) else head
 
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[slice]]:
+    """An order by class, in it the class of each target and its place therein, and where each class is."""
+    cls = (target % CLASSES).astype(np.uint8)
+    order = np.argsort(cls, kind="stable")
+    edge = np.cumsum([0, *np.bincount(cls, minlength=CLASSES)]).tolist()
+    return order, cls[order], target[order] // CLASSES, [slice(lo, hi) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
 
-def _sum_times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``a.T @ b``, by pieces of _ROWS rows of both."""
-    n = len(a) - len(a) % _ROWS
-    out = a[n:].T @ b[n:]
-    if n:
-        out = out + (a[:n].reshape(-1, _ROWS, a.shape[1]).transpose(0, 2, 1) @ b[:n].reshape(-1, _ROWS, b.shape[1])).sum(axis=0)
-    return out
 
+def _logits(h: np.ndarray, wc: np.ndarray, bc: np.ndarray, ww: np.ndarray, bw: np.ndarray, held: list[slice]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the classes, and of the tokens in each position's own class: a column for each position, so that sums go along whole rows.
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+    Spark's workers do products in one thread (``OMP_NUM_THREADS`` is ``spark.task.cpus``), so they aren't cut into small pieces.
+    """
+    outer = wc.T @ h.T
+    outer += bc[:, None]
+    inner = np.empty((PER_CLASS, len(h)), h.dtype)
+    for k, at in enumerate(held):
+        if at.start != at.stop:
+            np.matmul(ww[k].T, h[at].T, out=inner[:, at])
+            inner[:, at] += bw[k][:, None]
+    return outer, inner
 
 
 def log_probabilities(flat: np.ndarray, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target given its context."""
-    e, wc, bc, ww, bw = unpack(flat)
+    e, *tables = unpack(flat)
     out = np.empty(len(target), dtype=np.float64)
-    for lo in range(0, len(target), 1 << 15):
-        c, t = ctx[lo : lo + (1 << 15)], target[lo : lo + (1 << 15)]
-        h = e[c[:, 0]]
-        for k in range(1, c.shape[1]):
-            h = h + e[c[:, k]]
-        order = np.argsort(t % CLASSES, kind="stable")
-        h, t = np.tanh(h)[order], t[order]
-        cls, inner = t % CLASSES, t // CLASSES
-        z = _times(h, wc) + bc
-        got = z[np.arange(len(t)), cls] - _log_sum(z)
-        edge = np.searchsorted(cls, np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = slice(edge[k], edge[k + 1])
-            if at.start != at.stop:
-                z = _times(h[at], ww[k]) + bw[k]
-                got[at] += z[np.arange(len(z)), inner[at]] - _log_sum(z)
+    for lo in range(0, len(target), BATCH):
+        order, cls, inner, held = _by_class(target[lo : lo + BATCH])
+        h = _hidden(e, ctx[lo : lo + BATCH])[order]
+        got, all_ = np.zeros(len(h), flat.dtype), np.arange(len(h))
+        for z, own in zip(_logits(h, *tables, held), (cls, inner), strict=True):
+            z -= z.max(axis=0)
+            got += z[own, all_]
+            got -= np.log(np.exp(z, out=z).sum(axis=0))
         out[lo + order] = got
     return out
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    m = z.max(axis=1)
-    return m + np.log(np.exp(z - m[:, None]).sum(axis=1))
+def _errors(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The gradient of the mean log-probability by the logits, in their place."""
+    z -= z.max(axis=0)
+    np.exp(z, out=z)
+    z *= -1 / (len(own) * z.sum(axis=0))
+    z[own, np.arange(len(own))] += z.dtype.type(1 / len(own))
+    return z
 
 
 #: Rates of the five tables against RATE: each place of the window and each class sees few of a batch's positions.
@@ -257,36 +277,25 @@ PACE = (32.0, 1.0, 1.0, 8.0, 8.0)
 def step(flat: np.ndarray, ctx: np.ndarray, target: np.ndarray, rate: float = RATE, pace: tuple[float, ...] = PACE) -> None:
     """One step of gradient ascent of the mean log-probability, in place."""
     e, wc, bc, ww, bw = unpack(flat)
-    h = e[ctx[:, 0]]
-    for k in range(1, ctx.shape[1]):
-        h = h + e[ctx[:, k]]
-    h = np.tanh(h)
-    n = len(target)
-    order = np.argsort(target % CLASSES, kind="stable")  # by class, so that a class is one slice
-    h, ctx, target = h[order], ctx[order], target[order]
-    cls, inner = target % CLASSES, target // CLASSES
-    edge = np.searchsorted(cls, np.arange(CLASSES + 1))
-    g = -_softmax(_times(h, wc) + bc)
-    g[np.arange(n), cls] += 1
-    g /= n
-    dh = _times(g, wc.T)
-    for k in range(CLASSES):
-        at = slice(edge[k], edge[k + 1])
-        if at.start == at.stop:
-            continue
-        d = -_softmax(_times(h[at], ww[k]) + bw[k])
-        d[np.arange(len(d)), inner[at]] += 1
-        d /= n
-        dh[at] += _times(d, ww[k].T)
-        ww[k] += rate * pace[3] * _sum_times(h[at], d)
-        bw[k] += rate * pace[4] * d.sum(axis=0)
-    wc += rate * pace[1] * _sum_times(h, g)
-    bc += rate * pace[2] * g.sum(axis=0)
-    dz = (dh * (1 - h * h) * (rate * pace[0])).astype(flat.dtype)
+    order, cls, inner, held = _by_class(target)  # by class, so that a class is one slice
+    ctx = ctx.T[:, order].T
+    h = _hidden(e, ctx)
+    g, d = (_errors(z, own) for z, own in zip(_logits(h, wc, bc, ww, bw, held), (cls, inner), strict=True))
+    dh = g.T @ wc.T
+    for k, at in enumerate(held):
+        if at.start != at.stop:
+            dh[at] += d[:, at].T @ ww[k].T
+            ww[k] += rate * pace[3] * (d[:, at] @ h[at]).T
+            bw[k] += rate * pace[4] * d[:, at].sum(axis=1)
+    wc += rate * pace[1] * (g @ h).T
+    bc += rate * pace[2] * g.sum(axis=1)
+    h *= h
+    dh -= dh * h
+    dh *= rate * pace[0]
+    by_row = dh.T.astype(np.float64)
     for k in range(ctx.shape[1]):
-        at, order = ctx[:, k], np.argsort(ctx[:, k], kind="stable")
-        rows, start = np.unique(at[order], return_index=True)
-        e[rows] += np.add.reduceat(dz[order], start, axis=0)
+        at = ctx[:, k] - k * SIZE
+        e[k * SIZE : (k + 1) * SIZE] += np.stack([np.bincount(at, w, SIZE) for w in by_row], axis=1)
 
 
 class Model:
@@ -299,19 +308,24 @@ class Model:
 
     def reader(self):
         """A function of texts that gives the ids of each and the log-probability of all its rare words' spelling in their groups."""
-        get, heads = {w: i + 1 for i, w in enumerate(self.vocab)}.get, Heads()
+        get = {w: i + 1 for i, w in enumerate(self.vocab)}.get
 
         def read(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
             split = [words(t) for t in texts]
-            ids = [np.fromiter((get(x) or heads[x[:2]] for x in w), np.int16, len(w)) for w in split]
-            rare = [np.flatnonzero(i >= RARE) for i in ids]
-            spelled = np.zeros(len(ids))
-            full = [k for k, at in enumerate(rare) if len(at)]
-            if full:
-                each = spelling_log_probabilities(self.table, [split[k][i] for k in full for i in rare[k]])
-                each -= self.groups[np.concatenate([ids[k][rare[k]] for k in full]) - RARE]
-                spelled[full] = np.add.reduceat(each, np.cumsum([0, *(len(rare[k]) for k in full[:-1])]))
-            return ids, spelled
+            end = np.cumsum([len(w) for w in split])
+            ids = np.fromiter(map(get, chain.from_iterable(split), repeat(0)), np.int16, end[-1])
+            rare = ids == 0  # no word of the vocabulary has EDGE
+            each = np.zeros(len(ids))
+            if rare.any():
+                cells, start = _spelled(list(compress(chain.from_iterable(split), rare.tolist())))
+                group = _groups(cells, start)
+                ids[rare] = group + RARE
+                each[rare] = np.add.reduceat(self.table[cells].astype(np.float64), start) - self.groups[group]
+            spelled = np.zeros(len(split))
+            full = np.flatnonzero(np.diff(end, prepend=0))
+            if len(full):
+                spelled[full] = np.add.reduceat(each, np.concatenate([[0], end])[full])
+            return np.split(ids, end[:-1]), spelled
 
         return read
 
@@ -351,35 +365,36 @@ def _train(tokens: DataFrame, flat: np.ndarray, turn: int, stride: int) -> tuple
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = np.zeros(len(sent.value)), 0
         shard, own, seen = None, sent.value, 0
-        ctxs: list[np.ndarray] = []
-        targets: list[np.ndarray] = []
+        left: list[tuple[np.ndarray, np.ndarray]] = []
+        docs: list[np.ndarray] = []
         held = 0
 
         def work(last: bool):
-            nonlocal held, seen, ctxs, targets
+            nonlocal held, seen, left, docs
             if held < (1 if last else BATCH):
                 return
-            ctx, target = np.concatenate(ctxs), np.concatenate(targets)
+            if docs:
+                left.append(windows(docs, turn % stride, stride))
+            ctx, target = (np.concatenate(x) for x in zip(*left, strict=True))
             whole = held - held % BATCH
             for lo in range(0, whole, BATCH):
                 step(own, ctx[lo : lo + BATCH], target[lo : lo + BATCH])
             if last and held > whole:  # what is left moves the weights by its share of a batch
                 step(own, ctx[whole:], target[whole:], RATE * (held - whole) / BATCH)
                 whole = held
-            seen, held, ctxs, targets = seen + whole, held - whole, [ctx[whole:]], [target[whole:]]
+            seen, held, left, docs = seen + whole, held - whole, [(ctx[whole:], target[whole:])], []
 
         for batch in batches:
             for k, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if k != shard:
                     work(True)
                     total, weight = total + own.astype(np.float64) * seen, weight + seen
-                    shard, own, seen, held, ctxs, targets = k, sent.value.copy(), 0, 0, [], []
-                ids = np.frombuffer(row.as_buffer(), np.int16).astype(np.int64) if row.is_valid else np.zeros(0, np.int64)
-                at = np.arange(turn % stride, len(ids), stride)
-                if len(at):
-                    ctxs.append(contexts(ids)[at])
-                    targets.append(ids[at])
-                    held += len(at)
+                    shard, own, seen, held, left, docs = k, sent.value.copy(), 0, 0, [], []
+                ids = np.frombuffer(row.as_buffer(), np.int16) if row.is_valid else np.zeros(0, np.int16)
+                n = len(range(turn % stride, len(ids), stride))
+                if n:
+                    docs.append(ids)
+                    held += n
                     if held >= BATCH:
                         work(False)
         work(True)
@@ -443,7 +458,7 @@ def _scores(rows: list[tuple], flat: np.ndarray) -> pa.RecordBatch:
     sums = np.array([s for _, _, s in rows])
     full = np.flatnonzero(sizes)
     if len(full):
-        got = log_probabilities(flat, np.concatenate([contexts(ids[i]) for i in full]), np.concatenate([ids[i] for i in full]))
+        got = log_probabilities(flat, *windows([ids[i] for i in full]))
         sums[full] += np.add.reduceat(got, np.concatenate([[0], np.cumsum(sizes[full])[:-1]]))
     with np.errstate(invalid="ignore", divide="ignore"):
         mean = sums / sizes
@@ -462,7 +477,7 @@ def score(tokens: DataFrame, model: Model) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for i, row, spelled in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                held.append((i, np.frombuffer(row.as_buffer(), np.int16).astype(np.int64), spelled))
+                held.append((i, np.frombuffer(row.as_buffer(), np.int16), spelled))
                 size += len(held[-1][1]) + 1
                 if size >= 1 << 16:  # texts of any length are taken together up to so many tokens
                     yield _scores(held, sent.value)
