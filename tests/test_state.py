@@ -48,6 +48,28 @@ def test_a_pair_is_forgotten_in_time(spark, tmp_path, monkeypatch):
     assert {(r.timer_id, r.baseline, r.assisted) for r in timers.read_pairs(spark, f"{tmp_path}/out").collect()} == {("a", 10.0, None), ("b", 10.0, 5.0)}
 
 
+def test_pairs_are_made_without_a_call_for_each(spark, tmp_path):
+    """Many pairs, phases in different spans and batches: the batch measure, by Spark's own aggregation."""
+    day = 86400
+    phases = ("baseline", "assisted", "baseline")
+    rows = [(f"t{n % 500}", f"c{n % 7}", phases[k], str(n % 13 + k), None, 10 * n + k, (900 + 8 * k + n % 30) * day) for k in range(3) for n in range(3000)]
+    typed = lambda part: spark.createDataFrame(part, files.TIMERS + ", ordinal long, sec long").select("*", F.timestamp_seconds("sec").alias("at")).drop("sec")
+    with timers.keyed_state(spark):
+        for part in (rows[:4000], rows[4000:]):
+            typed(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(files.TIMERS + ", ordinal long, at timestamp").parquet(f"{tmp_path}/in")
+            q = timers.write_parts(timers.pairs(stream, late="60 days"), f"{tmp_path}/out", f"{tmp_path}/state")
+    plan = q._jsq.explainInternal(False)
+    assert "StateStoreSave" in plan and "Pandas" not in plan
+    key = lambda df: sorted(map(tuple, df.select("timer_id", "case_id", "baseline", "assisted", "assisted_first", "baseline_first").collect()), key=str)
+    got = key(timers.read_pairs(spark, f"{tmp_path}/out"))
+    assert len(got) == 3000 and got == key(runlog.timing_pairs(typed(rows)))
+    typed([("t", "c", "baseline", "1", None, 0, None)]).write.parquet(f"{tmp_path}/timeless")
+    stream = spark.readStream.schema(files.TIMERS + ", ordinal long, at timestamp").parquet(f"{tmp_path}/timeless")
+    with timers.keyed_state(spark), pytest.raises(Exception, match="without a time"):
+        timers.write_parts(timers.pairs(stream), f"{tmp_path}/none", f"{tmp_path}/state2")
+
+
 def test_versions(spark, tmp_path):
     root = str(tmp_path / "t")
     assert snapshots.versions(spark, root) == [] and snapshots.manifest(spark, root) is None
