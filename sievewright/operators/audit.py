@@ -38,8 +38,7 @@ def profile_sentinels(profiles: DataFrame, column: str) -> DataFrame:
 
 def leaks(files: DataFrame, secrets: DataFrame, text: str = "value", file: str = "file") -> DataFrame:
     """Files that contain a sentinel, with the hash of which."""
-    hits = containment.find(files, secrets.select(F.col("sentinel").alias("needle")), file, text)
-    return hits.select(file, F.substring(F.sha2("needle", 256), 1, 8).alias("sha256_8")).distinct()
+    return containment.find(files, secrets.select(F.col("sentinel").alias("needle")), file, text, F.substring(F.sha2("needle", 256), 1, 8).alias("sha256_8"))
 
 
 def fold(s: str | None) -> str | None:

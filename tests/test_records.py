@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 
 from sievewright.functions import records
 from sievewright.operators import audit, containment
+from sievewright.session import cut
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +37,25 @@ def test_find_is_contains(spark, haystack, monkeypatch, most):
     assert set(rows) == want and len(rows) == len(want)
 
 
+def test_long_needles_are_not_multiplied(spark, monkeypatch):
+    """Whole lines as needles: what is written stays near the size of the texts. Rows may lack an id or share one."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    lines = [" ".join(rng.choice(words) for _ in range(n)) for n in (3000, 3000, 3000, 900, 40, 12, 5)]
+    lines += ["".join(rng.choice("abcé") for _ in range(5000)), "nr. " + lines[0], "日本語" * 400 + "終", lines[1][:9000]]
+    texts = [(None if k % 5 == 0 else k % 7, f"head\n{line} tail") for k, line in enumerate(lines)] + [(None, lines[3]), (3, lines[4] * 2)]
+    needles = [*lines, lines[0] + "x", lines[2][1:], "x" + lines[2], lines[7][3:], lines[9][5:]]
+    folder = cut(spark.range(1)).sparkSession.sparkContext.getCheckpointDir().removeprefix("file:")
+    used = lambda: sum(f.stat().st_size for f in Path(folder).rglob("*") if f.is_file())
+    for most in (200_000, 0):
+        monkeypatch.setattr(containment, "MAX_BROADCAST", most)
+        before = used()
+        got = containment.find(spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([(n,) for n in needles], "needle string"), "id", "t").collect()
+        assert used() - before < 10 * sum(len(t.encode()) for _, t in texts)
+        want = {(i, n) for i, t in texts for n in needles if n in t}
+        assert {tuple(r) for r in got} == want and len(got) == len(want) and any(i is None for i, _ in want)
+
+
 def test_leaks_have_no_nested_loop(spark, haystack):
     texts = spark.createDataFrame(haystack[0], "file long, value string")
     secrets = spark.createDataFrame([("line, again and",), ("never there",)], "sentinel string")
