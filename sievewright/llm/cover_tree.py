@@ -9,6 +9,9 @@ The covering radius of a node is the largest distance of *any* vector below it,
 whose centres are further apart than both radii and the reach have no links. The dual traversal goes
 from the pair (root, root) to pairs of children and drops such pairs: on the driver between the nodes of the sample, whose open pairs say which
 pairs of blocks (tiles) must meet, then in each tile between leaves. Vectors of open pairs of leaves are compared exactly in double precision.
+
+Blocks are rows of a table that meets itself in a product of its partitions, which reads them where they are kept: pairs of blocks take time, but no disk. Vectors are
+written three times, as they are given: placed below the tree, dealt to blocks, and as blocks.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievewright.llm.common import connected_components, cut, spread_join
 
@@ -30,6 +33,8 @@ SAMPLE = 4096
 MAX_NODES = 2048
 #: Most vectors of a block; a tile compares two blocks.
 BLOCK = 4096
+#: Partitions of the table of blocks (up to ``PARTS``), and blocks of a partition beyond; each pair of partitions is a task.
+PARTS, EACH = 24, 16
 #: Slack for rounding in bounds.
 _EPS = 1e-9
 
@@ -146,6 +151,12 @@ def open_leaves(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, re
     return _distance(a, b) <= ra[:, None] + rb[None, :] + reach + _EPS
 
 
+def _runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal numbers begin and end."""
+    edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True]))) if len(k) else np.zeros(1, np.int64)
+    return edge[:-1], edge[1:]
+
+
 def _spanning(adj: np.ndarray) -> list[tuple[int, int]]:
     """Links of a spanning forest of a boolean adjacency matrix."""
     out = []
@@ -166,38 +177,55 @@ def _spanning(adj: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _tile(pdf: pd.DataFrame, threshold: float) -> tuple[list, list]:
-    """Link counts ``(rep, n)`` and links ``(u, v)`` of a tile: block 0 against block 1, or block 0 with itself."""
-    pdf = pdf.sort_values(["side", "leaf", "off", "rep"])
-    x = np.frombuffer(b"".join(pdf["vec"]), dtype="<f8").reshape(len(pdf), -1)
-    rep, weight = pdf["rep"].to_numpy(), pdf["n"].to_numpy()
-    side, leaf, off = (pdf[c].to_numpy() for c in ("side", "leaf", "off"))
-    alone = not (side == 1).any()
+class Block:
+    """A block's vectors in order of their leaves: ids, weights, leaves, distances from their centres, and unit vectors."""
+
+    def __init__(self, row: dict, kind: str):
+        self.rep, self.n = np.frombuffer(row["rep"], "<i8"), np.frombuffer(row["n"], "<i8")
+        self.leaf, self.off = np.frombuffer(row["leaf"], "<i4"), np.frombuffer(row["off"], "<f8")
+        self.x = _unit(np.frombuffer(row["vec"], kind).reshape(len(self.rep), -1))
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers from each start up to its stop, one after another."""
+    size = stop - start
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+
+
+def _tile(one: Block, other: Block | None, threshold: float) -> tuple[list, list]:
+    """Link counts ``(rep, n)`` and links ``(u, v)`` of a tile: a block against another one, or with itself."""
+    alone = other is None
+    both = [one] if alone else [one, other]
+    x, rep, weight, leaf, off = (np.concatenate([getattr(b, name) for b in both]) for name in ("x", "rep", "n", "leaf", "off"))
+    side = np.repeat(np.arange(len(both)), [len(b.rep) for b in both])
     # leaves are runs of rows; the first row of each is its centre
     edge = np.flatnonzero(np.concatenate(([True], (side[1:] != side[:-1]) | (leaf[1:] != leaf[:-1]), [True])))
     start, stop = edge[:-1], edge[1:]
     radius = np.maximum.reduceat(off, start)
-    number = np.repeat(np.arange(len(start)), stop - start)
     mine = np.flatnonzero(side[start] == 0)
     theirs = mine if alone else np.flatnonzero(side[start] == 1)
-    other = np.flatnonzero(side == (0 if alone else 1))
-    at_other = number[other] - theirs[0]
     reach = math.sqrt(2 - 2 * threshold)
+    centres, widest = x[start[theirs]], radius[theirs].max()
     us, vs = [], []
     for lo in range(0, len(mine), 512):
         some = mine[lo : lo + 512]
-        may = open_leaves(x[start[some]], radius[some], x[start[theirs]], radius[theirs], reach)
-        for k, row in zip(some, may, strict=True):
-            if alone:
-                row[: k - theirs[0]] = False  # each pair of leaves once
-            cols = other[row[at_other]]
-            if not len(cols):
-                continue
-            for at in range(start[k], stop[k], 512):
-                rows = np.arange(at, min(at + 512, stop[k]))
-                cos = x[rows] @ x[cols].T
-                hit = cos >= threshold
-                near = np.abs(cos - threshold) < 1e-12
+        cos = x[start[some]] @ centres.T
+        # by the widest leaves first, then each pair of leaves that may be open by its own
+        bound = radius[some].max() + widest + reach + _EPS
+        k, at = np.nonzero(cos >= 1 - bound * bound / 2 - 1e-12)
+        open_ = np.sqrt(np.maximum(0, 2 - 2 * cos[k, at])) <= radius[some[k]] + radius[theirs[at]] + reach + _EPS
+        if alone:
+            open_ &= theirs[at] >= some[k]  # each pair of leaves once
+        k, at = some[k[open_]], theirs[at[open_]]
+        for first, last in zip(*_runs(k), strict=True):
+            leaves_ = at[first:last]
+            cols = _ranges(start[leaves_], stop[leaves_])
+            own = k[first]
+            for row in range(start[own], stop[own], 512):
+                rows = np.arange(row, min(row + 512, stop[own]))
+                cos_ = x[rows] @ x[cols].T
+                hit = cos_ >= threshold
+                near = np.abs(cos_ - threshold) < 1e-12
                 if near.any():  # as exact as double precision can tell
                     for i, j in zip(*np.nonzero(near), strict=True):
                         hit[i, j] = math.fsum(x[rows[i]] * x[cols[j]]) >= threshold
@@ -224,37 +252,51 @@ def _valid(vec: str) -> F.Column:
     return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _unit(batch: pa.Array) -> np.ndarray:
-    x = batch.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(batch), -1)
+def _matrix(batch: pa.Array) -> np.ndarray:
+    return batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype("f8")
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _by_dimension(distinct: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Counts ``rep, n`` and links ``u, v`` among the distinct vectors of one dimension."""
-    spark = distinct.sparkSession
-    here = distinct.where(F.size("vec") == dim)
-    sample = here.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("rep", "vec").collect()
-    total = here.count()
-    x = _unit(pa.array([r["vec"] for r in sample], pa.list_(pa.float64())))
+def _by_dimension(source: DataFrame, groups: DataFrame, kind: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Counts ``rep, n`` and links ``u, v`` among the vectors of one dimension: ``source(key, vec_id, vec)``, ``groups(key, rep, n)`` for each distinct vector.
+
+    ``kind``: numpy's name of the numbers as they are given.
+    """
+    spark = source.sparkSession
+    chosen = groups.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select(F.col("key").alias("_k"), "rep", F.xxhash64("rep").alias("_h"))
+    drawn = source.join(F.broadcast(chosen), (F.col("key") == F.col("_k")) & (F.col("vec_id") == F.col("rep"))).select("_h", "rep", "vec").collect()
+    sample = {(r["_h"], r["rep"]): r["vec"] for r in drawn}
+    total = groups.count()
+    x = _unit(np.array([sample[k] for k in sorted(sample)]))
     tree = spark.sparkContext.broadcast(Tree(x, max_nodes=max(1, min(MAX_NODES, total // 32))))
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lowest node of each vector; of equal ones in a task the first is enough."""
+        seen: set[bytes] = set()
         for batch in batches:
-            if not batch.num_rows:
+            new = [i for i, k in enumerate(batch.column(0).to_pylist()) if k not in seen and not seen.add(k)]
+            if not new:
                 continue
-            x = _unit(batch.column(1))
-            at, far = tree.value.lowest(x)
-            flat = np.ascontiguousarray(x.astype("<f8"))
+            batch = batch.take(pa.array(new))
+            raw = _matrix(batch.column(1))
+            at, far = tree.value.lowest(_unit(raw))
+            flat = np.ascontiguousarray(raw.astype(kind))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(at.astype(np.int32)), pa.array(far), pa.array([v.tobytes() for v in flat], pa.binary())],
-                names=["rep", "n", "node", "far", "vec"],
+                [batch.column(0), pa.array(at.astype(np.int32)), pa.array(far), pa.array([v.tobytes() for v in flat], pa.binary())],
+                names=["key", "node", "far", "vec"],
             )
 
-    placed = cut(
-        here.select("rep", "vec", "n").mapInArrow(descend, "rep bigint, n bigint, node int, far double, vec binary")
-    )
-    nodes = {r["node"]: r for r in placed.groupBy("node").agg(F.max("far").alias("r"), F.count("*").alias("k")).collect()}
+    placed = cut(source.select("key", "vec").mapInArrow(descend, "key binary, node int, far double, vec binary"))
+    placed = placed.withColumn("at", F.monotonically_increasing_id())
+    # equal vectors of several tasks: one of them stands for all
+    first = placed.groupBy("key").agg(F.min(F.struct("at", "node", "far")).alias("_p"))
+    stand = cut(first.join(groups, "key").select("key", "_p.*", "rep", "n"))
+    nodes = {r["node"]: r for r in stand.groupBy("node").agg(F.max("far").alias("r"), F.count("*").alias("k")).collect()}
     radius = np.full(len(tree.value.centres), -1.0)
     for k, r in nodes.items():
         radius[k] = r["r"]
@@ -276,66 +318,74 @@ def _by_dimension(distinct: DataFrame, dim: int, threshold: float) -> tuple[Data
     for k, g in group.items():
         member[g, k] = 1
     open_groups = (member @ may.astype(np.int32) @ member.T) > 0
-    first = np.concatenate([[0], np.cumsum(chunks)])
+    first_of = np.concatenate([[0], np.cumsum(chunks)])
     group_of = np.zeros(len(radius), dtype=np.int64)
     group_of[list(group)] = list(group.values())
-    plan = spark.sparkContext.broadcast((group_of, np.array(chunks), first, open_groups))
+    plan = spark.sparkContext.broadcast((group_of, np.array(chunks), first_of, open_groups))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The block of each vector."""
-        group_of, chunks, first, _ = plan.value
+        """The block of each vector, from its ``node`` and a hash of its key (the first two columns)."""
+        group_of, chunks, first_of, _ = plan.value
         for batch in batches:
-            rep, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            g = group_of[node]
-            mixed = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            mine = first[g] + (mixed % chunks[g].astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(mine), batch.column(0), batch.column(1), batch.column(3)], names=["block", "rep", "n", "vec"])
-
-    def grow(table: pa.Table) -> pa.Table:
-        """The leaves of a block."""
-        table = table.sort_by("rep").combine_chunks()
-        x = np.frombuffer(b"".join(table["vec"].to_pylist()), dtype="<f8").reshape(table.num_rows, -1)
-        of, off = leaves(x, reach / 2)
-        return table.append_column("leaf", pa.array(of.astype(np.int32))).append_column("off", pa.array(off))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group_of, chunks, first, open_ = plan.value
-        total_blocks = int(first[-1])
-        group = np.repeat(np.arange(len(chunks)), chunks)
+            g = group_of[batch.column(0).to_numpy()]
+            mixed = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(1)
+            mine = first_of[g] + (mixed % chunks[g].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(mine.astype(np.int32)), *batch.columns[2:]], names=["block", *batch.schema.names[2:]])
+
+    def grow(vectors: pa.Table, stand: pa.Table) -> pa.Table:
+        """The leaves of a block, as one row."""
+        _, _, first_of, open_ = plan.value
+        if not stand.num_rows:  # all that came are equal to others elsewhere
+            return pa.table({name: pa.array([], t) for name, t in zip(PACKED.names, PACKED.types, strict=True)})
+        stand = stand.sort_by("rep").combine_chunks()
+        places = vectors["at"].to_numpy()
+        order = np.argsort(places)
+        found = order[np.searchsorted(places, stand["at"].to_numpy(), sorter=order)]
+        vecs = vectors["vec"].combine_chunks().take(pa.array(found)).to_pylist()
+        raw = np.frombuffer(b"".join(vecs), kind).reshape(len(vecs), -1)
+        of, off = leaves(_unit(raw), reach / 2)
+        rep = stand["rep"].to_numpy()
+        order = np.lexsort((rep, off, of))
+        number = stand["block"][0].as_py()
+        mine = int(np.searchsorted(first_of, number, side="right")) - 1
+        pack = lambda v, t: [np.ascontiguousarray(v[order].astype(t)).tobytes()]
+        return pa.table(
+            [[number], [mine], [np.flatnonzero(open_[mine]).tolist()], pack(rep, "<i8"), pack(stand["n"].to_numpy(), "<i8"), pack(of, "<i4"), pack(off, "<f8"), pack(raw, kind)], schema=PACKED
+        )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine = batch.column(0).to_numpy()
-            for b in np.unique(mine):
-                part = batch.take(pa.array(np.flatnonzero(mine == b)))
-                size = part.num_rows
-                for h in np.flatnonzero(open_[group[b]]):
-                    for other in range(int(first[h]), int(first[h + 1])):
-                        lo, hi = min(int(b), other), max(int(b), other)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(size, lo * total_blocks + hi)), pa.array(np.full(size, 0 if b == lo else 1, np.int32)), *part.columns[1:]],
-                            names=["tile", "side", "rep", "n", "vec", "leaf", "off"],
-                        )
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total_blocks = int(plan.value[2][-1])
-        alone = key[0] // total_blocks == key[0] % total_blocks
-        if not alone and pdf["side"].nunique() < 2:
-            return pd.DataFrame({"u": [], "v": [], "n": []}).astype("int64")
-        counts, got = _tile(pdf, threshold)
-        return pd.DataFrame(
-            {
-                "u": [a for a, _ in counts] + [a for a, _ in got],
-                "v": [-1] * len(counts) + [b for _, b in got],
-                "n": [n for _, n in counts] + [0] * len(got),
-            }
-        ).astype("int64")
-
-    blocks = placed.select("rep", "n", "node", "vec").mapInArrow(settle, "block bigint, rep bigint, n bigint, vec binary")
-    grown = cut(blocks.groupBy("block").applyInArrow(grow, "block bigint, rep bigint, n bigint, vec binary, leaf int, off double"))
-    dealt = grown.mapInArrow(deal, "tile bigint, side int, rep bigint, n bigint, vec binary, leaf int, off double")
-    out = cut(dealt.groupBy("tile").applyInPandas(compare, "u bigint, v bigint, n bigint"))
+            for i in range(batch.num_rows):
+                row = {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+                one = Block({k[2:]: v for k, v in row.items() if k[:2] == "a_"}, kind)
+                other = None if row["a_block"] == row["b_block"] else Block({k[2:]: v for k, v in row.items() if k[:2] == "b_"}, kind)
+                counts, got = _tile(one, other, threshold)
+                u = [a for a, _ in counts] + [a for a, _ in got]
+                v = [-1] * len(counts) + [b for _, b in got]
+                n = [n for _, n in counts] + [0] * len(got)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (u, v, n)], names=["u", "v", "n"])
+
+    blocks = int(first_of[-1])
+    parts = max(min(blocks, PARTS), -(-blocks // EACH))
+    fine = 3 * parts  # put together again by threes, as hashes deal blocks unevenly
+    mix = F.xxhash64("key").alias("mix")
+    dealt = placed.select("node", mix, "at", "vec").mapInArrow(settle, "block int, at bigint, vec binary").repartition(fine, "block")
+    named = stand.select("node", mix, "at", "rep", "n").mapInArrow(settle, "block int, at bigint, rep bigint, n bigint").repartition(fine, "block")
+    packed = "block int, grp int, meets array<int>, rep binary, n binary, leaf binary, off binary, vec binary"
+    grown = cut(dealt.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(grow, packed)).coalesce(parts)
+    left, right = (grown.select(*[F.col(c).alias(f"{side}_{c}") for c in grown.columns]) for side in "ab")
+    meet = (F.col("a_block") <= F.col("b_block")) & F.array_contains("a_meets", F.col("b_grp"))
+    tiles = left.join(right.hint("shuffle_replicate_nl"), meet).drop("a_grp", "a_meets", "b_grp", "b_meets")
+    out = cut(tiles.mapInArrow(compare, "u bigint, v bigint, n bigint"))
     return out.where("n > 0").select(F.col("u").alias("rep"), "n"), out.where("n = 0").select("u", "v")
 
 
+#: A block as a row: its number, its group of nodes and those that this may have links with, its vectors as bytes.
+PACKED = pa.schema(
+    [("block", pa.int32()), ("grp", pa.int32()), ("meets", pa.list_(pa.int32())), *[(c, pa.binary()) for c in ("rep", "n", "leaf", "off", "vec")]]
+)
+
+
 def embedding_dedup(
     vectors: DataFrame, vec: str = "embedding", vec_id: str = "vec_id", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -349,21 +399,25 @@ def embedding_dedup(
     """
     if not 0 < threshold < 1:
         raise ValueError("the threshold must lie between 0 and 1")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec"))
+    own = vectors.schema[vec].dataType
+    single = isinstance(own, T.ArrayType) and isinstance(own.elementType, T.FloatType)
+    source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec"), F.col(vec).alias("_own"))
     ok = _valid("vec") & F.col("vec_id").isNotNull()
     key = F.when(ok, F.unhex(F.md5(F.to_csv(F.struct(F.xxhash64("vec"), F.xxhash64(F.lit(1), "vec"), F.hash("vec"), F.size("vec"))))))
-    rows = cut(rows.withColumn("key", key))
+    source = source.select("vec_id", key.alias("key"), F.size("vec").alias("dim"), F.col("_own" if single else "vec").alias("vec"))
+    rows = cut(source.select("vec_id", "key", "dim"))
     groups = cut(
-        rows.where("key is not null").select("key", "vec_id", "vec").dropDuplicates(["key", "vec_id"])
-        .groupBy("key")
-        .agg(F.min("vec_id").alias("rep"), F.first("vec").alias("vec"), F.count("*").alias("n"))
+        rows.where("key is not null").select("key", "vec_id", "dim").distinct()
+        .groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("dim").alias("dim"))
     )
-    dims = [r[0] for r in groups.select(F.size("vec")).distinct().collect()]
+    dims = [r[0] for r in groups.select("dim").distinct().collect()]
     counts = links = None
     for d in dims:
-        c, e = _by_dimension(groups.select("rep", "vec", "n"), d, threshold)
+        mine = groups.where(F.col("dim") == d).drop("dim")
+        c, e = _by_dimension(source.where(F.col("key").isNotNull() & (F.col("dim") == d)).drop("dim"), mine, "<f4" if single else "<f8", threshold)
         counts = c if counts is None else counts.union(c)
         links = e if links is None else links.union(e)
+    groups, rows = groups.drop("dim"), rows.drop("dim")
     if counts is None:
         return rows.select(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")

@@ -195,6 +195,23 @@ def test_a_node_of_several_blocks(spark):
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
 
 
+def test_blocks_meet_without_copies_on_disk(spark):
+    """Vectors without structure: every block meets every block, yet what is exchanged stays near the size of the table. Copies lie in all partitions."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3600, 64)).astype("f4")
+    x[3000:3300] = x[:300] + rng.normal(0, 0.02, (300, 64)).astype("f4")
+    x[3300:] = x[7]
+    unit = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = sent()
+    got = cover_tree.embedding_dedup(table).collect()
+    assert sent() - before < 8 * x.nbytes
+    want = components(range(len(x)), [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True)])
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (int(linked[i].sum()) - 1, want[i]) for i in range(len(x))}
+
+
 def test_traversal_prunes_only_what_it_may():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 8))
